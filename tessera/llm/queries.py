@@ -7,15 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import license as licenses
+from tessera.llm import tokenfile
 from tessera.llm.common import read_table
 
 
+def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = tokenfile.public_vocabulary("byte_bpe_50k.json")
+    return tokenfile.token_digests(read_table(spark, sf_dir, "documents"), vocabulary)
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.scan(read_table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_license_scan": op7_license_scan}
+    return {
+        "op1_token_planes": op1_token_planes,
+        "op7_license_scan": op7_license_scan,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
