@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import license as licenses
-from tessera.llm import tokenfile
+from tessera.llm import minhash, substring, tokenfile
 from tessera.llm.common import read_table
 
 
@@ -20,10 +20,20 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.scan(read_table(spark, sf_dir, "documents")))
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_planes": op1_token_planes,
         "op7_license_scan": op7_license_scan,
+        "op8_minhash_dedup": op8_minhash_dedup,
+        "op9_substring_dedup": op9_substring_dedup,
     }
 
 
