@@ -4,13 +4,18 @@ Each permutation gives two signature values, its minimum and its maximum over th
 values costs p hash evaluations per shingle; both agree between two sets with the probability of their Jaccard
 similarity. A band is some values of different permutations.
 
-Candidates are never all pairs of a bucket. First every set of a bucket meets the bucket's smallest member.
-Only where confirmed links leave a bucket in more than one piece, sets of different pieces meet.
+Candidates are never all pairs of a bucket. First every set of a bucket meets one of its members, that which most
+sets meet in all buckets. Only where confirmed links leave a bucket in more than one piece, sets of different
+pieces meet, and of these only such as can be similar enough by their sizes and by the shingles that no other
+set of such buckets has: those are in no intersection, and in every union.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,19 +77,29 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     whose large partitions Spark splits."""
     one, two = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
 
-    def work(columns: list) -> dict:
-        a, b, x, y = columns
-        linked = []
-        for p, q in zip(x, y):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            short, long = (p, q) if len(p) <= len(q) else (q, p)
-            at = np.searchsorted(long, short)
-            common = int((long[np.minimum(at, len(long) - 1)] == short).sum())
-            linked.append(100 * common >= percent * (len(p) + len(q) - common))
-        return {"a": a, "b": b, "linked": linked}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (_rows(batch.column(k)) for k in (2, 3))
+            linked = [_similar(p, q, percent) for p, q in zip(x, y)]
+            yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
     joined = pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "set_a", "set_b")
-    return map_rows(joined, work, "a long, b long, linked boolean").where("linked").select("a", "b")
+    return joined.mapInArrow(run, "a long, b long")
+
+
+def _rows(lists: pa.ListArray) -> list[np.ndarray]:
+    values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
+    return [values[a:b] for a, b in zip(offsets, offsets[1:])]
+
+
+def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Both sorted and distinct."""
+    short, long = (p, q) if len(p) <= len(q) else (q, p)
+    if 100 * len(short) < percent * len(long):
+        return False
+    at = np.searchsorted(long, short)
+    common = int((long[np.minimum(at, len(long) - 1)] == short).sum())
+    return 100 * common >= percent * (len(p) + len(q) - common)
 
 
 def near_duplicates(
@@ -105,24 +120,37 @@ def near_duplicates(
 
     placed = signed.join(groups.select(F.col("id").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi")
     banded = placed.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
+    shared = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     buckets = saved(banded.join(shared, "key"), "buckets")  # only members of buckets that hold different sets
 
-    pairs = saved(buckets.where("id <> a").select("a", F.col("id").alias("b")).distinct(), "pairs")
+    met = buckets.groupBy("id").agg(F.sum("size").alias("met"))
+    leads = buckets.join(met, "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("a"))).alias("lead"))
+    pairs = saved(
+        buckets.join(leads.select("key", (-F.col("lead.a")).alias("lead")), "key")
+        .where("id <> lead")
+        .select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
+        .distinct(),
+        "pairs",
+    )
     wanted = buckets.select("id").distinct().join(groups, "id").select(F.col("id").alias("doc_id"), "k1", "k2")
     sets = saved(_sets(texts.join(wanted.select("doc_id"), "doc_id", "left_semi"), wanted, words), "sets")
     links = saved(_confirmed(pairs, sets, percent), "links")
     found = saved(components(links), "components")
 
-    # buckets still in pieces: sets of different pieces meet, but for pairs that have met
-    member = buckets.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("piece"))
-    split = member.groupBy("key").agg(F.min("piece").alias("p"), F.max("piece").alias("q"), F.count("*").alias("n")).where("p < q AND n > 2")
-    loose = member.join(split.select("key"), "key", "left_semi").join(groups.select("id", "n"), "id")
-    x, y = (loose.select("key", *(F.col(c).alias(c + s) for c in ("id", "piece", "n"))) for s in "xy")
-    close = F.greatest("nx", "ny") * percent <= F.least("nx", "ny") * 100
+    # buckets still in pieces
+    member = buckets.where("size > 2").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("piece"))
+    split = member.groupBy("key").agg(F.min("piece").alias("p"), F.max("piece").alias("q")).where("p < q")
+    loose = saved(member.join(split.select("key"), "key", "left_semi"), "loose")
+    shingles = sets.join(loose.select("id").distinct(), "id", "left_semi").select("id", F.explode("shingles").alias("shingle"))
+    alone = shingles.groupBy("shingle").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n = 1").groupBy("id").agg(F.count("*").alias("u"))
+    sized = groups.select("id", "n").join(alone, "id", "left").select("id", "n", F.coalesce("u", F.lit(0)).alias("u"))
+    able = loose.join(sized, "id").where(100 * (F.col("n") - F.col("u")) >= percent * F.col("n"))
+    x, y = (able.select("key", *(F.col(c).alias(c + s) for c in ("id", "piece", "n", "u"))) for s in "xy")
+    most_common = F.least(F.col("nx") - F.col("ux"), F.col("ny") - F.col("uy"))
+    least_union = F.greatest(F.col("nx") + F.col("uy"), F.col("ny") + F.col("ux"))
     more = (
         x.join(y, "key")
-        .where((F.col("idx") < F.col("idy")) & (F.col("piecex") != F.col("piecey")) & close)
+        .where((F.col("idx") < F.col("idy")) & (F.col("piecex") != F.col("piecey")) & (100 * most_common >= percent * least_union))
         .select(F.col("idx").alias("a"), F.col("idy").alias("b"))
         .distinct()
         .join(pairs, ["a", "b"], "left_anti")
@@ -144,15 +172,15 @@ def near_duplicates(
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(id, shingles): sorted hashes as bytes, of the wanted documents."""
+    """(id, shingles): sorted hashes of the wanted documents."""
 
     def work(columns: list) -> dict:
         ids, each = columns
         sets = shingle_sets(each, words)
         k1, k2 = _set_keys(sets)
-        return {"doc_id": ids, "k1": k1, "k2": k2, "shingles": [s.tobytes() for s in sets]}
+        return {"doc_id": ids, "k1": k1, "k2": k2, "shingles": [np.sort(s.view(np.int64)) for s in sets]}
 
-    made = map_rows(texts, work, "doc_id long, k1 long, k2 long, shingles binary")
+    made = map_rows(texts, work, "doc_id long, k1 long, k2 long, shingles array<long>")
     return (
         made.join(wanted, ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "shingles")
     )
