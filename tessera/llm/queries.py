@@ -6,18 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import license as licenses
-from tessera.llm import minhash, substring, tokenfile
+from tessera.llm import ann, imatch, langid, license, minhash, mixing, pii, sampling, substring, tokenfile
 from tessera.llm.common import read_table
+from tessera.llm.oracles import ORACLES
+from tessera.llm.tokenfile import public_vocabulary
 
 
 def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = tokenfile.public_vocabulary("byte_bpe_50k.json")
-    return tokenfile.token_digests(read_table(spark, sf_dir, "documents"), vocabulary)
+    return tokenfile.token_digests(read_table(spark, sf_dir, "documents"), public_vocabulary("byte_bpe_50k.json"))
+
+
+def op2_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"))
+
+
+def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read_table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"), public_vocabulary("piece_bpe_32k.model"))
+
+
+def op5_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
+def op6_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(read_table(spark, sf_dir, "documents"))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.summary(licenses.scan(read_table(spark, sf_dir, "documents")))
+    return license.summary(license.scan(read_table(spark, sf_dir, "documents")))
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,14 +48,28 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op10_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = sampling.sample_segmentations(read_table(spark, sf_dir, "documents"), public_vocabulary("piece_bpe_32k.model"))
+    return sampling.digests(samples)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_token_planes": op1_token_planes,
-        "op7_license_scan": op7_license_scan,
-        "op8_minhash_dedup": op8_minhash_dedup,
-        "op9_substring_dedup": op9_substring_dedup,
+        f.__name__: f
+        for f in (
+            op1_token_planes,
+            op2_collision_search,
+            op3_pii_pseudonyms,
+            op4_language_id,
+            op5_raked_mixing,
+            op6_imatch_fingerprints,
+            op7_license_scan,
+            op8_minhash_dedup,
+            op9_substring_dedup,
+            op10_gumbel_segmentations,
+        )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
