@@ -1,0 +1,5 @@
+"""The registered queries of the library: name -> (query, SQL twin or None)."""
+
+from tessera.plans import browse, change, relational, stats, texts
+
+QUERIES = browse.QUERIES | stats.QUERIES | relational.QUERIES | texts.QUERIES | change.QUERIES
