@@ -7,11 +7,12 @@ words, counted. The probabilities come from expectation-maximisation over the sa
 
 from __future__ import annotations
 
-import math
 import re
 import uuid
 from collections import Counter
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,12 +21,14 @@ from tessera.llm.common import map_rows, saved, texts_of
 from tessera.llm.lattice import SPACE, pieces
 
 #: The models are fitted on at most so many documents of each language (those of the smallest hash).
-MOST_PER_LANGUAGE = 2_000
-ROUNDS = 3
+MOST_PER_LANGUAGE = 1_000
+ROUNDS = 2
 #: Letters are counted in words; longer runs are scored in stretches of so many characters.
 STRETCH = 40
 UNDETERMINED = "und"
 _FLOOR = 1e-9
+#: Stands between words; no text that Spark holds has a lone surrogate.
+_END = "\ud800"
 _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 _ASCII_LETTER = re.compile(r"[A-Za-z]")
 
@@ -49,7 +52,7 @@ def stretches(word: str) -> list[str]:
 
 
 def forward(table: dict[str, tuple[float, ...]], longest: int, n_langs: int, text: str) -> list[list[float]]:
-    """For each place, the summed probability of all spellings up to it, by language."""
+    """For each place of one text, the summed probability of all spellings up to it, by language."""
     n = len(text)
     sums = [[0.0] * n_langs for _ in range(n + 1)]
     sums[0] = [1.0] * n_langs
@@ -71,13 +74,50 @@ def forward(table: dict[str, tuple[float, ...]], longest: int, n_langs: int, tex
     return sums
 
 
-def log_probability(model: Model, longest: int, word: str) -> list[float]:
-    langs, table = model
-    total = [0.0] * len(langs)
-    for part in stretches(word):
-        for k, p in enumerate(forward(table, longest, len(langs), part)[-1]):
-            total[k] += math.log(max(p, 1e-300))
-    return total
+class Forward:
+    """The same sums for many texts at once: an Aho-Corasick pass finds all pieces of all texts, and the places at
+    one distance from their text's start are summed together."""
+
+    def __init__(self, model: Model) -> None:
+        langs, table = model
+        self.finder = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for n, piece in enumerate(table):
+            self.finder.add_word(piece, n << 8 | len(piece))
+        self.finder.make_automaton()
+        self.share = np.vstack([np.array(list(table.values())), np.full(len(langs), _FLOOR)])
+
+    def steps(self, texts: list[str]):
+        """(place in the row of all texts where each step starts, and ends, its piece), and each text's first place."""
+        joined = _END.join([*texts, ""])
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        first = np.cumsum(lengths + 1) - lengths - 1
+        found = np.fromiter(chain.from_iterable(self.finder.iter(joined)), np.int64).reshape(-1, 2)
+        size, piece, end = found[:, 1] & 255, found[:, 1] >> 8, found[:, 0] + 1
+        bare = np.ones(len(joined), bool)
+        bare[(end - 1)[size == 1]] = bare[first + lengths] = False
+        bare = np.flatnonzero(bare)
+        start = np.concatenate([end - size, bare])
+        end = np.concatenate([end, bare + 1])
+        piece = np.concatenate([piece, np.full(len(bare), len(self.share) - 1)])
+        return start, end, piece, first, lengths
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        """Log-probabilities, a row for each text."""
+        if not texts:
+            return np.zeros((0, self.share.shape[1]))
+        start, end, piece, first, lengths = self.steps(texts)
+        depth = np.arange(lengths.sum() + len(lengths)) - np.repeat(first, lengths + 1)
+        order = np.lexsort((end, depth[end]))
+        start, end, piece = start[order], end[order], piece[order]
+        sums = np.zeros((len(depth), self.share.shape[1]))
+        sums[first] = 1.0
+        edges = np.searchsorted(depth[end], np.arange(1, int(depth.max()) + 2)).tolist()
+        for a, b in zip(edges, edges[1:]):
+            to = end[a:b]
+            heads = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if b > a else []
+            if len(heads):
+                sums[to[heads]] = np.add.reduceat(sums[start[a:b]] * self.share[piece[a:b]], heads)
+        return np.log(np.maximum(sums[first + lengths], 1e-300))
 
 
 def expected_counts(model: Model, longest: int, word: str, counts: list[float], out: dict[str, list[float]]) -> None:
@@ -157,48 +197,55 @@ def fit(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS, most: int = MOST
 
 
 class Scorer:
-    """Texts to (language, score). Words are scored once per worker, up to a bound; beyond it, once per text."""
-
-    def __init__(self, model: Model, longest: int, most_known: int = 300_000) -> None:
-        self.model, self.longest, self.most_known = model, longest, most_known
-        self.known: dict[str, tuple[list[float], list[float]]] = {}
-
-    def word(self, word: str) -> tuple[list[float], list[float]]:
-        found = self.known.get(word)
-        if found is None:
-            logs = log_probability(self.model, self.longest, word)
-            top = max(logs)
-            shares = [math.exp(x - top) for x in logs]
-            total = sum(shares)
-            found = logs, [s / total for s in shares]
-            if len(self.known) < self.most_known:
-                self.known[word] = found
-        return found
-
-    def __call__(self, text: str) -> tuple[str, float]:
-        langs = self.model[0]
-        counts = word_counts(text)
-        if not langs or not counts or not has_letter(text):
-            return UNDETERMINED, 0.0
-        n = np.fromiter(counts.values(), float, len(counts))
-        each = [self.word(w) for w in counts]
-        logs = n @ np.array([x[0] for x in each])
-        best = int(logs.argmax())
-        return langs[best], float(n @ np.array([x[1][best] for x in each]) / n.sum())
+    """Texts to (language, score). Words are scored once per worker, up to a bound; beyond it, once per batch."""
+
+    def __init__(self, model: Model, most_known: int = 300_000) -> None:
+        self.langs, self.most_known = model[0], most_known
+        self.forward = Forward(model) if model[0] else None
+        self.rows: dict[str, int] = {}
+        self.logs = np.zeros((0, len(self.langs)))
+
+    def _scored(self, words: list[str]) -> np.ndarray:
+        parts = [stretches(w) for w in words]
+        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        each = self.forward(list(chain.from_iterable(parts)))
+        return np.add.reduceat(each, np.cumsum(counts) - counts) if len(words) else each
+
+    def __call__(self, texts: list[str]) -> list[tuple[str, float]]:
+        counted = [word_counts(t) if self.langs and has_letter(t) else Counter() for t in texts]
+        new = list(set(chain.from_iterable(counted)).difference(self.rows))
+        rows, logs = self.rows, np.vstack([self.logs, self._scored(new)]) if new else self.logs
+        if new and len(rows) + len(new) <= self.most_known:
+            rows.update(zip(new, range(len(rows), len(rows) + len(new))))
+            self.logs = logs
+        elif new:
+            rows = rows | dict(zip(new, range(len(rows), len(rows) + len(new))))
+        shares = np.exp(logs - logs.max(1, keepdims=True)) if len(logs) else logs
+        shares /= shares.sum(1, keepdims=True)
+        out = []
+        for counts in counted:
+            if not counts:
+                out.append((UNDETERMINED, 0.0))
+                continue
+            at = np.fromiter(map(rows.__getitem__, counts), np.int64, len(counts))
+            n = np.fromiter(counts.values(), float, len(counts))
+            best = int((n @ logs[at]).argmax())
+            out.append((self.langs[best], float(min(1.0, n @ shares[at, best] / n.sum()))))
+        return out
 
 
 _scorers: dict = {}
 
 
-def scorer(key: str, model: Model, longest: int) -> Scorer:
+def scorer(key: str, model: Model) -> Scorer:
     """One scorer, with what it knows, for all tasks that a worker runs with a model."""
     if key not in _scorers:
         _scorers.clear()
-        _scorers[key] = Scorer(model, longest)
+        _scorers[key] = Scorer(model)
     return _scorers[key]
 
 
-def predict(docs: DataFrame, model: Model, vocabulary: str) -> DataFrame:
+def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score for every document's whole text; score is the mean share of the predicted language
     among all, over the words.
 
@@ -207,12 +254,11 @@ def predict(docs: DataFrame, model: Model, vocabulary: str) -> DataFrame:
     take no part; other columns are not read.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    longest, key = pieces(vocabulary).longest, uuid.uuid4().hex
+    key = uuid.uuid4().hex
 
     def work(columns: list) -> dict:
         ids, texts = columns
-        score = scorer(key, held.value, longest)
-        found = [score(t) for t in texts]
+        found = scorer(key, held.value)(texts)
         return {"doc_id": ids, "lang_pred": [x for x, _ in found], "score": [s for _, s in found]}
 
     return map_rows(texts_of(docs), work, "doc_id long, lang_pred string, score double")
@@ -221,4 +267,4 @@ def predict(docs: DataFrame, model: Model, vocabulary: str) -> DataFrame:
 def identify(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score: fitted on the documents outside the held-out fold, applied to all."""
     model = fit(docs.where(~in_fold()), vocabulary)
-    return predict(docs, model, vocabulary).select("doc_id", in_fold().alias("held_out"), "lang_pred", "score")
+    return predict(docs, model).select("doc_id", in_fold().alias("held_out"), "lang_pred", "score")
