@@ -46,16 +46,26 @@ def lexicon(texts: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHA
     )
 
 
+def _with(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def fingerprint(found: Column) -> Column:
     """Of an array of (term, subset, level) in term order: RATES * SUBSETS hashes, as one text."""
+    hashed = lambda a: F.when(F.size(a) == 0, "-").otherwise(F.substring(F.md5(F.array_join(a, " ")), 1, 6))
 
-    def rate(j: int) -> Column:
-        own = F.filter(found, lambda t: t["level"] >= j)
+    def subsets(own: Column) -> Column:
         one = lambda s: F.transform(F.filter(own, lambda t: t["subset"] == s), lambda t: t["term"])
-        hashed = lambda a: F.when(F.size(a) == 0, "-").otherwise(F.substring(F.md5(F.array_join(a, " ")), 1, 6))
-        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda s: hashed(one(s))), ".")
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda s: _with(one(s), hashed)), ".")
 
-    return F.concat_ws(":", *(rate(j) for j in range(RATES)))
+    def printed(own: Column, j: int) -> list[Column]:
+        """This rate and the sparser ones, each of what the one before has left."""
+        if j == RATES:
+            return []
+        return [_with(F.filter(own, lambda t: t["level"] >= j), lambda o: F.concat_ws(":", subsets(o), *printed(o, j + 1)))]
+
+    return _with(found, lambda f: printed(f, 0)[0])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -63,10 +73,11 @@ def likeness(a: Column, b: Column) -> Column:
 
     def rate(j: int) -> Column:
         x, y = (F.split(F.split(c, ":")[j], "[.]") for c in (a, b))
-        pairs = F.arrays_zip(x.alias("x"), y.alias("y"))
-        both = F.filter(pairs, lambda p: (p["x"] != "-") | (p["y"] != "-"))
-        equal = F.size(F.filter(both, lambda p: p["x"] == p["y"]))
-        return F.when(F.size(both) >= (1 if j == 0 else ENOUGH), equal / F.size(both))
+        both = F.filter(F.arrays_zip(x.alias("x"), y.alias("y")), lambda p: (p["x"] != "-") | (p["y"] != "-"))
+        share = lambda o: F.when(
+            F.size(o) >= (1 if j == 0 else ENOUGH), F.size(F.filter(o, lambda p: p["x"] == p["y"])) / F.size(o)
+        )
+        return _with(both, share)
 
     whole = a.startswith("x") | b.startswith("x")
     return F.when(whole, (a == b).cast("double")).otherwise(F.coalesce(F.greatest(*(rate(j) for j in range(RATES))), F.lit(0.0)))
@@ -128,19 +139,32 @@ def fingerprints(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST
 
     base = _with_next(texts).withColumn("edited", edited(F.col("text"), F.col("after")))
     versions = [("text", 0), ("edited", 1), ("after", 2)]
-    listed = F.array(*(F.struct(F.lit(v).alias("version"), (F.array_append(terms(F.col(c)), F.lit("")) if v < 2 else F.when(F.col("edge"), terms(F.col(c)))).alias("terms")) for c, v in versions))
-    about = base.select(
-        "block", "nth", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"),
-        F.md5("text").alias("m0"), F.md5("edited").alias("m1"), F.md5("after").alias("m2"), "edge", F.explode(listed).alias("v"),
-    )
-    each = about.select("*", F.col("v.version").alias("version"), F.explode("v.terms").alias("term")).drop("v").join(words, "term")
-    once = ["doc_id", "n_chars", "edited_sha256", "m0", "m1", "m2", "edge"]
-    held = each.groupBy("block", "nth").agg(
-        *(F.first(c).alias(c) for c in once),
-        F.array_sort(F.collect_list(F.when(F.col("known"), F.struct("version", "term", "subset", "level")))).alias("found"),
+    listed = F.array(
+        *(
+            F.struct(
+                F.lit(v).alias("version"),
+                (F.array_append(terms(F.col(c)), F.lit("")) if v == 0 else terms(F.when(F.col("edge") | F.lit(v < 2), F.col(c)))).alias("terms"),
+            )
+            for c, v in versions
+        )
     )
-    own = lambda v: F.filter("found", lambda t: t["version"] == v)
-    printed = lambda v: F.when(F.size(own(v)) == 0, F.concat(F.lit("x"), F.col(f"m{v}"))).otherwise(fingerprint(own(v)))
+    digests = {
+        "doc_id": F.col("doc_id"), "n_chars": F.length("text").cast("long"), "edited_sha256": F.sha2(F.col("edited"), 256),
+        "m0": F.md5("text"), "m1": F.md5("edited"), "m2": F.md5("after"), "edge": F.col("edge"),
+    }
+    about = base.select("block", "nth", F.struct(*(c.alias(n) for n, c in digests.items())).alias("info"), listed.alias("versions"))
+    about = about.select("block", "nth", "info", F.explode("versions").alias("v"))
+    each = about.select("block", "nth", "info", F.col("v.version").alias("version"), F.explode("v.terms").alias("term")).join(words, "term")
+    # one row a document carries its digests; the others are as narrow as can be
+    each = each.select("block", "nth", F.when(~F.col("known"), F.col("info")).alias("info"), F.when(F.col("known"), F.struct("version", "term", "subset", "level")).alias("t"))
+    held = each.groupBy("block", "nth").agg(F.first("info", ignorenulls=True).alias("info"), F.array_sort(F.collect_list("t")).alias("found"))
+    once = list(digests)
+    held = held.select("block", "nth", "info.*", "found")
+
+    def printed(v: int) -> Column:
+        own = F.filter("found", lambda t: t["version"] == v)
+        return _with(own, lambda o: F.when(F.size(o) == 0, F.concat(F.lit("x"), F.col(f"m{v}"))).otherwise(fingerprint(o)))
+
     made = held.select("block", "nth", *once, *(printed(v).alias(f"f{v}") for v in (0, 1)), F.when(F.col("edge"), printed(2)).alias("f2"))
     after = F.coalesce("f2", F.lead("f0").over(Window.partitionBy("block").orderBy("nth")))
     return made.withColumn("after", after).select(

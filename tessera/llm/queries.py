@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import ann, imatch, langid, license, minhash, mixing, pii, sampling, substring, tokenfile
 from tessera.llm.common import read_table
@@ -29,7 +30,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read_table(spark, sf_dir, "documents"))
+    return mixing.mix(read_table(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 6))
 
 
 def op6_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
