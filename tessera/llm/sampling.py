@@ -55,24 +55,36 @@ def spaced(text: str) -> list[str]:
     return out
 
 
-def cut(vocabulary: Pieces, word: str) -> tuple[str, ...]:
-    """A word's segments: it parts wherever no piece holds the two characters side by side, so the lattice of the
-    whole is exactly those of the segments in a row."""
-    at, out, pairs = 0, [], vocabulary.pairs
-    for k in range(1, len(word)):
-        if word[k - 1 : k + 1] not in pairs:
-            out.append(word[at:k])
-            at = k
-    out.append(word[at:])
-    return tuple(out)
-
-
-def uniform(keys: np.ndarray, *places: np.ndarray | int) -> np.ndarray:
-    """Values in (0, 1), a function of the row key and the place alone."""
+def cut(vocabulary: Pieces, words: list[str]) -> tuple[list[str], np.ndarray]:
+    """All words' segments in a row, and where each word's begin: a word parts wherever no piece holds the two
+    characters side by side, so the lattice of the whole is exactly those of the segments in a row."""
+    if not words:
+        return [], np.zeros(1, np.int64)
+    joined = _END.join([*words, ""])
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    pairs = codes[:-1] << _U(21) | codes[1:]
+    known = vocabulary.pairs
+    inside = known[np.minimum(np.searchsorted(known, pairs), len(known) - 1)] == pairs
+    ends = np.flatnonzero(codes == ord(_END))
+    starts = np.concatenate([[0], np.flatnonzero(~inside) + 1])  # a word's end is next to no piece, so it parts too
+    starts = starts[(starts < len(codes)) & (codes[np.minimum(starts, len(codes) - 1)] != ord(_END))]
+    stops = np.concatenate([starts[1:], [len(codes) - 1]])
+    stops = np.minimum(stops, ends[np.searchsorted(ends, starts)])
+    segments = [joined[a:b] for a, b in zip(starts.tolist(), stops.tolist())]
+    return segments, np.searchsorted(starts, np.concatenate([[0], ends + 1]))
+
+
+def stream(keys: np.ndarray, *places: np.ndarray | int) -> np.ndarray:
+    """The state of a place's draws, a function of the row key and the place alone."""
     x = keys
     for n, place in enumerate(places):
-        x = mixed(x ^ (np.asarray(place).astype(np.uint64) * _U(0x9E3779B97F4A7C15 | 1)), n + 1)
-    return ((x >> _U(12)).astype(np.float64) + 0.5) / 2.0**52
+        x = mixed(x ^ (np.asarray(place).astype(np.uint64) * _U(0x9E3779B97F4A7C15)), n + 1)
+    return x
+
+
+def uniform(state: np.ndarray, step: int = 0) -> np.ndarray:
+    """The step-th value of each state, in (0, 1)."""
+    return ((mixed(state, 100 + step) >> _U(12)).astype(np.float64) + 0.5) / 2.0**52
 
 
 def row_key(doc_id: int, text: str, seed: int) -> int:
@@ -91,7 +103,8 @@ def finder(vocabulary: Pieces) -> ahocorasick.Automaton:
             found.add_word(text, i << 8 | len(text))
         found.make_automaton()
         vocabulary.finder = found
-        vocabulary.pairs = {t[i : i + 2] for t in vocabulary.ids for i in range(len(t) - 1)}
+        pairs = {ord(t[i]) << 21 | ord(t[i + 1]) for t in vocabulary.ids for i in range(len(t) - 1)}
+        vocabulary.pairs = np.array(sorted(pairs), np.uint64)
         vocabulary.log_weights = np.log([*vocabulary.weights, vocabulary.fallback])
     return vocabulary.finder
 
@@ -189,10 +202,10 @@ class Lattices:
         logs, rest = np.zeros(len(segment)), np.zeros(len(segment))
         live, node, step = np.arange(len(segment)), self.root[segment], 0
         on = node >= self.finals
-        live, node = live[on], node[on]
+        live, node, state = live[on], node[on], stream(keys, number, at)[on]
         who, what = [], []
         while len(live):
-            draw = uniform(keys[live], number[live], at[live], step)
+            draw = uniform(state, step)
             took = np.searchsorted(self.reach, node + draw, side="right")
             took = np.minimum(took, self.first[node + 1] - 1)
             who.append(live)
@@ -201,7 +214,7 @@ class Lattices:
             logs[live] += self.log[took]
             node = self.to[took]
             on = node >= self.finals
-            live, node, step = live[on], node[on], step + 1
+            live, node, state, step = live[on], node[on], state[on], step + 1
         if not who:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), logs, rest
         who, what = np.concatenate(who), np.concatenate(what)
@@ -231,8 +244,8 @@ def _branches(steps: Lattice, taken: list[tuple[int, ...]]) -> list[tuple[float,
 def _other_spelling(steps: Lattice, taken: list[tuple[int, ...]], key: int, number: int, place: int) -> tuple[tuple[int, ...], float, float]:
     """A spelling that is none of taken, in proportion to probability: (pieces, log-probability, what else is left)."""
     ways = _branches(steps, taken)
-    keys = np.full(1, key, np.uint64)
-    draw = float(uniform(keys, number, place, 1 << 20)[0]) * sum(w[0] for w in ways)
+    state = stream(np.full(1, key, np.uint64), number, place, 1)
+    draw = float(uniform(state)[0]) * sum(w[0] for w in ways)
     for way in ways:
         draw -= way[0]
         if draw < 0:
@@ -240,7 +253,7 @@ def _other_spelling(steps: Lattice, taken: list[tuple[int, ...]], key: int, numb
     mass, spelled, at = way
     log, done, n = math.log(mass), list(spelled), 0
     while at < len(steps):
-        draw = float(uniform(keys, number, place, (1 << 20) + 1 + n)[0])
+        draw = float(uniform(state, 1 + n)[0])
         for to, piece, p, _ in steps[at]:
             draw -= p
             if draw < 0:
@@ -260,24 +273,27 @@ def _below(bound: float, log_mass: np.ndarray, draws: np.ndarray) -> np.ndarray:
 class Sampler:
     """Batches of (doc_id, text) to samples."""
 
-    def __init__(self, vocabulary: Pieces, most_known: int = 150_000) -> None:
+    def __init__(self, vocabulary: Pieces) -> None:
         finder(vocabulary)
-        self.vocabulary, self.most_known = vocabulary, most_known
-        self.known: dict[str, tuple[str, ...]] = {}  # words' segments, up to a bound
+        self.vocabulary = vocabulary
 
-    def _segments(self, texts: list[str]) -> list[list[str]]:
+    def _held(self, texts: list[str]) -> tuple[Lattices, list[np.ndarray]]:
+        """The lattices of all distinct segments, and each text's row of them."""
         words = [spaced(t) for t in texts]
-        if len(self.known) > self.most_known:
-            self.known.clear()
-        for w in set(chain.from_iterable(words)).difference(self.known):
-            self.known[w] = cut(self.vocabulary, w)
-        return [list(chain.from_iterable(map(self.known.__getitem__, ws))) for ws in words]
+        number = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(words)))}
+        segments, first = cut(self.vocabulary, list(number))
+        place = {s: i for i, s in enumerate(dict.fromkeys(segments))}
+        of_words = np.fromiter(map(place.__getitem__, segments), np.int64, len(segments))
+        held = []
+        for own in words:
+            w = np.fromiter(map(number.__getitem__, own), np.int64, len(own))
+            n = first[w + 1] - first[w]
+            at = np.repeat(first[w] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            held.append(of_words[at])
+        return Lattices(self.vocabulary, list(place)), held
 
     def __call__(self, rows: list[tuple[int, str]], k: int, seed: int) -> list[dict]:
-        split = self._segments([t for _, t in rows])
-        number = {s: i for i, s in enumerate(dict.fromkeys(chain.from_iterable(split)))}
-        lattices = Lattices(self.vocabulary, list(number))
-        held = [np.fromiter(map(number.__getitem__, s), np.int64, len(s)) for s in split]
+        lattices, held = self._held([t for _, t in rows])
         keys = [row_key(d, t, seed) for d, t in rows]
 
         state = [_Search(key, s, lattices) for key, s in zip(keys, held)]
@@ -321,7 +337,7 @@ class _Search:
         """Take the best region; its first free place, or None if nothing is left."""
         n = len(self.held)
         if turn == 0:
-            draw = uniform(np.full(1, self.key, np.uint64), 1 << 40)[0]
+            draw = uniform(stream(np.full(1, self.key, np.uint64), 1 << 40))[0]
             self.now = {"bound": -math.log(-math.log(draw)), "from": None, "place": -1}
             return 0
         bound, leaf, at = self._best()
@@ -352,7 +368,8 @@ class _Search:
         before = np.cumsum(all_logs) - all_logs
         with np.errstate(divide="ignore"):
             mass = before[first:] + np.log(left)
-        draws = uniform(np.full(len(mass), self.key, np.uint64), turn, np.arange(first, first + len(mass)), 1 << 41)
+        state = stream(np.full(1, self.key, np.uint64), turn, 1 << 41)
+        draws = uniform(stream(state, np.arange(first, first + len(mass))))
         bounds = _below(now["bound"], mass, draws)
         bounds[~np.isfinite(mass)] = -math.inf
 

@@ -75,7 +75,9 @@ def test_frequencies_without_replacement(vocabulary):
 def test_cuts_keep_the_lattice(vocabulary):
     sampling.finder(vocabulary)
     for word in (SPACE + "thea,", SPACE + "x(y)z", SPACE * 3 + "to"):
-        parts = [sampling.cut(vocabulary, word)]
+        parts = [sampling.cut(vocabulary, ["x", word, SPACE])]
+        assert parts[0][1].tolist()[0] == 0 and parts[0][1].tolist()[1] == 1
+        parts = [parts[0][0][1 : parts[0][1][2]]]
         assert "".join(parts[0]) == word
         lat = sampling.Lattices(vocabulary, list(parts[0]))
         product = [spellings(lat.steps(i)) for i in range(len(parts[0]))]
