@@ -185,7 +185,7 @@ def summary(scanned: DataFrame) -> DataFrame:
     labels = lambda of: F.array_join(F.array_sort(F.array_distinct(F.transform(of, lambda p: p["label"]))), ",")
     sure = F.transform(
         "places",
-        lambda p: F.when(p["kind"] == "tag", CERTAINTY["tag"])
+        lambda p: F.when(p["kind"].isin("permissive", "restricted"), CERTAINTY["tag"])
         .when(p["kind"] == "notice", CERTAINTY["notice"])
         .otherwise(CERTAINTY["base"]),
     )
