@@ -6,8 +6,13 @@ similarity. A band is some values of different permutations.
 
 Candidates are never all pairs of a bucket. First every set of a bucket meets one of its members, that which most
 sets meet in all buckets. Only where confirmed links leave a bucket in more than one piece, sets of different
-pieces meet, and of these only such as can be similar enough by their sizes and by the shingles that no other
-set of such buckets has: those are in no intersection, and in every union.
+pieces meet, and of these only such as can be similar enough:
+
+- Shingles that no other set of such buckets has are in no intersection, and in every union.
+- Two sets that share nothing beyond the bucket's lead share no more than either shares with the lead, so by their
+  sizes alone most such pairs are out; others are found by a shingle that they share and the lead lacks.
+- That holds for sets near the lead. As distances of sets obey the triangle inequality, a pair similar enough is
+  either near the lead as a whole, or far from it as a whole; far sets meet in their bucket.
 """
 
 from __future__ import annotations
@@ -72,19 +77,43 @@ def signatures(texts: DataFrame, words: int, permutations: int, rows: int) -> Da
     return map_rows(texts, work, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose sets are similar enough. A set that many pairs share is only copied by the join,
+#: Similarity to the lead, in per cent less than the least similarity of a link, from which a set is near; and the
+#: similarity, 40 points below 1, under which it is far. No link joins a set that is not near to one that is not far.
+_NEAR_BELOW, _FAR = 40, 60
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b) with the size of their intersection. A set that many pairs share is only copied by the join,
     whose large partitions Spark splits."""
     one, two = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (_rows(batch.column(k)) for k in (2, 3))
-            linked = [_similar(p, q, percent) for p, q in zip(x, y)]
-            yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
+            common = [len(q) - len(_beyond(q, p)) for p, q in zip(_rows(batch.column(2)), _rows(batch.column(3)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(common, pa.int64())], ["a", "b", "common"])
 
     joined = pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "set_a", "set_b")
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(run, "a long, b long, common long")
+
+
+def _linked(compared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    n = groups.select("id", "n")
+    sized = compared.join(n.withColumnsRenamed({"id": "a", "n": "na"}), "a").join(n.withColumnsRenamed({"id": "b", "n": "nb"}), "b")
+    return sized.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+
+
+def _residues(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(lead, id, shingle): of members (lead, id), the shingles that the lead lacks."""
+    one, two = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in ("lead", "id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = [_beyond(q, p) for p, q in zip(_rows(batch.column(2)), _rows(batch.column(3)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(left, pa.list_(pa.int64()))], ["lead", "id", "left"])
+
+    joined = members.join(two, "id").join(one, "lead").select("lead", "id", "set_lead", "set_id")
+    made = joined.mapInArrow(run, "lead long, id long, left array<long>")
+    return made.select("lead", "id", F.explode("left").alias("shingle"))
 
 
 def _rows(lists: pa.ListArray) -> list[np.ndarray]:
@@ -92,14 +121,10 @@ def _rows(lists: pa.ListArray) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(offsets, offsets[1:])]
 
 
-def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
-    """Both sorted and distinct."""
-    short, long = (p, q) if len(p) <= len(q) else (q, p)
-    if 100 * len(short) < percent * len(long):
-        return False
-    at = np.searchsorted(long, short)
-    common = int((long[np.minimum(at, len(long) - 1)] == short).sum())
-    return 100 * common >= percent * (len(p) + len(q) - common)
+def _beyond(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """What q has and p lacks; both sorted and distinct, p not empty."""
+    at = np.searchsorted(p, q)
+    return q[p[np.minimum(at, len(p) - 1)] != q]
 
 
 def near_duplicates(
@@ -124,38 +149,18 @@ def near_duplicates(
     buckets = saved(banded.join(shared, "key"), "buckets")  # only members of buckets that hold different sets
 
     met = buckets.groupBy("id").agg(F.sum("size").alias("met"))
-    leads = buckets.join(met, "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("a"))).alias("lead"))
-    pairs = saved(
-        buckets.join(leads.select("key", (-F.col("lead.a")).alias("lead")), "key")
-        .where("id <> lead")
-        .select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
-        .distinct(),
-        "pairs",
-    )
+    most = buckets.join(met, "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("a"))).alias("most"))
+    led = saved(buckets.join(most.select("key", (-F.col("most.a")).alias("lead")), "key"), "led")
+    pair = [F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")]
+    pairs = led.where("id <> lead").select(*pair).distinct()
     wanted = buckets.select("id").distinct().join(groups, "id").select(F.col("id").alias("doc_id"), "k1", "k2")
     sets = saved(_sets(texts.join(wanted.select("doc_id"), "doc_id", "left_semi"), wanted, words), "sets")
-    links = saved(_confirmed(pairs, sets, percent), "links")
+    compared = saved(_compared(pairs, sets), "compared")
+    links = saved(_linked(compared, groups, percent), "links")
     found = saved(components(links), "components")
 
-    # buckets still in pieces
-    member = buckets.where("size > 2").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("piece"))
-    split = member.groupBy("key").agg(F.min("piece").alias("p"), F.max("piece").alias("q")).where("p < q")
-    loose = saved(member.join(split.select("key"), "key", "left_semi"), "loose")
-    shingles = sets.join(loose.select("id").distinct(), "id", "left_semi").select("id", F.explode("shingles").alias("shingle"))
-    alone = shingles.groupBy("shingle").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n = 1").groupBy("id").agg(F.count("*").alias("u"))
-    sized = groups.select("id", "n").join(alone, "id", "left").select("id", "n", F.coalesce("u", F.lit(0)).alias("u"))
-    able = loose.join(sized, "id").where(100 * (F.col("n") - F.col("u")) >= percent * F.col("n"))
-    x, y = (able.select("key", *(F.col(c).alias(c + s) for c in ("id", "piece", "n", "u"))) for s in "xy")
-    most_common = F.least(F.col("nx") - F.col("ux"), F.col("ny") - F.col("uy"))
-    least_union = F.greatest(F.col("nx") + F.col("uy"), F.col("ny") + F.col("ux"))
-    more = (
-        x.join(y, "key")
-        .where((F.col("idx") < F.col("idy")) & (F.col("piecex") != F.col("piecey")) & (100 * most_common >= percent * least_union))
-        .select(F.col("idx").alias("a"), F.col("idy").alias("b"))
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
-    late = saved(_confirmed(more, sets, percent), "links")
+    more = _late_pairs(led, found, groups, sets, compared, percent).distinct().join(compared, ["a", "b"], "left_anti")
+    late = saved(_linked(_compared(more, sets), groups, percent), "links")
     if not late.isEmpty():
         found = components(links.unionByName(late))
 
@@ -171,6 +176,47 @@ def near_duplicates(
     )
 
 
+def _late_pairs(led: DataFrame, found: DataFrame, groups: DataFrame, sets: DataFrame, compared: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different pieces of a bucket that can still be similar enough."""
+    member = led.where("size > 2").join(found, "id", "left").select("key", "lead", "id", F.coalesce("component", "id").alias("piece"))
+    split = member.groupBy("key").agg(F.min("piece").alias("p"), F.max("piece").alias("q")).where("p < q")
+    loose = saved(member.join(split.select("key"), "key", "left_semi"), "loose")
+
+    shingles = sets.join(loose.select("id").distinct(), "id", "left_semi").select("id", F.explode("shingles").alias("shingle"))
+    alone = shingles.groupBy("shingle").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n = 1").groupBy("id").agg(F.count("*").alias("u"))
+    sized = groups.select("id", "n").join(alone, "id", "left").select("id", "n", F.coalesce("u", F.lit(0)).alias("u"))
+    able = loose.join(sized, "id").where(100 * (F.col("n") - F.col("u")) >= percent * F.col("n"))
+
+    a, b = F.least("id", "lead"), F.greatest("id", "lead")
+    known = compared.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "common")
+    sizes = groups.select(F.col("id").alias("lead"), F.col("n").alias("n_lead"))
+    able = able.withColumns({"_a": a, "_b": b}).join(known, ["_a", "_b"], "left").join(sizes, "lead")
+    able = able.withColumn("common", F.coalesce("common", "n"))  # the lead itself
+    union = F.col("n") + F.col("n_lead") - F.col("common")
+    able = saved(able.select("key", "lead", "id", "piece", "n", "u", "common", (100 * F.col("common") / union).alias("nearness")), "able")
+    near, far = able.where(F.col("nearness") >= percent - _NEAR_BELOW), able.where(F.col("nearness") < _FAR)
+
+    def met(x: DataFrame, by: list[str], also=F.lit(True)) -> DataFrame:
+        columns = [c for c in x.columns if c not in by]
+        p, q = (x.select(*by, *(F.col(c).alias(c + s) for c in columns)) for s in "xy")
+        most_common = F.least(F.col("nx") - F.col("ux"), F.col("ny") - F.col("uy"))
+        least_union = F.greatest(F.col("nx") + F.col("uy"), F.col("ny") + F.col("ux"))
+        fits = (F.col("idx") < F.col("idy")) & (F.col("piecex") != F.col("piecey")) & (100 * most_common >= percent * least_union)
+        return p.join(q, by).where(fits & also).select(F.col("idx").alias("a"), F.col("idy").alias("b"))
+
+    inside = (100 + percent) * F.least("commonx", "commony") >= percent * (F.col("nx") + F.col("ny"))
+    residues = saved(_residues(near.where("id <> lead").select("lead", "id").distinct(), sets), "residues")
+    about = able.select("id", "piece", "n", "u").distinct()
+    residues = residues.join(about, "id")
+    mixed_up = residues.groupBy("lead", "shingle").agg(F.min("piece").alias("p"), F.max("piece").alias("q")).where("p < q")
+    beyond = residues.join(mixed_up.select("lead", "shingle"), ["lead", "shingle"], "left_semi")
+    return (
+        met(near.select("key", "id", "piece", "n", "u", "common"), ["key"], inside)
+        .unionByName(met(beyond.select("lead", "shingle", "id", "piece", "n", "u"), ["lead", "shingle"]))
+        .unionByName(met(far.select("key", "id", "piece", "n", "u"), ["key"]))
+    )
+
+
 def _sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(id, shingles): sorted hashes of the wanted documents."""
 
