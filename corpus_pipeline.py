@@ -11,12 +11,21 @@ from pyspark.sql import functions as F
 from tessera.llm import langid, minhash, mixing, pii, sampling
 from tessera.llm.common import saved
 from tessera.llm.tokenfile import public_vocabulary
+from tessera.session import ship
 
 PIECES = "piece_bpe_32k.model"
 #: A document whose words speak for no language by more than this is rejected, as is one without a letter.
 LEAST_LANGUAGE_SCORE = 0.3
 
 
+def _stage(work):
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return work(spark, docs, sf_dir)
+
+    return run
+
+
 def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
 
@@ -48,11 +57,11 @@ def sample_segmentations(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 STAGES = [
-    ("language_id", identify_language),
-    ("minhash_dedup", remove_near_duplicates),
-    ("pii_pseudonyms", pseudonymise),
-    ("raked_mixing", mix_sources),
-    ("gumbel_segmentations", sample_segmentations),
+    ("language_id", _stage(identify_language)),
+    ("minhash_dedup", _stage(remove_near_duplicates)),
+    ("pii_pseudonyms", _stage(pseudonymise)),
+    ("raked_mixing", _stage(mix_sources)),
+    ("gumbel_segmentations", _stage(sample_segmentations)),
 ]
 
 #: The first, second and last stage learn, hash and sample in ways that SQL can't express.
