@@ -18,6 +18,8 @@ POWERS = {"source": 0.7, "lang": 0.7, "topic": 0.8}
 #: Expected share of all tokens that is kept.
 BUDGET = 0.5
 MOST_ROUNDS, TOLERANCE = 50, 1e-10
+#: Rounds between two looks at the deviation, each of which writes the cells; cells in one part of that table.
+ROUNDS_A_STEP, CELLS_A_PART = 3, 200_000
 #: Cell tables up to so many rows are broadcast to the documents; larger ones are joined.
 MOST_BROADCAST_CELLS = 100_000
 MISSING = "(none)"
@@ -60,17 +62,20 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = MOST_ROU
     """
     now = cells.where("mass > 0").withColumn("weight", F.col("mass").cast("double"))
     held = {d: saved(t.select(F.col("value").alias(d), F.col("share").alias("target")), "targets") for d, t in targets.items()}
-    for _ in range(rounds):
-        for d, target in held.items():
-            sums = now.groupBy(d).agg(F.sum("weight").alias("sum"))
-            factors = sums.join(target, d, "left").select(d, (F.coalesce("target", F.lit(0.0)) / F.col("sum")).alias(f"x_{d}"))
-            now = now.join(factors, d).withColumn("weight", F.col("weight") * F.col(f"x_{d}"))
+    parts = 1 + cells.count() // CELLS_A_PART
+    for done in range(0, rounds, ROUNDS_A_STEP):
+        for _ in range(min(ROUNDS_A_STEP, rounds - done)):
+            now = now.where("weight > 0")
+            for d, target in held.items():
+                sums = now.groupBy(d).agg(F.sum("weight").alias("sum"))
+                factors = sums.join(target, d, "left").select(d, (F.coalesce("target", F.lit(0.0)) / F.col("sum")).alias(f"x_{d}"))
+                now = now.drop(f"x_{d}").join(factors, d).withColumn("weight", F.col("weight") * F.col(f"x_{d}"))
         off = F.greatest(F.lit(0.0), *(F.abs(F.col(f"x_{d}") - 1) for d in held))
-        now = saved(now.select(*cells.columns, "weight", off.alias("off")), "cells")
+        now = saved(now.select(*cells.columns, "weight", off.alias("off")).coalesce(parts), "cells")
         worst = now.agg(F.max("off")).first()[0]
         if worst is None or worst <= tolerance:
             break
-        now = now.drop("off").where("weight > 0")
+        now = now.drop("off")
     return now.drop("off")
 
 
