@@ -1,12 +1,14 @@
 """Mixing documents to target weights: token weights of (source, language, topic) cells are raked to marginals by
 iterative proportional fitting, and documents are sampled by the calibrated probabilities.
 
-DataFrame functions only. What is iterated is the table of cells, not of documents; each step is a pre-aggregated
-sum by one dimension and a join back, so a value that holds most cells is no single task's group.
+DataFrame functions only. What is iterated is one factor for each value of a dimension, not the documents; each step
+is a pre-aggregated sum of cells by one dimension, so a value that holds most cells is no single task's group.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +20,9 @@ POWERS = {"source": 0.7, "lang": 0.7, "topic": 0.8}
 #: Expected share of all tokens that is kept.
 BUDGET = 0.5
 MOST_ROUNDS, TOLERANCE = 50, 1e-10
-#: Rounds between two looks at the deviation, each of which writes the cells; cells in one part of that table.
-ROUNDS_A_STEP, CELLS_A_PART = 3, 200_000
-#: Cell tables up to so many rows are broadcast to the documents; larger ones are joined.
+#: Cells for one part of a written table of factors.
+CELLS_A_PART = 200_000
+#: Tables of cells or factors up to so many rows are broadcast; larger ones are joined.
 MOST_BROADCAST_CELLS = 100_000
 MISSING = "(none)"
 
@@ -54,29 +56,52 @@ def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """cells (dimensions, mass) with weight: shares of 1 that keep the cells' interactions and meet the targets.
+    """cells (dimensions, which are strings, and mass) with weight: shares of 1 that keep the cells' interactions and
+    meet the targets.
+
+    targets: for each dimension, (value, share); a value without a target gets weight 0. Rounds end when no value's
+    factor moves by more than tolerance (a share of it), which one number tells the driver, or at `rounds` where
+    targets contradict each other.
 
-    targets: for each dimension, (value, share); a value without a target gets weight 0. Rounds end when no value
-    is further from its target than tolerance (a share of it), which one number tells the driver, or at `rounds`
-    where targets contradict each other.
+    A cell's weight is its mass times one factor for each of its values, so a round writes factors only, and no
+    round's plan holds an earlier round.
     """
-    now = cells.where("mass > 0").withColumn("weight", F.col("mass").cast("double"))
-    held = {d: saved(t.select(F.col("value").alias(d), F.col("share").alias("target")), "targets") for d, t in targets.items()}
+    cells = cells.where("mass > 0")
     parts = 1 + cells.count() // CELLS_A_PART
-    for done in range(0, rounds, ROUNDS_A_STEP):
-        for _ in range(min(ROUNDS_A_STEP, rounds - done)):
-            now = now.where("weight > 0")
-            for d, target in held.items():
-                sums = now.groupBy(d).agg(F.sum("weight").alias("sum"))
-                factors = sums.join(target, d, "left").select(d, (F.coalesce("target", F.lit(0.0)) / F.col("sum")).alias(f"x_{d}"))
-                now = now.drop(f"x_{d}").join(factors, d).withColumn("weight", F.col("weight") * F.col(f"x_{d}"))
-        off = F.greatest(F.lit(0.0), *(F.abs(F.col(f"x_{d}") - 1) for d in held))
-        now = saved(now.select(*cells.columns, "weight", off.alias("off")).coalesce(parts), "cells")
-        worst = now.agg(F.max("off")).first()[0]
-        if worst is None or worst <= tolerance:
+    cells = saved(cells.coalesce(parts), "cells")
+
+    def written(factors: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
+        each = [f.select(F.lit(d).alias("dimension"), F.col(d).alias("value"), "target", "factor", "moved") for d, f in factors.items()]
+        table = saved(reduce(DataFrame.union, each).coalesce(parts), "factors")
+        return table, {d: table.where(F.col("dimension") == d).select(F.col("value").alias(d), "target", "factor") for d in factors}
+
+    def hinted(factors: DataFrame) -> DataFrame:
+        return F.broadcast(factors) if small else factors
+
+    def weighted(factors: dict[str, DataFrame]) -> DataFrame:
+        now, product = cells, F.col("mass").cast("double")
+        for d, table in factors.items():
+            now = now.join(hinted(table.select(d, F.col("factor").alias(f"x_{d}"))), d)
+            product = product * F.col(f"x_{d}")
+        return now.select(*cells.columns, product.alias("weight"))
+
+    first = {}
+    for d, t in targets.items():
+        known = cells.select(d).distinct().join(t.select(F.col("value").alias(d), "share"), d, "left")
+        first[d] = known.select(d, F.coalesce("share", F.lit(0.0)).alias("target"), F.lit(1.0).alias("factor"), F.lit(1.0).alias("moved"))
+    table, held = written(first)
+    small = table.count() <= MOST_BROADCAST_CELLS
+    for _ in range(rounds):
+        now = dict(held)
+        for d in held:
+            sums = weighted({other: now[other] for other in now if other != d}).groupBy(d).agg(F.sum("weight").alias("sum"))
+            factor = F.when(F.col("sum") > 0, F.col("target") / F.col("sum")).otherwise(0.0)
+            moved = F.when(F.col("factor") > 0, F.abs(factor / F.col("factor") - 1)).otherwise(0.0)
+            now[d] = sums.join(hinted(held[d]), d).select(d, "target", factor.alias("factor"), moved.alias("moved"))
+        table, held = written(now)
+        if (table.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
             break
-        now = now.drop("off")
-    return now.drop("off")
+    return weighted(held)
 
 
 def calibrated(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
