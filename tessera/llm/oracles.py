@@ -8,6 +8,10 @@ from tessera.llm.substring import WINDOW
 
 #: Words of the two deduplication queries.
 _WORD = r"[^\x20\x09-\x0D]+"
+#: Secrets as the SQL twin of operator 3 has them: up to 128 characters, up to three blanks round the sign. The query has
+#: no such limits; both give the same where no secret goes beyond them.
+_SECRET = r"\b(?i:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,128}[\"']?"
+_PATTERN = pii.PATTERN.replace(pii.SECRET, _SECRET)
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP8 = f"""
@@ -142,7 +146,7 @@ def _op3() -> str:
   WHEN 'address' THEN (l // 256) || '.' || (l % 256) || '.' || (r // 256) || '.' || (r % 256)
   WHEN 'social' THEN {pad("l + CASE WHEN l >= 665 THEN 2 ELSE 1 END", 3)} || '-' || {pad("r // 9999 + 1", 2)} || '-' || {pad("r % 9999 + 1", 4)}
   WHEN 'date' THEN replace(({start} + (l * 773 + r)::INT)::DATE::VARCHAR, '-', substr(old, 5, 1)) ELSE old END"""
-    kind = f"""CASE WHEN {whole(pii.SECRET)} THEN 'secret' WHEN {whole(pii.EMAIL)} THEN 'email'
+    kind = f"""CASE WHEN {whole(_SECRET)} THEN 'secret' WHEN {whole(pii.EMAIL)} THEN 'email'
   WHEN {whole(pii.DATE)} THEN CASE WHEN {day} IS NOT NULL AND substr(old, 5, 1) = substr(old, 8, 1) AND substr(old, 1, 4)::INT >= 400 THEN 'date' END
   WHEN {whole(pii.SOCIAL)} THEN CASE WHEN substr(old, 1, 3)::INT BETWEEN 1 AND 899 AND substr(old, 1, 3)::INT <> 666 AND substr(old, 5, 2)::INT > 0 AND substr(old, 8, 4)::INT > 0 THEN 'social' END
   WHEN {whole(pii.PHONE)} THEN 'phone' WHEN {whole(pii.ADDRESS)} THEN CASE WHEN greatest({", ".join(octet(k) for k in (1, 2, 3, 4))}) <= 255 THEN 'address' END
@@ -150,7 +154,7 @@ def _op3() -> str:
     counts = ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.KINDS)
     tally = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.KINDS)
     return f"""
-WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '{q(pii.PATTERN)}') AS olds, string_split_regex(text, '{q(pii.PATTERN)}') AS parts FROM documents WHERE regexp_matches(text, '{pii.NEEDED}')),
+WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '{q(_PATTERN)}') AS olds, string_split_regex(text, '{q(_PATTERN)}') AS parts FROM documents WHERE regexp_matches(text, '{pii.NEEDED}')),
 m1 AS (SELECT doc_id, i, olds[i] AS old, regexp_replace(olds[i], '[^0-9]', '', 'g') AS d FROM t, unnest(range(1, len(olds) + 1)) u(i)),
 m2 AS (SELECT *, {kind} AS kind FROM m1),
 f AS (SELECT *, {fresh} AS fresh FROM ({rounds})),

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -71,3 +72,16 @@ def test_rows_and_columns_stay(spark):
     assert sum(r.text == got[0].text for r in got) == 2 and got[0].text.endswith("@example.invalid")
     assert pii.report(df).where("doc_id = 2").first().n_found == 0
     assert pii.report(df.limit(0)).count() == 0
+
+
+def test_long_secrets_and_wide_blanks(spark):
+    rng = random.Random(3)
+    long = ["".join(rng.choice("ghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ+/_-0123456789") for _ in range(n)) for n in (128, 129, 300, 40_000)]
+    texts = [f'a token = "{x}" b' for x in long] + [f"password{' ' * 9}:{' ' * 2000}{long[2]}"]
+    got = changed(spark, texts)
+    for value, old, new in zip([*long, long[2]], texts, got):
+        at = old.index(value)
+        made = new[at : at + len(value)]
+        assert len(new) == len(old) and new[:at] == old[:at] and new[at + len(value) :] == old[at + len(value) :]
+        assert re.fullmatch("[0-9a-f]+", made) and len({made[i : i + 32] for i in range(0, len(made), 32)}) == -(-len(made) // 32)
+    assert got[2].endswith(got[4][-300:] + '" b')
