@@ -1,8 +1,9 @@
 """License scans: an Aho-Corasick automaton over word-normalised text, and a shunting-yard parser for tag expressions.
 
 One automaton holds the notice phrases and the tag marker. Text is lower-cased (A-Z only) and reduced to
-words, so a phrase is found wherever its words stand consecutively, whatever stands between them. Where the
-tag marker is found, the expression after it is read from the original text and parsed.
+words, so a phrase is found wherever its words stand consecutively, whatever stands between them. In texts with
+the tag marker, the longest well-formed expression after each tag is read from the original text and parsed; what
+follows it on the line does not count, and neither does anything from the next tag on.
 """
 
 from __future__ import annotations
@@ -48,7 +49,12 @@ CERTAINTY = {"tag": 1.0, "notice": 0.9, "base": 0.6}
 _WORDS = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
 )
-_TAG_TEXT = re.compile(r"spdx-license-identifier\s*:\s*([^\n\r*<>\"';,]{1,400})", re.I | re.A)
+#: A tag where its words start, up to its expression.
+_TAG = re.compile(r"(?<![0-9A-Za-z\x80-\U0010ffff])spdx-license-identifier\s*:\s*", re.I | re.A)
+#: What an expression goes on with, on its line.
+_NEXT = re.compile(r"[^\S\n\r]*(\(|\)|[0-9A-Za-z](?:[\w.+:-]*[0-9A-Za-z+])?)", re.A)
+#: Where, without an expression, a first identifier is looked for.
+_REST = re.compile(r"[^\n\r*<>\"';,]*")
 _TOKEN = re.compile(r"\(|\)|[^\s()]+")
 _RANK = {"with": 3, "and": 2, "or": 1}
 
@@ -111,10 +117,55 @@ def evaluate(expression: str, allowed: frozenset[str] = PERMISSIVE) -> tuple[boo
         if token == "with":
             stack.append((left_ok, {f"{x} with {y}" for x in left for y in right}))
         else:
-            stack.append((left_ok and right_ok if token == "and" else left_ok or right_ok, left | right))
+            large, small = (left, right) if len(left) >= len(right) else (right, left)
+            large |= small
+            stack.append((left_ok and right_ok if token == "and" else left_ok or right_ok, large))
     return stack[0]
 
 
+def longest_expression(text: str, start: int, end: int) -> tuple[str, bool]:
+    """The longest well-formed expression that stands at start, on one line and before end, and whether it breaks off
+    behind an AND: then more is asked than can be read."""
+    at = whole = start
+    depth = 0
+    operand_next, broken = True, False
+    while token := _NEXT.match(text, at, end):
+        low = token[1].lower()
+        if low == "(":
+            if not operand_next:
+                break
+            depth += 1
+        elif low == ")":
+            if operand_next or not depth:
+                break
+            depth -= 1
+        elif low in _RANK:
+            if operand_next:
+                break
+            operand_next = True
+            if at == whole:
+                broken = low == "and"
+        else:
+            if not operand_next:
+                break
+            operand_next = False
+        at = token.end()
+        if not operand_next and not depth:
+            whole, broken = at, False
+    return text[start:whole], broken
+
+
+def tagged(text: str, start: int, end: int) -> tuple[bool, set[str]]:
+    """Whether a tag's expression allows reuse, and the licences that it names."""
+    expression, broken = longest_expression(text, start, end)
+    if expression:
+        ok, named = evaluate(expression)
+        return ok and not broken, named
+    rest = _REST.match(text, start, end)[0]
+    first = re.search(r"[a-z0-9][a-z0-9.+-]*", rest.lower())
+    return False, {first[0]} if first and first[0] not in _RANK else set()
+
+
 @lru_cache(1)
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
@@ -128,27 +179,32 @@ def automaton() -> ahocorasick.Automaton:
     return found
 
 
+def _words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").translate(_WORDS).split()
+
+
 def places(text: str) -> tuple[int, list[tuple[str, str, int]]]:
     """How many words text has, and (kind, label, first word) of every place found."""
-    words = text.encode("utf-8", "surrogatepass").translate(_WORDS).split()
+    words = _words(text)
     plain = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
     out: list[tuple[str, str, int]] = []
     at = before = 0
-    tags: list[int] = []
+    tagged_text = False
     for end, (n, what) in automaton().iter(plain):
         before += plain.count(" ", at, end)
         at = end
         for kind, label in what:
             if kind == "tag":
-                tags.append(before - n)
+                tagged_text = True
             else:
                 out.append((kind, label, before - n))
-    if tags:
-        for word, m in zip(tags, _TAG_TEXT.finditer(text)):
-            try:
-                ok, named = evaluate(m[1].strip())
-            except BadExpression:
-                ok, named = False, {x for x in re.findall(r"[a-z0-9][a-z0-9.+-]*", m[1].lower())[:1] if x not in _RANK}
+    if tagged_text:
+        tags = list(_TAG.finditer(text))
+        word = at = 0
+        for m, end in zip(tags, [*(t.start() for t in tags[1:]), len(text)]):
+            word += len(_words(text[at : m.start()]))
+            at = m.start()
+            ok, named = tagged(text, m.end(), end)
             out += [("permissive" if ok else "restricted", x, word) for x in sorted(named)]
     return len(words), out
 
@@ -160,8 +216,8 @@ def scan(docs: DataFrame) -> DataFrame:
     whole expression evaluates to.
 
     A null or empty text has no words and no places; repeated rows give repeated results; other columns are
-    not read. Rows without a doc_id take no part. A tag whose expression can't be parsed counts by its first
-    identifier alone.
+    not read. Rows without a doc_id take no part. A tag without a well-formed expression counts by its first
+    identifier alone, as restricted; so do licences whose expression breaks off behind an AND.
     """
 
     def work(columns: list) -> dict:

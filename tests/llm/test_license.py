@@ -77,3 +77,34 @@ def test_tags_and_summary(spark):
     assert got[4].labels == "broken"
     assert (got[5].first_word, got[5].n_words) == (20000, 20002)
     assert lic.scan(docs.limit(0)).count() == 0
+
+
+TAGGED = "SPDX-License-Identifier: "
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        (TAGGED + "MIT OR Apache-2.0 -->", [("permissive", "apache-2.0", 0), ("permissive", "mit", 0)]),
+        (TAGGED + "MIT OR GPL-2.0+ see the file", [("permissive", "gpl-2.0+", 0), ("permissive", "mit", 0)]),
+        (TAGGED + "(MIT AND GPL-2.0). More prose (here)", [("restricted", "gpl-2.0", 0), ("restricted", "mit", 0)]),
+        (f"a {TAGGED}MIT b {TAGGED}GPL-2.0 c", [("permissive", "mit", 1), ("restricted", "gpl-2.0", 6)]),
+        (f"{TAGGED}MIT OR {TAGGED}ISC", [("permissive", "mit", 0), ("permissive", "isc", 5)]),
+        (f"an SPDX license identifier is x{TAGGED}ISC or é{TAGGED}ISC, then {TAGGED}MIT", [("permissive", "mit", 15)]),
+        (TAGGED + "MIT AND (GPL-2.0", [("restricted", "mit", 0)]),
+        (TAGGED + "MIT AND\nISC", [("restricted", "mit", 0)]),
+        (TAGGED + "MIT\nISC", [("permissive", "mit", 0)]),
+        (TAGGED + "(broken", [("restricted", "broken", 0)]),
+        (TAGGED + "--> MIT", []),
+        (TAGGED + "MIT OR (GPL-2.0 AND", [("permissive", "mit", 0)]),
+    ],
+)
+def test_tags_by_position(text, want):
+    assert lic.places(text)[1] == want
+
+
+@pytest.mark.parametrize("n", [100, 20_000])
+def test_long_expressions(n):
+    names = [f"lic-{i:05d}" for i in range(n)]
+    text = f"{TAGGED}{' AND '.join(names)} OR MIT -->"
+    assert len(text) > 1_000 and lic.places(text)[1] == [("permissive", x, 0) for x in [*names, "mit"]]
