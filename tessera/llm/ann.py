@@ -66,40 +66,45 @@ def nearest(
     ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = K,
     m: int = M, needed: int = NEEDED, width: float = W, step: float = STEP,
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query_id, ids, distances) of each query's nearest verified vectors of a block, all that tie with the k-th."""
+    """(query_id, ids, distances) of each query's nearest verified vectors of a block, up to all that tie with the k-th
+    different id."""
     directions = projections(vectors.shape[1], m)
     index = SortedProjections(vectors, directions)
     images = queries @ directions
     norms = (vectors**2).sum(1)
     spread = float(np.sqrt((vectors.var(0)).sum())) or 1.0
+    names, name = np.unique(ids, return_inverse=True)
     for query_id, query, image in zip(query_ids, queries, images):
-        wanted = min(k, int((ids != query_id).sum()))
-        radius, best = spread / 2, np.zeros(0)
+        wanted = min(k, int((names != query_id).sum()))
+        radius, bar = spread / 2, np.inf
         windows = index.windows(image)
         verified = np.zeros(len(ids), bool)
         distance = np.full(len(ids), np.inf)
+        least = np.full(len(names), np.inf)  # of each id
         verified[ids == query_id] = True
         while wanted:
             hit = np.flatnonzero((windows.widen(width * radius / 2) >= needed) & ~verified)
             if len(hit):
                 verified[hit] = True
-                near = hit
-                if len(hit) + len(best) > wanted:  # those clearly beyond the k-th best are left out by a quicker sum
-                    rough = norms[hit] - 2 * (vectors[hit] @ query) + query @ query
-                    bar = np.partition(np.concatenate([rough, best[:wanted] ** 2]), wanted - 1)[wanted - 1]
-                    near = hit[rough <= bar + 1e-6 * (1 + abs(bar))]
+                # those clearly beyond the k-th best id are left out by a quicker sum
+                rough = norms[hit] - 2 * (vectors[hit] @ query) + query @ query
+                squares = least**2
+                np.minimum.at(squares, name[hit], rough)
+                most = np.partition(squares, wanted - 1)[wanted - 1]
+                near = hit[rough <= most + 1e-6 * (1 + abs(most))]
                 distance[near] = np.sqrt(((vectors[near] - query) ** 2).sum(1))
-                best = np.sort(np.concatenate([best, distance[near]]))
-            if len(best) >= wanted and (best[wanted - 1] <= radius or verified.all()):
+                np.minimum.at(least, name[near], distance[near])
+                bar = np.partition(least, wanted - 1)[wanted - 1]
+            if bar <= radius or verified.all():
                 break
             radius *= step
         if wanted:
-            took = np.flatnonzero(distance <= best[wanted - 1])
+            took = np.flatnonzero(distance <= bar)
             yield query_id, ids[took], distance[took]
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, vector of doubles): not null, zero, empty, or with null or non-finite components."""
+    """Different (vec_id, vector of doubles): not null, zero, empty, or with null or non-finite components."""
     v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return (
@@ -107,6 +112,7 @@ def usable(embeddings: DataFrame) -> DataFrame:
         .where("vec_id IS NOT NULL AND vector IS NOT NULL")
         .where(finite)
         .where(F.exists("vector", lambda x: x != 0))
+        .distinct()
     )
 
 

@@ -67,3 +67,15 @@ def test_ties_copies_odd_rows_and_few_candidates(spark):
     df = spark.createDataFrame(many, "vec_id long, embedding array<double>")
     assert answers(ann.search(df, every=10, k=5)) == brute(many, 10, 5)
     assert ann.search(df.limit(0)).count() == 0
+
+
+def test_repeated_near_ids_take_one_place(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.standard_normal(6)]) for i in range(200)]
+    same = [(200, [x + 0.01 for x in rows[0][1]])] * 30
+    moved = [(201 + j, [x + 0.001 * i for x in rows[100 * j][1]]) for j in range(2) for i in range(1, 31)]
+    rows += same + moved
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = answers(ann.search(df, every=100, k=5)), brute(rows, 100, 5)
+    assert all(len({i for _, i in a}) == 5 for a in got.values())
+    assert {q: [i for _, i in a] for q, a in got.items()} == {q: [i for _, i in a] for q, a in want.items()}
