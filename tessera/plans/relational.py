@@ -102,7 +102,7 @@ ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey GROUP BY 1"""
 
 
 def dedupe_first(spark: SparkSession, d: str) -> DataFrame:
-    """The first document of each folded beginning."""
+    """The first document of each folded beginning, as its SQL has it; dedupe_whole keys by the whole text."""
     docs = table(spark, d, "documents").withColumn("key", F.lower(F.substring("text", 1, 30)))
     return relate.keep_first(docs, ["key"], ["doc_id"]).select("doc_id", "key", "n_rows")
 
@@ -111,6 +111,12 @@ DEDUPE_FIRST = """SELECT doc_id, lower(substr(text, 1, 30)) AS key, count(*) OVE
 QUALIFY row_number() OVER (PARTITION BY lower(substr(text, 1, 30)) ORDER BY doc_id) = 1"""
 
 
+def dedupe_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The first document of each folded text, keyed by the digest of the whole."""
+    docs = table(spark, d, "documents").select("doc_id", F.sha2(F.lower("text"), 256).alias("key"))
+    return docs.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_rows")).select("doc_id", "key", "n_rows")
+
+
 def dedupe_last(spark: SparkSession, d: str) -> DataFrame:
     """The last event of each user and type wins."""
     return relate.keep_first(table(spark, d, "events"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("event_id", "user_id", "event_type", "n_rows")
@@ -203,6 +209,7 @@ QUERIES = {
     "key_precedence": (key_precedence, PRECEDENCE),
     "siblings": (siblings, SIBLINGS),
     "dedupe_first": (dedupe_first, DEDUPE_FIRST),
+    "dedupe_whole": (dedupe_whole, None),
     "dedupe_last": (dedupe_last, DEDUPE_LAST),
     "renumber_positions": (renumber_positions, RENUMBER),
     "carry_forward": (carry_forward, CARRY),

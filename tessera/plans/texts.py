@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar, text
@@ -44,7 +44,7 @@ def highlight_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dice_match(spark: SparkSession, d: str) -> DataFrame:
-    """Word overlap of parts of one brand."""
+    """Word overlap of parts of one brand, of sizes up to 5 as its SQL has them; dice_match_all takes all."""
     part = table(spark, d, "part").where("p_size <= 5")
     a = part.select(F.col("p_partkey").alias("a"), "p_brand", F.col("p_name").alias("x"))
     b = part.select(F.col("p_partkey").alias("b"), "p_brand", F.col("p_name").alias("y"))
@@ -58,16 +58,44 @@ SELECT x.p_partkey AS a, y.p_partkey AS b, round(2.0 * len(list_intersect(x.w, y
 FROM p x JOIN p y ON x.p_brand = y.p_brand AND x.p_partkey < y.p_partkey WHERE len(list_intersect(x.w, y.w)) > 0"""
 
 
+def dice_match_all(spark: SparkSession, d: str) -> DataFrame:
+    """Word overlap of all parts of one brand, through shared words: parts of equal words are one until the end."""
+    listed = F.array_sort(F.array_distinct(text.words(text.match_fold(F.col("p_name")))))
+    part = table(spark, d, "part").select("p_partkey", "p_brand", listed.alias("words"))
+    once = part.select("p_brand", "words").distinct().select("p_brand", "words", F.explode("words").alias("word"))
+    a, b = (once.select("p_brand", "word", F.col("words").alias(x)) for x in "xy")
+    shared = a.join(b, ["p_brand", "word"]).groupBy("p_brand", "x", "y").agg(F.count("*").alias("n"))
+    pairs = shared.select("p_brand", "x", "y", F.round(2.0 * F.col("n") / (F.size("x") + F.size("y")), 6).alias("dice"))
+    left = part.select(F.col("p_partkey").alias("a"), "p_brand", F.col("words").alias("x"))
+    right = part.select(F.col("p_partkey").alias("b"), "p_brand", F.col("words").alias("y"))
+    return pairs.join(left, ["p_brand", "x"]).join(right, ["p_brand", "y"]).where("a < b").select("a", "b", "dice")
+
+
+def _shown() -> Column:
+    """The decorated name of a part."""
+    return F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("The "), F.initcap("p_name"))).when(F.col("p_partkey") % 3 == 1, F.concat("p_name", F.lit(" (Reprise)"))).otherwise(F.upper("p_name"))
+
+
 def title_keys_match(spark: SparkSession, d: str) -> DataFrame:
-    """Title levels of decorated names against plain ones, by shared keys."""
+    """Title levels of decorated names against plain ones, by shared keys, of the parts that its SQL names; title_keys_match_all
+    takes all."""
     part = table(spark, d, "part").where("p_size <= 10")
-    shown = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("The "), F.initcap("p_name"))).when(F.col("p_partkey") % 3 == 1, F.concat("p_name", F.lit(" (Reprise)"))).otherwise(F.upper("p_name"))
-    left = part.select(F.col("p_partkey").alias("a"), text.title_keys(shown).alias("ka"))
+    left = part.select(F.col("p_partkey").alias("a"), text.title_keys(_shown()).alias("ka"))
     right = part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("b"), text.title_keys(F.col("p_name")).alias("kb"))
     pairs = match.candidates(left, right, F.array("ka.main"), F.array("kb.main"))
     return pairs.where("a < b").select("a", "b", match.title_level(F.col("ka"), F.col("kb")).cast("int").alias("level"))
 
 
+def title_keys_match_all(spark: SparkSession, d: str) -> DataFrame:
+    """Title levels of all decorated names against all plain ones, by shared keys: equal titles are one until the end."""
+    part = table(spark, d, "part")
+    left = part.select(F.col("p_partkey").alias("a"), text.title_keys(_shown()).alias("ka"))
+    right = part.select(F.col("p_partkey").alias("b"), text.title_keys(F.col("p_name")).alias("kb"))
+    pairs = match.candidates(left.select("ka").distinct(), right.select("kb").distinct(), F.array("ka.main"), F.array("kb.main"))
+    levels = pairs.select("ka", "kb", match.title_level(F.col("ka"), F.col("kb")).cast("int").alias("level"))
+    return levels.join(left, "ka").join(right, "kb").where("a < b").select("a", "b", "level")
+
+
 TITLES = """
 WITH p AS (SELECT p_partkey, p_name FROM part WHERE p_size <= 10)
 SELECT x.p_partkey AS a, y.p_partkey AS b, CAST(CASE WHEN x.p_partkey % 3 = 1 THEN 0 ELSE 2 END AS INT) AS level
@@ -176,6 +204,8 @@ QUERIES = {
     "highlight_ranges": (highlight_ranges, None),
     "dice_match": (dice_match, DICE),
     "title_keys_match": (title_keys_match, TITLES),
+    "dice_match_all": (dice_match_all, None),
+    "title_keys_match_all": (title_keys_match_all, None),
     "edit_distance_block": (edit_distance_block, EDITS),
     "score_candidate": (score_candidate, SCORE),
     "html_text": (html_text, HTML),
