@@ -70,18 +70,19 @@ class Encoder:
 
     The byte-level pre-tokenizer always parts a text before a space that follows a non-space, and looks no
     further than one character past a token, so a text's ids are those of its pieces between such spaces;
-    frequent pieces are encoded once per worker.
+    frequent pieces are encoded once per worker. A special token that stands in a text is spelled by ordinary pieces;
+    with spelled=False, as the queries have it, it gets its own id, which is the library's default.
     """
 
     _inner = re.compile(r"\s ")
     _cut = re.compile(r"(?<=\S) ")
 
-    def __init__(self, path: str, most_known: int = 250_000) -> None:
+    def __init__(self, path: str, most_known: int = 250_000, spelled: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = spelled
         self.known, self.most_known = _Known(), most_known
 
     def _encoded(self, pieces: list[str]) -> list[bytes]:
@@ -104,7 +105,7 @@ class Encoder:
 
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return Encoder(path, spelled=False)
 
 
 def write_tokens(

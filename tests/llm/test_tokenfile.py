@@ -69,3 +69,16 @@ def test_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     tf.write_tokens(docs, str(tmp_path / "t"), VOCABULARY)
     assert tf.read_tokens(spark, str(tmp_path / "t")).count() == 0
+
+
+def test_spelled_special_tokens_get_the_librarys_ids():
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(6)
+    parts = ["<|endoftext|>", " ", "  ", "\n", "\t", "word", "'s", "é", "<|endof", "12"]
+    texts = ["a<|endoftext|>b", " <|endoftext|> ", "<|endoftext|>"]
+    texts += ["".join(parts[i] for i in rng.integers(0, len(parts), 14)) for _ in range(2_000)]
+    library = Tokenizer.from_file(VOCABULARY)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tf.encoder(VOCABULARY)(texts)] == want
+    assert 50256 in want[0]
