@@ -26,6 +26,7 @@ class Pieces:
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_of = {i: b for b, i in enumerate(self.bytes)}
         special = {i for i in range(self.size) if model.is_control(i) or model.is_unknown(i) or model.is_byte(i)}
+        self.spells = [bytes([self.byte_of[i]]) if i in self.byte_of else t.replace(SPACE, " ").encode() for i, t in enumerate(self.text)]
         self.ids = {t: i for i, t in enumerate(self.text) if i not in special}
         self.longest = max(map(len, self.ids))
         self.weights = [(1 / (i + 10)) ** alpha for i in range(self.size)]
@@ -47,14 +48,7 @@ class Pieces:
 
     def decoded(self, ids: list[int]) -> str:
         """The text again: pieces side by side, bytes as they are, the leading space dropped."""
-        out = bytearray()
-        for i in ids:
-            b = self.byte_of.get(i)
-            if b is None:
-                out += self.text[i].replace(SPACE, " ").encode()
-            else:
-                out.append(b)
-        return out[1:].decode("utf-8", "surrogatepass")
+        return b"".join(map(self.spells.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
 
 
 @lru_cache(2)

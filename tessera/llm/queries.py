@@ -50,8 +50,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = sampling.sample_segmentations(read_table(spark, sf_dir, "documents"), public_vocabulary("piece_bpe_32k.model"))
-    return sampling.digests(samples)
+    """Two sampled segmentations of every text, decoded again: samples' figures, crc32 of ids and of decoded text."""
+    vocabulary = public_vocabulary("piece_bpe_32k.model")
+    samples = sampling.sample_segmentations(read_table(spark, sf_dir, "documents"), vocabulary)
+    return sampling.digests(sampling.decode_segmentations(samples, vocabulary))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -17,9 +17,8 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import chain
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,21 +54,22 @@ def spaced(text: str) -> list[str]:
     return out
 
 
-def cut(vocabulary: Pieces, words: list[str]) -> tuple[list[str], np.ndarray]:
+def cut(pieces_: Trie, words: list[str]) -> tuple[list[str], np.ndarray]:
     """All words' segments in a row, and where each word's begin: a word parts wherever no piece holds the two
     characters side by side, so the lattice of the whole is exactly those of the segments in a row."""
     if not words:
         return [], np.zeros(1, np.int64)
     joined = _END.join([*words, ""])
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    pairs = codes[:-1] << _U(21) | codes[1:]
-    known = vocabulary.pairs
+    codes = _codes(joined)
+    pairs = codes[:-1] << 21 | codes[1:]
+    known = pieces_.pairs
     inside = known[np.minimum(np.searchsorted(known, pairs), len(known) - 1)] == pairs
-    ends = np.flatnonzero(codes == ord(_END))
+    is_end = codes == ord(_END)
     starts = np.concatenate([[0], np.flatnonzero(~inside) + 1])  # a word's end is next to no piece, so it parts too
-    starts = starts[(starts < len(codes)) & (codes[np.minimum(starts, len(codes) - 1)] != ord(_END))]
+    starts = starts[~is_end[np.minimum(starts, len(codes) - 1)]]
+    ends = np.flatnonzero(is_end)
     stops = np.concatenate([starts[1:], [len(codes) - 1]])
-    stops = np.minimum(stops, ends[np.searchsorted(ends, starts)])
+    stops -= is_end[stops - 1]
     segments = [joined[a:b] for a, b in zip(starts.tolist(), stops.tolist())]
     return segments, np.searchsorted(starts, np.concatenate([[0], ends + 1]))
 
@@ -87,6 +87,14 @@ def uniform(state: np.ndarray, step: int = 0) -> np.ndarray:
     return ((mixed(state, 100 + step) >> _U(12)).astype(np.float64) + 0.5) / 2.0**52
 
 
+def _uniform_one(state: int, step: int = 0) -> float:
+    """uniform() of one state."""
+    x = (state + 0x9E3779B97F4A7C15 * (101 + step)) & _MASK
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _MASK
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _MASK
+    return (((x ^ (x >> 31)) >> 12) + 0.5) / 2.0**52
+
+
 def row_key(doc_id: int, text: str, seed: int) -> int:
     mark = f"{seed}:{doc_id}:".encode() + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
     return int.from_bytes(hashlib.blake2b(mark, digest_size=8).digest(), "little")
@@ -96,130 +104,242 @@ def row_key(doc_id: int, text: str, seed: int) -> int:
 _END, _MARK = "\ud800", "\ud801"
 
 
-def finder(vocabulary: Pieces) -> ahocorasick.Automaton:
-    if not hasattr(vocabulary, "finder"):
-        found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+class Trie:
+    """A vocabulary's pieces by their characters, for finding all pieces in a row of code points at once."""
+
+    def __init__(self, vocabulary: Pieces) -> None:
+        following: dict[int, int] = {}
+        ends = [-1]
         for text, i in vocabulary.ids.items():
-            found.add_word(text, i << 8 | len(text))
-        found.make_automaton()
-        vocabulary.finder = found
+            state = 0
+            for c in text:
+                state = following.setdefault(state << 21 | ord(c), len(following) + 1)
+                if state == len(ends):
+                    ends.append(-1)
+            ends[state] = i
+        self.keys = np.array(sorted(following), np.int64)
+        self.to = np.array([following[k] for k in self.keys.tolist()], np.int64)
+        self.ends = np.array(ends, np.int64)
         pairs = {ord(t[i]) << 21 | ord(t[i + 1]) for t in vocabulary.ids for i in range(len(t) - 1)}
-        vocabulary.pairs = np.array(sorted(pairs), np.uint64)
+        self.pairs = np.array(sorted(pairs), np.int64)
+
+    def found(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places, pieces) of the pieces of 1 character, then 2, and so on. The last code must be _END's."""
+        at, state, size = np.arange(len(codes)), np.zeros(len(codes), np.int64), 0
+        while len(at):
+            key = state << 21 | codes[at + size]
+            i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            on = self.keys[i] == key
+            at, state, size = at[on], self.to[i[on]], size + 1
+            piece = self.ends[state]
+            hit = piece >= 0
+            yield at[hit], piece[hit]
+
+
+def trie(vocabulary: Pieces) -> Trie:
+    if not hasattr(vocabulary, "trie"):
+        vocabulary.trie = Trie(vocabulary)
         vocabulary.log_weights = np.log([*vocabulary.weights, vocabulary.fallback])
-    return vocabulary.finder
+    return vocabulary.trie
+
+
+def _codes(joined: str) -> np.ndarray:
+    return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+
+class _Rows:
+    """Arrays side by side that grow at their end."""
+
+    def __init__(self, **kinds: type) -> None:
+        self.kinds, self.size, self.room = kinds, 0, 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.size = 0
+        self.room = 1 << 16
+        for name, kind in self.kinds.items():
+            setattr(self, name, np.empty(self.room, kind))
+
+    def add(self, **columns: np.ndarray) -> None:
+        end = self.size + len(next(iter(columns.values())))
+        while self.room < end:
+            self.room *= 2
+        for name, values in columns.items():
+            held = getattr(self, name)
+            if len(held) < self.room:
+                setattr(self, name, np.concatenate([held[: self.size], np.empty(self.room - self.size, held.dtype)]))
+                held = getattr(self, name)
+            held[self.size : end] = values
+        self.size = end
+
+
+#: Shares of steps are summed in units of this, exactly, so that a draw gives the same step whatever stands beside it.
+_UNIT = 2.0**-30
 
 
 class Lattices:
-    """The lattices of a batch's distinct segments side by side: a node for each character, its steps in a row.
+    """The lattices of distinct segments side by side: a node for each character, its steps in a row, longest first.
 
-    An Aho-Corasick pass over all segments finds every piece; backward sums, in logarithms, make the steps'
-    probabilities, for all nodes at the same distance from their segment's end at once.
+    They are kept for the next batch, with the segments of every word, until there are more than most_steps steps;
+    then all begins anew, so memory is bounded. Node 0 is the end of every segment. Backward sums, in logarithms, make
+    the steps' probabilities, for all new nodes at the same distance from their segment's end at once.
     """
 
-    def __init__(self, vocabulary: Pieces, every: list[str]) -> None:
+    def __init__(self, vocabulary: Pieces, most_steps: int = 5_000_000) -> None:
+        self.vocabulary, self.trie, self.most_steps = vocabulary, trie(vocabulary), most_steps
+        self.nodes = _Rows(first=np.int64)  # a node's first step; one more entry stands behind the last node
+        self.steps = _Rows(to=np.int32, piece=np.int32, log=np.float64, others=np.float64, reach=np.float64)
+        self.roots = _Rows(root=np.int64, length=np.int64)  # of each segment
+        self.of_words = _Rows(segment=np.int64)
+        self.word_starts = _Rows(first=np.int64)  # a word's first segment; one more entry stands behind the last word
+        self.clear()
+
+    def clear(self) -> None:
+        for rows in (self.nodes, self.steps, self.roots, self.of_words, self.word_starts):
+            rows.clear()
+        self.words: dict[str, int] = {}
+        self.segments: dict[str, int] = {}
+        self.nodes.add(first=np.zeros(2, np.int64))
+        self.word_starts.add(first=np.zeros(1, np.int64))
+
+    def rows(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The segments of each text, which is given as its words."""
+        if self.steps.size > self.most_steps:
+            self.clear()
+        new = list(set(chain.from_iterable(texts)).difference(self.words))
+        if new:
+            segments, first = cut(self.trie, new)
+            unseen = list(set(segments).difference(self.segments))
+            self._append(unseen)
+            self.segments.update(zip(unseen, range(len(self.segments), len(self.segments) + len(unseen))))
+            self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
+            self.word_starts.add(first=first[1:] + self.of_words.size)
+            self.of_words.add(segment=np.fromiter(map(self.segments.__getitem__, segments), np.int64, len(segments)))
+        starts, out = self.word_starts.first, []
+        for own in texts:
+            w = np.fromiter(map(self.words.__getitem__, own), np.int64, len(own))
+            n = starts[w + 1] - starts[w]
+            ends = np.cumsum(n)
+            at = np.repeat(starts[w] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+            out.append(self.of_words.segment[at])
+        return out
+
+    def _append(self, every: list[str]) -> None:
+        """The lattices of segments that are not held yet."""
+        if not every:
+            return
+        v = self.vocabulary
         joined = _END.join([*every, ""])
-        self.lengths = np.fromiter(map(len, every), np.int64, len(every))
-        ends = np.cumsum(self.lengths + 1) - 1
-        found = np.fromiter(chain.from_iterable(finder(vocabulary).iter(joined)), np.int64).reshape(-1, 2)
-        piece, size = found[:, 1] >> 8, found[:, 1] & 255
-        start = found[:, 0] + 1 - size
-        bare = np.ones(len(joined), bool)  # characters without a piece of their own
-        bare[start[size == 1]] = bare[ends] = False
+        codes = _codes(joined)
+        lengths = np.fromiter(map(len, every), np.int64, len(every))
+        ends = np.cumsum(lengths + 1) - 1
+        found = list(self.trie.found(codes))
+        bare = np.ones(len(codes), bool)  # characters without a piece of their own
+        bare[found[0][0]] = bare[ends] = False
         bare = np.flatnonzero(bare)
-        spells = [vocabulary.spelled(SPACE if joined[i] == _MARK else joined[i]) for i in bare.tolist()]
-        start = np.concatenate([start, bare])
-        size = np.concatenate([size, np.ones(len(bare), np.int64)])
-        piece = np.concatenate([piece, np.array(spells, np.int64)])
-
-        # nodes are numbered by their distance from the end, so a node's steps lead to nodes of smaller numbers
-        distance = np.repeat(ends, self.lengths + 1) - np.arange(len(joined))
-        by_distance = np.argsort(distance, kind="stable")
-        self.number = np.empty(len(joined), np.int64)
-        self.number[by_distance] = np.arange(len(joined))
-        self.finals = len(ends)  # the ends come first
-        self.root = self.number[ends - self.lengths]
-        self.width = lambda i: len(vocabulary.text[i]) if i < vocabulary.size and i not in vocabulary.byte_of else 1
-        node = self.number[start]
-        order = np.argsort(node << 8 | size)
-        del found
-        node, self.piece = node[order], piece[order]
-        self.to = self.number[(start + size)[order]]
-        weight = vocabulary.log_weights[np.minimum(self.piece, vocabulary.size)]
-
-        counts = np.bincount(node, minlength=len(joined))[self.finals :]
-        self.first = np.concatenate([np.zeros(self.finals, np.int64), [0], np.cumsum(counts)])
-        heads = self.first[self.finals : -1]
-        sums, self.share = np.zeros(len(joined)), np.empty(len(node))
-        levels = np.searchsorted(distance[by_distance], np.arange(1, int(distance.max(initial=0)) + 2)).tolist()
+        spells = [v.spelled(SPACE if joined[i] == _MARK else joined[i]) for i in bare.tolist()]
+        found[0] = (np.concatenate([found[0][0], bare]), np.concatenate([found[0][1], np.array(spells, np.int64)]))
+
+        # new nodes are numbered by their distance from the end, so steps lead to nodes of smaller numbers; ends are 0
+        distance = np.repeat(ends, lengths + 1) - np.arange(len(codes))
+        by_distance = np.argsort(distance.astype(np.int32), kind="stable")[len(ends) :]
+        number = np.zeros(len(codes), np.int64)
+        number[by_distance] = np.arange(len(by_distance))
+        counts = np.zeros(len(codes), np.int64)
+        for at, _ in found:
+            counts[at] += 1
+        first = np.concatenate([[0], np.cumsum(counts[by_distance])])
+        behind = np.concatenate([first[1:][number], [0]])  # behind each place's last step; filled from there
+        behind[ends] = 0
+        total, base = int(first[-1]), self.nodes.size - 1
+        to, piece = np.empty(total, np.int64), np.empty(total, np.int64)
+        is_end = np.zeros(len(codes) + 1, bool)
+        is_end[ends] = True
+        for size, (at, what) in enumerate(found, 1):
+            behind[at] -= 1
+            to[behind[at]] = np.where(is_end[at + size], -1, number[at + size])
+            piece[behind[at]] = what
+
+        weight = v.log_weights[np.minimum(piece, v.size)]
+        sums, share, log = np.zeros(len(by_distance) + 1), np.empty(total), np.empty(total)  # the last sum is of an end
+        counts = np.diff(first)
+        levels = np.searchsorted(distance[by_distance], np.arange(1, int(lengths.max()) + 2)).tolist()
         for g, h in zip(levels, levels[1:]):
-            a, b = int(self.first[g]), int(self.first[h])
-            at, n = self.first[g:h] - a, counts[g - self.finals : h - self.finals]
-            logs = weight[a:b] + sums[self.to[a:b]]
+            a, b = int(first[g]), int(first[h])
+            at, n = first[g:h] - a, counts[g:h]
+            logs = weight[a:b] + sums[to[a:b]]
             top = np.maximum.reduceat(logs, at)
             logs -= np.repeat(top, n)
-            np.exp(logs, out=logs)
-            total = np.add.reduceat(logs, at)
-            sums[g:h] = top + np.log(total)
-            self.share[a:b] = logs / np.repeat(total, n)
+            mass = np.exp(logs)
+            all_ = np.add.reduceat(mass, at)
+            log_all = np.log(all_)
+            sums[g:h] = top + log_all
+            share[a:b] = mass / np.repeat(all_, n)
+            log[a:b] = logs - np.repeat(log_all, n)
         # a step's share from the top is never the small rest of a large one: that is summed by itself
-        self.others = 1.0 - self.share
-        if len(node):
-            large = self.share > 0.5
-            rest = np.add.reduceat(np.where(large, 0.0, self.share), heads)
-            self.others[large] = rest[node[large] - self.finals]
-            sums = np.cumsum(self.share)
-            before = sums[heads] - self.share[heads]
-            self.reach = node + np.minimum(sums - before[node - self.finals], 1.0)
-            last = self.first[self.finals + 1 :] - 1
-            self.reach[last] = node[last] + 1.0
-        with np.errstate(divide="ignore"):
-            self.log = np.log(self.share)
-
-    def steps(self, segment: int) -> Lattice:
+        node = np.repeat(np.arange(len(counts)), counts)
+        others = 1.0 - share
+        large = share > 0.5
+        others[large] = np.add.reduceat(np.where(large, 0.0, share), first[:-1])[node[large]]
+        units = (share / _UNIT).astype(np.int64)
+        sums = np.cumsum(units)
+        reach = (sums - (sums - units)[first[:-1]][node]) * _UNIT
+        reach[first[1:] - 1] = 1.0
+        self.roots.add(root=number[ends - lengths] + base, length=lengths)
+        self.steps.add(to=np.where(to < 0, 0, to + base), piece=piece, log=log, others=others, reach=reach)
+        self.nodes.add(first=first[1:] + (self.steps.size - total))
+
+    def lattice(self, segment: int) -> Lattice:
         """One segment's lattice."""
-        size, out = int(self.lengths[segment]), []
-        node = int(self.root[segment])
-        place = {node: 0}
-        waiting, seen = [node], {}
+        first, to, v = self.nodes.first, self.steps.to, self.vocabulary
+        root, length = int(self.roots.root[segment]), int(self.roots.length[segment])
+        place, waiting = {root: 0, 0: length}, [root]
+        out: Lattice = [[] for _ in range(length)]
         while waiting:
             node = waiting.pop()
-            a, b = int(self.first[node]), int(self.first[node + 1])
-            if node in seen or node < self.finals:
-                continue
-            seen[node] = (a, b)
-            for to, piece in zip(self.to[a:b].tolist(), self.piece[a:b].tolist()):
-                place[to] = place[node] + self.width(piece)
-                waiting.append(to)
-        out = [[] for _ in range(size)]
-        for node, (a, b) in seen.items():
-            to = [place[t] for t in self.to[a:b].tolist()]
-            out[place[node]] = list(zip(to, self.piece[a:b].tolist(), self.share[a:b].tolist(), self.others[a:b].tolist()))
+            a, b = int(first[node]), int(first[node + 1])
+            for t, piece, log, others in zip(*(x[a:b].tolist() for x in (to, self.steps.piece, self.steps.log, self.steps.others))):
+                wide = len(v.text[piece]) if piece < v.size and piece not in v.byte_of else 1
+                if t not in place:
+                    place[t] = place[node] + wide
+                    waiting.append(t)
+                out[place[node]].append((place[t], piece, math.exp(log), others))
         return out
 
-    def walk(self, segment: np.ndarray, keys: np.ndarray, number: np.ndarray, at: np.ndarray):
+    def walk(self, segment: np.ndarray, keys: np.ndarray, number: int, at: np.ndarray):
         """A spelling for each occurrence (of a segment, in the row with a key, as sample number, at a place):
         (occurrence and piece of every step, in order; log-probability and probability of all else by occurrence)."""
         logs, rest = np.zeros(len(segment)), np.zeros(len(segment))
-        live, node, step = np.arange(len(segment)), self.root[segment], 0
-        on = node >= self.finals
-        live, node, state = live[on], node[on], stream(keys, number, at)[on]
+        first, steps = self.nodes.first, self.steps
+        live, node, step = np.arange(len(segment)), self.roots.root[segment], 0
+        state = stream(keys, number, at)
         who, what = [], []
         while len(live):
             draw = uniform(state, step)
-            took = np.searchsorted(self.reach, node + draw, side="right")
-            took = np.minimum(took, self.first[node + 1] - 1)
+            took = first[node]
+            more = np.flatnonzero(steps.reach[took] <= draw)
+            while len(more):
+                took[more] += 1
+                more = more[steps.reach[took[more]] <= draw[more]]
             who.append(live)
-            what.append(self.piece[took])
-            rest[live] += np.exp(logs[live]) * self.others[took]
-            logs[live] += self.log[took]
-            node = self.to[took]
-            on = node >= self.finals
+            what.append(steps.piece[took])
+            rest[live] += np.exp(logs[live]) * steps.others[took]
+            logs[live] += steps.log[took]
+            node = steps.to[took]
+            on = np.flatnonzero(node)
             live, node, state, step = live[on], node[on], state[on], step + 1
         if not who:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), logs, rest
-        who, what = np.concatenate(who), np.concatenate(what)
-        order = np.argsort(who, kind="stable")
-        return who[order], what[order], logs, rest
+        # the k-th step of an occurrence stands k places behind its first
+        counts = np.zeros(len(segment), np.int64)
+        for one in who:
+            counts[one] += 1
+        free = np.cumsum(counts) - counts
+        pieces_ = np.empty(int(counts.sum()), np.int64)
+        for one, piece in zip(who, what):
+            pieces_[free[one]] = piece
+            free[one] += 1
+        return np.repeat(np.arange(len(segment)), counts), pieces_, logs, rest
 
 
 def _branches(steps: Lattice, taken: list[tuple[int, ...]]) -> list[tuple[float, tuple[int, ...], int]]:
@@ -244,8 +364,8 @@ def _branches(steps: Lattice, taken: list[tuple[int, ...]]) -> list[tuple[float,
 def _other_spelling(steps: Lattice, taken: list[tuple[int, ...]], key: int, number: int, place: int) -> tuple[tuple[int, ...], float, float]:
     """A spelling that is none of taken, in proportion to probability: (pieces, log-probability, what else is left)."""
     ways = _branches(steps, taken)
-    state = stream(np.full(1, key, np.uint64), number, place, 1)
-    draw = float(uniform(state)[0]) * sum(w[0] for w in ways)
+    state = int(stream(np.full(1, key, np.uint64), number, place, 1)[0])
+    draw = _uniform_one(state) * sum(w[0] for w in ways)
     for way in ways:
         draw -= way[0]
         if draw < 0:
@@ -253,7 +373,7 @@ def _other_spelling(steps: Lattice, taken: list[tuple[int, ...]], key: int, numb
     mass, spelled, at = way
     log, done, n = math.log(mass), list(spelled), 0
     while at < len(steps):
-        draw = float(uniform(state, 1 + n)[0])
+        draw = _uniform_one(state, 1 + n)
         for to, piece, p, _ in steps[at]:
             draw -= p
             if draw < 0:
@@ -265,56 +385,42 @@ def _other_spelling(steps: Lattice, taken: list[tuple[int, ...]], key: int, numb
 
 
 def _below(bound: float, log_mass: np.ndarray, draws: np.ndarray) -> np.ndarray:
-    """Gumbel values of given location, below a bound: exp(-G) is exponential, and beyond exp(-bound) still is."""
-    with np.errstate(divide="ignore", over="ignore"):
-        return -np.logaddexp(-bound, np.log(-np.log(draws)) - log_mass)
+    """Gumbel values of given location, below a bound: exp(-G) is exponential, and beyond exp(-bound) still is.
+    draws: log(-log(u)) of uniform values."""
+    with np.errstate(over="ignore"):
+        return -np.logaddexp(-bound, draws - log_mass)
 
 
 class Sampler:
     """Batches of (doc_id, text) to samples."""
 
     def __init__(self, vocabulary: Pieces) -> None:
-        finder(vocabulary)
-        self.vocabulary = vocabulary
-
-    def _held(self, texts: list[str]) -> tuple[Lattices, list[np.ndarray]]:
-        """The lattices of all distinct segments, and each text's row of them."""
-        words = [spaced(t) for t in texts]
-        number = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(words)))}
-        segments, first = cut(self.vocabulary, list(number))
-        place = {s: i for i, s in enumerate(dict.fromkeys(segments))}
-        of_words = np.fromiter(map(place.__getitem__, segments), np.int64, len(segments))
-        held = []
-        for own in words:
-            w = np.fromiter(map(number.__getitem__, own), np.int64, len(own))
-            n = first[w + 1] - first[w]
-            at = np.repeat(first[w] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            held.append(of_words[at])
-        return Lattices(self.vocabulary, list(place)), held
+        self.vocabulary, self.lattices = vocabulary, Lattices(vocabulary)
 
     def __call__(self, rows: list[tuple[int, str]], k: int, seed: int) -> list[dict]:
-        lattices, held = self._held([t for _, t in rows])
+        held = self.lattices.rows([spaced(t) for _, t in rows])
         keys = [row_key(d, t, seed) for d, t in rows]
-
-        state = [_Search(key, s, lattices) for key, s in zip(keys, held)]
+        tops = -np.log(-np.log(uniform(stream(np.array(keys, np.uint64), 1 << 40))))
+        state = [_Search(*of_row, self.lattices) for of_row in zip(keys, tops.tolist(), held)]
         for turn in range(k):
-            todo = []  # (search, first free place)
-            for search in state:
-                free = search.open_best(turn)
-                if free is not None:
-                    todo.append((search, free))
+            todo = [search for search in state if search.open_best(turn)]
             if not todo:
                 break
-            lengths = [len(s.held) - free for s, free in todo]
-            starts = list(accumulate([0, *lengths]))
-            places = np.concatenate([np.arange(free, len(s.held)) for s, free in todo])
-            segment = np.concatenate([s.held[free:] for s, free in todo])
-            owner = np.repeat(np.array([s.key for s, _ in todo], np.uint64), lengths)
-            who, what, logs, rest = lattices.walk(segment, owner, np.full(len(places), turn), places)
-            cuts = np.searchsorted(who, starts)
-            for n, (search, _) in enumerate(todo):
-                a, b = starts[n], starts[n + 1]
-                search.close(what[cuts[n] : cuts[n + 1]], who[cuts[n] : cuts[n + 1]] - a, logs[a:b], rest[a:b], turn)
+            lengths = np.array([len(s.held) - s.free for s in todo])
+            starts = np.concatenate([[0], np.cumsum(lengths)])
+            segment = np.concatenate([s.held[s.free :] for s in todo])
+            keys = np.array([s.key for s in todo], np.uint64)
+            places = np.arange(starts[-1]) - np.repeat(starts[:-1] - [s.free for s in todo], lengths)
+            who, what, logs, rest = self.lattices.walk(segment, np.repeat(keys, lengths), turn, places)
+            counts = np.bincount(who, minlength=len(segment))
+            steps = np.concatenate([[0], np.cumsum(counts)])[starts].tolist()
+            states = stream(keys, turn, 1 << 41)
+            draws = uniform(stream(np.repeat(states, lengths), places))
+            heads = uniform(stream(states, np.array([s.free - 1 for s in todo])))  # of the place that was spelled otherwise
+            with np.errstate(divide="ignore"):
+                rest, draws, heads = np.log(rest), np.log(-np.log(draws)), np.log(-np.log(heads))
+            for n, (search, a, b) in enumerate(zip(todo, starts[:-1].tolist(), starts[1:].tolist())):
+                search.close(what[steps[n] : steps[n + 1]], counts[a:b], logs[a:b], rest[a:b], draws[a:b], heads[n])
         out = []
         for (doc_id, _), search in zip(rows, state):
             out += search.results(doc_id, self.vocabulary)
@@ -324,8 +430,8 @@ class Sampler:
 class _Search:
     """One text's search: its samples so far and the regions that are left."""
 
-    def __init__(self, key: int, held: np.ndarray, lattices: Lattices) -> None:
-        self.key, self.held, self.lattices = key, held, lattices
+    def __init__(self, key: int, top: float, held: np.ndarray, lattices: Lattices) -> None:
+        self.key, self.top, self.held, self.lattices = key, top, held, lattices
         self.leaves: list[dict] = []
         self.regions: list[dict] = []  # of each sample: bounds, by the place where others leave it
 
@@ -333,59 +439,55 @@ class _Search:
         tops = [(float(r["bounds"].max()), n, int(r["bounds"].argmax())) for n, r in enumerate(self.regions) if len(r["bounds"])]
         return max(tops, default=(-math.inf, -1, -1))
 
-    def open_best(self, turn: int) -> int | None:
-        """Take the best region; its first free place, or None if nothing is left."""
-        n = len(self.held)
+    def open_best(self, turn: int) -> bool:
+        """Take the best region, if any is left; from the place `free` on, it is still to be spelled."""
         if turn == 0:
-            draw = uniform(stream(np.full(1, self.key, np.uint64), 1 << 40))[0]
-            self.now = {"bound": -math.log(-math.log(draw)), "from": None, "place": -1}
-            return 0
+            self.now, self.free = {"bound": self.top, "from": None}, 0
+            return True
         bound, leaf, at = self._best()
         if bound == -math.inf:
-            return None
+            return False
         base, region = self.leaves[leaf], self.regions[leaf]
         place = region["first"] + at
         taken = [base["spelled"](place)] + (region["taken"] if at == 0 else [])
-        other, log, left = _other_spelling(self.lattices.steps(self.held[place]), taken, self.key, turn, place)
+        other, log, left = _other_spelling(self.lattices.lattice(int(self.held[place])), taken, self.key, turn, place)
         region["bounds"][at] = -math.inf  # this region goes; what is left of it belongs to the new sample
         self.now = {"bound": bound, "from": base, "place": place, "other": other, "log": log, "left": left, "taken": taken}
-        assert place < n
-        return place + 1
-
-    def close(self, what: np.ndarray, who: np.ndarray, logs: np.ndarray, rest: np.ndarray, turn: int) -> None:
-        """The tail has been spelled: the sample is whole, and its region splits by the place of the next difference."""
-        now, place = self.now, self.now["place"]
-        counts = np.bincount(who, minlength=len(logs))
-        if now["from"] is None:
-            pieces_, ends, all_logs, first, left, taken = what, np.cumsum(counts), logs, 0, rest, []
-        else:
-            base = now["from"]
-            head = int(base["ends"][place - 1]) if place else 0
-            pieces_ = np.concatenate([base["pieces"][:head], now["other"], what]).astype(np.int64)
-            ends = np.concatenate([base["ends"][:place], head + len(now["other"]) + np.cumsum([0, *counts])])
-            all_logs = np.concatenate([base["logs"][:place], [now["log"]], logs])
-            first, left, taken = place, np.concatenate([[now["left"]], rest]), now["taken"]
-        before = np.cumsum(all_logs) - all_logs
-        with np.errstate(divide="ignore"):
-            mass = before[first:] + np.log(left)
-        state = stream(np.full(1, self.key, np.uint64), turn, 1 << 41)
-        draws = uniform(stream(state, np.arange(first, first + len(mass))))
+        self.free = place + 1
+        return True
+
+    def close(self, what: np.ndarray, counts: np.ndarray, logs: np.ndarray, log_rest: np.ndarray, draws: np.ndarray, head_draw: float) -> None:
+        """The tail has been spelled: the sample is whole, and its region splits by the place of the next difference.
+        draws: log(-log(u)) of each place's value, and of the place before the tail."""
+        now = self.now
+        ends, first, taken = np.cumsum(counts), 0, []
+        if now["from"] is not None:
+            base, first, taken = now["from"], now["place"], now["taken"]
+            head = int(base["ends"][first - 1]) if first else 0
+            spelled_to = head + len(now["other"])
+            what = np.concatenate([base["pieces"][:head], now["other"], what]).astype(np.int64)
+            ends = np.concatenate([base["ends"][:first], [spelled_to], spelled_to + ends])
+            logs = np.concatenate([base["logs"][:first], [now["log"]], logs])
+            log_rest = np.concatenate([[math.log(now["left"]) if now["left"] > 0 else -math.inf], log_rest])
+            draws = np.concatenate([[head_draw], draws])
+        sums = np.cumsum(logs)
+        mass = (sums - logs)[first:] + log_rest
         bounds = _below(now["bound"], mass, draws)
-        bounds[~np.isfinite(mass)] = -math.inf
+        bounds[mass == -math.inf] = -math.inf
 
         def spelled(at: int) -> tuple[int, ...]:
-            return tuple(pieces_[(int(ends[at - 1]) if at else 0) : int(ends[at])].tolist())
+            return tuple(what[(int(ends[at - 1]) if at else 0) : int(ends[at])].tolist())
 
-        self.leaves.append({"bound": now["bound"], "pieces": pieces_, "ends": ends, "logs": all_logs, "spelled": spelled})
+        log = float(sums[-1]) if len(sums) else 0.0
+        self.leaves.append({"bound": now["bound"], "pieces": what, "ends": ends, "logs": logs, "log": log, "spelled": spelled})
         self.regions.append({"bounds": bounds, "first": first, "taken": taken})
 
     def results(self, doc_id: int, vocabulary: Pieces) -> list[dict]:
         threshold = self._best()[0]
         out = []
         for n, leaf in enumerate(self.leaves):
-            log = float(leaf["logs"].sum())
+            log, ids = leaf["log"], leaf["pieces"]
             inclusion = 1.0 if threshold == -math.inf else -math.expm1(-math.exp(min(700.0, log - threshold)))
-            ids = leaf["pieces"]
             if len(ids) and ids.max() >= vocabulary.size:
                 ids = np.array(vocabulary.expanded(ids.tolist()))
             out.append(
@@ -421,7 +523,7 @@ def sample_segmentations(docs: DataFrame, vocabulary: str, k: int = SAMPLES, alp
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         draw = sampler(vocabulary, alpha)
         for batch in batches:
-            for part in slices(batch, 2 << 20):
+            for part in slices(batch, 4 << 20):
                 ids, texts = (c.to_pylist() for c in part.columns)
                 yield pa.RecordBatch.from_pylist(draw(list(zip(ids, texts)), k, seed), schema=arrow)
 
@@ -429,17 +531,27 @@ def sample_segmentations(docs: DataFrame, vocabulary: str, k: int = SAMPLES, alp
 
 
 def decode_segmentations(samples: DataFrame, vocabulary: str) -> DataFrame:
-    """samples' ids to text again: doc_id, sample, text. A literal space mark in a text is spelled by its bytes, so
-    every text comes back as it was."""
-    from tessera.llm.common import map_rows
+    """samples with text, decoded from their ids; a column of that name is replaced. A literal space mark in a text is
+    spelled by its bytes, so every text comes back as it was. Null ids give a null text."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kept = samples.drop("text")
+    schema = kept.withColumn("text", F.lit(None).cast("string")).schema
+    arrow, at = to_arrow_schema(schema), kept.columns.index("ids")
 
-    def work(columns: list) -> dict:
-        v = pieces(vocabulary)
-        docs, numbers, ids = columns
-        return {"doc_id": docs, "sample": numbers, "text": [v.decoded(np.frombuffer(x, "<u4").tolist()) for x in ids]}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoded = pieces(vocabulary).decoded
+        for batch in batches:
+            for part in slices(batch):
+                ids = part.column(at).to_pylist()
+                texts = pa.array([None if x is None else decoded(np.frombuffer(x, "<u4").tolist()) for x in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], schema=arrow)
 
-    return map_rows(samples.select("doc_id", "sample", "ids"), work, "doc_id long, sample int, text string")
+    return kept.mapInArrow(run, schema)
 
 
-def digests(samples: DataFrame) -> DataFrame:
-    return samples.select("doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", F.crc32("ids").alias("ids_crc32"))
+def digests(decoded: DataFrame) -> DataFrame:
+    """A row for each sample, with the checksums of its ids and of the text that was decoded from them."""
+    return decoded.select(
+        "doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", F.crc32("ids").alias("ids_crc32"), F.crc32("text").alias("text_crc32")
+    )

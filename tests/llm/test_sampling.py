@@ -1,5 +1,6 @@
 import itertools
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -73,20 +74,41 @@ def test_frequencies_without_replacement(vocabulary):
 
 
 def test_cuts_keep_the_lattice(vocabulary):
-    sampling.finder(vocabulary)
     for word in (SPACE + "thea,", SPACE + "x(y)z", SPACE * 3 + "to"):
-        parts = [sampling.cut(vocabulary, ["x", word, SPACE])]
-        assert parts[0][1].tolist()[0] == 0 and parts[0][1].tolist()[1] == 1
-        parts = [parts[0][0][1 : parts[0][1][2]]]
-        assert "".join(parts[0]) == word
-        lat = sampling.Lattices(vocabulary, list(parts[0]))
-        product = [spellings(lat.steps(i)) for i in range(len(parts[0]))]
+        segments, first = sampling.cut(sampling.trie(vocabulary), ["x", word, SPACE])
+        assert first.tolist()[:2] == [0, 1]
+        parts = segments[1 : first[2]]
+        assert "".join(parts) == word
+        lattices = sampling.Lattices(vocabulary)
+        lattices.rows([["other", "words"], ["first"]])
+        held = lattices.rows([[word]])[0]
+        assert len(held) == len(parts)
+        product = [spellings(lattices.lattice(int(i))) for i in held]
         spaces = len(word) - len(word.lstrip(SPACE))
         want = dict(spellings(lattice(vocabulary, spaces, word[spaces:])))
         joined = {tuple(itertools.chain.from_iterable(p for p, _ in c)): sum(q for _, q in c) for c in itertools.product(*product)}
         assert set(joined) == set(want) and all(joined[s] == pytest.approx(want[s]) for s in want)
 
 
+def test_what_is_kept_does_not_matter(vocabulary):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("theaino ré,.日"), 80)) for _ in range(60)] + TEXTS
+    rows = list(enumerate(texts))
+    whole = sampling.Sampler(vocabulary)(rows, 3, 1)
+    small = sampling.Sampler(vocabulary)
+    small.lattices.most_steps = 500
+    again = [s for r in reversed(rows) for s in small([r], 3, 1)]
+    key = lambda s: (s["doc_id"], s["sample"])
+    assert sorted(whole, key=key) == sorted(again, key=key)
+    assert small.lattices.steps.size < 20_000
+
+
+def test_one_value_at_a_time():
+    for state in (0, 1, 2**64 - 1, 12345678901234567890):
+        for step in (0, 1, 7):
+            assert sampling._uniform_one(state, step) == float(sampling.uniform(np.full(1, state, np.uint64), step)[0])
+
+
 def test_frame(spark):
     rows = [(1, "to be or not"), (1, "to be or not"), (2, None), (None, "x"), (3, "é " * 3000)]
     docs = spark.createDataFrame([(d, t, 5, "z") for d, t in rows], "doc_id long, text string, sample int, ids string")
@@ -98,4 +120,5 @@ def test_frame(spark):
     back = {(r.doc_id, r.text) for r in sampling.decode_segmentations(got, VOCABULARY).collect()}
     assert back == {(1, "to be or not"), (2, ""), (3, "é " * 3000)}
     assert sampling.sample_segmentations(docs.limit(0), VOCABULARY).count() == 0
-    assert sampling.digests(got).columns == ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "ids_crc32"]
+    again = {(r.doc_id, r.text_crc32) for r in sampling.digests(sampling.decode_segmentations(got, VOCABULARY)).collect()}
+    assert again == {(d, zlib.crc32(t.encode())) for d, t in back}
