@@ -51,9 +51,8 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sampled segmentations of every text, decoded again: samples' figures, crc32 of ids and of decoded text."""
-    vocabulary = public_vocabulary("piece_bpe_32k.model")
-    samples = sampling.sample_segmentations(read_table(spark, sf_dir, "documents"), vocabulary)
-    return sampling.digests(sampling.decode_segmentations(samples, vocabulary))
+    docs = read_table(spark, sf_dir, "documents")
+    return sampling.digests(sampling.sample_segmentations(docs, public_vocabulary("piece_bpe_32k.model"), decoded=True))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -175,6 +175,8 @@ class _Rows:
 
 #: Shares of steps are summed in units of this, exactly, so that a draw gives the same step whatever stands beside it.
 _UNIT = 2.0**-30
+#: Segments whose lattices are made at once.
+_AT_ONCE = 16_384
 
 
 class Lattices:
@@ -185,7 +187,7 @@ class Lattices:
     the steps' probabilities, for all new nodes at the same distance from their segment's end at once.
     """
 
-    def __init__(self, vocabulary: Pieces, most_steps: int = 5_000_000) -> None:
+    def __init__(self, vocabulary: Pieces, most_steps: int = 2_500_000) -> None:
         self.vocabulary, self.trie, self.most_steps = vocabulary, trie(vocabulary), most_steps
         self.nodes = _Rows(first=np.int64)  # a node's first step; one more entry stands behind the last node
         self.steps = _Rows(to=np.int32, piece=np.int32, log=np.float64, others=np.float64, reach=np.float64)
@@ -210,7 +212,8 @@ class Lattices:
         if new:
             segments, first = cut(self.trie, new)
             unseen = list(set(segments).difference(self.segments))
-            self._append(unseen)
+            for at in range(0, len(unseen), _AT_ONCE):
+                self._append(unseen[at : at + _AT_ONCE])
             self.segments.update(zip(unseen, range(len(self.segments), len(self.segments) + len(unseen))))
             self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
             self.word_starts.add(first=first[1:] + self.of_words.size)
@@ -226,8 +229,6 @@ class Lattices:
 
     def _append(self, every: list[str]) -> None:
         """The lattices of segments that are not held yet."""
-        if not every:
-            return
         v = self.vocabulary
         joined = _END.join([*every, ""])
         codes = _codes(joined)
@@ -509,25 +510,33 @@ def sampler(vocabulary: str, alpha: float) -> Sampler:
     return _samplers[vocabulary, alpha]
 
 
-def sample_segmentations(docs: DataFrame, vocabulary: str, k: int = SAMPLES, alpha: float = ALPHA, seed: int = 0) -> DataFrame:
+def sample_segmentations(
+    docs: DataFrame, vocabulary: str, k: int = SAMPLES, alpha: float = ALPHA, seed: int = 0, decoded: bool = False
+) -> DataFrame:
     """k distinct sampled segmentations of every whole text, best perturbed value first: doc_id, sample (from 1),
-    n_pieces, log_prob, perturbed, inclusion (probability to be in such a sample, given the next value), ids.
+    n_pieces, log_prob, perturbed, inclusion (probability to be in such a sample, given the next value), ids and, if
+    decoded, the text that they are decoded to.
 
     A text with fewer segmentations gives as many as it has; a null or empty text one, without pieces. Equal rows
     give equal samples, each. Rows without a doc_id take no part; other columns are not read.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(docs.sparkSession.createDataFrame([], SCHEMA).schema)
+    schema = SCHEMA + ", text string" * decoded
+    arrow = to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         draw = sampler(vocabulary, alpha)
         for batch in batches:
-            for part in slices(batch, 4 << 20):
+            for part in slices(batch, 2 << 20):
                 ids, texts = (c.to_pylist() for c in part.columns)
-                yield pa.RecordBatch.from_pylist(draw(list(zip(ids, texts)), k, seed), schema=arrow)
+                rows = draw(list(zip(ids, texts)), k, seed)
+                if decoded:
+                    for row in rows:
+                        row["text"] = draw.vocabulary.decoded(np.frombuffer(row["ids"], "<u4").tolist())
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return texts_of(docs).mapInArrow(run, SCHEMA)
+    return texts_of(docs).mapInArrow(run, schema)
 
 
 def decode_segmentations(samples: DataFrame, vocabulary: str) -> DataFrame:

@@ -120,5 +120,6 @@ def test_frame(spark):
     back = {(r.doc_id, r.text) for r in sampling.decode_segmentations(got, VOCABULARY).collect()}
     assert back == {(1, "to be or not"), (2, ""), (3, "é " * 3000)}
     assert sampling.sample_segmentations(docs.limit(0), VOCABULARY).count() == 0
+    assert {(r.doc_id, r.text) for r in sampling.sample_segmentations(docs, VOCABULARY, k=3, decoded=True).collect()} == back
     again = {(r.doc_id, r.text_crc32) for r in sampling.digests(sampling.decode_segmentations(got, VOCABULARY)).collect()}
     assert again == {(d, zlib.crc32(t.encode())) for d, t in back}
