@@ -55,27 +55,23 @@ def from_planes(planes: list[bytes], n_ids: int) -> np.ndarray:
     return np.ascontiguousarray(np.stack(raw).T).reshape(-1).view("<u4")
 
 
-class _Known(dict):
-    """Encoded pieces that stay for the life of a worker, up to a bound; beyond it, those of the batch at hand."""
-
-    def __init__(self) -> None:
-        self.extra: dict[str, bytes] = {}
-
-    def __missing__(self, key: str) -> bytes:
-        return self.extra[key]
-
-
 class Encoder:
     """Whole texts to id bytes (little-endian uint32).
 
     The byte-level pre-tokenizer always parts a text before a space that follows a non-space, and looks no
-    further than one character past a token, so a text's ids are those of its pieces between such spaces;
-    frequent pieces are encoded once per worker. A special token that stands in a text is spelled by ordinary pieces;
-    with spelled=False, as the queries have it, it gets its own id, which is the library's default.
+    further than one character past a token, so a text's ids are those of its pieces between such spaces. A piece of
+    letters and the signs behind them is parted between the two as well. Pieces stay known while they are met: there
+    are two generations of most_known pieces, and one that is met again moves to the younger. New pieces are encoded
+    side by side, as one text, whose ids are dealt to the pieces by the bytes that each id stands for. A special token
+    that stands in a text is spelled by ordinary pieces; with spelled=False, as the queries have it, it gets its own
+    id, which is the library's default.
     """
 
     _inner = re.compile(r"\s ")
     _cut = re.compile(r"(?<=\S) ")
+    #: Letters, then signs other than the apostrophe, which can begin a token of its own.
+    _signed = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]+)")
+    _SIDE_BY_SIDE = 1_024
 
     def __init__(self, path: str, most_known: int = 250_000, spelled: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -83,24 +79,65 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = spelled
-        self.known, self.most_known = _Known(), most_known
-
-    def _encoded(self, pieces: list[str]) -> list[bytes]:
-        return [
-            np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        ]
+        vocabulary = self.tokenizer.get_vocab()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():  # a character of a token stands for a byte
+            self.n_bytes[i] = len(token.encode()) if token in self.special else len(token)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.most_known = most_known
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _alone(self, pieces: list[str]) -> list[bytes]:
+        return [x.tobytes() for x in self._encoded(pieces)]
+
+    def _side_by_side(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces that begin with a space, or are signs alone behind one: as one text they are the same."""
+        out: list[bytes] = []
+        for at in range(0, len(pieces), self._SIDE_BY_SIDE):
+            part = pieces[at : at + self._SIDE_BY_SIDE]
+            ids = self._encoded(["".join(part)])[0]
+            ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in part])
+            cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends, side="right")
+            raw = ids.tobytes()
+            out += [raw[4 * a : 4 * b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
+        return out
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Add the pieces, each behind a space, to those that are known."""
+        whole, signed, odd = [], {}, []
+        for p in pieces:
+            if m := self._signed.fullmatch(p):
+                signed[p] = m.groups()
+            elif not p or p[0].isspace() or p[-1].isspace() or any(t in p for t in self.special):
+                odd.append(p)
+            else:
+                whole.append(p)
+        heads = {head for head, _ in signed.values()} - self.known.keys() - self.older.keys() - set(whole)
+        tails = {tail for _, tail in signed.values()}
+        plain = [*whole, *heads]
+        self.known.update(zip(plain, self._side_by_side([f" {p}" for p in plain])))
+        self.known.update(zip(odd, self._alone([f" {p}" for p in odd])))
+        ends = list(tails)
+        of_tail = dict(zip(ends, self._alone(ends)))
+        known, older = self.known, self.older
+        known.update((p, (known.get(head) or older[head]) + of_tail[tail]) for p, (head, tail) in signed.items())
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         pieces = [self._cut.split(t) if self._inner.search(t) else t.split(" ") for t in texts]
-        heads = self._encoded([p[0] for p in pieces])
-        new = list(set(chain.from_iterable(p[1:] for p in pieces)).difference(self.known))
-        found = dict(zip(new, self._encoded([f" {p}" for p in new])))
-        if len(self.known) + len(found) <= self.most_known:
-            self.known.update(found)
-        else:
-            self.known.extra = found
+        heads = self._alone([p[0] for p in pieces])
+        met = set(chain.from_iterable(p[1:] for p in pieces)).difference(self.known)
+        again = met & self.older.keys()
+        self.known.update((p, self.older[p]) for p in again)
+        self._learn(met - again)
         get = self.known.__getitem__
-        return [head + b"".join(map(get, p[1:])) for head, p in zip(heads, pieces)]
+        out = [head + b"".join(map(get, p[1:])) for head, p in zip(heads, pieces)]
+        if len(self.known) > self.most_known:
+            self.known, self.older = {}, self.known
+        return out
 
 
 @lru_cache(2)

@@ -31,12 +31,21 @@ def test_piecewise_encoding_equals_whole_encoding():
         "\u0085 next", "tab\t\tspace \t x", "emoji 😀  😀", "a" * 5000, "ab " * 3000,
     ]
     coder = tf.Encoder(VOCABULARY)
-    for most in (250_000, 3):
+    for most in (250_000, 3, 3):
         coder.most_known = most
         got = [np.frombuffer(x, "<u4").tolist() for x in coder(texts)]
         assert got == plain(texts)
 
 
+def test_random_texts_in_batches():
+    rng = np.random.default_rng(12)
+    parts = [*"abcéßñ日１2.,!?'\"-$%&_`", "the", "ing", "word", "'s", "'ll", " ", " ", " ", "  ", "\n", "\t", "\u0345", "\u00aa", "\u01c5", "\u024f", "\u0250"]
+    texts = ["".join(parts[i] for i in rng.integers(0, len(parts), rng.integers(0, 60))) for _ in range(4_000)]
+    coder = tf.Encoder(VOCABULARY, most_known=500)
+    got = [x for at in range(0, len(texts), 300) for x in coder(texts[at : at + 300])]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == plain(texts)
+
+
 def expected(rows):
     out, start = [], 0
     rows = sorted(((d, t or "") for d, t in rows if d is not None))
