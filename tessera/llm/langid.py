@@ -21,10 +21,10 @@ from tessera.llm.common import map_rows, saved, texts_of
 from tessera.llm.lattice import SPACE, pieces
 
 #: The models are fitted on at most so many documents of each language (those of the smallest hash).
-MOST_PER_LANGUAGE = 1_000
-ROUNDS = 2
-#: Letters are counted in words; longer runs are scored in stretches of so many characters.
-STRETCH = 40
+MOST_PER_LANGUAGE = 2_000
+ROUNDS = 3
+#: Words whose sums are made at once; this bounds memory alone.
+_AT_ONCE = 16_384
 UNDETERMINED = "und"
 _FLOOR = 1e-9
 #: Stands between words; no text that Spark holds has a lone surrogate.
@@ -46,37 +46,12 @@ def word_counts(text: str) -> Counter:
     return Counter({w.decode("utf-8", "surrogatepass"): n for w, n in counts.items()})
 
 
-def stretches(word: str) -> list[str]:
-    spelled = SPACE + word
-    return [spelled[i : i + STRETCH] for i in range(0, len(spelled), STRETCH)]
-
-
-def forward(table: dict[str, tuple[float, ...]], longest: int, n_langs: int, text: str) -> list[list[float]]:
-    """For each place of one text, the summed probability of all spellings up to it, by language."""
-    n = len(text)
-    sums = [[0.0] * n_langs for _ in range(n + 1)]
-    sums[0] = [1.0] * n_langs
-    langs = range(n_langs)
-    for i in range(n):
-        here = sums[i]
-        single = False
-        for j in range(i + 1, min(n, i + longest) + 1):
-            p = table.get(text[i:j])
-            if p is not None:
-                single = single or j == i + 1
-                there = sums[j]
-                for k in langs:
-                    there[k] += here[k] * p[k]
-        if not single:
-            there = sums[i + 1]
-            for k in langs:
-                there[k] += here[k] * _FLOOR
-    return sums
-
-
-class Forward:
-    """The same sums for many texts at once: an Aho-Corasick pass finds all pieces of all texts, and the places at
-    one distance from their text's start are summed together."""
+class Sums:
+    """Sums over all segmentations of many words at once, in logarithms, so that a word may be of any length.
+
+    An Aho-Corasick pass finds all pieces of all words; the places at one distance from their word's start (or end) are
+    summed together. A character that is no piece is a step of its own, of a small fixed probability.
+    """
 
     def __init__(self, model: Model) -> None:
         langs, table = model
@@ -84,12 +59,12 @@ class Forward:
         for n, piece in enumerate(table):
             self.finder.add_word(piece, n << 8 | len(piece))
         self.finder.make_automaton()
-        self.share = np.vstack([np.array(list(table.values())), np.full(len(langs), _FLOOR)])
+        self.log_share = np.log(np.vstack([np.array(list(table.values())).reshape(-1, len(langs)), np.full(len(langs), _FLOOR)]))
 
-    def steps(self, texts: list[str]):
-        """(place in the row of all texts where each step starts, and ends, its piece), and each text's first place."""
-        joined = _END.join([*texts, ""])
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    def _steps(self, words: list[str]):
+        """(where each step starts and ends in the row of all words, its piece), each word's first place, lengths."""
+        joined = _END.join([*words, ""])
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
         first = np.cumsum(lengths + 1) - lengths - 1
         found = np.fromiter(chain.from_iterable(self.finder.iter(joined)), np.int64).reshape(-1, 2)
         size, piece, end = found[:, 1] & 255, found[:, 1] >> 8, found[:, 0] + 1
@@ -98,52 +73,51 @@ class Forward:
         bare = np.flatnonzero(bare)
         start = np.concatenate([end - size, bare])
         end = np.concatenate([end, bare + 1])
-        piece = np.concatenate([piece, np.full(len(bare), len(self.share) - 1)])
+        piece = np.concatenate([piece, np.full(len(bare), len(self.log_share) - 1)])
         return start, end, piece, first, lengths
 
-    def __call__(self, texts: list[str]) -> np.ndarray:
-        """Log-probabilities, a row for each text."""
-        if not texts:
-            return np.zeros((0, self.share.shape[1]))
-        start, end, piece, first, lengths = self.steps(texts)
-        depth = np.arange(lengths.sum() + len(lengths)) - np.repeat(first, lengths + 1)
-        order = np.lexsort((end, depth[end]))
-        start, end, piece = start[order], end[order], piece[order]
-        sums = np.zeros((len(depth), self.share.shape[1]))
-        sums[first] = 1.0
-        edges = np.searchsorted(depth[end], np.arange(1, int(depth.max()) + 2)).tolist()
+    def _passed(self, source: np.ndarray, to: np.ndarray, piece: np.ndarray, depth: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Log-sums of all ways from begin to each place, over steps that lead to greater depths."""
+        order = np.lexsort((to, depth[to]))
+        source, to, piece = source[order], to[order], piece[order]
+        sums = np.full((len(depth), self.log_share.shape[1]), -np.inf)
+        sums[begin] = 0.0
+        edges = np.searchsorted(depth[to], np.arange(1, int(depth.max(initial=0)) + 2)).tolist()
         for a, b in zip(edges, edges[1:]):
-            to = end[a:b]
-            heads = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if b > a else []
-            if len(heads):
-                sums[to[heads]] = np.add.reduceat(sums[start[a:b]] * self.share[piece[a:b]], heads)
-        return np.log(np.maximum(sums[first + lengths], 1e-300))
-
-
-def expected_counts(model: Model, longest: int, word: str, counts: list[float], out: dict[str, list[float]]) -> None:
-    """Add each piece's expected use in a word, for each language so many times, to out."""
-    langs, table = model
-    n_langs = len(langs)
-    for text in stretches(word):
-        n = len(text)
-        ahead = forward(table, longest, n_langs, text)
-        back = [[0.0] * n_langs for _ in range(n)] + [[1.0] * n_langs]
-        scale = [c / max(p, 1e-300) for c, p in zip(counts, ahead[n])]
-        for i in range(n - 1, -1, -1):
-            single = False
-            for j in range(i + 1, min(n, i + longest) + 1):
-                piece = text[i:j]
-                p = table.get(piece)
-                if p is not None:
-                    single = single or j == i + 1
-                    to = out.setdefault(piece, [0.0] * n_langs)
-                    for k in range(n_langs):
-                        mass = p[k] * back[j][k]
-                        back[i][k] += mass
-                        to[k] += ahead[i][k] * mass * scale[k]
-            if not single:
-                for k in range(n_langs):
-                    back[i][k] += _FLOOR * back[i + 1][k]
+            if a < b:
+                heads = np.flatnonzero(np.concatenate([[True], to[a + 1 : b] != to[a : b - 1]]))
+                ways = sums[source[a:b]] + self.log_share[piece[a:b]]
+                top = np.maximum.reduceat(ways, heads)
+                ways -= np.repeat(top, np.diff([*heads.tolist(), b - a]), axis=0)
+                sums[to[a:b][heads]] = top + np.log(np.add.reduceat(np.exp(ways), heads))
+        return sums
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        """Log-probabilities, a row for each word."""
+        out = [np.zeros((0, self.log_share.shape[1]))]
+        for at in range(0, len(words), _AT_ONCE):
+            start, end, piece, first, lengths = self._steps(words[at : at + _AT_ONCE])
+            depth = np.arange(lengths.sum() + len(lengths)) - np.repeat(first, lengths + 1)
+            out.append(self._passed(start, end, piece, depth, first)[first + lengths])
+        return np.concatenate(out)
+
+    def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
+        """How often each piece is expected in the words, each of so many (a column for each language): a row for each
+        piece of the model."""
+        n = len(self.log_share)
+        out = np.zeros((n, self.log_share.shape[1]))
+        for at in range(0, len(words), _AT_ONCE):
+            start, end, piece, first, lengths = self._steps(words[at : at + _AT_ONCE])
+            depth = np.arange(lengths.sum() + len(lengths)) - np.repeat(first, lengths + 1)
+            left = np.repeat(lengths, lengths + 1) - depth
+            ahead = self._passed(start, end, piece, depth, first)
+            back = self._passed(end, start, piece, left, first + lengths)
+            word = np.searchsorted(first, start, side="right") - 1
+            share = np.exp(ahead[start] + self.log_share[piece] + back[end] - ahead[first + lengths][word])
+            share *= counts[at : at + _AT_ONCE][word]
+            for k in range(out.shape[1]):
+                out[:, k] += np.bincount(piece, share[:, k], minlength=n)
+        return out[:-1]
 
 
 def in_fold(fold: int = 2, of: int = 4):
@@ -153,14 +127,19 @@ def in_fold(fold: int = 2, of: int = 4):
 def fit(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS, most: int = MOST_PER_LANGUAGE) -> Model:
     """Languages and the piece probabilities of each, from docs' text and lang.
 
-    At most `most` documents of each language are read, chosen by hash. What reaches the driver is a number for
-    each piece and language: the vocabulary bounds it.
+    At most `most` documents of each language are read: those of the smallest hash of doc_id. What reaches the driver is
+    a number for each piece and language: the vocabulary bounds it.
     """
     spark = docs.sparkSession
-    labelled = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = labelled.select("doc_id", "lang").withColumn("nth", nth).where(F.col("nth") <= most).select("doc_id").distinct()
-    sample = labelled.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    labelled = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").select(
+        F.col("lang").cast("string").alias("lang"), text.alias("text"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 62)).alias("mark")
+    )
+    # a mark below the bar has about 1.2 * most of a language's rows, however many there are: one task orders only those
+    bars = labelled.groupBy("lang").agg((F.least(F.lit(1.0), (1.2 * most + 100) / F.count("*")) * float(1 << 62)).alias("bar"))
+    low = labelled.join(bars, "lang").where("mark < bar")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("mark", "text"))
+    sample = saved(low.withColumn("nth", nth).where(F.col("nth") <= most).select("lang", "text"), "labelled")
     langs = sorted(r.lang for r in sample.select("lang").distinct().collect())
     if not langs:
         return [], {}
@@ -176,23 +155,23 @@ def fit(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS, most: int = MOST
     words = saved(counted.groupBy("word").pivot("lang", langs).agg(F.sum("n")).na.fill(0), "words")
 
     names = list(pieces(vocabulary).ids)
-    longest = pieces(vocabulary).longest
     model: Model = langs, dict.fromkeys(names, (1 / len(names),) * len(langs))
     columns = [f"n{k}" for k in range(len(langs))]
     for _ in range(rounds):
         held = spark.sparkContext.broadcast(model)
 
         def expect(cols: list) -> dict:
-            out: dict[str, list[float]] = {}
-            for word, *counts in zip(*cols):
-                expected_counts(held.value, longest, word, counts, out)
-            return {"piece": list(out)} | {c: [v[k] for v in out.values()] for k, c in enumerate(columns)}
-
-        made = map_rows(words, expect, ", ".join(["piece string", *(f"{c} double" for c in columns)]))
-        totals = {r[0]: r[1:] for r in made.groupBy("piece").agg(*(F.sum(c) for c in columns)).collect()}
-        mass = [sum(v[k] for v in totals.values()) + 0.01 * len(names) for k in range(len(langs))]
-        none = (0.0,) * len(langs)
-        model = langs, {p: tuple((c + 0.01) / m for c, m in zip(totals.get(p, none), mass)) for p in names}
+            found = Sums(held.value).expected([SPACE + w for w in cols[0]], np.array(cols[1:], float).T)
+            some = np.flatnonzero(found.any(1))
+            return {"piece": some} | {c: found[some, k] for k, c in enumerate(columns)}
+
+        made = map_rows(words, expect, ", ".join(["piece int", *(f"{c} double" for c in columns)]))
+        totals = np.zeros((len(names), len(langs)))
+        for row in made.groupBy("piece").agg(*(F.sum(c) for c in columns)).collect():
+            totals[row[0]] = row[1:]
+        totals += 0.01
+        model = langs, dict(zip(names, map(tuple, (totals / totals.sum(0)).tolist())))
+        held.unpersist()
     return model
 
 
@@ -201,20 +180,14 @@ class Scorer:
 
     def __init__(self, model: Model, most_known: int = 300_000) -> None:
         self.langs, self.most_known = model[0], most_known
-        self.forward = Forward(model) if model[0] else None
+        self.sums = Sums(model) if model[0] else None
         self.rows: dict[str, int] = {}
         self.logs = np.zeros((0, len(self.langs)))
 
-    def _scored(self, words: list[str]) -> np.ndarray:
-        parts = [stretches(w) for w in words]
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        each = self.forward(list(chain.from_iterable(parts)))
-        return np.add.reduceat(each, np.cumsum(counts) - counts) if len(words) else each
-
     def __call__(self, texts: list[str]) -> list[tuple[str, float]]:
         counted = [word_counts(t) if self.langs and has_letter(t) else Counter() for t in texts]
         new = list(set(chain.from_iterable(counted)).difference(self.rows))
-        rows, logs = self.rows, np.vstack([self.logs, self._scored(new)]) if new else self.logs
+        rows, logs = self.rows, np.vstack([self.logs, self.sums([SPACE + w for w in new])]) if new else self.logs
         if new and len(rows) + len(new) <= self.most_known:
             rows.update(zip(new, range(len(rows), len(rows) + len(new))))
             self.logs = logs

@@ -38,23 +38,36 @@ def spelled(table, text, lang):
 def test_forward_sums_all_segmentations():
     model = small_model()
     texts = [SPACE + w for w in ("ab", "abba", "babab", "aca", "", "日a")]
-    got = langid.Forward(model)(texts)
+    got = langid.Sums(model)(texts)
     for text, row in zip(texts, got):
         for k in range(2):
-            want = spelled(model[1], text, k)
-            assert row[k] == pytest.approx(math.log(want))
-            assert langid.forward(model[1], 2, 2, text)[-1][k] == pytest.approx(want)
+            assert row[k] == pytest.approx(math.log(spelled(model[1], text, k)))
+
+
+def test_words_of_any_length_are_summed_whole():
+    """By the sum's recursion over a word of one letter: s(n) = s(n-1) p(a) + s(n-2) p(aa)."""
+    p, q, n = (0.1, 0.01), (0.02, 0.03), 3_000
+    model = ["x", "y"], {"a": p, "aa": q, SPACE: (0.5, 0.5)}
+    got = langid.Sums(model)([SPACE + "a" * n, SPACE + "a" * 80])
+    for k in range(2):
+        logs = [0.0, math.log(p[k])]
+        for _ in range(n - 1):
+            one, two = logs[-1] + math.log(p[k]), logs[-2] + math.log(q[k])
+            logs.append(max(one, two) + math.log1p(math.exp(-abs(one - two))))
+        assert got[0][k] == pytest.approx(math.log(0.5) + logs[n]) and got[1][k] == pytest.approx(math.log(0.5) + logs[80])
+    table = {"a": (0.1, 0.1), "b": (0.1, 0.1), "ab": (0.0001, 0.2), SPACE: (0.1, 0.1)}
+    assert [x for x, _ in langid.Scorer((["x", "y"], table))(["ab" * 400, "日本語" * 50])] == ["y", "x"]
 
 
 def test_expected_counts_are_posterior_means():
-    model, out = small_model(), {}
-    langid.expected_counts(model, 2, "ab", [3.0, 1.0], out)
+    model = small_model()
+    out = dict(zip(model[1], langid.Sums(model).expected([SPACE + "ab"], np.array([[3.0, 1.0]]))))
     ways = [[SPACE, "a", "b"], [SPACE, "ab"], [SPACE + "a", "b"]]
     for k, n in enumerate((3.0, 1.0)):
         weights = [math.prod(model[1][p][k] for p in w) for w in ways]
         for piece in model[1]:
             want = n * sum(x * w.count(piece) for x, w in zip(weights, ways)) / sum(weights)
-            assert out.get(piece, [0, 0])[k] == pytest.approx(want)
+            assert out[piece][k] == pytest.approx(want)
 
 
 def test_batches_do_not_matter():
