@@ -1,14 +1,12 @@
 """Mixing documents to target weights: token weights of (source, language, topic) cells are raked to marginals by
 iterative proportional fitting, and documents are sampled by the calibrated probabilities.
 
-DataFrame functions only. What is iterated is one factor for each value of a dimension, not the documents; each step
-is a pre-aggregated sum of cells by one dimension, so a value that holds most cells is no single task's group.
+DataFrame functions only. What is iterated is the table of cells, not the documents; each step is a pre-aggregated sum
+of cells by one dimension, so a value that holds most cells is no single task's group.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +18,7 @@ POWERS = {"source": 0.7, "lang": 0.7, "topic": 0.8}
 #: Expected share of all tokens that is kept.
 BUDGET = 0.5
 MOST_ROUNDS, TOLERANCE = 50, 1e-10
-#: Cells for one part of a written table of factors.
+#: Cells for one part of a written table of cells.
 CELLS_A_PART = 200_000
 #: Tables of cells or factors up to so many rows are broadcast; larger ones are joined.
 MOST_BROADCAST_CELLS = 100_000
@@ -55,53 +53,40 @@ def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
     return raised.join(raised.agg(F.sum("t").alias("all")), F.lit(True)).select("value", (F.col("t") / F.col("all")).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def rake(
+    cells: DataFrame, targets: dict[str, DataFrame], rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE
+) -> tuple[DataFrame, float]:
     """cells (dimensions, which are strings, and mass) with weight: shares of 1 that keep the cells' interactions and
-    meet the targets.
+    meet the targets; and the residual, the largest share by which a factor still moved in the last round.
 
     targets: for each dimension, (value, share); a value without a target gets weight 0. Rounds end when no value's
-    factor moves by more than tolerance (a share of it), which one number tells the driver, or at `rounds` where
-    targets contradict each other.
+    factor moves by more than tolerance, which one number tells the driver. Targets that contradict each other end at
+    `rounds`, and the residual, which is above tolerance then, tells so.
 
-    A cell's weight is its mass times one factor for each of its values, so a round writes factors only, and no
-    round's plan holds an earlier round.
+    Each dimension's step is a job of its own, over cells that were written by the step before: sums of the weights by
+    that dimension, which are pre-aggregated, and one join with them. No step's plan holds an earlier one.
     """
-    cells = cells.where("mass > 0")
-    parts = 1 + cells.count() // CELLS_A_PART
-    cells = saved(cells.coalesce(parts), "cells")
-
-    def written(factors: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
-        each = [f.select(F.lit(d).alias("dimension"), F.col(d).alias("value"), "target", "factor", "moved") for d, f in factors.items()]
-        table = saved(reduce(DataFrame.union, each).coalesce(parts), "factors")
-        return table, {d: table.where(F.col("dimension") == d).select(F.col("value").alias(d), "target", "factor") for d in factors}
-
-    def hinted(factors: DataFrame) -> DataFrame:
-        return F.broadcast(factors) if small else factors
-
-    def weighted(factors: dict[str, DataFrame]) -> DataFrame:
-        now, product = cells, F.col("mass").cast("double")
-        for d, table in factors.items():
-            now = now.join(hinted(table.select(d, F.col("factor").alias(f"x_{d}"))), d)
-            product = product * F.col(f"x_{d}")
-        return now.select(*cells.columns, product.alias("weight"))
-
-    first = {}
+    columns = cells.columns
+    now = cells.where("mass > 0").withColumns({"weight": F.col("mass").cast("double"), "moved": F.lit(0.0)})
+    parts = 1 + now.count() // CELLS_A_PART
     for d, t in targets.items():
-        known = cells.select(d).distinct().join(t.select(F.col("value").alias(d), "share"), d, "left")
-        first[d] = known.select(d, F.coalesce("share", F.lit(0.0)).alias("target"), F.lit(1.0).alias("factor"), F.lit(1.0).alias("moved"))
-    table, held = written(first)
-    small = table.count() <= MOST_BROADCAST_CELLS
+        now = now.join(t.select(F.col("value").alias(d), F.col("share").alias(f"t_{d}")), d, "left")
+    now = saved(now.na.fill(0.0, [f"t_{d}" for d in targets]).coalesce(parts), "cells")
+    values = now.agg(*(F.count_distinct(d).alias(d) for d in targets)).first()
+    residual = 0.0
     for _ in range(rounds):
-        now = dict(held)
-        for d in held:
-            sums = weighted({other: now[other] for other in now if other != d}).groupBy(d).agg(F.sum("weight").alias("sum"))
-            factor = F.when(F.col("sum") > 0, F.col("target") / F.col("sum")).otherwise(0.0)
-            moved = F.when(F.col("factor") > 0, F.abs(factor / F.col("factor") - 1)).otherwise(0.0)
-            now[d] = sums.join(hinted(held[d]), d).select(d, "target", factor.alias("factor"), moved.alias("moved"))
-        table, held = written(now)
-        if (table.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
+        for n, d in enumerate(targets):
+            sums = now.groupBy(d).agg(F.sum("weight").alias("sum"))
+            factor = F.when(F.col("sum") > 0, F.col(f"t_{d}") / F.col("sum")).otherwise(0.0)
+            moved = F.when(F.col("weight") > 0, F.abs(factor - 1)).otherwise(0.0)
+            stepped = now.join(F.broadcast(sums) if values[d] <= MOST_BROADCAST_CELLS else sums, d).select(
+                *columns, *(f"t_{x}" for x in targets), (F.col("weight") * factor).alias("weight"), (F.greatest("moved", moved) if n else moved).alias("moved")
+            )
+            now = saved(stepped.coalesce(parts), "cells")
+        residual = now.agg(F.max("moved")).first()[0] or 0.0
+        if residual <= tolerance:
             break
-    return weighted(held)
+    return now.select(*columns, "weight"), residual
 
 
 def calibrated(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
@@ -130,16 +115,19 @@ def draw(doc_id: Column, seed: str) -> Column:
 def mix(
     docs: DataFrame, powers: dict[str, float] = POWERS, budget: float = BUDGET, seed: str = "mix", targets: dict[str, DataFrame] | None = None
 ) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, probability, kept for every document.
+    """doc_id, source, lang, topic, n_tokens, probability, kept for every document, and residual: how far the fitting
+    was from its end (see rake), the same in all rows.
 
     Missing source, lang or text have a value of their own, (none), that is raked as any other; documents without
     words have no mass and are kept with probability 0. Rows that repeat a doc_id share a draw, so they are kept or
     dropped together; a null doc_id is never kept. An empty table gives an empty result; other columns are not read.
+    The texts are read once: what is written of them is their cells and token counts.
     """
-    each = weighed(docs)
+    each = saved(weighed(docs), "weighed")
     cells = saved(each.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("mass")), "cells")
     wanted = targets or {d: tempered(cells, d, powers[d]) for d in DIMENSIONS}
-    done = saved(calibrated(rake(cells, wanted), budget).select(*DIMENSIONS, "probability"), "cells")
+    raked, residual = rake(cells, wanted)
+    done = saved(calibrated(raked, budget).select(*DIMENSIONS, "probability"), "cells")
     if done.count() <= MOST_BROADCAST_CELLS:
         done = F.broadcast(done)
     probability = F.when(F.col("n_tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(0.0)
@@ -148,7 +136,7 @@ def mix(
         .withColumn("probability", probability)
         .select(
             "doc_id", *DIMENSIONS, "n_tokens", "probability",
-            F.coalesce(draw(F.col("doc_id"), seed) < F.col("probability"), F.lit(False)).alias("kept"),
+            F.coalesce(draw(F.col("doc_id"), seed) < F.col("probability"), F.lit(False)).alias("kept"), F.lit(residual).alias("residual"),
         )
     )
 

@@ -86,6 +86,7 @@ def _op5() -> str:
     step = "SELECT i, source, lang, topic, mass, weight FROM r"
     for d in mixing.DIMENSIONS:
         step = f"SELECT i, source, lang, topic, mass, weight * share / sum(weight) OVER (PARTITION BY {d}) AS weight FROM ({step}) JOIN t_{d} ON {d} = value"
+    off = " UNION ALL ".join(f"SELECT sum(weight) / any_value(share) - 1 AS off FROM k JOIN t_{d} ON {d} = value GROUP BY {d}" for d in mixing.DIMENSIONS)
     return f"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '{mixing.MISSING}') AS source, coalesce(lang, '{mixing.MISSING}') AS lang,
     {topic} WHEN length(text) < {mixing.SHORT} THEN 'short' ELSE 'prose' END AS topic, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS n_tokens FROM documents),
@@ -96,10 +97,11 @@ k AS (SELECT *, weight / mass AS rate FROM r WHERE i = {mixing.MOST_ROUNDS}),
 o AS (SELECT *, coalesce(sum(mass) OVER before, 0) AS mass_before, coalesce(sum(weight) OVER before, 0) AS weight_before, sum(mass) OVER () AS mass_all, sum(weight) OVER () AS weight_all
   FROM k WINDOW before AS (ORDER BY rate DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 s AS (SELECT scale FROM (SELECT *, ({mixing.BUDGET} * mass_all - mass_before) / (weight_all - weight_before) AS scale FROM o) WHERE scale * rate < 1 ORDER BY rate DESC, source, lang, topic LIMIT 1),
-p AS (SELECT source, lang, topic, least(1.0, rate * scale) AS probability FROM k, s)
+p AS (SELECT source, lang, topic, least(1.0, rate * scale) AS probability FROM k, s),
+z AS (SELECT coalesce(round(max(abs(off)), 6), 0)::DOUBLE AS residual FROM ({off}))
 SELECT doc_id, source, lang, topic, n_tokens, round(CASE WHEN n_tokens > 0 THEN probability ELSE 0 END, 6) AS probability,
-  coalesce(n_tokens > 0 AND ('0x' || substr(md5('mix|' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < probability, false) AS kept
-FROM d LEFT JOIN p USING (source, lang, topic)"""
+  coalesce(n_tokens > 0 AND ('0x' || substr(md5('mix|' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < probability, false) AS kept, residual
+FROM d LEFT JOIN p USING (source, lang, topic), z"""
 
 
 def _op3() -> str:

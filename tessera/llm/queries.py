@@ -30,7 +30,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read_table(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 6))
+    """Every document's cell, calibrated probability and draw; probability and residual to six digits."""
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
+    return mixed.withColumns({"probability": F.round("probability", 6), "residual": F.round("residual", 6)})
 
 
 def op6_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

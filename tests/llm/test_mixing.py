@@ -25,7 +25,8 @@ def test_rake_meets_targets_as_brute_force(spark):
     cells = spark.createDataFrame([(*k, int(mass[i])) for k, i in zip(itertools.product(*names), np.ndindex(mass.shape))], "source string, lang string, topic string, mass long")
     targets = [rng.dirichlet(np.ones(n) * 5) for n in mass.shape]
     frames = {d: spark.createDataFrame(list(zip(names[i], targets[i].tolist())), "value string, share double") for i, d in enumerate(mixing.DIMENSIONS)}
-    raked = mixing.rake(cells, frames)
+    raked, residual = mixing.rake(cells, frames)
+    assert residual <= mixing.TOLERANCE
     got = {(r.source, r.lang, r.topic): r.weight for r in raked.collect()}
     want = brute_rake(mass, targets)
     for k, i in zip(itertools.product(*names), np.ndindex(mass.shape)):
@@ -38,6 +39,13 @@ def test_rake_meets_targets_as_brute_force(spark):
     assert all(r.weight / r.mass * free[0] >= 1 - 1e-9 for r in done if r.probability == 1)
 
 
+def test_contradicting_targets_tell_so(spark):
+    cells = spark.createDataFrame([("a", "x", 5), ("b", "y", 5)], "source string, lang string, mass long")
+    frame = lambda rows: spark.createDataFrame(rows, "value string, share double")
+    _, residual = mixing.rake(cells, {"source": frame([("a", 0.9), ("b", 0.1)]), "lang": frame([("x", 0.5), ("y", 0.5)])}, rounds=4)
+    assert residual > 0.1
+
+
 def test_odd_rows(spark):
     rows = [(i, "word " * (i % 7 + 1), "en" if i % 3 else "fr", f"s{i % 2}") for i in range(60)]
     rows += [(100, None, "en", "s0"), (101, "", None, None), (102, "mit license", None, "s9"), (103, "word " * 30000, "en", None), (103, "word " * 30000, "en", None), (None, "word", "en", "s0")]
