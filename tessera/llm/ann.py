@@ -3,10 +3,11 @@
 Every vector has its place in M sorted arrays, one for each random projection. Around a query's own projection a
 window of half-width W * R / 2 is cut from each array; a vector that is in at least NEEDED of the M windows has
 collided often enough and is verified, by its exact distance. R grows by a factor of STEP (virtual rehashing: no
-array is built again) until the K-th best verified distance is within R.
+array is built again), but never beyond the K-th best verified distance, at which it ends.
 
-The arrays are kept by blocks of vectors, each small enough for a task; every block answers every query, and the
-answers of the blocks, K for each query, are merged. Nothing is as large as queries times vectors.
+The arrays are kept by blocks of vectors, each small enough for a task. A query is first answered by one block; its
+K-th distance there bounds the windows in all other blocks, which cut them once. The answers of the blocks, K for each
+query, are merged. Nothing is as large as queries times vectors.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import saved
+
 K = 10
 #: Projections, collisions needed, width of a window for distance 1, growth of the radius.
-M, NEEDED, W, STEP = 60, 33, 2.0, 1.25
+M, NEEDED, W, STEP = 200, 127, 2.0, 1.1
 #: Vectors and queries of one block.
-BLOCK, QUERIES = 8_192, 1_024
+BLOCK, QUERIES = 16_384, 4_096
 SEED = 20_240_607
 
 
@@ -31,57 +34,68 @@ def projections(dim: int, m: int = M, seed: int = SEED) -> np.ndarray:
 
 
 class SortedProjections:
-    """The index of one block: each projection's values in order, and whose they are."""
+    """The index of one block: each projection's values in order, and whose they are. The arrays lie in a row, far enough
+    apart to be searched at once."""
 
     def __init__(self, vectors: np.ndarray, directions: np.ndarray) -> None:
         image = np.ascontiguousarray((vectors @ directions).T)
-        self.who = np.argsort(image, axis=1, kind="stable").astype(np.int32)
-        self.values = np.take_along_axis(image, self.who, axis=1)
+        m, self.size = image.shape
+        order = np.argsort(image, axis=1)
+        self.most = float(np.abs(image).max(initial=0.0)) + 1.0
+        self.base = np.arange(m) * self.size
+        self.offset = np.arange(m) * (4 * self.most)
+        self.values = (np.take_along_axis(image, order, axis=1) + self.offset[:, None]).ravel()
+        self.who = order.astype(np.int32).ravel()
 
     def windows(self, image: np.ndarray) -> Windows:
         return Windows(self, image)
 
+    def within(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """In each array, the places of values from low to high."""
+        low, high = (np.clip(x, -self.most, self.most) + self.offset for x in (low, high))
+        return np.searchsorted(self.values, low), np.searchsorted(self.values, high, side="right")
+
 
 class Windows:
     """One query's windows, one in each array, and how many of them hold each vector. They only ever widen."""
 
     def __init__(self, index: SortedProjections, image: np.ndarray) -> None:
         self.index, self.image = index, image
-        at = [int(np.searchsorted(v, x)) for v, x in zip(index.values, image)]
-        self.low, self.high = list(at), at
-        self.counts = np.zeros(index.values.shape[1], np.int64)
+        self.low = self.high = index.within(image, image)[0]
+        self.counts = np.zeros(index.size, np.int64)
 
     def widen(self, half: float) -> np.ndarray:
-        new = []
-        for j, (values, who, x) in enumerate(zip(self.index.values, self.index.who, self.image)):
-            a = int(np.searchsorted(values, x - half))
-            b = int(np.searchsorted(values, x + half, side="right"))
-            new += [who[a : self.low[j]], who[self.high[j] : b]]
-            self.low[j], self.high[j] = min(a, self.low[j]), max(b, self.high[j])
-        self.counts += np.bincount(np.concatenate(new), minlength=len(self.counts))
+        a, b = self.index.within(self.image - half, self.image + half)
+        a, b, who = np.minimum(a, self.low), np.maximum(b, self.high), self.index.who
+        new = [who[x:y] for x, y in zip([*a.tolist(), *self.high.tolist()], [*self.low.tolist(), *b.tolist()]) if x < y]
+        if new:
+            self.counts += np.bincount(np.concatenate(new), minlength=len(self.counts))
+        self.low, self.high = a, b
         return self.counts
 
 
 def nearest(
-    ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = K,
+    ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = K, bars: np.ndarray | None = None,
     m: int = M, needed: int = NEEDED, width: float = W, step: float = STEP,
-) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query_id, ids, distances) of each query's nearest verified vectors of a block, up to all that tie with the k-th
-    different id."""
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(query_id, ids, distances, how many were verified) of each query's nearest verified vectors of a block, up to all
+    that tie with the k-th different id. bars: distances of which only such up to them are wanted, for each query."""
     directions = projections(vectors.shape[1], m)
     index = SortedProjections(vectors, directions)
     images = queries @ directions
     norms = (vectors**2).sum(1)
     spread = float(np.sqrt((vectors.var(0)).sum())) or 1.0
     names, name = np.unique(ids, return_inverse=True)
-    for query_id, query, image in zip(query_ids, queries, images):
+    for n, (query_id, query, image) in enumerate(zip(query_ids, queries, images)):
+        bar = np.inf if bars is None else float(bars[n])
         wanted = min(k, int((names != query_id).sum()))
-        radius, bar = spread / 2, np.inf
+        radius = bar if np.isfinite(bar) else spread / 2
         windows = index.windows(image)
         verified = np.zeros(len(ids), bool)
         distance = np.full(len(ids), np.inf)
         least = np.full(len(names), np.inf)  # of each id
         verified[ids == query_id] = True
+        own = int(verified.sum())
         while wanted:
             hit = np.flatnonzero((windows.widen(width * radius / 2) >= needed) & ~verified)
             if len(hit):
@@ -90,17 +104,16 @@ def nearest(
                 rough = norms[hit] - 2 * (vectors[hit] @ query) + query @ query
                 squares = least**2
                 np.minimum.at(squares, name[hit], rough)
-                most = np.partition(squares, wanted - 1)[wanted - 1]
+                most = min(np.partition(squares, wanted - 1)[wanted - 1], bar * bar)
                 near = hit[rough <= most + 1e-6 * (1 + abs(most))]
                 distance[near] = np.sqrt(((vectors[near] - query) ** 2).sum(1))
                 np.minimum.at(least, name[near], distance[near])
-                bar = np.partition(least, wanted - 1)[wanted - 1]
+                bar = min(bar, np.partition(least, wanted - 1)[wanted - 1])
             if bar <= radius or verified.all():
                 break
-            radius *= step
-        if wanted:
-            took = np.flatnonzero(distance <= bar)
-            yield query_id, ids[took], distance[took]
+            radius = min(radius * step, bar)
+        took = np.flatnonzero((distance <= bar) & (distance < np.inf))
+        yield query_id, ids[took], distance[took], int(verified.sum()) - own
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
@@ -118,41 +131,57 @@ def usable(embeddings: DataFrame) -> DataFrame:
 
 def search(embeddings: DataFrame, every: int = 100, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: for each query (vec_id divisible by `every`) its k nearest found by Euclidean
-    distance, nearest first, ties to the smaller vec_id; the query's own row is no candidate of it.
+    distance, nearest first, ties to the smaller vec_id; the query's own row is no candidate of it. And verified: of how
+    many vectors the query's distance was computed.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without a
     vec_id; vectors of different lengths are never compared. Rows that repeat a vec_id and vector count once; if
     the vectors differ, the nearer one counts. Queries with fewer candidates get all; other columns are not read.
     """
     spark = embeddings.sparkSession
-    rows = usable(embeddings).withColumn("dim", F.size("vector"))
+    rows = saved(usable(embeddings).withColumn("dim", F.size("vector")), "vectors")
     sizes = {r.dim: r.n for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     # a block holds about BLOCK vectors of one length, by hash; likewise the chunks of queries
     blocks = spark.createDataFrame(
         [(d, max(1, -(-n // BLOCK)), max(1, -(-n // (every * QUERIES)))) for d, n in sizes.items()], "dim int, blocks int, chunks int"
     )
-    placed = rows.join(F.broadcast(blocks), "dim")
     spot = F.xxhash64("vec_id")
-    vectors = placed.select(
-        "dim", F.pmod(spot, "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "vec_id", "vector"
-    )
-    asked = placed.where(F.col("vec_id") % every == 0).select(
-        F.col("dim").alias("q_dim"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q_block"),
-        F.pmod(spot, "chunks").cast("int").alias("q_chunk"), F.col("vec_id").alias("q_id"), F.col("vector").alias("q_vector"),
-    )
+    placed = rows.join(F.broadcast(blocks), "dim").withColumn("block", F.pmod(spot, "blocks").cast("int"))
+    asked = placed.where(F.col("vec_id") % every == 0).withColumn("chunk", F.pmod(F.xxhash64(spot), "chunks").cast("int"))
 
     def answer(block: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(block) and len(queries):
             data, q = np.stack(block["vector"].to_list()), np.stack(queries["q_vector"].to_list())
-            for query_id, ids, distances in nearest(block["vec_id"].to_numpy(), data, queries["q_id"].to_numpy(), q, k):
+            for query_id, ids, distances, verified in nearest(
+                block["vec_id"].to_numpy(), data, queries["q_id"].to_numpy(), q, k, queries["bar"].to_numpy(float)
+            ):
                 order = np.lexsort((ids, distances))
                 keep = order[np.sort(np.unique(ids[order], return_index=True)[1])][:k]
-                found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[keep], "score": distances[keep]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                # the first row of a block has no vec_id, but tells what was verified
+                columns = {"vec_id": [None, *ids[keep].tolist()], "score": [None, *distances[keep]], "verified": [verified] + [0] * len(keep)}
+                found.append(pd.DataFrame({"query_id": query_id} | columns).astype({"vec_id": "Int64"}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "verified": []})
+
+    def answered(queries: DataFrame) -> DataFrame:
+        """queries: dim, block, chunk, vec_id, vector, bar; each meets the vectors of its block."""
+        key = ["dim", "block", "chunk"]
+        mine = queries.select(*(F.col(c).alias(f"q_{c}") for c in key), F.col("vec_id").alias("q_id"), F.col("vector").alias("q_vector"), "bar")
+        wanted = queries.select(*key).distinct()
+        vectors = placed.select("dim", "block", "vec_id", "vector").join(wanted, ["dim", "block"])
+        both = vectors.groupBy(*key).cogroup(mine.groupBy(*(f"q_{c}" for c in key)))
+        return both.applyInPandas(answer, "query_id long, vec_id long, score double, verified long")
+
+    first = saved(answered(asked.withColumn("bar", F.lit(float("inf")))), "first")
+    bars = first.where("vec_id IS NOT NULL").groupBy("query_id").agg(
+        F.when(F.count_distinct("vec_id") >= k, F.max("score")).otherwise(float("inf")).alias("bar")
+    )
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("block"))
+    known = asked.join(bars.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("bar", F.coalesce("bar", F.lit(float("inf"))))
+    second = answered(known.select("dim", F.explode(others).alias("block"), "chunk", "vec_id", "vector", "bar"))
 
-    both = vectors.groupBy("dim", "block", "chunk").cogroup(asked.groupBy("q_dim", "q_block", "q_chunk"))
-    each = both.applyInPandas(answer, "query_id long, vec_id long, score double")
-    once = each.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    each = saved(first.unionByName(second), "answers")
+    totals = each.groupBy("query_id").agg(F.sum("verified").alias("verified"))
+    once = each.where("vec_id IS NOT NULL").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return once.withColumn("rank", rank).where(F.col("rank") <= k).join(totals, "query_id").select("query_id", "rank", "vec_id", "score", "verified")

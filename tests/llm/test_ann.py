@@ -45,6 +45,19 @@ def test_recall_and_scores(spark):
         hits += len({i for _, i in found} & {i for _, i in want[q]})
         assert all(s == pytest.approx(np.sqrt(((vectors[q] - vectors[i]) ** 2).sum()), abs=1e-12) for s, i in found)
     assert hits / (10 * len(want)) >= 0.9
+    verified = [r.verified for r in ann.search(df).select("query_id", "verified").distinct().collect()]
+    assert sum(verified) / len(verified) < 0.25 * len(rows)
+
+
+def test_blocks_and_chunks_find_the_same(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in df.collect()]
+    monkeypatch.setattr(ann, "BLOCK", 90)
+    monkeypatch.setattr(ann, "QUERIES", 10)
+    got, want = answers(ann.search(df, every=20)), brute(rows, 20, 10)
+    assert set(got) == set(want) and all(len(found) == 10 for found in got.values())
+    hits = sum(len({i for _, i in found} & {i for _, i in want[q]}) for q, found in got.items())
+    assert hits / (10 * len(want)) >= 0.9
 
 
 def test_windows_count_each_vector_once():
