@@ -145,12 +145,14 @@ def near_duplicates(
 
     placed = signed.join(groups.select(F.col("id").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi")
     banded = placed.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    # written, here and below, so that the joins have two plain exchanges and Spark can split a bucket of very many sets
+    shared = saved(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
     buckets = saved(banded.join(shared, "key"), "buckets")  # only members of buckets that hold different sets
 
     met = buckets.groupBy("id").agg(F.sum("size").alias("met"))
     most = buckets.join(met, "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("a"))).alias("most"))
-    led = saved(buckets.join(most.select("key", (-F.col("most.a")).alias("lead")), "key"), "led")
+    leads = saved(most.select("key", (-F.col("most.a")).alias("lead")), "leads")
+    led = saved(buckets.join(leads, "key"), "led")
     pair = [F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")]
     pairs = led.where("id <> lead").select(*pair).distinct()
     wanted = buckets.select("id").distinct().join(groups, "id").select(F.col("id").alias("doc_id"), "k1", "k2")

@@ -25,18 +25,30 @@ r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id,
 m AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY 1)
 SELECT m.doc_id, coalesce(n, 0) AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN n ON n.doc_id = m.doc_id"""
 
-OP9 = f"""
+#: Lengths of the SQL twin's levels: no given text has more words than the last.
+_LEVELS = [WINDOW * 2**k for k in range(10)]
+
+
+def _op9() -> str:
+    """Each level's windows are pairs of the level before that both repeat, hashed by the two hashes."""
+    levels, longest = "", " UNION ALL ".join(f"SELECT doc_id, {n} AS level FROM h{n}" for n in _LEVELS)
+    for half, n in zip(_LEVELS, _LEVELS[1:]):
+        levels += f"""
+v{n} AS (SELECT a.doc_id, a.i, md5(a.g || b.g) AS g FROM h{half} a JOIN h{half} b ON a.doc_id = b.doc_id AND b.i = a.i + {half}),
+f{n} AS (SELECT g, min(doc_id) AS first, max(doc_id) AS last FROM v{n} GROUP BY 1),
+h{n} AS (SELECT doc_id, i, g FROM v{n} JOIN f{n} USING (g) WHERE first < last),"""
+    return f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
 v AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + {WINDOW - 1}], ' ')) AS g FROM w, unnest(range(1, len(ws) - {WINDOW - 2})) t(i)),
 f AS (SELECT g, min(doc_id) AS first, max(doc_id) AS last FROM v GROUP BY 1),
-h AS (SELECT doc_id, i, first < doc_id AS gone FROM v JOIN f USING (g) WHERE first < last),
-c AS (SELECT DISTINCT doc_id, i + k AS i FROM h, range({WINDOW}) r(k) WHERE gone),
+h{WINDOW} AS (SELECT doc_id, i, g, first < doc_id AS gone FROM v JOIN f USING (g) WHERE first < last),{levels}
+z AS (SELECT doc_id, max(level) AS longest FROM ({longest}) GROUP BY 1),
+c AS (SELECT DISTINCT doc_id, i + k AS i FROM h{WINDOW}, range({WINDOW}) r(k) WHERE gone),
 x AS (SELECT doc_id, ws[i] AS word, i FROM w, unnest(range(1, len(ws) + 1)) t(i)),
 k AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.i) AS kept FROM x ANTI JOIN c ON c.doc_id = x.doc_id AND c.i = x.i GROUP BY 1),
 g AS (SELECT doc_id, count(*) AS n FROM c GROUP BY 1)
-SELECT w.doc_id, len(ws) AS n_words, coalesce(g.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256,
-  CASE WHEN w.doc_id IN (SELECT doc_id FROM h) THEN {WINDOW} ELSE 0 END AS longest
-FROM w LEFT JOIN k ON k.doc_id = w.doc_id LEFT JOIN g ON g.doc_id = w.doc_id"""
+SELECT w.doc_id, len(ws) AS n_words, coalesce(g.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(longest, 0) AS longest
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id LEFT JOIN g ON g.doc_id = w.doc_id LEFT JOIN z ON z.doc_id = w.doc_id"""
 
 
 def _op6() -> str:
@@ -172,5 +184,5 @@ ORACLES: dict[str, str] = {
     "op5_raked_mixing": _op5(),
     "op6_imatch_fingerprints": _op6(),
     "op8_minhash_dedup": OP8,
-    "op9_substring_dedup": OP9,
+    "op9_substring_dedup": _op9(),
 }

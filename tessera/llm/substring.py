@@ -3,8 +3,9 @@
 The first level takes windows of half the wanted length. Not all of them: of the half-windows inside a wanted
 window the one with the smallest hash, which equal windows share, so a wanted window that repeats always holds a
 half-window of the first level that repeats. Those that do are extended to whole windows, and only these are
-counted; longer levels go on the same way while anything survives. Each level is one pre-aggregated count, so a
-passage that very many documents share costs a row a task there.
+counted; levels of twice, four times, ... the length go on the same way until nothing survives, and each document is
+given the longest level that it shares. Each level is one pre-aggregated count, so a passage that very many documents
+share costs a row a task there.
 """
 
 from __future__ import annotations
@@ -133,23 +134,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, longest: int | None =
         texts = texts.join(about.select("doc_id", "row"), ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id"])
 
     # whole copies are settled by their word sequence, and only its first document goes on
-    firsts = about.groupBy("s1", "s2", "n_words").agg(F.min("doc_id").alias("first_copy"), F.count("*").alias("copies"))
+    firsts = saved(about.groupBy("s1", "s2", "n_words").agg(F.min("doc_id").alias("first_copy"), F.count("*").alias("copies")), "firsts")
     keyed = saved(about.drop("hashes", "places").join(firsts, ["s1", "s2", "n_words"]), "keys")
-    leading = keyed.where(F.col("doc_id") == F.col("first_copy")).where(F.col("n_words") >= window).select("doc_id", "row")
+    leading = keyed.where(F.col("doc_id") == F.col("first_copy")).where(F.col("n_words") >= window).select("doc_id", "row", "n_words")
 
     first_level = about.where(F.size("places") > 0).join(leading, ["doc_id", "row"], "left_semi")
     alive = saved(_by_document(_repeated(first_level), leading), "level")
     windows = saved(_extended(texts, alive, window, window), "windows")
     repeats = saved(_repeated(windows), "repeats")
     levels = [repeats.select("doc_id", F.lit(window).alias("level")).distinct()]
-    length, alive = window, repeats
-    while 2 * length <= (longest or window):
-        length *= 2
-        at = saved(_by_document(alive, leading), "level")
+    length, alive = 2 * window, repeats
+    while longest is None or length <= longest:
+        at = saved(_by_document(alive, leading.where(F.col("n_words") >= length)), "level")
         if at.isEmpty():
             break
         alive = saved(_repeated(_extended(texts, at, window, length)), "repeats")
         levels.append(alive.select("doc_id", F.lit(length).alias("level")).distinct())
+        length *= 2
     deepest = levels[0]
     for more in levels[1:]:
         deepest = deepest.unionByName(more)
@@ -172,7 +173,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, longest: int | None =
 
     marked = _by_document(repeats, leading, F.col("first") < F.col("doc_id"))
     changed = map_rows(_with_texts(texts, saved(marked, "marks")), cut, "doc_id long, cut long, cut_sha256 string, cut_text string")
-    doublings = F.floor(F.log2(F.least(F.col("n_words"), F.lit(longest or window)) / window))
+    reached = F.col("n_words") if longest is None else F.least(F.col("n_words"), F.lit(longest))
+    doublings = F.floor(F.log2(reached / window))
     whole = (F.pow(F.lit(2.0), doublings) * window).cast("int")
     copy = (F.col("doc_id") != F.col("first_copy")) & (F.col("n_words") >= window)
     result = (

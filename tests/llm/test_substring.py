@@ -70,6 +70,14 @@ def test_longer_levels_and_texts(spark):
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in found.values())
 
 
+def test_doubling_goes_on_until_nothing_survives(spark):
+    shared = [f"s{i}" for i in range(440)]
+    rows = [(d, " ".join([f"a{d}_{i}" for i in range(9 * d)] + shared[:n] + [f"b{d}"])) for d, n in ((1, 440), (2, 420), (3, 199), (4, 60), (5, 49))]
+    df = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.longest for r in df.collect()} == {1: 400, 2: 400, 3: 100, 4: 50, 5: 0}
+    assert got(df) == brute(rows, 50)
+
+
 def test_copies_share_their_longest_level(spark):
     text = " ".join(f"w{i}" for i in range(45))
     df = substring.remove_repeats(spark.createDataFrame([(1, text), (2, text), (3, "w1 w2")], "doc_id long, text string"), 10, longest=1000)
