@@ -60,20 +60,21 @@ class Encoder:
 
     The byte-level pre-tokenizer always parts a text before a space that follows a non-space, and looks no
     further than one character past a token, so a text's ids are those of its pieces between such spaces. A piece of
-    letters and the signs behind them is parted between the two as well. Pieces stay known while they are met: there
-    are two generations of most_known pieces, and one that is met again moves to the younger. New pieces are encoded
-    side by side, as one text, whose ids are dealt to the pieces by the bytes that each id stands for. A special token
+    letters and the signs behind them is parted between the two as well, and only its letters are kept. Pieces stay
+    known while they are met: there are two generations of most_known pieces, and one that is met again moves to the
+    younger. New pieces are encoded side by side, as one text, whose ids are dealt to the pieces by the bytes that each
+    id stands for. A special token
     that stands in a text is spelled by ordinary pieces; with spelled=False, as the queries have it, it gets its own
     id, which is the library's default.
     """
 
     _inner = re.compile(r"\s ")
     _cut = re.compile(r"(?<=\S) ")
-    #: Letters, then signs other than the apostrophe, which can begin a token of its own.
-    _signed = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]+)")
+    #: Letters, then perhaps signs other than the apostrophe, which can begin a token of its own.
+    _signed = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
     _SIDE_BY_SIDE = 1_024
 
-    def __init__(self, path: str, most_known: int = 250_000, spelled: bool = True) -> None:
+    def __init__(self, path: str, most_known: int = 200_000, spelled: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -106,35 +107,44 @@ class Encoder:
             out += [raw[4 * a : 4 * b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
         return out
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Add the pieces, each behind a space, to those that are known."""
-        whole, signed, odd = [], {}, []
+    def _learn(self, pieces: set[str], special: bool) -> list[str]:
+        """Add the pieces, each behind a space, to those that are known; which of them are not to be kept."""
+        plain, odd, signed = [], [], []
+        match, tails = self._signed.fullmatch, {}
         for p in pieces:
-            if m := self._signed.fullmatch(p):
-                signed[p] = m.groups()
-            elif not p or p[0].isspace() or p[-1].isspace() or any(t in p for t in self.special):
+            if m := match(p):
+                head, tail = m.groups()
+                if tail:
+                    signed.append((p, head, tail))
+                    tails[tail] = b""
+                else:
+                    plain.append(p)
+            elif not p or p[0].isspace() or p[-1].isspace() or special and any(t in p for t in self.special):
                 odd.append(p)
             else:
-                whole.append(p)
-        heads = {head for head, _ in signed.values()} - self.known.keys() - self.older.keys() - set(whole)
-        tails = {tail for _, tail in signed.values()}
-        plain = [*whole, *heads]
-        self.known.update(zip(plain, self._side_by_side([f" {p}" for p in plain])))
-        self.known.update(zip(odd, self._alone([f" {p}" for p in odd])))
-        ends = list(tails)
-        of_tail = dict(zip(ends, self._alone(ends)))
+                plain.append(p)
         known, older = self.known, self.older
-        known.update((p, (known.get(head) or older[head]) + of_tail[tail]) for p, (head, tail) in signed.items())
+        heads = {head for _, head, _ in signed}.difference(known)
+        again = heads & older.keys()
+        known.update((p, older[p]) for p in again)
+        plain += heads.difference(again, plain)
+        known.update(zip(plain, self._side_by_side([f" {p}" for p in plain])))
+        known.update(zip(odd, self._alone([f" {p}" for p in odd])))
+        tails = dict(zip(tails, self._alone(list(tails))))
+        known.update((p, known[head] + tails[tail]) for p, head, tail in signed)
+        return [p for p, _, _ in signed]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         pieces = [self._cut.split(t) if self._inner.search(t) else t.split(" ") for t in texts]
-        heads = self._alone([p[0] for p in pieces])
-        met = set(chain.from_iterable(p[1:] for p in pieces)).difference(self.known)
+        heads = self._alone([p.pop(0) for p in pieces])
+        met = set(chain.from_iterable(pieces)).difference(self.known)
         again = met & self.older.keys()
         self.known.update((p, self.older[p]) for p in again)
-        self._learn(met - again)
+        passing = self._learn(met - again, any(mark in t for t in texts for mark in self.special))
         get = self.known.__getitem__
-        out = [head + b"".join(map(get, p[1:])) for head, p in zip(heads, pieces)]
+        out = [head + b"".join(map(get, p)) for head, p in zip(heads, pieces)]
+        for p in passing:
+            del self.known[p]
         if len(self.known) > self.most_known:
             self.known, self.older = {}, self.known
         return out
@@ -183,7 +193,7 @@ def write_tokens(
             return pa.RecordBatch.from_pylist([row], schema=arrow)
 
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, 2 << 20):
                 ids, texts = (c.to_pylist() for c in piece.columns)
                 for doc, coded in zip(ids, encoder(vocabulary)(texts)):
                     begun.append((doc, len(held)))
