@@ -13,11 +13,9 @@ between parts, but a document may run over any number of blocks.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import shared_folder, slices, texts_of
+from tessera.llm.words import byte_hashes
 
 BLOCK = 65_536
 CHUNKS = (
@@ -55,26 +54,55 @@ def from_planes(planes: list[bytes], n_ids: int) -> np.ndarray:
     return np.ascontiguousarray(np.stack(raw).T).reshape(-1).view("<u4")
 
 
+class _Table:
+    """Known pieces in arrays: their hashes in order, and where each one's bytes and ids lie."""
+
+    def __init__(self) -> None:
+        self.hash = np.zeros(0, np.uint64)
+        self.at, self.size, self.ids_at, self.n_ids, self.met = (np.zeros(0, np.int64) for _ in range(5))
+        self.raw, self.ids = np.zeros(0, np.uint8), np.zeros(0, np.uint32)
+
+    def add(self, hashes: np.ndarray, pieces: list[bytes], ids: list[np.ndarray], now: int) -> None:
+        size, n_ids = (np.fromiter(map(len, x), np.int64, len(x)) for x in (pieces, ids))
+        joined = {
+            "hash": hashes, "at": len(self.raw) + np.cumsum(size) - size, "size": size, "ids_at": len(self.ids) + np.cumsum(n_ids) - n_ids, "n_ids": n_ids,
+            "met": np.full(len(hashes), now),
+        }
+        order = np.argsort(np.concatenate([self.hash, hashes]), kind="stable")
+        for name, values in joined.items():
+            setattr(self, name, np.concatenate([getattr(self, name), values])[order])
+        self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(pieces), np.uint8)])
+        self.ids = np.concatenate([self.ids, *ids])
+
+    def keep(self, most: int) -> None:
+        """Leave the pieces that were met last, about so many."""
+        on = self.met > np.partition(self.met, -most)[-most]
+        self.raw = self.raw[_ranges(self.at[on], self.size[on])]
+        self.ids = self.ids[_ranges(self.ids_at[on], self.n_ids[on])]
+        self.hash, self.size, self.n_ids, self.met = self.hash[on], self.size[on], self.n_ids[on], self.met[on]
+        self.at, self.ids_at = np.cumsum(self.size) - self.size, np.cumsum(self.n_ids) - self.n_ids
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of ranges, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Encoder:
     """Whole texts to id bytes (little-endian uint32).
 
-    The byte-level pre-tokenizer always parts a text before a space that follows a non-space, and looks no
-    further than one character past a token, so a text's ids are those of its pieces between such spaces. A piece of
-    letters and the signs behind them is parted between the two as well, and only its letters are kept. Pieces stay
-    known while they are met: there are two generations of most_known pieces, and one that is met again moves to the
-    younger. New pieces are encoded side by side, as one text, whose ids are dealt to the pieces by the bytes that each
-    id stands for. A special token
-    that stands in a text is spelled by ordinary pieces; with spelled=False, as the queries have it, it gets its own
-    id, which is the library's default.
+    The byte-level pre-tokenizer always parts a text between an ASCII letter and another ASCII character behind it, and
+    before a space that follows a non-space, and looks no further than one character past a token. So a text's ids are
+    those of its pieces between such places. Pieces are told apart by hashes, which their bytes confirm; those that were
+    met last stay known, up to most_known. New pieces are encoded side by side, as one text, whose ids are dealt to the
+    pieces by the bytes that each id stands for. A special token that stands in a text is spelled by ordinary pieces;
+    with spelled=False, as the queries have it, it gets its own id, which is the library's default.
     """
 
-    _inner = re.compile(r"\s ")
-    _cut = re.compile(r"(?<=\S) ")
-    #: Letters, then perhaps signs other than the apostrophe, which can begin a token of its own.
-    _signed = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
     _SIDE_BY_SIDE = 1_024
 
-    def __init__(self, path: str, most_known: int = 200_000, spelled: bool = True) -> None:
+    def __init__(self, path: str, most_known: int = 500_000, spelled: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -85,69 +113,84 @@ class Encoder:
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # a character of a token stands for a byte
             self.n_bytes[i] = len(token.encode()) if token in self.special else len(token)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.most_known = most_known
+        self.known, self.most_known, self.calls = _Table(), most_known, 0
 
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _alone(self, pieces: list[str]) -> list[bytes]:
-        return [x.tobytes() for x in self._encoded(pieces)]
-
-    def _side_by_side(self, pieces: list[str]) -> list[bytes]:
-        """The ids of pieces that begin with a space, or are signs alone behind one: as one text they are the same."""
-        out: list[bytes] = []
-        for at in range(0, len(pieces), self._SIDE_BY_SIDE):
-            part = pieces[at : at + self._SIDE_BY_SIDE]
-            ids = self._encoded(["".join(part)])[0]
-            ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in part])
-            cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends, side="right")
-            raw = ids.tobytes()
-            out += [raw[4 * a : 4 * b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
+    def _new(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """The ids of each piece. Those of a space and what is no space at either end are the same side by side."""
+        plain = [i for i, p in enumerate(pieces) if len(p) > 1 and p[0] == 32 and 33 <= p[1] < 127 and 33 <= p[-1] < 127]
+        out: list = [None] * len(pieces)
+        for at in range(0, len(plain), self._SIDE_BY_SIDE):
+            part = plain[at : at + self._SIDE_BY_SIDE]
+            ids = self._encoded([b"".join([pieces[i] for i in part]).decode()])[0]
+            ends = np.cumsum([len(pieces[i]) for i in part])
+            cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends, side="right").tolist()
+            for i, a, b in zip(part, [0, *cuts], cuts):
+                out[i] = ids[a:b]
+        others = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(others, self._encoded([pieces[i].decode("utf-8", "surrogatepass") for i in others])):
+            out[i] = ids
         return out
 
-    def _learn(self, pieces: set[str], special: bool) -> list[str]:
-        """Add the pieces, each behind a space, to those that are known; which of them are not to be kept."""
-        plain, odd, signed = [], [], []
-        match, tails = self._signed.fullmatch, {}
-        for p in pieces:
-            if m := match(p):
-                head, tail = m.groups()
-                if tail:
-                    signed.append((p, head, tail))
-                    tails[tail] = b""
-                else:
-                    plain.append(p)
-            elif not p or p[0].isspace() or p[-1].isspace() or special and any(t in p for t in self.special):
-                odd.append(p)
-            else:
-                plain.append(p)
-        known, older = self.known, self.older
-        heads = {head for _, head, _ in signed}.difference(known)
-        again = heads & older.keys()
-        known.update((p, older[p]) for p in again)
-        plain += heads.difference(again, plain)
-        known.update(zip(plain, self._side_by_side([f" {p}" for p in plain])))
-        known.update(zip(odd, self._alone([f" {p}" for p in odd])))
-        tails = dict(zip(tails, self._alone(list(tails))))
-        known.update((p, known[head] + tails[tail]) for p, head, tail in signed)
-        return [p for p, _, _ in signed]
-
     def __call__(self, texts: list[str]) -> list[bytes]:
-        pieces = [self._cut.split(t) if self._inner.search(t) else t.split(" ") for t in texts]
-        heads = self._alone([p.pop(0) for p in pieces])
-        met = set(chain.from_iterable(pieces)).difference(self.known)
-        again = met & self.older.keys()
-        self.known.update((p, self.older[p]) for p in again)
-        passing = self._learn(met - again, any(mark in t for t in texts for mark in self.special))
-        get = self.known.__getitem__
-        out = [head + b"".join(map(get, p)) for head, p in zip(heads, pieces)]
-        for p in passing:
-            del self.known[p]
-        if len(self.known) > self.most_known:
-            self.known, self.older = {}, self.known
-        return out
+        odd = [i for i, t in enumerate(texts) if any(mark in t for mark in self.special)]
+        if not odd:
+            return self._by_pieces([t.encode("utf-8", "surrogatepass") for t in texts]) or [x.tobytes() for x in self._encoded(texts)]
+        alone = dict(zip(odd, self._encoded([texts[i] for i in odd])))
+        rest = iter(self([t for i, t in enumerate(texts) if i not in alone]))
+        return [alone[i].tobytes() if i in alone else next(rest) for i in range(len(texts))]
+
+    def _by_pieces(self, coded: list[bytes]) -> list[bytes] | None:
+        """The texts' ids, or nothing if different pieces should share a hash."""
+        self.calls += 1
+        known, raw = self.known, np.frombuffer(b"".join(coded), np.uint8)
+        bounds = np.cumsum([0, *map(len, coded)])
+        if not len(raw):
+            return [b""] * len(coded)
+        starts = piece_starts(raw, bounds)
+        sizes = np.diff(np.append(starts, len(raw)))
+        hashes, one, which = np.unique(byte_hashes(raw, starts), return_index=True, return_inverse=True)
+        first, size = starts[one], sizes[one]
+        if (size[which] != sizes).any() or (raw[_ranges(first[which], sizes)] != raw).any():
+            return None
+        spot = np.minimum(np.searchsorted(known.hash, hashes), max(0, len(known.hash) - 1))
+        old = known.hash[spot] == hashes if len(known.hash) else np.zeros(len(hashes), bool)
+        at = spot[old]
+        if (known.size[at] != size[old]).any() or (known.raw[_ranges(known.at[at], size[old])] != raw[_ranges(first[old], size[old])]).any():
+            return None
+        if len(at):
+            known.met[at] = self.calls
+        text = raw.tobytes()
+        pieces = [text[a : a + n] for a, n in zip(first[~old].tolist(), size[~old].tolist())]
+        known.add(hashes[~old], pieces, self._new(pieces), self.calls)
+        spot = np.searchsorted(known.hash, hashes)[which]
+        n_ids = known.n_ids[spot]
+        ids = known.ids[_ranges(known.ids_at[spot], n_ids)].astype("<u4").tobytes()
+        ends = np.concatenate([[0], np.cumsum(n_ids)])[np.searchsorted(starts, bounds)] * 4
+        if len(known.hash) > self.most_known:
+            known.keep(self.most_known // 2)
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_SIGN = ~_LETTER
+_SIGN[128:] = False
+_SOLID = np.zeros(256, bool)
+_SOLID[33:127] = True
+
+
+def piece_starts(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where pieces begin: at each text's start, at an ASCII character behind an ASCII letter, and at a space behind
+    what is surely no white space: an ASCII sign, or a character of two bytes other than those of the first block."""
+    cut = np.zeros(len(raw) + 1, bool)
+    behind = _SOLID[raw]
+    behind[1:] |= (raw[1:] >= 128) & (raw[1:] < 192) & (raw[:-1] >= 0xC3) & (raw[:-1] < 0xE0)
+    cut[1:-1] = _LETTER[raw[:-1]] & _SIGN[raw[1:]] | (raw[1:] == 32) & behind[:-1]
+    cut[bounds] = True
+    return np.flatnonzero(cut[:-1])
 
 
 @lru_cache(2)

@@ -75,6 +75,12 @@ def word_hashes(texts: list[str], lower: bool) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(starts, at)
 
 
+def byte_hashes(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashes of the pieces that cover raw, each from one start to the next."""
+    sums, down = _prefix(_values(False)[raw], _BYTE)
+    return mixed((sums[np.append(starts[1:], len(raw))] - sums[starts]) * down[starts], 3)
+
+
 def sequence_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of each n consecutive words (fewer than n words: none)."""
     if n <= 0 or len(words) < n:
