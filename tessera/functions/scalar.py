@@ -6,11 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def length_to_seconds(x: Column) -> Column:
-    """m:ss to seconds; anything else is null."""
-    return F.when(x.rlike(r"^\d{1,2}:[0-5]\d$"), F.split(x, ":")[0].cast("int") * 60 + F.split(x, ":")[1].cast("int"))
-
-
 def seconds_to_length(x: Column) -> Column:
     return F.when(x.isNotNull(), F.format_string("%d:%02d", F.floor(x / 60), x % 60))
 
@@ -53,19 +48,87 @@ def phase(start: Column, end: Column, now: Column) -> Column:
     )
 
 
+def written_date(x: Column) -> Column:
+    """Mar 3, 2026"""
+    return F.date_format(x, "MMM d, yyyy")
+
+
 def relative_time(then: Column, now: Column) -> Column:
-    """How long ago, in the largest unit; a date from 30 days on."""
+    """How long ago, in the largest unit, rounded under a day; a written date from 30 days on."""
     s = F.unix_timestamp(now) - F.unix_timestamp(then)
-    unit = lambda n, name: F.concat(F.floor(s / n).cast("string"), F.lit(f" {name} ago"))
+    minutes, hours, days = half_up(s / 60), half_up(s / 3_600), F.floor(s / 86_400)
+    some = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"), F.lit(" ago"))
     return (
         F.when(s < 45, "just now")
-        .when(s < 3_600, unit(60, "min"))
-        .when(s < 86_400, unit(3_600, "h"))
-        .when(s < 30 * 86_400, unit(86_400, "d"))
-        .otherwise(F.date_format(then, "yyyy-MM-dd"))
+        .when(s < 3_600, F.when(minutes >= 60, "1 hour ago").otherwise(F.concat(F.greatest(minutes, F.lit(1)).cast("string"), F.lit(" min ago"))))
+        .when(s < 86_400, F.when(hours >= 24, "yesterday").otherwise(some(hours, "hour")))
+        .when(days == 1, "yesterday")
+        .when(days < 7, some(days, "day"))
+        .when(days < 30, some(F.floor(days / 7), "week"))
+        .otherwise(written_date(then))
+    )
+
+
+def countdown(until: Column, now: Column) -> Column:
+    """struct(days, hours, minutes, seconds, past) until a time, all 0 once it has passed."""
+    s = F.greatest(F.unix_timestamp(until) - F.unix_timestamp(now), F.lit(0))
+    part = lambda a, b: F.floor(s % a / b).cast("long")
+    return F.struct(
+        F.floor(s / 86_400).cast("long").alias("days"), part(86_400, 3_600).alias("hours"), part(3_600, 60).alias("minutes"), (s % 60).alias("seconds"),
+        (F.unix_timestamp(until) <= F.unix_timestamp(now)).alias("past"),
+    )
+
+
+def date_range(start: Column, end: Column) -> Column:
+    """A day, or two with what they share said once: Mar 3-5, 2026; Mar 3 - Apr 2, 2026."""
+    first, last = F.coalesce(start, end), F.coalesce(end, start)
+    day, month_day = (lambda x: F.date_format(x, "d")), (lambda x: F.date_format(x, "MMM d"))
+    same_year = F.year(first) == F.year(last)
+    return (
+        F.when(first == last, written_date(first))
+        .when(same_year & (F.month(first) == F.month(last)), F.concat(month_day(first), F.lit("–"), day(last), F.lit(", "), F.year(last).cast("string")))
+        .when(same_year, F.concat(month_day(first), F.lit(" – "), written_date(last)))
+        .otherwise(F.concat(written_date(first), F.lit(" – "), written_date(last)))
     )
 
 
+def year_of(x: Column) -> Column:
+    """The year that a text begins with, if after 1000."""
+    y = F.substring(x, 1, 4).try_cast("int")
+    return F.when(y > 1000, y)
+
+
+def parse_length(x: Column) -> Column:
+    """m:ss or whole seconds to seconds, from 1 to 3599; anything else is null."""
+    t = F.trim(x)
+    total = F.when(t.rlike(r"^\d{1,2}:[0-5]\d$"), F.split(t, ":")[0].try_cast("int") * 60 + F.split(t, ":")[1].try_cast("int")).when(t.rlike(r"^\d{1,4}$"), t.try_cast("int"))
+    return F.when(total.between(1, 3_599), total)
+
+
+def spoken_length(x: Column) -> Column:
+    """2 minutes 33 seconds"""
+    m, s = F.floor(x / 60), x % 60
+    some = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"))
+    return F.when(x.isNull() | (x < 0), "unknown length").otherwise(F.concat_ws(" ", F.when(m > 0, some(m, "minute")), F.when((s > 0) | (m == 0), some(s, "second"))))
+
+
+def sheet_seconds(x: Column) -> Column:
+    """A spreadsheet's h:mm, h:mm:ss or share of a day, all of which mean minutes and seconds."""
+    t = F.trim(x)
+    parts = F.split(t, ":")
+    clock = parts[0].try_cast("int") * 60 + F.get(parts, F.lit(1)).try_cast("int")
+    return F.when(t.rlike(r"^\d{1,2}:\d{2}(?::\d{2})?$"), clock).when(t.rlike(r"^\d+(?:\.\d+)?$"), half_up(t.try_cast("double") * 1440).cast("int"))
+
+
+def time_status(seconds: Column, warn: int = 330, limit: int = 360) -> Column:
+    return F.when(seconds > limit, "over").when(seconds > warn, "close").when(seconds.isNotNull(), "ok")
+
+
+def clamp_seconds(x: Column) -> Column:
+    """A bound on lengths: none from 420 on, at least 60."""
+    return F.when(x < 420, F.greatest(x, F.lit(60)))
+
+
 def stable_hash(x: Column) -> Column:
     """32-bit FNV-1a over the characters' codes (ASCII texts)."""
     return F.aggregate(

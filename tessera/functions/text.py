@@ -28,8 +28,20 @@ def strip_accents(x: Column) -> Column:
 
 
 def fold(x: Column) -> Column:
-    """Search fold: lower case, no accents, curly apostrophes straight."""
-    return F.translate(strip_accents(F.lower(x)), "‘’ʼ", "'''")
+    """Search fold: lower case, no accents, curly apostrophes straight. Plain ASCII needs the first alone."""
+    return F.when(x.rlike(r"[^\x00-\x7f]"), F.translate(strip_accents(F.lower(x)), "‘’ʼ", "'''")).otherwise(F.lower(x))
+
+
+def folded_contains(x: Column, folded: str) -> Column:
+    """Whether fold(x) holds a folded text. Folding leaves ASCII as it is, so a plain hit needs no fold."""
+    full = F.contains(fold(x), F.lit(folded))
+    return F.contains(F.lower(x), F.lit(folded)) | full if folded.isascii() else full
+
+
+def folded(query: str) -> str:
+    """fold() of a text that the driver holds."""
+    plain = "".join(c for c in unicodedata.normalize("NFD", query.lower()) if not unicodedata.combining(c))
+    return plain.translate(str.maketrans("‘’ʼ", "'''"))
 
 
 # Letters that the display fold spells out, and the marks it makes plain.

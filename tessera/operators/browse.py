@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import fold, squeezed
+from tessera.functions.text import fold, folded, folded_contains, squeezed
 
 
 def all_of(predicates: Sequence[Column]) -> Column:
@@ -25,17 +25,19 @@ def query_tokens(query: str, most: int = 12) -> list[str]:
 
 def matches_tokens(query: str, fields: Sequence[Column], most: int = 12) -> Column:
     """Every token of the query is somewhere in one of the folded fields."""
-    return all_of([any_of([F.contains(fold(f), fold(F.lit(t))) for f in fields]) for t in query_tokens(query, most)])
+    return all_of([any_of([folded_contains(f, folded(t)) for f in fields]) for t in query_tokens(query, most)])
 
 
 def matches_loosely(query: str, fields: Sequence[Column]) -> Column:
     """The whole query in one field, or, with two tokens and more, all tokens anywhere in the fields together."""
-    whole = any_of([F.contains(squeezed(fold(f)), squeezed(fold(F.lit(query)))) for f in fields])
-    parts = query_tokens(query)
+    wanted = " ".join(folded(query).split())
+    parts = wanted.split()
+    # a field without every token can't hold the whole, and tokens hold no blanks, so only others are squeezed
+    holds = lambda f: all_of([folded_contains(f, t) for t in parts])
+    whole = any_of([holds(f) & F.contains(squeezed(fold(f)), F.lit(wanted)) for f in fields])
     if len(parts) < 2:
         return whole
-    joined = squeezed(fold(F.concat_ws(" ", *fields)))
-    return whole | all_of([F.contains(joined, fold(F.lit(t))) for t in parts])
+    return all_of([any_of([folded_contains(f, t) for f in fields]) for t in parts]) | whole
 
 
 def within(column: Column, low=None, high=None) -> Column:
@@ -51,14 +53,12 @@ def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) ->
     return df.orderBy(*order).offset(offset).limit(limit).join(F.broadcast(total), F.lit(True))
 
 
-def facet(df: DataFrame, predicates: dict[str, Column], key: str, value: Column) -> DataFrame:
-    """(facet, value, n): counts of one facet's values under every filter but its own."""
-    base = df.where(all_of([p for k, p in predicates.items() if k != key]))
-    return base.groupBy(value.alias("value")).agg(F.count("*").alias("n")).select(F.lit(key).alias("facet"), "value", "n")
-
-
 def facets(df: DataFrame, predicates: dict[str, Column], values: dict[str, Column]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [facet(df, predicates, k, v) for k, v in values.items()])
+    """(facet, value, n): counts of each facet's values under every filter but its own, in one pass over the rows."""
+    others = lambda key: all_of([p for k, p in predicates.items() if k != key])
+    legs = F.array(*(F.struct(F.lit(k).alias("facet"), v.cast("string").alias("value"), F.coalesce(others(k), F.lit(False)).alias("on")) for k, v in values.items()))
+    each = df.select(F.explode(F.filter(legs, lambda x: x["on"])).alias("x"))
+    return each.groupBy("x.facet", "x.value").agg(F.count("*").alias("n"))
 
 
 def top_by(df: DataFrame, partition: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:

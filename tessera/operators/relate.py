@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import scratch
+
 
 def counts_of(parent: DataFrame, key: str, **legs: DataFrame) -> DataFrame:
     """parent with a count for each named leg (a table with the key): grouped first, so no row multiplies."""
@@ -72,19 +74,21 @@ def in_next_interval(df: DataFrame, partition: Sequence[str], at: str, key: str)
     return df.withColumn("until", F.lead(at).over(Window.partitionBy(*partition).orderBy(at, key)))
 
 
-def closure(edges: DataFrame, child: str, parent: str, most_depth: int = 50) -> DataFrame:
+def closure(edges: DataFrame, child: str, parent: str, most_rounds: int = 40) -> DataFrame:
     """(child, ancestor, depth) of a hierarchy, the shortest depth of each pair; cycles end where nothing is new.
 
-    A frontier of pairs grows one step a round, against pairs already known; rounds are as many as the hierarchy is
-    deep, and a broken lineage keeps plans small.
+    Paths double: a round joins the paths that are known with each other, so the rounds are as many as the logarithm of
+    the hierarchy's depth. Each round is written, which keeps plans small. Raises if most_rounds don't suffice.
     """
-    step = edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor")).where("child IS NOT NULL AND ancestor IS NOT NULL").distinct()
-    up = step.select(F.col("child").alias("mid"), F.col("ancestor").alias("next"))
-    known = frontier = step.withColumn("depth", F.lit(1))
-    for depth in range(2, most_depth + 1):
-        reached = frontier.join(up, F.col("ancestor") == F.col("mid")).select("child", F.col("next").alias("ancestor")).distinct()
-        frontier = reached.join(known, ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
-        if frontier.isEmpty():
-            break
-        known = known.unionByName(frontier)
-    return known
+    both = F.col("child").isNotNull() & F.col("ancestor").isNotNull()
+    known = edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor")).where(both).distinct().withColumn("depth", F.lit(1))
+    state = None
+    for _ in range(most_rounds):
+        known = scratch(known, "closure")
+        before, state = state, known.agg(F.count("*"), F.sum("depth")).first()
+        if state == before or not state[0]:
+            return known
+        onward = known.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
+        longer = known.join(onward, "ancestor").select("child", F.col("next").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+        known = known.unionByName(longer).groupBy("child", "ancestor").agg(F.min("depth").alias("depth"))
+    raise ValueError(f"the hierarchy is deeper than 2 ** {most_rounds}")

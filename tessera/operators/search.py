@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import fold, tokens
 from tessera.operators.browse import all_of
+from tessera.session import scratch
 
 K1, B = 1.2, 0.75
 # Words that are left out of a query that has others (fixed values).
@@ -60,6 +61,24 @@ def bm25(index: DataFrame, lengths: DataFrame, doc: str, query: Sequence[str], w
     )
 
 
+def scan_bm25(docs: DataFrame, doc: str, fields: dict[str, tuple[Column, float]], query: Sequence[str], kept: Sequence[str] = ()) -> DataFrame:
+    """(doc, kept columns, score) as bm25 gives it, without an index: one scan counts each document's tokens and weighted
+    hits, and only these numbers are written and read for the totals."""
+    listed = docs.select(doc, *kept, *(tokens(c).alias(f"_{n}") for n, (c, _) in fields.items()))
+    hits = lambda t: sum((F.size(F.filter(f"_{n}", lambda x: F.startswith(x, F.lit(t)))) * w for n, (_, w) in fields.items()), F.lit(0.0))
+    length = sum((F.size(f"_{n}") for n in fields), F.lit(0))
+    each = scratch(listed.select(doc, *kept, length.alias("length"), F.array(*(hits(t) for t in query)).alias("wtf")), "hits")
+    holding = [F.count_if(F.col("wtf")[i] > 0).alias(f"df{i}") for i in range(len(query))]
+    totals = each.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *holding)
+    norm = K1 * (1 - B + B * F.col("length") / F.col("mean"))
+    score = F.lit(0.0)
+    for i in range(len(query)):
+        wtf, df = F.col("wtf")[i], F.col(f"df{i}")
+        score = score + F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5)) * wtf * (K1 + 1) / (wtf + norm)
+    found = each.where(F.forall("wtf", lambda x: x > 0)).join(F.broadcast(totals), F.lit(True))
+    return found.select(doc, *kept, score.alias("score"))
+
+
 def tier(title: Column, query: str, query_words: Sequence[str]) -> Column:
     """3 exact, 2 begins so, 1 all words in the title, 0 elsewhere."""
     folded, wanted = fold(title), fold(F.lit(query))

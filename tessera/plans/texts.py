@@ -12,13 +12,11 @@ from tessera.session import table
 
 def fts_bm25(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold every query word as a prefix, the best 100 by BM25 over two weighted fields, tiered."""
-    docs = table(spark, d, "documents")
+    docs = table(spark, d, "documents").select("doc_id", "text", F.substring("text", 1, 60).alias("title"))
     query = search.analysed("the ention are")
-    title = F.substring("text", 1, 60)
-    index = search.postings(docs, "doc_id", {"title": title, "body": F.col("text")})
-    lengths = docs.select("doc_id", (F.size(text.tokens(title)) + F.size(text.tokens(F.col("text")))).alias("length"))
-    scored = search.bm25(index, lengths, "doc_id", query, {"title": 10.0, "body": 2.0}).orderBy(F.desc("score"), "doc_id").limit(100)
-    tiered = scored.join(docs.select("doc_id", title.alias("title")), "doc_id").withColumn("tier", search.tier(F.col("title"), "the ention are", query))
+    fields = {"title": (F.col("title"), 10.0), "body": (F.col("text"), 2.0)}
+    scored = search.scan_bm25(docs, "doc_id", fields, query, ["title"]).orderBy(F.desc("score"), "doc_id").limit(100)
+    tiered = scored.withColumn("tier", search.tier(F.col("title"), "the ention are", query))
     return tiered.select("doc_id", F.col("tier").cast("int").alias("tier"), F.round("score", 6).alias("score"))
 
 
@@ -115,11 +113,15 @@ SELECT x.word AS a, y.word AS b FROM l x JOIN l y ON x.word < y.word AND abs(len
 
 def score_candidate(spark: SparkSession, d: str) -> DataFrame:
     """The best scored part for every asked name, within the brand."""
-    part = table(spark, d, "part")
-    asked = part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("q"), F.col("p_brand").alias("qb"), F.col("p_name").alias("qn"), F.col("p_size").alias("qs"))
-    pairs = asked.join(part, (F.col("qb") == F.col("p_brand")) & (F.col("q") != F.col("p_partkey")))
-    score = match.candidate_score(F.col("p_name"), F.col("qn"), F.col("p_size"), F.col("qs"), ["^small"], ["widget"])
-    return browse.top_by(pairs.withColumn("score", score), ["q"], [F.desc("score"), F.col("p_partkey")], 1).select("q", "p_partkey", "score")
+    part = table(spark, d, "part").withColumn("keys", match.score_keys(F.col("p_name"), ["^small"], ["widget"]))
+    # parts that differ by their key alone score alike: each such group is scored once, for its two smallest keys
+    first = part.groupBy("p_brand", "p_size", "keys").agg(F.min("p_partkey").alias("one"), F.slice(F.array_sort(F.collect_set("p_partkey")), 2, 1).alias("next"))
+    groups = first.select("p_brand", "p_size", "keys", "one", F.get("next", F.lit(0)).alias("two"))
+    asked = part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("q"), F.col("p_brand").alias("qb"), F.col("keys").alias("qk"), F.col("p_size").alias("qs"))
+    pairs = asked.join(groups, F.col("qb") == F.col("p_brand")).withColumn("p_partkey", F.when(F.col("one") != F.col("q"), F.col("one")).otherwise(F.col("two")))
+    score = match.candidate_score(F.col("keys"), F.col("qk"), F.col("p_size"), F.col("qs"))
+    best = F.max(F.struct(score.alias("score"), (-F.col("p_partkey")).alias("key"))).alias("best")
+    return pairs.where("p_partkey IS NOT NULL").groupBy("q").agg(best).select("q", (-F.col("best.key")).alias("p_partkey"), "best.score")
 
 
 SCORE = """
