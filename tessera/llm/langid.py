@@ -178,7 +178,7 @@ def fit(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS, most: int = MOST
 class Scorer:
     """Texts to (language, score). Words are scored once per worker, up to a bound; beyond it, once per batch."""
 
-    def __init__(self, model: Model, most_known: int = 300_000) -> None:
+    def __init__(self, model: Model, most_known: int = 150_000) -> None:
         self.langs, self.most_known = model[0], most_known
         self.sums = Sums(model) if model[0] else None
         self.rows: dict[str, int] = {}

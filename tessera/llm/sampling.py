@@ -15,9 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,32 +24,33 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import slices, texts_of
 from tessera.llm.lattice import SPACE, Lattice, Pieces, pieces
-from tessera.llm.words import mixed
+from tessera.llm.words import Clash, Known, mixed, ranges, told_apart
 
 SAMPLES = 2
 ALPHA = 0.5
 SCHEMA = (
     "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids binary"
 )
-_CUT = re.compile(r"(?<=[^ ]) ")
 _U = np.uint64
 _MASK = (1 << 64) - 1
 
 
-def spaced(text: str) -> list[str]:
-    """The text's words, each with the spaces before it as space marks: no piece runs on from a word into a space.
-    A literal space mark becomes another character, which no piece has."""
-    if not text:
-        return []
-    if SPACE in text:
-        text = text.replace(SPACE, _MARK)
-    if "  " not in text and text[0] != " ":
-        return [SPACE + part for part in text.split(" ")]
-    out = []
-    for part in _CUT.split(text):
-        body = part.lstrip(" ")
-        out.append(SPACE * (1 + len(part) - len(body)) + body)
-    return out
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+
+
+def word_starts(raw: np.ndarray, bounds: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Where words begin in texts that have a space before them: each word has the spaces before it, and no piece of the
+    vocabulary runs on from a word into a space. Signs that never stand behind a letter in a piece begin words as well."""
+    cut_ = np.zeros(len(raw) + 1, bool)
+    cut_[1:-1] = (raw[1:] == 32) & (raw[:-1] != 32) | _LETTER[raw[:-1]] & apart[raw[1:]]
+    cut_[bounds] = True
+    return np.flatnonzero(cut_[:-1])
+
+
+def marked(word: bytes) -> str:
+    """A word with space marks for its spaces. A literal space mark becomes another character, which no piece has."""
+    return word.decode("utf-8", "surrogatepass").replace(SPACE, _MARK).replace(" ", SPACE)
 
 
 def cut(pieces_: Trie, words: list[str]) -> tuple[list[str], np.ndarray]:
@@ -122,6 +121,8 @@ class Trie:
         self.ends = np.array(ends, np.int64)
         pairs = {ord(t[i]) << 21 | ord(t[i + 1]) for t in vocabulary.ids for i in range(len(t) - 1)}
         self.pairs = np.array(sorted(pairs), np.int64)
+        letters = [c for c in range(128) if _LETTER[c]]
+        self.apart = np.array([33 <= c < 127 and c not in letters and not any(a << 21 | c in pairs for a in letters) for c in range(256)])
 
     def found(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(places, pieces) of the pieces of 1 character, then 2, and so on. The last code must be _END's."""
@@ -173,8 +174,8 @@ class _Rows:
         self.size = end
 
 
-#: Shares of steps are summed in units of this, exactly, so that a draw gives the same step whatever stands beside it.
-_UNIT = 2.0**-30
+#: Shares of steps are summed in so many units of 1, exactly, so that a draw gives the same step whatever stands beside it.
+_UNITS = 1 << 30
 #: Segments whose lattices are made at once.
 _AT_ONCE = 16_384
 
@@ -187,45 +188,65 @@ class Lattices:
     the steps' probabilities, for all new nodes at the same distance from their segment's end at once.
     """
 
-    def __init__(self, vocabulary: Pieces, most_steps: int = 2_500_000) -> None:
+    def __init__(self, vocabulary: Pieces, most_steps: int = 3_000_000) -> None:
         self.vocabulary, self.trie, self.most_steps = vocabulary, trie(vocabulary), most_steps
         self.nodes = _Rows(first=np.int64)  # a node's first step; one more entry stands behind the last node
-        self.steps = _Rows(to=np.int32, piece=np.int32, log=np.float64, others=np.float64, reach=np.float64)
+        self.steps = _Rows(to=np.int32, piece=np.int32, log=np.float64, others=np.float32, reach=np.uint32)
         self.roots = _Rows(root=np.int64, length=np.int64)  # of each segment
-        self.of_words = _Rows(segment=np.int64)
+        self.of_words = _Rows(segment=np.int32)
         self.word_starts = _Rows(first=np.int64)  # a word's first segment; one more entry stands behind the last word
         self.clear()
 
     def clear(self) -> None:
         for rows in (self.nodes, self.steps, self.roots, self.of_words, self.word_starts):
             rows.clear()
-        self.words: dict[str, int] = {}
+        self.words = Known("number")
         self.segments: dict[str, int] = {}
         self.nodes.add(first=np.zeros(2, np.int64))
         self.word_starts.add(first=np.zeros(1, np.int64))
 
-    def rows(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """The segments of each text, which is given as its words."""
+    def rows(self, texts: list[str]) -> list[np.ndarray]:
+        """The segments of each text."""
         if self.steps.size > self.most_steps:
             self.clear()
-        new = list(set(chain.from_iterable(texts)).difference(self.words))
-        if new:
-            segments, first = cut(self.trie, new)
-            unseen = list(set(segments).difference(self.segments))
-            for at in range(0, len(unseen), _AT_ONCE):
-                self._append(unseen[at : at + _AT_ONCE])
-            self.segments.update(zip(unseen, range(len(self.segments), len(self.segments) + len(unseen))))
-            self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
-            self.word_starts.add(first=first[1:] + self.of_words.size)
-            self.of_words.add(segment=np.fromiter(map(self.segments.__getitem__, segments), np.int64, len(segments)))
-        starts, out = self.word_starts.first, []
-        for own in texts:
-            w = np.fromiter(map(self.words.__getitem__, own), np.int64, len(own))
-            n = starts[w + 1] - starts[w]
-            ends = np.cumsum(n)
-            at = np.repeat(starts[w] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
-            out.append(self.of_words.segment[at])
-        return out
+        coded = [b" " + t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        text, bounds = b"".join(coded), np.cumsum([0, *map(len, coded)])
+        raw = np.frombuffer(text, np.uint8)
+        if not len(raw):
+            return [np.zeros(0, np.int64) for _ in texts]
+        begins = word_starts(raw, bounds, self.trie.apart)
+        try:
+            word = self._words(text, raw, begins)
+        except Clash:  # then the words are taken in one by one, and not found again
+            word = self._take_in([text[a:b] for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(text)])])
+        starts = self.word_starts.first
+        n = starts[word + 1] - starts[word]
+        segments = self.of_words.segment[ranges(starts[word], n)].astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(begins, bounds)].tolist()
+        return [segments[a:b] for a, b in zip(ends, ends[1:])]
+
+    def _words(self, text: bytes, raw: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """The number of every word, of which new ones are taken in."""
+        hashes, first, size, which = told_apart(raw, begins)
+        old, at = self.words.find(hashes, raw, first, size)
+        number = np.empty(len(hashes), np.int64)
+        number[old] = self.words.number[at]
+        pieces_ = [text[a : a + n] for a, n in zip(first[~old].tolist(), size[~old].tolist())]
+        number[~old] = self._take_in(pieces_)
+        self.words.add(hashes[~old], pieces_, number=number[~old])
+        return number[which]
+
+    def _take_in(self, words: list[bytes]) -> np.ndarray:
+        """Numbers for words that are not held yet."""
+        segments, first = cut(self.trie, [marked(w) for w in words])
+        unseen = list(set(segments).difference(self.segments))
+        for at in range(0, len(unseen), _AT_ONCE):
+            self._append(unseen[at : at + _AT_ONCE])
+        self.segments.update(zip(unseen, range(len(self.segments), len(self.segments) + len(unseen))))
+        before = self.word_starts.size - 1
+        self.word_starts.add(first=first[1:] + self.of_words.size)
+        self.of_words.add(segment=np.fromiter(map(self.segments.__getitem__, segments), np.int64, len(segments)))
+        return before + np.arange(len(words))
 
     def _append(self, every: list[str]) -> None:
         """The lattices of segments that are not held yet."""
@@ -282,10 +303,10 @@ class Lattices:
         others = 1.0 - share
         large = share > 0.5
         others[large] = np.add.reduceat(np.where(large, 0.0, share), first[:-1])[node[large]]
-        units = (share / _UNIT).astype(np.int64)
+        units = (share * _UNITS).astype(np.int64)
         sums = np.cumsum(units)
-        reach = (sums - (sums - units)[first[:-1]][node]) * _UNIT
-        reach[first[1:] - 1] = 1.0
+        reach = sums - (sums - units)[first[:-1]][node]
+        reach[first[1:] - 1] = _UNITS
         self.roots.add(root=number[ends - lengths] + base, length=lengths)
         self.steps.add(to=np.where(to < 0, 0, to + base), piece=piece, log=log, others=others, reach=reach)
         self.nodes.add(first=first[1:] + (self.steps.size - total))
@@ -316,7 +337,7 @@ class Lattices:
         state = stream(keys, number, at)
         who, what = [], []
         while len(live):
-            draw = uniform(state, step)
+            draw = (mixed(state, 100 + step) >> _U(34)).astype(np.uint32)
             took = first[node]
             more = np.flatnonzero(steps.reach[took] <= draw)
             while len(more):
@@ -399,7 +420,7 @@ class Sampler:
         self.vocabulary, self.lattices = vocabulary, Lattices(vocabulary)
 
     def __call__(self, rows: list[tuple[int, str]], k: int, seed: int) -> list[dict]:
-        held = self.lattices.rows([spaced(t) for _, t in rows])
+        held = self.lattices.rows([t for _, t in rows])
         keys = [row_key(d, t, seed) for d, t in rows]
         tops = -np.log(-np.log(uniform(stream(np.array(keys, np.uint64), 1 << 40))))
         state = [_Search(*of_row, self.lattices) for of_row in zip(keys, tops.tolist(), held)]
@@ -528,7 +549,7 @@ def sample_segmentations(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         draw = sampler(vocabulary, alpha)
         for batch in batches:
-            for part in slices(batch, 2 << 20):
+            for part in slices(batch, 1 << 20):
                 ids, texts = (c.to_pylist() for c in part.columns)
                 rows = draw(list(zip(ids, texts)), k, seed)
                 if decoded:

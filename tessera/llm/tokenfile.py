@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import shared_folder, slices, texts_of
-from tessera.llm.words import byte_hashes
+from tessera.llm.words import Clash, Known, ranges, told_apart
 
 BLOCK = 65_536
 CHUNKS = (
@@ -54,41 +54,6 @@ def from_planes(planes: list[bytes], n_ids: int) -> np.ndarray:
     return np.ascontiguousarray(np.stack(raw).T).reshape(-1).view("<u4")
 
 
-class _Table:
-    """Known pieces in arrays: their hashes in order, and where each one's bytes and ids lie."""
-
-    def __init__(self) -> None:
-        self.hash = np.zeros(0, np.uint64)
-        self.at, self.size, self.ids_at, self.n_ids, self.met = (np.zeros(0, np.int64) for _ in range(5))
-        self.raw, self.ids = np.zeros(0, np.uint8), np.zeros(0, np.uint32)
-
-    def add(self, hashes: np.ndarray, pieces: list[bytes], ids: list[np.ndarray], now: int) -> None:
-        size, n_ids = (np.fromiter(map(len, x), np.int64, len(x)) for x in (pieces, ids))
-        joined = {
-            "hash": hashes, "at": len(self.raw) + np.cumsum(size) - size, "size": size, "ids_at": len(self.ids) + np.cumsum(n_ids) - n_ids, "n_ids": n_ids,
-            "met": np.full(len(hashes), now),
-        }
-        order = np.argsort(np.concatenate([self.hash, hashes]), kind="stable")
-        for name, values in joined.items():
-            setattr(self, name, np.concatenate([getattr(self, name), values])[order])
-        self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(pieces), np.uint8)])
-        self.ids = np.concatenate([self.ids, *ids])
-
-    def keep(self, most: int) -> None:
-        """Leave the pieces that were met last, about so many."""
-        on = self.met > np.partition(self.met, -most)[-most]
-        self.raw = self.raw[_ranges(self.at[on], self.size[on])]
-        self.ids = self.ids[_ranges(self.ids_at[on], self.n_ids[on])]
-        self.hash, self.size, self.n_ids, self.met = self.hash[on], self.size[on], self.n_ids[on], self.met[on]
-        self.at, self.ids_at = np.cumsum(self.size) - self.size, np.cumsum(self.n_ids) - self.n_ids
-
-
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """All places of ranges, one range after the other."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
-
-
 class Encoder:
     """Whole texts to id bytes (little-endian uint32).
 
@@ -113,7 +78,8 @@ class Encoder:
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # a character of a token stands for a byte
             self.n_bytes[i] = len(token.encode()) if token in self.special else len(token)
-        self.known, self.most_known, self.calls = _Table(), most_known, 0
+        self.known, self.most_known, self.calls = Known("ids_at", "n_ids", "met"), most_known, 0
+        self.ids = np.zeros(0, np.uint32)
 
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -137,41 +103,46 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         odd = [i for i, t in enumerate(texts) if any(mark in t for mark in self.special)]
         if not odd:
-            return self._by_pieces([t.encode("utf-8", "surrogatepass") for t in texts]) or [x.tobytes() for x in self._encoded(texts)]
+            try:
+                return self._by_pieces([t.encode("utf-8", "surrogatepass") for t in texts])
+            except Clash:
+                return [x.tobytes() for x in self._encoded(texts)]
         alone = dict(zip(odd, self._encoded([texts[i] for i in odd])))
         rest = iter(self([t for i, t in enumerate(texts) if i not in alone]))
         return [alone[i].tobytes() if i in alone else next(rest) for i in range(len(texts))]
 
-    def _by_pieces(self, coded: list[bytes]) -> list[bytes] | None:
-        """The texts' ids, or nothing if different pieces should share a hash."""
+    def _by_pieces(self, coded: list[bytes]) -> list[bytes]:
+        """The texts' ids; raises Clash if different pieces share a hash."""
         self.calls += 1
-        known, raw = self.known, np.frombuffer(b"".join(coded), np.uint8)
+        known, text = self.known, b"".join(coded)
+        raw = np.frombuffer(text, np.uint8)
         bounds = np.cumsum([0, *map(len, coded)])
         if not len(raw):
             return [b""] * len(coded)
         starts = piece_starts(raw, bounds)
-        sizes = np.diff(np.append(starts, len(raw)))
-        hashes, one, which = np.unique(byte_hashes(raw, starts), return_index=True, return_inverse=True)
-        first, size = starts[one], sizes[one]
-        if (size[which] != sizes).any() or (raw[_ranges(first[which], sizes)] != raw).any():
-            return None
-        spot = np.minimum(np.searchsorted(known.hash, hashes), max(0, len(known.hash) - 1))
-        old = known.hash[spot] == hashes if len(known.hash) else np.zeros(len(hashes), bool)
-        at = spot[old]
-        if (known.size[at] != size[old]).any() or (known.raw[_ranges(known.at[at], size[old])] != raw[_ranges(first[old], size[old])]).any():
-            return None
-        if len(at):
-            known.met[at] = self.calls
-        text = raw.tobytes()
+        hashes, first, size, which = told_apart(raw, starts)
+        old, at = known.find(hashes, raw, first, size)
+        known.met[at] = self.calls
         pieces = [text[a : a + n] for a, n in zip(first[~old].tolist(), size[~old].tolist())]
-        known.add(hashes[~old], pieces, self._new(pieces), self.calls)
+        ids = self._new(pieces)
+        n_ids = np.fromiter(map(len, ids), np.int64, len(ids))
+        known.add(hashes[~old], pieces, ids_at=len(self.ids) + np.cumsum(n_ids) - n_ids, n_ids=n_ids, met=np.full(len(ids), self.calls))
+        self.ids = np.concatenate([self.ids, *ids])
         spot = np.searchsorted(known.hash, hashes)[which]
         n_ids = known.n_ids[spot]
-        ids = known.ids[_ranges(known.ids_at[spot], n_ids)].astype("<u4").tobytes()
+        out = self.ids[ranges(known.ids_at[spot], n_ids)].astype("<u4").tobytes()
         ends = np.concatenate([[0], np.cumsum(n_ids)])[np.searchsorted(starts, bounds)] * 4
         if len(known.hash) > self.most_known:
-            known.keep(self.most_known // 2)
-        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            self._forget()
+        return [out[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+    def _forget(self) -> None:
+        """Leave the pieces that were met last, at most half of most_known."""
+        known, most = self.known, max(1, self.most_known // 2)
+        on = known.met > np.partition(known.met, -most)[-most]
+        self.ids = self.ids[ranges(known.ids_at[on], known.n_ids[on])]
+        known.keep(on)
+        known.ids_at = np.cumsum(known.n_ids) - known.n_ids
 
 
 _LETTER = np.zeros(256, bool)

@@ -75,10 +75,63 @@ def word_hashes(texts: list[str], lower: bool) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(starts, at)
 
 
-def byte_hashes(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Hashes of the pieces that cover raw, each from one start to the next."""
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of ranges, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Clash(Exception):
+    """Different pieces share a hash."""
+
+
+def told_apart(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pieces that cover raw, each from one start to the next: the hashes of the different ones, in order, where
+    one of each stands, its size, and which of them every piece is. Their bytes confirm it, or Clash is raised."""
+    sizes = np.diff(np.append(starts, len(raw)))
     sums, down = _prefix(_values(False)[raw], _BYTE)
-    return mixed((sums[np.append(starts[1:], len(raw))] - sums[starts]) * down[starts], 3)
+    every = mixed((sums[starts + sizes] - sums[starts]) * down[starts], 3)
+    hashes, one, which = np.unique(every, return_index=True, return_inverse=True)
+    first, size = starts[one], sizes[one]
+    if (size[which] != sizes).any() or (raw[ranges(first[which], sizes)] != raw).any():
+        raise Clash
+    return hashes, first, size, which
+
+
+class Known:
+    """Pieces that are known, in arrays: their hashes in order, where each one's bytes lie, and columns of numbers."""
+
+    def __init__(self, *columns: str) -> None:
+        self.columns = ("at", "size", *columns)
+        self.hash, self.raw = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+        for name in self.columns:
+            setattr(self, name, np.zeros(0, np.int64))
+
+    def find(self, hashes: np.ndarray, raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which pieces are known, and their places here); raises Clash if another piece has a hash."""
+        if not len(self.hash):
+            return np.zeros(len(hashes), bool), np.zeros(0, np.int64)
+        spot = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
+        old = self.hash[spot] == hashes
+        at = spot[old]
+        if (self.size[at] != size[old]).any() or (self.raw[ranges(self.at[at], size[old])] != raw[ranges(first[old], size[old])]).any():
+            raise Clash
+        return old, at
+
+    def add(self, hashes: np.ndarray, pieces: list[bytes], **columns: np.ndarray) -> None:
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        order = np.argsort(np.concatenate([self.hash, hashes]), kind="stable")
+        self.hash = np.concatenate([self.hash, hashes])[order]
+        for name, values in ({"at": len(self.raw) + np.cumsum(size) - size, "size": size} | columns).items():
+            setattr(self, name, np.concatenate([getattr(self, name), values])[order])
+        self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(pieces), np.uint8)])
+
+    def keep(self, on: np.ndarray) -> None:
+        self.raw = self.raw[ranges(self.at[on], self.size[on])]
+        self.hash = self.hash[on]
+        for name in self.columns:
+            setattr(self, name, getattr(self, name)[on])
+        self.at = np.cumsum(self.size) - self.size
 
 
 def sequence_hashes(words: np.ndarray, n: int) -> np.ndarray:

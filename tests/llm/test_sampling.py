@@ -80,8 +80,8 @@ def test_cuts_keep_the_lattice(vocabulary):
         parts = segments[1 : first[2]]
         assert "".join(parts) == word
         lattices = sampling.Lattices(vocabulary)
-        lattices.rows([["other", "words"], ["first"]])
-        held = lattices.rows([[word]])[0]
+        lattices.rows(["other words", "first"])
+        held = lattices.rows([word.replace(SPACE, " ")[1:]])[0]
         assert len(held) == len(parts)
         product = [spellings(lattices.lattice(int(i))) for i in held]
         spaces = len(word) - len(word.lstrip(SPACE))
@@ -103,6 +103,17 @@ def test_what_is_kept_does_not_matter(vocabulary):
     assert small.lattices.steps.size < 20_000
 
 
+def test_clashing_hashes_change_nothing(vocabulary, monkeypatch):
+    rows = list(enumerate(TEXTS))
+    want = sampling.Sampler(vocabulary)(rows, 2, 1)
+
+    def clash(*_):
+        raise sampling.Clash
+
+    monkeypatch.setattr(sampling, "told_apart", clash)
+    assert sampling.Sampler(vocabulary)(rows, 2, 1) == want
+
+
 def test_one_value_at_a_time():
     for state in (0, 1, 2**64 - 1, 12345678901234567890):
         for step in (0, 1, 7):
