@@ -106,7 +106,7 @@ def human_list(items: Column) -> Column:
 
 def singers_line(singers: Column, most: int = 3) -> Column:
     """a / a & b / a, b, c & 2 more"""
-    names = F.filter(F.transform(singers, F.trim), lambda s: s != "")
+    names = F.filter(F.transform(singers, lambda s: F.trim(s)), lambda s: s != "")
     n = F.size(names)
     head = lambda k: F.array_join(F.slice(names, 1, k), ", ")
     few = F.concat(head(F.greatest(n - 1, F.lit(0))), F.lit(" & "), F.element_at(names, -1))
