@@ -1,5 +1,5 @@
 """The registered queries of the library: name -> (query, SQL twin or None)."""
 
-from tessera.plans import browse, change, fields, publish, relational, stats, texts
+from tessera.plans import browse, change, fields, lists, publish, relational, stats, texts
 
-QUERIES = browse.QUERIES | stats.QUERIES | relational.QUERIES | texts.QUERIES | change.QUERIES | fields.QUERIES | publish.QUERIES
+QUERIES = browse.QUERIES | stats.QUERIES | relational.QUERIES | texts.QUERIES | change.QUERIES | fields.QUERIES | publish.QUERIES | lists.QUERIES
