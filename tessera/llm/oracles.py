@@ -128,11 +128,12 @@ def _op3() -> str:
     )
     day = "try_strptime(substr(old, 1, 4) || '-' || substr(old, 6, 2) || '-' || substr(old, 9, 2), '%Y-%m-%d')::DATE"
     start = "make_date((substr(old, 1, 4)::INT // 400) * 400, 1, 1)"
-    valid = "(substr(d, -10, 3)::BIGINT >= 200 AND substr(d, -7, 7)::BIGINT >= 2000000)"
+    area, line = "substr(d, -10, 3)::BIGINT", "substr(d, -7, 7)::BIGINT"
+    valid = f"({area} >= 200 AND {line} >= 2000000)"
     octet = lambda k: f"TRY_CAST(string_split(old, '.')[{k}] AS BIGINT)"
     pair = {
         "card": (f"substr(d, 2, (length(d) - 2) // 2)", "substr(d, 2 + (length(d) - 2) // 2, length(d) - 2 - (length(d) - 2) // 2)", "pow(10, (length(d) - 2) // 2)", "pow(10, length(d) - 2 - (length(d) - 2) // 2)"),
-        "phone": (f"substr(d, -10, 3)::BIGINT - CASE WHEN {valid} THEN 200 ELSE 0 END", f"substr(d, -7, 7)::BIGINT - CASE WHEN {valid} THEN 2000000 ELSE 0 END", f"CASE WHEN {valid} THEN 800 ELSE 1000 END", f"CASE WHEN {valid} THEN 8000000 ELSE 10000000 END"),
+        "phone": (f"{area} - CASE WHEN {area} < 200 THEN 0 ELSE 200 END", f"{line} - CASE WHEN {valid} THEN 2000000 ELSE 0 END", f"CASE WHEN {area} < 200 THEN 200 ELSE 800 END", f"CASE WHEN {area} < 200 THEN 10000000 WHEN {valid} THEN 8000000 ELSE 2000000 END"),
         "address": (f"{octet(1)} * 256 + {octet(2)}", f"{octet(3)} * 256 + {octet(4)}", "65536", "65536"),
         "social": ("substr(old, 1, 3)::BIGINT - CASE WHEN substr(old, 1, 3)::BIGINT > 666 THEN 2 ELSE 1 END", "(substr(old, 5, 2)::BIGINT - 1) * 9999 + substr(old, 8, 4)::BIGINT - 1", "898", str(99 * 9999)),
         "date": (f"({day} - {start}) // 773", f"({day} - {start}) % 773", "189", "773"),
@@ -145,8 +146,7 @@ def _op3() -> str:
         rounds = f"SELECT * REPLACE (({side} + {salt}) % {modulus} AS {side}) FROM ({rounds})"
     pad = lambda x, n: f"lpad(({x})::VARCHAR, {n}, '0')"
     body = f"substr(d, 1, 1) || {pad('l', '((length(d) - 2) // 2)::INT')} || {pad('r', '(length(d) - 2 - (length(d) - 2) // 2)::INT')}"
-    low = lambda n: f"CASE WHEN {valid} THEN {n} ELSE 0 END"
-    fresh = f"CASE kind WHEN 'card' THEN {body} WHEN 'phone' THEN substr(d, 1, length(d) - 10) || {pad('l + ' + low(200), 3)} || {pad('r + ' + low(2000000), 7)} END"
+    fresh = f"CASE kind WHEN 'card' THEN {body} WHEN 'phone' THEN substr(d, 1, length(d) - 10) || {pad(f'l + CASE WHEN {area} < 200 THEN 0 ELSE 200 END', 3)} || {pad(f'r + CASE WHEN {valid} THEN 2000000 ELSE 0 END', 7)} END"
     placed = (
         "array_to_string(list_transform(range(1, length(old) + 1), lambda i: CASE WHEN regexp_matches(substr(old, i, 1), '[0-9]') "
         "THEN substr(new, length(regexp_replace(substr(old, 1, i), '[^0-9]', '', 'g')), 1) ELSE substr(old, i, 1) END), '')"

@@ -9,11 +9,15 @@ Each text is parted by one pattern; what stood between the matches is kept as it
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-KEY = "tessera"
+#: The key is read from this setting of the session. Where it is unset, as in tests, KEY takes its place: whoever knows
+#: it can undo the numbers.
+KEY_SETTING, KEY = "spark.tessera.pii.key", "tessera"
 
 # The alternatives of the pattern, in this order, in syntax that Java and RE2 read alike.
 SECRET = r"\b(?i:password|passwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?[A-Za-z0-9+/_-]{8,}[\"']?"
@@ -114,13 +118,14 @@ def _with(value: Column, use) -> Column:
 
 
 def phone(m: Column, key: str) -> Column:
-    """The last ten digits: area and exchange from 200 stay so; others are permuted as they are."""
+    """The last ten digits. Valid numbers, of area and exchange from 200, are permuted among themselves; so are those of a
+    lower area, and those of a lower exchange alone: the whole is one to one."""
     d = digits(m)
     ten = F.substring(d, -10, 10)
     area, line = number(ten, 1, 3), number(ten, 4, 7)
     valid = (area >= 200) & (line >= 2_000_000)
-    a, b = F.when(valid, 800).otherwise(1_000), F.when(valid, 8_000_000).otherwise(10_000_000)
-    low_a, low_b = F.when(valid, 200).otherwise(0), F.when(valid, 2_000_000).otherwise(0)
+    a, b = F.when(area < 200, 200).otherwise(800), F.when(area < 200, 10_000_000).when(valid, 8_000_000).otherwise(2_000_000)
+    low_a, low_b = F.when(area < 200, 0).otherwise(200), F.when(valid, 2_000_000).otherwise(0)
     kind = "phone"
     pair = feistel(area - low_a, line - low_b, a, b, key, kind)
     country = F.substring(d, F.lit(1), F.length(d) - 10)
@@ -219,19 +224,24 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     return out.otherwise(m)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text", kinds: str | None = None) -> DataFrame:
+def key_of(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, KEY)
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None, column: str = "text", kinds: str | None = None) -> DataFrame:
     """docs with pseudonyms in column; all other columns and rows stay, n_chars (where there is one) is kept in step.
 
     A null text stays null; an empty one, or one without personal data, as it is. What looks like a number or
     date and doesn't validate stays. Repeated rows change alike. kinds: also add a column of this name, an array of
-    the kinds replaced, in order.
+    the kinds replaced, in order. key: by default that of the session. No column of docs is lost, whatever its name.
     """
+    key = key or key_of(docs.sparkSession)
     text = F.col(column)
     matches = F.transform(
         F.when(text.rlike(NEEDED), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>")),
         lambda m: F.struct(m.alias("old"), kind_of(m).alias("kind")),
     )
-    found, between, new = "__found", "__between", "__new"
+    found, between, new = (f"{name}_{uuid.uuid4().hex}" for name in ("found", "between", "new"))
     marked = docs.withColumn(found, matches)
     some = F.exists(found, lambda f: f["kind"].isNotNull())
     renewed = F.transform(found, lambda f: pseudonym(f["old"], f["kind"], key))
@@ -247,7 +257,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text", kinds: s
     return out.drop(found, between, new)
 
 
-def report(docs: DataFrame, key: str = KEY) -> DataFrame:
+def report(docs: DataFrame, key: str | None = None) -> DataFrame:
     """doc_id, text with pseudonyms, n_found and a count of each kind."""
     made = pseudonymise(docs.select("doc_id", "text"), key, kinds="kinds")
     count = lambda k: F.size(F.filter("kinds", lambda x: x == k)).cast("long")

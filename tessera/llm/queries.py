@@ -14,18 +14,22 @@ from tessera.llm.tokenfile import public_vocabulary
 
 
 def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's digest, read back from a token file of byte planes."""
     return tokenfile.token_digests(read_table(spark, sf_dir, "documents"), public_vocabulary("byte_bpe_50k.json"))
 
 
 def op2_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth, and how many were verified for it."""
     return ann.search(read_table(spark, sf_dir, "embeddings"))
 
 
 def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with pseudonyms, and how many of each kind it held."""
     return pii.report(read_table(spark, sf_dir, "documents"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's predicted language, learned outside the held-out fold."""
     return langid.identify(read_table(spark, sf_dir, "documents"), public_vocabulary("piece_bpe_32k.model"))
 
 
@@ -36,18 +40,22 @@ def op5_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and their likeness."""
     return imatch.fingerprints(read_table(spark, sf_dir, "documents"))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License places of every text: counts, labels, and whether a tag permits reuse."""
     return license.summary(license.scan(read_table(spark, sf_dir, "documents")))
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's near-duplicate group, over links confirmed on whole sets."""
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps without passages that stand in earlier ones, and the longest level it shares."""
     return substring.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 

@@ -56,6 +56,32 @@ def test_permutations(spark, make, values):
     assert made.where("v = p").count() < n / 100 + 2
 
 
+def test_phones_and_cards_stay_one_to_one(spark):
+    """Of every class of phone numbers, and of cards by their first digit and length."""
+    phones = [f"{a:03d}-{e:03d}-{n:04d}" for a in (0, 150, 199, 200, 555, 999) for e in (0, 100, 199, 200, 999) for n in range(0, 9999, 250)]
+    cards = [f"4{i:014d}" for i in range(0, 3_000)]
+    cards = [c + next(str(x) for x in range(10) if luhn(c + str(x))) for c in cards]
+    for make, values in (("phone", phones), ("card", cards)):
+        made = spark.createDataFrame([(v,) for v in values], "v string").select("v", getattr(pii, make)(F.col("v"), "k").alias("p")).collect()
+        assert len({r.p for r in made}) == len(values) and all(len(r.p) == len(r.v) for r in made)
+        if make == "card":
+            assert all(luhn(r.p) and r.p[0] == "4" for r in made)
+        else:
+            kind = lambda v: (v[0] in "01", v[4] in "01")
+            assert all(kind(r.p)[0] == kind(r.v)[0] and (kind(r.v)[0] or kind(r.p) == kind(r.v)) for r in made)
+
+
+def test_key_of_the_session_and_reserved_names(spark):
+    df = spark.createDataFrame([("238-555-6608", "a", "b")], "text string, __found string, __new string")
+    before = pii.pseudonymise(df).first()
+    assert tuple(before)[1:] == ("a", "b")
+    spark.conf.set(pii.KEY_SETTING, "another")
+    try:
+        assert pii.pseudonymise(df).first().text != before.text
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_feistel_covers_its_domain(spark):
     pairs = spark.range(15).crossJoin(spark.range(7).withColumnRenamed("id", "r"))
     made = pairs.select(pii.feistel(F.col("id"), F.col("r"), F.lit(15), F.lit(7), "k", "t").alias("p")).select("p.*").distinct().collect()

@@ -40,3 +40,18 @@ def test_stages_by_hand(spark, tmp_path):
     again = {(r.doc_id, r.sample, bytes(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert again == {(r.doc_id, r.sample, bytes(r.ids)) for r in rows}
     assert langid.UNDETERMINED not in {r.lang for r in results["language_id"][1].collect()}
+
+
+def test_repeats_ties_and_empty_tables(spark, tmp_path):
+    """Repeated ids are settled the same way in any order; an empty table goes through all stages."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(12)
+    rows = docs.collect()
+    twice = [(rows[0].doc_id, f"another text {i} of the same id with words enough", "en", "s", 0) for i in range(5)]
+    made = [spark.createDataFrame([*rows, *order, *rows[:3]], docs.schema) for order in (twice, twice[::-1])]
+    kept = [{(r.doc_id, r.text) for r in corpus_pipeline.remove_near_duplicates(spark, m.repartition(3), "").collect()} for m in made]
+    assert kept[0] == kept[1] and len({d for d, _ in kept[0]}) == len(kept[0])
+    now = spark.createDataFrame([], docs.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, now, "").write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        assert now.count() == 0
