@@ -39,20 +39,30 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    kept = minhash.near_duplicates(docs).where("kept")
-    return _kept(docs, kept).dropDuplicates(["doc_id"])
+    """One document of each near-duplicate group, that of the smallest doc_id. Rows that repeat a doc_id are settled before
+    they are judged: the one with the smallest digest of all its columns stays, on any machine and in any run."""
+    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    once = docs
+    if not again.isEmpty():
+        digest = F.sha2(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}), 256)
+        least = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), digest).alias("row"))
+        once = saved(docs.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(least.select("row.*")), "once")
+    kept = minhash.near_duplicates(once).where("kept")
+    return _kept(once, kept)
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with pseudonyms for personal data in their texts; n_chars is kept in step."""
     return pii.pseudonymise(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents drawn with their calibrated probabilities, whole; an empty table stays empty."""
     return mixing.mixed_documents(docs)
 
 
 def sample_segmentations(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of every document's text, as ids; a text with one segmentation gives one."""
     return sampling.sample_segmentations(docs, public_vocabulary(PIECES))
 
 
