@@ -14,7 +14,7 @@ from tessera.functions.text import html_text
 
 def sections(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, place, level, title, body): one row a heading, with the text up to the next one."""
-    parts = F.slice(F.split(html, r"(?i)(?=<h[1-6][ >])"), 2, 1_000_000)
+    parts = F.slice(F.split(html, r"(?i)(?=<h[1-6][ >])"), 2, 2_147_483_646)
     each = pages.select(key, F.posexplode(parts).alias("place", "part")).where(F.col("part").rlike("(?is)^<h[1-6][ >]"))
     heading = F.regexp_extract("part", r"(?is)^<h[1-6][^>]*>(.*?)</h[1-6]>", 1)
     rest = F.regexp_replace("part", r"(?is)^<h[1-6][^>]*>.*?</h[1-6]>", "")
@@ -71,7 +71,7 @@ def templates(docs: DataFrame, key: str, text: str) -> DataFrame:
                 for place, (a, b, depth) in enumerate(template_spans(body or "")):
                     name, fields = template_fields(body[a + 2 : b - 2])
                     rows.append((k, place, depth, name, fields))
-            yield pd.DataFrame(rows, columns=["k", "place", "depth", "name", "fields"])
+            yield pd.DataFrame(rows, columns=[key, "place", "depth", "name", "fields"])
 
     return docs.select(F.col(key).cast("long").alias(key), text).mapInPandas(run, f"{key} long, place int, depth int, name string, fields map<string,string>")
 
@@ -114,6 +114,6 @@ def tables(docs: DataFrame, key: str, html: str) -> DataFrame:
                 for t, m in enumerate(re.finditer(r"(?is)<table[^>]*>(.*?)</table>", body or "")):
                     cells = [[(re.sub(r"<[^>]*>", "", c[1]).strip(), span(c[0], "colspan"), span(c[0], "rowspan")) for c in _CELL.findall(r)] for r in _ROW.findall(m[1])]
                     rows += [(k, t, i, j, cell) for i, line in enumerate(grid(cells)) for j, cell in enumerate(line)]
-            yield pd.DataFrame(rows, columns=["k", "table", "row", "col", "cell"])
+            yield pd.DataFrame(rows, columns=[key, "table", "row", "col", "cell"])
 
     return docs.select(F.col(key).cast("long").alias(key), html).mapInPandas(run, f"{key} long, table int, row int, col int, cell string")

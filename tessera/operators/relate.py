@@ -69,6 +69,14 @@ def longest_run(df: DataFrame, partition: Sequence[str], order: Sequence[str], f
     return runs.groupBy(*partition).agg(F.coalesce(F.max(F.when(F.col("flag"), F.col("run"))), F.lit(0)).cast("long").alias("longest"))
 
 
+def in_last_interval(starts: DataFrame, points: DataFrame, partition: Sequence[str], at: str, key: str) -> DataFrame:
+    """Points with the key of the interval that they are in: the one that began last (ties by key), at the point's time at
+    the latest. Both are laid in one order and the key is carried on, so no point meets all intervals of its partition."""
+    both = starts.select(*partition, at, key, F.lit(0).alias("kind")).unionByName(points.select(*partition, at, F.lit(None).cast(starts.schema[key].dataType).alias(key), F.lit(1).alias("kind")))
+    order = Window.partitionBy(*partition).orderBy(at, "kind", key).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn(key, F.last(key, ignorenulls=True).over(order)).where((F.col("kind") == 1) & F.col(key).isNotNull()).drop("kind")
+
+
 def in_next_interval(df: DataFrame, partition: Sequence[str], at: str, key: str) -> DataFrame:
     """Each row with the end of its interval: the partition's next time (ties by key), null for the last."""
     return df.withColumn("until", F.lead(at).over(Window.partitionBy(*partition).orderBy(at, key)))

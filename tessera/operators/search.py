@@ -5,23 +5,26 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import fold, tokens
+from tessera.functions.text import fold, folded, tokens
 from tessera.operators.browse import all_of
 from tessera.session import scratch
 
 K1, B = 1.2, 0.75
 # Words that are left out of a query that has others (fixed values).
-COMMON = frozenset("a an and at for from in is it my of on the to with you your".split())
+COMMON = ["the", "an", "of", "and", "to", "in", "on", "for", "at", "with", "is", "it", "me", "my", "you", "be", "we"]
 
 
 def analysed(query: str, most: int = 8) -> list[str]:
     """Distinct tokens of a query: no single letters, no common words where others are left."""
     import re
 
-    found = list(dict.fromkeys(t for t in re.findall(r"[^\W_]+", query[:200].lower()) if len(t) > 1))[:most]
+    if len(query.strip()[:200]) < 2:
+        return []
+    each = list(dict.fromkeys(re.findall(r"[^\W_]+", folded(query.strip()[:200]))))[:most]
+    found = [t for t in each if len(t) > 1]
     return [t for t in found if t not in COMMON] or found
 
 
@@ -32,6 +35,42 @@ def postings(docs: DataFrame, doc: str, columns: dict[str, Column]) -> DataFrame
     return each.groupBy(doc, "field", "term").agg(F.count("*").alias("tf"))
 
 
+#: Index folders: terms of a prefix are in one, and a prefix search reads only that.
+HEADS = 64
+
+
+def head(term: Column) -> Column:
+    return F.ascii(F.substring(term, 1, 1)) % HEADS
+
+
+def write_index(made: DataFrame, folder: str) -> str:
+    """Write postings by the first letter of their terms; the folder."""
+    made.withColumn("head", head(F.col("term"))).repartition("head").write.partitionBy("head").parquet(folder)
+    return folder
+
+
+def index_of(spark: SparkSession, folder: str, query: Sequence[str] = ()) -> DataFrame:
+    """The postings of an index; with a query, of those folders alone that hold terms which its tokens begin."""
+    found = spark.read.parquet(folder)
+    return found.where(F.col("head").isin(sorted({ord(t[0]) % HEADS for t in query}))).drop("head") if query else found.drop("head")
+
+
+def reindexed(spark: SparkSession, folder: str, ids: DataFrame, renewed: DataFrame, doc: str) -> DataFrame:
+    """The postings without those of the given documents, and with the renewed ones."""
+    return index_of(spark, folder).join(ids, doc, "left_anti").unionByName(renewed)
+
+
+def begins_with(text: Column, phrase: Sequence[str]) -> Column:
+    """Whether a text's first tokens are those of a phrase, the last one as a prefix."""
+    each, n = tokens(text), len(phrase)
+    return all_of([F.get(each, F.lit(i)) == t for i, t in enumerate(phrase[:-1])] + [F.coalesce(F.startswith(F.get(each, F.lit(n - 1)), F.lit(phrase[-1])), F.lit(False))])
+
+
+def ranked_first(ranked: DataFrame, others: DataFrame, doc: str) -> DataFrame:
+    """(doc, score): ranked hits, and others that are not among them, without a score."""
+    return ranked.select(doc, "score").unionByName(others.join(ranked, doc, "left_anti").select(doc, F.lit(None).cast("double").alias("score")))
+
+
 def bm25(index: DataFrame, lengths: DataFrame, doc: str, query: Sequence[str], weights: dict[str, float]) -> DataFrame:
     """(doc, score): documents in which every query token begins some term, by BM25 with field weights.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalar
 from tessera.operators import browse, merge
-from tessera.session import table
+from tessera.session import shared_folder, table
 from tessera.streaming import state
 
 FIELDS = ["o_orderstatus", "o_totalprice"]
@@ -129,24 +129,21 @@ WHERE event_type = 'error' GROUP BY 1, 2"""
 
 def tumbling_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same counts by a stream with a watermark, run to its end over the files that are there."""
-    import uuid
-
-    source = f"{d}/events.parquet"
-    schema = spark.read.parquet(source).schema
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/tessera-streams").rstrip("/")
-    out = f"{folder}/tessera/stream-{uuid.uuid4().hex}"
-    whole = spark.readStream.schema(schema)
-    stream = whole.parquet(source) if _is_folder(spark, source) else whole.option("pathGlobFilter", "events.parquet").parquet(d)
+    source, out = f"{d}/events.parquet", shared_folder(spark, "stream")
+    events = spark.read.parquet(source)
+    files = events.inputFiles()  # a table is a file, or a folder of files
+    whole = spark.readStream.schema(events.schema)
+    stream = whole.option("pathGlobFilter", "events.parquet").parquet(d) if len(files) == 1 and files[0].endswith("/events.parquet") else whole.parquet(source)
     counted = state.tumbling_counts(stream.where("event_type = 'error'"), "user_id", "ts", "6 hours", "40 days")
-    store = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/rows")
-    query = counted.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(store).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{out}/rows").select("user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", (F.col("n") > 1).alias("limited"))
 
+    # each batch gives the windows that it changed; the state holds only those that the watermark has not passed
+    def store(batch: DataFrame, n: int) -> None:
+        batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/rows/part={n}")
 
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
+    query = counted.writeStream.outputMode("update").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(store).start()
+    query.awaitTermination()
+    last = spark.read.parquet(f"{out}/rows").groupBy("user_id", "window_start").agg(F.max_by("n", "batch").alias("n"))
+    return last.select("user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", (F.col("n") > 1).alias("limited"))
 
 
 def threshold_cross(spark: SparkSession, d: str) -> DataFrame:

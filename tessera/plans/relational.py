@@ -61,11 +61,12 @@ FROM o FULL JOIN n ON o.o_orderkey = n.o_orderkey"""
 
 def range_asof_interval(spark: SparkSession, d: str) -> DataFrame:
     """Lines shipped between an order of the customer and the next one."""
-    orders = relate.in_next_interval(table(spark, d, "orders"), ["o_custkey"], "o_orderdate", "o_orderkey")
-    lines = table(spark, d, "lineitem").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("cust")), "l_orderkey")
-    inside = (F.col("l_shipdate") >= F.col("o_orderdate")) & (F.col("until").isNull() | (F.col("l_shipdate") < F.col("until")))
-    joined = orders.join(lines, (F.col("o_custkey") == F.col("cust")) & inside)
-    return joined.groupBy("o_orderkey").agg(F.count("*").alias("n_lines"), F.min("l_shipdate").alias("first_ship"))
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate").join(orders.select("o_orderkey", "o_custkey"), "o_orderkey")
+    joined = relate.in_last_interval(
+        orders.select("o_custkey", F.col("o_orderdate").alias("at"), "o_orderkey"), lines.select("o_custkey", F.col("l_shipdate").alias("at")), ["o_custkey"], "at", "o_orderkey"
+    )
+    return joined.groupBy("o_orderkey").agg(F.count("*").alias("n_lines"), F.min("at").alias("first_ship"))
 
 
 ASOF = """
@@ -93,8 +94,10 @@ SELECT p_partkey, coalesce(a.note, b.note) AS note FROM part LEFT JOIN k a ON a.
 def siblings(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers of the same nation, other than itself."""
     s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    other = s.select(F.col("s_suppkey").alias("sibling"), "s_nationkey")
-    return s.join(other, "s_nationkey").where("s_suppkey <> sibling").groupBy("s_suppkey").agg(F.count("*").alias("n"), F.min("sibling").alias("first_sibling"))
+    heads = s.groupBy("s_nationkey").agg(F.count("*").alias("all"), F.min("s_suppkey").alias("one"))
+    others = s.join(heads, "s_nationkey").where("s_suppkey <> one").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("two"))
+    joined = s.join(heads, "s_nationkey").join(others, "s_nationkey")
+    return joined.select("s_suppkey", (F.col("all") - 1).alias("n"), F.when(F.col("one") == F.col("s_suppkey"), F.col("two")).otherwise(F.col("one")).alias("first_sibling"))
 
 
 SIBLINGS = """SELECT a.s_suppkey, count(*) AS n, min(b.s_suppkey) AS first_sibling FROM supplier a JOIN supplier b

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalar, text
 from tessera.operators import browse, markup, match, merge, search
-from tessera.session import table
+from tessera.session import scratch, shared_folder, table
 
 
 def fts_bm25(spark: SparkSession, d: str) -> DataFrame:
@@ -35,6 +35,55 @@ SELECT doc_id, CAST(CASE WHEN title = 'the ention are' THEN 3 WHEN starts_with(t
 FROM s JOIN t USING (doc_id) ORDER BY score DESC, doc_id LIMIT 100"""
 
 
+def fts_index(spark: SparkSession, d: str) -> DataFrame:
+    """An index that is written, of which some documents are taken out and put in anew, and that two legs then search:
+    ranked hits of all words, and titles that begin with a phrase, which have no rank of their own."""
+    docs = table(spark, d, "documents").select("doc_id", "text", F.substring("text", 1, 40).alias("title"))
+    stale = F.when(F.col("doc_id") % 10 == 1, F.lit("ention are ention")).otherwise(F.col("text"))
+    before = docs.where("doc_id % 3 <> 0").withColumn("text", stale)
+    folder = search.write_index(search.postings(before, "doc_id", {"body": F.col("text")}), shared_folder(spark, "index"))
+    changed = docs.where("doc_id % 3 = 0 OR doc_id % 10 = 1")
+    renewed = search.reindexed(spark, folder, changed.select("doc_id"), search.postings(changed, "doc_id", {"body": F.col("text")}), "doc_id")
+    folder = search.write_index(renewed, shared_folder(spark, "index"))
+    query = ["ention", "are"]
+    lengths = search.index_of(spark, folder).groupBy("doc_id").agg(F.sum("tf").alias("length"))
+    every = docs.select("doc_id").join(lengths, "doc_id", "left").select("doc_id", F.coalesce("length", F.lit(0)).alias("length"))
+    ranked = search.bm25(search.index_of(spark, folder, query), scratch(every, "lengths"), "doc_id", query, {"body": 2.0}).orderBy(F.desc("score"), "doc_id").limit(200)
+    begun = docs.where(search.begins_with(F.col("title"), ["de"])).select("doc_id").orderBy("doc_id").limit(100)
+    return search.ranked_first(ranked, begun, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+
+
+FTS_INDEX = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS b, regexp_extract_all(lower(strip_accents(substr(text, 1, 40))), '[\p{L}\p{N}]+') AS a FROM documents),
+p AS (SELECT doc_id, unnest(b) AS term FROM t), q AS (SELECT unnest(['ention', 'are']) AS token),
+h AS (SELECT doc_id, token, 2.0::DOUBLE * count(*) AS wtf FROM p JOIN q ON starts_with(term, token) GROUP BY 1, 2),
+df AS (SELECT token, count(*) AS df FROM h GROUP BY 1), n AS (SELECT count(*) AS n, avg(len(b)) AS mean FROM t),
+s AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * wtf * 2.2 / (wtf + 1.2 * (0.25 + 0.75 * len(b) / mean))) AS score FROM h JOIN df USING (token) JOIN t USING (doc_id), n GROUP BY doc_id HAVING count(*) = 2),
+r AS (SELECT doc_id, score FROM s ORDER BY score DESC, doc_id LIMIT 200), g AS (SELECT doc_id FROM t WHERE len(a) > 0 AND starts_with(a[1], 'de') ORDER BY doc_id LIMIT 100)
+SELECT doc_id, round(score, 6) AS score FROM r UNION ALL SELECT doc_id, NULL FROM g WHERE doc_id NOT IN (SELECT doc_id FROM r)"""
+
+
+def markup_templates(spark: SparkSession, d: str) -> DataFrame:
+    """Balanced templates, one nested in another, of texts made from parts."""
+    name, brand = F.col("p_name"), F.col("p_brand")
+    body = F.concat(F.lit("x {{box|title="), name, F.lit("|by={{link|"), brand, F.lit("}}|last}} y {{plain}}"))
+    found = markup.templates(table(spark, d, "part").select("p_partkey", body.alias("body")), "p_partkey", "body")
+    return found.groupBy("p_partkey").agg(F.count("*").cast("long").alias("n"), F.max("depth").alias("deepest"), F.max(F.when(F.col("name") == "box", F.col("fields")["title"])).alias("title"), F.max(F.when(F.col("name") == "link", F.col("fields")["1"])).alias("link"))
+
+
+TEMPLATES = "SELECT p_partkey, 3::BIGINT AS n, max(1)::INT AS deepest, any_value(p_name) AS title, any_value(p_brand) AS link FROM part GROUP BY 1"
+
+
+def markup_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Tables of cells that span rows and columns, laid out as a grid."""
+    html = F.concat(F.lit("<table><tr><th colspan=2>"), "p_name", F.lit("</th><th>z</th></tr><tr><td rowspan=2>"), "p_brand", F.lit("</td><td>b</td><td>c</td></tr><tr><td>d</td><td><b>"), "p_type", F.lit("</b></td></tr></table>"))
+    cells = markup.tables(table(spark, d, "part").select("p_partkey", html.alias("html")), "p_partkey", "html")
+    return cells.groupBy("p_partkey", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "cell"))), lambda c: c["cell"]), "|").alias("line"))
+
+
+TABLES = """SELECT p_partkey, CAST(r AS INT) AS row, CASE r WHEN 0 THEN p_name || '|' || p_name || '|z' WHEN 1 THEN p_brand || '|b|c' ELSE p_brand || '|d|' || p_type END AS line FROM part, range(3) t(r)"""
+
+
 def highlight_ranges(spark: SparkSession, d: str) -> DataFrame:
     """Where a query hits each benchmark text."""
     found = table(spark, d, "benchmark").withColumn("hits", search.highlights(F.col("text"), "the tion"))
@@ -115,8 +164,8 @@ def score_candidate(spark: SparkSession, d: str) -> DataFrame:
     """The best scored part for every asked name, within the brand."""
     part = table(spark, d, "part").withColumn("keys", match.score_keys(F.col("p_name"), ["^small"], ["widget"]))
     # parts that differ by their key alone score alike: each such group is scored once, for its two smallest keys
-    first = part.groupBy("p_brand", "p_size", "keys").agg(F.min("p_partkey").alias("one"), F.slice(F.array_sort(F.collect_set("p_partkey")), 2, 1).alias("next"))
-    groups = first.select("p_brand", "p_size", "keys", "one", F.get("next", F.lit(0)).alias("two"))
+    two = browse.top_by(part, ["p_brand", "p_size", "keys"], [F.col("p_partkey")], 2)
+    groups = two.groupBy("p_brand", "p_size", "keys").agg(F.min("p_partkey").alias("one"), F.max(F.when(F.col("rank") == 2, F.col("p_partkey"))).alias("two"))
     asked = part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("q"), F.col("p_brand").alias("qb"), F.col("keys").alias("qk"), F.col("p_size").alias("qs"))
     pairs = asked.join(groups, F.col("qb") == F.col("p_brand")).withColumn("p_partkey", F.when(F.col("one") != F.col("q"), F.col("one")).otherwise(F.col("two")))
     score = match.candidate_score(F.col("keys"), F.col("qk"), F.col("p_size"), F.col("qs"))
@@ -203,6 +252,9 @@ SELECT p_partkey, CASE WHEN nth = 1 THEN slug ELSE slug || '-' || nth END AS slu
 
 QUERIES = {
     "fts_bm25": (fts_bm25, BM25),
+    "fts_index": (fts_index, FTS_INDEX),
+    "markup_templates": (markup_templates, TEMPLATES),
+    "markup_tables": (markup_tables, TABLES),
     "highlight_ranges": (highlight_ranges, None),
     "dice_match": (dice_match, DICE),
     "title_keys_match": (title_keys_match, TITLES),
