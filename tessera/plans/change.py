@@ -183,6 +183,30 @@ def first_seen(spark: SparkSession, d: str) -> DataFrame:
 FIRST_SEEN = "SELECT user_id, min(ts) AS first_seen FROM events GROUP BY 1"
 
 
+def alive_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Users with a session that had not expired at a moment, each kind of it once."""
+    events = table(spark, d, "events").withColumn("expires", F.col("ts").cast("timestamp") + F.make_interval(hours=F.floor("value").cast("int")))
+    held = state.alive(events.where("ts <= '2024-01-20'"), "expires", F.to_timestamp(F.lit("2024-01-20 00:00:00")))
+    return state.once(held, ["user_id", "event_type"], "ts", "1 day").select("user_id", "event_type")
+
+
+ALIVE = """SELECT DISTINCT user_id, event_type FROM events WHERE ts <= TIMESTAMP '2024-01-20' AND ts + to_hours(CAST(floor(value) AS INT)) > TIMESTAMP '2024-01-20'"""
+
+
+def noop_updates(spark: SparkSession, d: str) -> DataFrame:
+    """Which of a row's saves changed it: saves of the same values don't count as edits."""
+    from pyspark.sql import Window
+
+    last = Window.partitionBy("user_id").orderBy("event_id")
+    saved = table(spark, d, "events").select("user_id", "event_id", F.struct("event_type", (F.floor("value") % 3).alias("v")).alias("now")).withColumn("before", F.lag("now").over(last))
+    return saved.where(~F.col("before").eqNullSafe(F.col("now"))).groupBy("user_id").agg(F.count("*").alias("n_edits"), F.max("event_id").alias("last_edit"))
+
+
+NOOP = """
+WITH s AS (SELECT user_id, event_id, event_type AS t, floor(value) % 3 AS v, lag(event_type) OVER w AS bt, lag(floor(value) % 3) OVER w AS bv, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, count(*) AS n_edits, max(event_id) AS last_edit FROM s WHERE n = 1 OR t IS DISTINCT FROM bt OR v IS DISTINCT FROM bv GROUP BY 1"""
+
+
 def festival_phase(spark: SparkSession, d: str) -> DataFrame:
     """The phase of an order as of a day, and the days until it ships at the latest."""
     now = F.to_date(F.lit("1998-06-01"))
@@ -214,5 +238,7 @@ QUERIES = {
     "first_hit_window": (first_hit_window, FIRST_HIT),
     "token_bucket": (token_bucket, None),
     "first_seen": (first_seen, FIRST_SEEN),
+    "alive_sessions": (alive_sessions, ALIVE),
+    "noop_updates": (noop_updates, NOOP),
     "festival_phase": (festival_phase, PHASE),
 }

@@ -63,6 +63,14 @@ r AS (SELECT doc_id, score FROM s ORDER BY score DESC, doc_id LIMIT 200), g AS (
 SELECT doc_id, round(score, 6) AS score FROM r UNION ALL SELECT doc_id, NULL FROM g WHERE doc_id NOT IN (SELECT doc_id FROM r)"""
 
 
+def unique_best_part(spark: SparkSession, d: str) -> DataFrame:
+    """A brand's part of the largest size, none where several share it."""
+    return match.unique_best(table(spark, d, "part"), "p_brand", "p_size", "p_partkey")
+
+
+UNIQUE_BEST = """SELECT p_brand, max(p_size) AS p_size, CASE WHEN count(*) = 1 THEN min(p_partkey) END AS p_partkey FROM (SELECT * FROM part QUALIFY rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC) = 1) GROUP BY 1"""
+
+
 def markup_templates(spark: SparkSession, d: str) -> DataFrame:
     """Balanced templates, one nested in another, of texts made from parts."""
     name, brand = F.col("p_name"), F.col("p_brand")
@@ -253,6 +261,7 @@ SELECT p_partkey, CASE WHEN nth = 1 THEN slug ELSE slug || '-' || nth END AS slu
 QUERIES = {
     "fts_bm25": (fts_bm25, BM25),
     "fts_index": (fts_index, FTS_INDEX),
+    "unique_best_part": (unique_best_part, UNIQUE_BEST),
     "markup_templates": (markup_templates, TEMPLATES),
     "markup_tables": (markup_tables, TABLES),
     "highlight_ranges": (highlight_ranges, None),
