@@ -1,5 +1,6 @@
 """Queries that SQL can't express, against plain versions of them."""
 
+import html as markup
 import re
 import unicodedata
 from datetime import timedelta
@@ -37,7 +38,7 @@ def test_html_sections(spark):
     want = []
     for page, html in rows(spark, "pages", "page_id", "html"):
         found = list(re.finditer(r"(?i)<h([1-6])[^>]*>(.*?)</h\1>", html, re.S))
-        want += [(page, n, int(m[1]), re.sub(r"<[^>]*>", " ", m[2]).strip()) for n, m in enumerate(found)]
+        want += [(page, n, int(m[1]), markup.unescape(re.sub(r"<[^>]*>", " ", m[2])).strip()) for n, m in enumerate(found)]
     assert sorted((r.page_id, r.place, r.level, r.title) for r in run(spark, "html_sections")) == sorted(want)
 
 
