@@ -11,7 +11,19 @@ from pyspark.sql import functions as F
 from tessera.session import scratch as saved
 from tessera.session import shared_folder
 
-__all__ = ["map_rows", "read_table", "saved", "shared_folder", "slices", "texts_of"]
+__all__ = ["held", "map_rows", "read_table", "saved", "shared_folder", "slices", "texts_of"]
+
+
+_held: dict = {}
+
+
+def held(key: tuple, make: Callable[[], object]):
+    """What a worker keeps for its next tasks. One thing at a time: another key lets the former go, so that the stages of
+    a pipeline don't add up in a worker."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

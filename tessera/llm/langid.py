@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_rows, saved, texts_of
+from tessera.llm.common import held, map_rows, saved, texts_of
 from tessera.llm.lattice import SPACE, pieces
 
 #: The models are fitted on at most so many documents of each language (those of the smallest hash).
@@ -158,10 +158,10 @@ def fit(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS, most: int = MOST
     model: Model = langs, dict.fromkeys(names, (1 / len(names),) * len(langs))
     columns = [f"n{k}" for k in range(len(langs))]
     for _ in range(rounds):
-        held = spark.sparkContext.broadcast(model)
+        shared = spark.sparkContext.broadcast(model)
 
         def expect(cols: list) -> dict:
-            found = Sums(held.value).expected([SPACE + w for w in cols[0]], np.array(cols[1:], float).T)
+            found = Sums(shared.value).expected([SPACE + w for w in cols[0]], np.array(cols[1:], float).T)
             some = np.flatnonzero(found.any(1))
             return {"piece": some} | {c: found[some, k] for k, c in enumerate(columns)}
 
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS, most: int = MOST
             totals[row[0]] = row[1:]
         totals += 0.01
         model = langs, dict(zip(names, map(tuple, (totals / totals.sum(0)).tolist())))
-        held.unpersist()
+        shared.unpersist()
     return model
 
 
@@ -207,15 +207,9 @@ class Scorer:
         return out
 
 
-_scorers: dict = {}
-
-
 def scorer(key: str, model: Model) -> Scorer:
     """One scorer, with what it knows, for all tasks that a worker runs with a model."""
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(model)
-    return _scorers[key]
+    return held(("scorer", key), lambda: Scorer(model))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -226,12 +220,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     likelihoods go to the first language by name. Repeated rows give repeated results; rows without a doc_id
     take no part; other columns are not read.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     key = uuid.uuid4().hex
 
     def work(columns: list) -> dict:
         ids, texts = columns
-        found = scorer(key, held.value)(texts)
+        found = scorer(key, shared.value)(texts)
         return {"doc_id": ids, "lang_pred": [x for x, _ in found], "score": [s for _, s in found]}
 
     return map_rows(texts_of(docs), work, "doc_id long, lang_pred string, score double")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices, texts_of
+from tessera.llm.common import held, slices, texts_of
 from tessera.llm.lattice import SPACE, Lattice, Pieces, pieces
 from tessera.llm.words import Clash, Known, mixed, ranges, told_apart
 
@@ -188,7 +188,7 @@ class Lattices:
     the steps' probabilities, for all new nodes at the same distance from their segment's end at once.
     """
 
-    def __init__(self, vocabulary: Pieces, most_steps: int = 3_000_000) -> None:
+    def __init__(self, vocabulary: Pieces, most_steps: int = 2_000_000) -> None:
         self.vocabulary, self.trie, self.most_steps = vocabulary, trie(vocabulary), most_steps
         self.nodes = _Rows(first=np.int64)  # a node's first step; one more entry stands behind the last node
         self.steps = _Rows(to=np.int32, piece=np.int32, log=np.float64, others=np.float32, reach=np.uint32)
@@ -521,14 +521,9 @@ class _Search:
         return out
 
 
-_samplers: dict = {}
-
-
 def sampler(vocabulary: str, alpha: float) -> Sampler:
     """One sampler for all tasks of a worker."""
-    if (vocabulary, alpha) not in _samplers:
-        _samplers[vocabulary, alpha] = Sampler(pieces(vocabulary, alpha))
-    return _samplers[vocabulary, alpha]
+    return held(("sampler", vocabulary, alpha), lambda: Sampler(pieces(vocabulary, alpha)))
 
 
 def sample_segmentations(
