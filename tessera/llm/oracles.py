@@ -3,7 +3,7 @@ expression parsers (operators 1, 2, 4, 7 and 10) are tested against brute force
 
 from __future__ import annotations
 
-from tessera.llm import imatch, mixing, pii
+from tessera.llm import imatch, mixing, pii, secretscan
 from tessera.llm.substring import WINDOW
 
 #: Words of the two deduplication queries.
@@ -11,7 +11,8 @@ _WORD = r"[^\x20\x09-\x0D]+"
 #: Secrets as the SQL twin of operator 3 has them: up to 128 characters, up to three blanks round the sign. The query has
 #: no such limits; both give the same where no secret goes beyond them.
 _SECRET = r"\b(?i:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,128}[\"']?"
-_PATTERN = pii.PATTERN.replace(pii.SECRET, _SECRET)
+_EMAIL = pii.EMAIL.removesuffix("+")
+_PATTERN = pii.PATTERN.replace(pii.SECRET, _SECRET).replace(pii.EMAIL, _EMAIL)
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP8 = f"""
@@ -160,7 +161,7 @@ def _op3() -> str:
   WHEN 'address' THEN (l // 256) || '.' || (l % 256) || '.' || (r // 256) || '.' || (r % 256)
   WHEN 'social' THEN {pad("l + CASE WHEN l >= 665 THEN 2 ELSE 1 END", 3)} || '-' || {pad("r // 9999 + 1", 2)} || '-' || {pad("r % 9999 + 1", 4)}
   WHEN 'date' THEN replace(({start} + (l * 773 + r)::INT)::DATE::VARCHAR, '-', substr(old, 5, 1)) ELSE old END"""
-    kind = f"""CASE WHEN {whole(_SECRET)} THEN 'secret' WHEN {whole(pii.EMAIL)} THEN 'email'
+    kind = f"""CASE WHEN {whole(_SECRET)} THEN 'secret' WHEN {whole(_EMAIL)} THEN 'email'
   WHEN {whole(pii.DATE)} THEN CASE WHEN {day} IS NOT NULL AND substr(old, 5, 1) = substr(old, 8, 1) AND substr(old, 1, 4)::INT >= 400 THEN 'date' END
   WHEN {whole(pii.SOCIAL)} THEN CASE WHEN substr(old, 1, 3)::INT BETWEEN 1 AND 899 AND substr(old, 1, 3)::INT <> 666 AND substr(old, 5, 2)::INT > 0 AND substr(old, 8, 4)::INT > 0 THEN 'social' END
   WHEN {whole(pii.PHONE)} THEN 'phone' WHEN {whole(pii.ADDRESS)} THEN CASE WHEN greatest({", ".join(octet(k) for k in (1, 2, 3, 4))}) <= 255 THEN 'address' END
@@ -179,10 +180,99 @@ SELECT s.doc_id, CASE WHEN n_found > 0 THEN array_to_string(list_transform(range
   coalesce(n_found, 0) AS n_found, {counts} FROM documents s LEFT JOIN t ON t.doc_id = s.doc_id LEFT JOIN a ON a.doc_id = s.doc_id"""
 
 
+def _op11() -> str:
+    """All documents under all orders, one by one."""
+    letters = "(SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x)"
+    return f"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws,
+  coalesce(min(doc_id) OVER (PARTITION BY coalesce(text, '')) < doc_id, false) AS again FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t),
+  regexp_matches(t, '[#$%&*|]'), again] AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n FROM w LEFT JOIN l USING (doc_id) GROUP BY ALL),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM {letters} a, {letters} b, {letters} c, {letters} d, {letters} e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+g AS (SELECT *, list_position(list_transform(string_split(filter_order, ''), lambda c: fails[ascii(c) - 64]), true) AS gone FROM f, o),
+s AS (SELECT part, filter_order, step::INT AS step, filter_order[step] AS letter, coalesce(sum(n) FILTER (gone IS NULL OR gone > step), 0)::BIGINT AS kept,
+  coalesce(sum(n) FILTER (gone = step), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (gone < step AND fails[ascii(filter_order[step]) - 64]), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (fails[ascii(filter_order[step]) - 64] AND len(list_filter(fails, lambda x: x)) = 1), 0)::BIGINT AS unique_fails,
+  coalesce(sum(n) FILTER (gone = step AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (gone = step AND toxic), 0)::BIGINT AS toxic_lost
+  FROM g, range(1, 6) r(step) GROUP BY ALL)
+SELECT * EXCLUDE (letter), (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM s"""
+
+
+#: Levels of the SQL twin of operator 12, in a source's tree and over the sources: no given table needs more.
+_SOURCE_LEVELS, _UPPER_LEVELS = 5, 3
+
+
+def _op12() -> str:
+    """Level by level: nodes, runs of sixteen, and every document's fold and siblings so far. The checksum is taken bit by bit."""
+    field = lambda v: f"coalesce(strlen({v}) || ':' || {v}, '-')"
+    head = " || ".join(field(f"{c}::VARCHAR") for c in ("doc_id", "source", "lang", "n_chars"))
+    changed = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    bits = "list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda b, i: xor(b >> 1, CASE WHEN b & 1 = 1 THEN 3988292384 ELSE 0 END::UBIGINT))"
+    codes = "list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ascii(s)::UBIGINT)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {codes}), lambda c, x: {bits}), 4294967295::UBIGINT)"
+    first = "row_number() OVER (PARTITION BY {} ORDER BY {}) - 1 AS pos, count(*) OVER (PARTITION BY {}) AS size"
+    sql = f"""
+WITH l AS (SELECT doc_id, '=' || source AS named, sha256({head} || {field("text")}) AS leaf,
+  CASE WHEN {crc} % 5 = 0 THEN sha256({head} || {field(changed)}) END AS changed FROM documents),
+t0 AS (SELECT row_number() OVER () AS id, doc_id, coalesce(named, '') AS tree, leaf, leaf AS node, coalesce(changed, leaf) AS fold, '' AS proof,
+  {first.format("coalesce(named, '')", "doc_id NULLS FIRST, leaf", "coalesce(named, '')")} FROM l),
+d0 AS (SELECT id, tree, pos, fold, proof FROM t0)"""
+
+    def climbed(prefix: str, levels: int, names: str) -> str:
+        out = ""
+        for k in range(levels):
+            a, b = f"{prefix}{k}", f"{prefix}{k + 1}"
+            out += f""",
+g{a} AS (SELECT tree, pos // 16 AS pos, size, list(node ORDER BY pos) AS run FROM {names}{k} GROUP BY tree, pos // 16, size),
+{names}{k + 1} AS (SELECT tree, pos, CASE WHEN size > 1 THEN sha256(array_to_string(run, '')) ELSE run[1] END AS node, (size + 15) // 16 AS size FROM g{a}),
+{b} AS (SELECT id, d.tree, d.pos // 16 AS pos, CASE WHEN size > 1 THEN sha256(array_to_string(run[:d.pos % 16], '') || fold || array_to_string(run[d.pos % 16 + 2:], '')) ELSE fold END AS fold,
+  proof || CASE WHEN size > 1 THEN array_to_string(run[:d.pos % 16], '') || array_to_string(run[d.pos % 16 + 2:], '') ELSE '' END AS proof
+  FROM {a} d JOIN g{a} g ON g.tree = d.tree AND g.pos = d.pos // 16)"""
+        return out
+
+    sql += climbed("d", _SOURCE_LEVELS, "t")
+    sql += f""",
+u0 AS (SELECT '' AS tree, tree AS named, node, {first.format("1", "tree", "1")} FROM t{_SOURCE_LEVELS}),
+e0 AS (SELECT id, '' AS tree, u0.pos, fold, proof FROM d{_SOURCE_LEVELS} d JOIN u0 ON u0.named = d.tree)"""
+    sql += climbed("e", _UPPER_LEVELS, "u")
+    return f"""{sql}
+SELECT doc_id, leaf, s.node AS subroot, r.node AS root, sha256(e.proof) AS proof_sha256, e.fold AS folded_root, e.fold = r.node AS verified
+FROM t0 JOIN e{_UPPER_LEVELS} e USING (id) JOIN t{_SOURCE_LEVELS} s ON s.tree = t0.tree, u{_UPPER_LEVELS} r"""
+
+
+def _op13() -> str:
+    """Each rule's matches by position: what stands between them parts the text."""
+    found = []
+    for k, rule in enumerate(secretscan.RULES):
+        pattern = (rule.head + rule.value).replace("'", "''")
+        head = rule.head.replace("'", "''")
+        # a value starts where its head, which it doesn't begin like, ends
+        size = f"length(regexp_replace(m, '^({head})', ''))" if head else "length(m)"
+        found.append(f"""
+SELECT doc_id, {k} AS k, '{rule.kind}' AS kind, begin, begin + length(m) AS stop FROM (
+  SELECT doc_id, ms[i] AS m, list_sum(list_transform(ps[:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(ms[:i - 1], lambda x: length(x))), 0)::BIGINT AS begin
+  FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS ps FROM d WHERE regexp_matches(t, '{pattern}')), unnest(range(1, len(ms) + 1)) u(i))
+WHERE {size} >= {rule.least}""")
+    base = [r.kind for r in secretscan.BASE]
+    line = lambda spans: f"coalesce(string_agg(kind || ':' || begin || ':' || stop, ',' ORDER BY begin, k){spans}, '')"
+    only = f" FILTER (k < {len(base)})"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({" UNION ALL ".join(found)}),
+a AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{b}') AS n_{b}" for b in base)}, {line(only)} AS based, {line("")} AS spans FROM s GROUP BY 1)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{b}, 0) AS n_{b}" for b in base)}, sha256(coalesce(based, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (doc_id)"""
+
+
 ORACLES: dict[str, str] = {
     "op3_pii_pseudonyms": _op3(),
     "op5_raked_mixing": _op5(),
     "op6_imatch_fingerprints": _op6(),
     "op8_minhash_dedup": OP8,
     "op9_substring_dedup": _op9(),
+    "op11_filter_audit": _op11(),
+    "op12_merkle_manifest": _op12(),
+    "op13_secret_scan": _op13(),
 }

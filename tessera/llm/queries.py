@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, imatch, langid, license, minhash, mixing, pii, sampling, substring, tokenfile
+from tessera.llm import ann, audit, imatch, langid, license, merkle, minhash, mixing, pii, sampling, secretscan, substring, tokenfile
 from tessera.llm.common import read_table
 from tessera.llm.oracles import ORACLES
 from tessera.llm.tokenfile import public_vocabulary
@@ -65,6 +65,21 @@ def op10_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.digests(sampling.sample_segmentations(docs, public_vocabulary("piece_bpe_32k.model"), decoded=True))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of 120 orders of five filters removes at each step, a source at a time."""
+    return audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, its proof, and the root that its possibly changed text folds to."""
+    return merkle.manifest(read_table(spark, sf_dir, "documents"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of secrets in every text."""
+    return secretscan.summary(secretscan.scan(read_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -79,6 +94,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_minhash_dedup,
             op9_substring_dedup,
             op10_gumbel_segmentations,
+            op11_filter_audit,
+            op12_merkle_manifest,
+            op13_secret_scan,
         )
     }
 

@@ -111,3 +111,18 @@ def test_long_secrets_and_wide_blanks(spark):
         assert len(new) == len(old) and new[:at] == old[:at] and new[at + len(value) :] == old[at + len(value) :]
         assert re.fullmatch("[0-9a-f]+", made) and len({made[i : i + 32] for i in range(0, len(made), 32)}) == -(-len(made) // 32)
     assert got[2].endswith(got[4][-300:] + '" b')
+
+
+LONG = {
+    "mail of many labels": "a@b" + ".c" * 400_000, "mail of a long name": "a" * 1_000_000 + "@b.c", "digits": "4" * 1_000_000, "dates": "2024-02-29 " * 90_000,
+    "octets": "1." * 500_000, "secret": "token=" + "a" * 1_000_000, "blanks": "token" + " " * 1_000_000 + "=abcdefgh", "signs": "@" * 1_000_000, "dashes": "123-45-" * 150_000,
+    "cards": "4207 0512 7910 8084 " * 50_000, "letters": "é" * 500_000, "labels": "a@" + "b." * 500_000, "long label": "a@b." + "c" * 1_000_000,
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_texts_of_a_megabyte(spark, name):
+    got = changed(spark, [LONG[name], "a@b.c"])
+    assert re.fullmatch(r"user-[0-9a-f]{12}@example\.invalid", got[1])
+    if name == "mail of many labels":
+        assert re.fullmatch(r"user-[0-9a-f]{12}@example\.invalid", got[0])
