@@ -137,7 +137,7 @@ def fit(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS, most: int = MOST
     )
     # a mark below the bar has about 1.2 * most of a language's rows, however many there are: one task orders only those
     bars = labelled.groupBy("lang").agg((F.least(F.lit(1.0), (1.2 * most + 100) / F.count("*")) * float(1 << 62)).alias("bar"))
-    low = labelled.join(bars, "lang").where("mark < bar")
+    low = labelled.join(F.broadcast(bars), "lang").where("mark < bar")  # a row a language, as the model has: no text is shuffled for it
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("mark", "text"))
     sample = saved(low.withColumn("nth", nth).where(F.col("nth") <= most).select("lang", "text"), "labelled")
     langs = sorted(r.lang for r in sample.select("lang").distinct().collect())

@@ -2,8 +2,8 @@
 
 One automaton holds the notice phrases and the tag marker. Text is lower-cased (A-Z only) and reduced to
 words, so a phrase is found wherever its words stand consecutively, whatever stands between them. In texts with
-the tag marker, the longest well-formed expression after each tag is read from the original text and parsed; what
-follows it on the line does not count, and neither does anything from the next tag on.
+the tag marker, the longest well-formed expression of known identifiers after each tag is read from the original text and
+parsed; prose that follows it on the line does not count, and neither does anything from the next tag on.
 """
 
 from __future__ import annotations
@@ -40,7 +40,41 @@ NOTICES = {
 }
 TAG = "spdx license identifier"
 #: Licences that allow reuse with attribution alone.
-PERMISSIVE = frozenset({"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "zlib", "unlicense", "cc0-1.0", "cc-by-4.0"})
+PERMISSIVE = frozenset({
+    "0bsd", "afl-3.0", "apache-2.0", "blueoak-1.0.0", "bsd-1-clause", "bsd-2-clause", "bsd-3-clause", "bsl-1.0", "cc-by-3.0", "cc-by-4.0", "cc0-1.0", "isc", "mit",
+    "mit-0", "ncsa", "postgresql", "psf-2.0", "python-2.0", "unicode-3.0", "unlicense", "upl-1.0", "wtfpl", "x11", "zlib",
+})
+#: Families of public identifiers: name, versions, endings.
+FAMILIES = [
+    ("gpl", "1.0 2.0 3.0", " -only -or-later"), ("lgpl", "2.0 2.1 3.0", " -only -or-later"), ("agpl", "1.0 3.0", " -only -or-later"),
+    ("gfdl", "1.1 1.2 1.3", " -only -or-later"), ("apache", "1.0 1.1 2.0", ""), ("mpl", "1.0 1.1 2.0", ""), ("epl", "1.0 2.0", ""), ("eupl", "1.0 1.1 1.2", ""),
+    ("bsd", "1 2 3 4", "-clause"), ("cddl", "1.0 1.1", ""), ("cecill", "1.0 2.0 2.1", ""), ("ofl", "1.0 1.1", ""), ("osl", "1.0 2.0 2.1 3.0", ""), ("afl", "1.1 1.2 2.0 2.1 3.0", ""),
+    ("artistic", "1.0 2.0", ""), ("odc-by", "1.0", ""), ("odbl", "1.0", ""), ("pddl", "1.0", ""), ("zpl", "1.1 2.0 2.1", ""), ("lppl", "1.0 1.1 1.2 1.3a 1.3c", ""),
+    *((f"cc-by{kind}", "1.0 2.0 2.5 3.0 4.0", "") for kind in ("", "-nc", "-nd", "-sa", "-nc-nd", "-nc-sa")),
+]
+#: Identifiers outside these families.
+SINGLE = (
+    "0bsd blueoak-1.0.0 bsd-3-clause-clear bsl-1.0 busl-1.1 bzip2-1.0.6 cc-pddc cc0-1.0 cecill-b cecill-c cpl-1.0 curl elastic-2.0 etalab-2.0 ftl hpnd icu ijg isc "
+    "json libpng libtiff mit mit-0 mit-cmu ms-pl ms-rl mulanpsl-2.0 ncsa openssl php-3.01 postgresql psf-2.0 python-2.0 qpl-1.0 ruby sleepycat sspl-1.0 tcl unicode-3.0 "
+    "unicode-dfs-2016 unlicense upl-1.0 vim w3c wtfpl x11 zlib zlib-acknowledgement"
+).split()
+IDENTIFIERS = frozenset(SINGLE) | {f"{n}-{v}{e}" for n, versions, ends in FAMILIES for v in versions.split() for e in ends.split(" ")}
+#: Exceptions that may stand behind WITH.
+EXCEPTIONS = frozenset(
+    (
+        "389-exception autoconf-exception-2.0 autoconf-exception-3.0 bison-exception-2.2 bootloader-exception classpath-exception-2.0 ecos-exception-2.0 font-exception-2.0 "
+        "gcc-exception-2.0 gcc-exception-3.1 gpl-cc-1.0 libtool-exception linux-syscall-note llvm-exception openjdk-assembly-exception-1.0 qt-gpl-exception-1.0 "
+        "swift-exception u-boot-exception-2.0 universal-foss-exception-1.0 wxwindows-exception-3.1"
+    ).split()
+)
+
+
+def known(operand: str, exception: bool = False) -> bool:
+    """Whether a lower-case operand is a public identifier, one with a plus, or a reference of a document's own."""
+    if exception:
+        return operand in EXCEPTIONS or operand.startswith("additionref-")
+    return operand.removesuffix("+") in IDENTIFIERS or operand.startswith("licenseref-") or (operand.startswith("documentref-") and ":licenseref-" in operand)
+
 
 #: How sure a place makes us: a parsed tag, a notice phrase, a base phrase.
 CERTAINTY = {"tag": 1.0, "notice": 0.9, "base": 0.6}
@@ -53,8 +87,8 @@ _WORDS = bytes(
 _TAG = re.compile(r"(?<![0-9A-Za-z\x80-\U0010ffff])spdx-license-identifier\s*:\s*", re.I | re.A)
 #: What an expression goes on with, on its line.
 _NEXT = re.compile(r"[^\S\n\r]*(\(|\)|[0-9A-Za-z](?:[\w.+:-]*[0-9A-Za-z+])?)", re.A)
-#: Where, without an expression, a first identifier is looked for.
-_REST = re.compile(r"[^\n\r*<>\"';,]*")
+#: A word of prose: what no identifier that we don't know looks like.
+_PROSE = re.compile(r"[A-Z]?[a-z]*[.:]?")
 _TOKEN = re.compile(r"\(|\)|[^\s()]+")
 _RANK = {"with": 3, "and": 2, "or": 1}
 
@@ -124,15 +158,16 @@ def evaluate(expression: str, allowed: frozenset[str] = PERMISSIVE) -> tuple[boo
 
 
 def longest_expression(text: str, start: int, end: int) -> tuple[str, bool]:
-    """The longest well-formed expression that stands at start, on one line and before end, and whether it breaks off
-    behind an AND: then more is asked than can be read."""
+    """The longest well-formed expression of known identifiers that stands at start, on one line and before end, and whether
+    it breaks off behind an AND: then more is asked than can be read. An AND before a word of prose is prose itself."""
     at = whole = start
     depth = 0
+    before = ""
     operand_next, broken = True, False
     while token := _NEXT.match(text, at, end):
         low = token[1].lower()
         if low == "(":
-            if not operand_next:
+            if not operand_next or before == "with":
                 break
             depth += 1
         elif low == ")":
@@ -146,9 +181,11 @@ def longest_expression(text: str, start: int, end: int) -> tuple[str, bool]:
             if at == whole:
                 broken = low == "and"
         else:
-            if not operand_next:
+            if not operand_next or not known(low, before == "with"):
+                broken = broken and not _PROSE.fullmatch(token[1])
                 break
             operand_next = False
+        before = low
         at = token.end()
         if not operand_next and not depth:
             whole, broken = at, False
@@ -156,14 +193,12 @@ def longest_expression(text: str, start: int, end: int) -> tuple[str, bool]:
 
 
 def tagged(text: str, start: int, end: int) -> tuple[bool, set[str]]:
-    """Whether a tag's expression allows reuse, and the licences that it names."""
+    """Whether a tag's expression allows reuse, and the licences that it names: none without a known one."""
     expression, broken = longest_expression(text, start, end)
-    if expression:
-        ok, named = evaluate(expression)
-        return ok and not broken, named
-    rest = _REST.match(text, start, end)[0]
-    first = re.search(r"[a-z0-9][a-z0-9.+-]*", rest.lower())
-    return False, {first[0]} if first and first[0] not in _RANK else set()
+    if not expression:
+        return False, set()
+    ok, named = evaluate(expression)
+    return ok and not broken, named
 
 
 @lru_cache(1)
@@ -216,8 +251,8 @@ def scan(docs: DataFrame) -> DataFrame:
     whole expression evaluates to.
 
     A null or empty text has no words and no places; repeated rows give repeated results; other columns are
-    not read. Rows without a doc_id take no part. A tag without a well-formed expression counts by its first
-    identifier alone, as restricted; so do licences whose expression breaks off behind an AND.
+    not read. Rows without a doc_id take no part. A tag without a known identifier counts for nothing; licences whose
+    expression breaks off behind an AND are restricted.
     """
 
     def work(columns: list) -> dict:
