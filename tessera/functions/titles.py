@@ -9,11 +9,12 @@ from tessera.functions.text import drop_article, fold, key_fold, match_fold, mat
 
 # Number words of a reprise; words that no show name is found by; words that make another person of a name.
 NUMBER_WORDS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "ii": 2, "iii": 3, "iv": 4}
-STOPWORDS = "the a an of and to in on for at with".split()
-NOT_THE_SAME = (
-    "young younger little old older adult teen teenage baby child kid grown junior jr senior sr madame mme mrs missus father mother son daughter brother "
-    "sister uncle aunt grandma grandpa granny grandfather grandmother cousin wife husband widow"
-).split()
+STOPWORDS = ["the", "a", "an", "of", "and", "to", "in", "on", "for", "at", "with"]
+NOT_THE_SAME = [
+    "young", "younger", "little", "old", "older", "adult", "teen", "teenage", "baby", "child", "kid", "grown", "junior", "jr", "senior", "sr", "madame", "mme", "mrs",
+    "missus", "father", "mother", "son", "daughter", "brother", "sister", "uncle", "aunt", "grandma", "grandpa", "granny", "grandfather", "grandmother", "cousin",
+    "wife", "husband", "widow",
+]
 # Spellings of the six ranges, and what tells a range in a voice type.
 RANGES = {
     "Soprano": ["soprano", "sop", "s"],
@@ -39,13 +40,23 @@ TIERS = [
     (r"\b(?:motion picture|soundtrack|original score|film|movie)\b", 62),
     (r"\b(?:musical|recording|highlights)\b", 60),
 ]
-#: What tells one version of a song from another.
+# What in brackets tells one version of a song from another.
 DISTINGUISHER = (
     r"^(?:act|part|pt|no|version|reprise|finale)\b|\b(?:act|part|pt)\s*(?:\d+|one|two|three|i{1,3}|iv)\b|\breprise\b|\bversion\b|^(?:\d+|i{1,3}|iv)$"
 )
-SUSPECT = r"\b(?:demo|instrumental|karaoke|underscore|playoff|play off|remix|acoustic|commentary|interview|backing|accompaniment|intro|outro|segue)\b"
+# Words in a track's name by which it is no straight performance of the song.
+SUSPECT_WORDS = [
+    "demo", "instrumental", "karaoke", "underscore", "playoff", "play off", "remix", "acoustic", "radio edit", "pop version", "dialogue", "alternate", "alt take",
+    "extended", "ringtone", "commentary", "interview", "backing", "accompaniment", "track by track", "exit music", "bows", "curtain call", "utterance", "spoken",
+    "single version", "end credits?", "end title", "credits version", "intro", "outro", "introduction", "segue", "underscoring", "play ?out",
+]
+SUSPECT = rf"\b(?:{'|'.join(SUSPECT_WORDS)})\b"
+# What a track's name says of its recording, behind a dash or in brackets.
 TRACK_TAIL = r"(?i)\s[-–—]\s(?:from|live|original|bonus|single|demo|remaster(?:ed)?)\b.*$"
-TRACK_NOTE = r"(?i)\s*[(\[][^)\]]*\b(?:cast|recording|broadway|london|west end|soundtrack|live|version|from|feat\.?|featuring|bonus|edit)\b[^)\]]*[)\]]"
+NOTE_WORDS = [
+    "cast", "recording", "broadway", "london", "west end", "soundtrack", "live", "version", "from", "feat\\.?", "featuring", "remaster(?:ed)?", "bonus", "edit",
+]
+TRACK_NOTE = rf"(?i)\s*[(\[][^)\]]*\b(?:{'|'.join(NOTE_WORDS)})\b[^)\]]*[)\]]"
 CORE_TAIL = r"(?i)\s[-–—]\s(?:from|live|feat|featuring|original|bonus)\b.*$"
 GROUPS = r"\([^)]*\)|\[[^\]]*\]"
 REPRISE = r"(?i)\breprise\b"
@@ -162,7 +173,8 @@ def album_tier(name: Column) -> Column:
 def ladder_keys(title: Column) -> Column:
     """struct of what the title ladder compares: whole, core, sections, brackets, distinguishers, reprise, suspect."""
     full = key_fold(title)
-    inner = F.filter(F.transform(F.regexp_extract_all(title, F.lit(r"[(\[]([^)\]]*)[)\]]"), F.lit(1)), key_fold), lambda p: p != "")
+    inside = F.transform(F.regexp_extract_all(title, F.lit(GROUPS), F.lit(0)), lambda g: key_fold(F.substring(g, F.lit(2), F.length(g) - 2)))
+    inner = F.filter(inside, lambda p: p != "")
     outside = F.transform(F.split(F.regexp_replace(title, GROUPS, " "), r"\s*[/:;–—]\s*|\s+-\s+"), key_fold)
     marks = F.filter(inner, lambda p: p.rlike(DISTINGUISHER) & (p != "reprise"))
     return F.struct(
@@ -176,8 +188,11 @@ def _same(x: Column, y: Column) -> Column:
     return (x != "") & (y != "") & ((x == y) | (squash(x) == squash(y)) | (drop_article(x) == drop_article(y)))
 
 
-def ladder_level(track: Column, title: Column) -> Column:
-    """Of two ladder_keys: 100 exact ... 72 close, null below 70. A reprise matches a reprise alone; a suspect track loses 25."""
+def ladder_level(track: Column, title: Column, aliases: Column | None = None) -> Column:
+    """Of two ladder_keys, and an array of the title's other names: 100 exact ... 72 close, null below 70. A reprise matches a
+    reprise alone; a suspect track loses 25."""
+    others = F.transform(aliases, key_fold) if aliases is not None else F.array().cast("array<string>")
+    named = lambda al: _same(al, track["full"]) | _same(al, track["core"]) | F.exists(track["parts"], lambda p: _same(p, al))
     many = (F.size(title["parts"]) > 1) & (F.size(title["inner"]) == 0)
     marks = track["marks"] == title["marks"]
     n_words = lambda x: F.size(F.split(x, " "))
@@ -192,6 +207,7 @@ def ladder_level(track: Column, title: Column) -> Column:
         .when(marks & _same(track["core"], title["core"]), 94)
         .when(marks & (title["core"] != "") & F.exists(track["parts"], lambda p: _same(p, title["core"])), 90)
         .when(many & F.forall(title["parts"], within), 90)
+        .when(F.coalesce(F.exists(others, named), F.lit(False)), 88)
         .when(F.exists(title["inner"], subtitle), 88)
         .when(many & F.exists(title["parts"], lambda p: (n_words(p) >= 2) & _same(p, track["core"])), 78)
         .when(close, 72)

@@ -14,8 +14,8 @@ from tessera.functions.text import html_text
 
 def sections(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, place, level, title, body): one row a heading, with the text up to the next one."""
-    parts = F.slice(F.split(html, r"(?i)(?=<h[1-6][ >])"), 2, 2_147_483_646)
-    each = pages.select(key, F.posexplode(parts).alias("place", "part")).where(F.col("part").rlike("(?is)^<h[1-6][ >]"))
+    parts = F.filter(F.split(html, r"(?i)(?=<h[1-6][ >])"), lambda p: p.rlike("(?is)^<h[1-6][ >]"))
+    each = pages.select(key, F.posexplode(parts).alias("place", "part"))
     heading = F.regexp_extract("part", r"(?is)^<h[1-6][^>]*>(.*?)</h[1-6]>", 1)
     rest = F.regexp_replace("part", r"(?is)^<h[1-6][^>]*>.*?</h[1-6]>", "")
     level = F.regexp_extract("part", r"(?i)^<h([1-6])", 1).cast("int")

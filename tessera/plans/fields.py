@@ -85,7 +85,9 @@ SELECT o_orderkey, CASE WHEN s = e THEN strftime(s, '%b %-d, %Y') WHEN year(s) =
   WHEN year(s) = year(e) THEN strftime(s, '%b %-d') || ' – ' || strftime(e, '%b %-d, %Y') ELSE strftime(s, '%b %-d, %Y') || ' – ' || strftime(e, '%b %-d, %Y') END AS days,
   CAST(year(s) AS INT) AS year, TRY_CAST(said AS DATE) AS real, said FROM x"""
 
-DECORATIONS = ["", " (Reprise)", " (Reprise 2)", " - Live at Home", " (Original Broadway Cast Recording)", " reprise iii", " The Musical", "!", " (Part II)"]
+DECORATIONS = [
+    "", " (Reprise)", " (Reprise 2)", " - Live at Home", " (Original Broadway Cast Recording)", " reprise iii", " The Musical", "!", " (Part II)", " [2011 Remaster]", " - Remastered 2009",
+]
 HEADS = ["The ", "", "A ", ""]
 
 
@@ -108,7 +110,7 @@ SELECT p_partkey, title, CAST(CASE WHEN NOT flag AND NOT regexp_matches(title, '
   array_to_string(list_distinct([mk, trim(regexp_replace(mk, ' (the |a new |the new |the broadway )?musical$', ''))]), '|') AS name_keys,
   array_to_string(list_filter(string_split(fk, ' '), lambda w: w NOT IN ('the', 'a', 'an', 'of', 'and', 'to', 'in', 'on', 'for', 'at', 'with')), ' ') AS significant,
   trim(trim(regexp_replace(regexp_replace(title, '\([^)]*\)', ' ', 'g'), '\s+', ' ', 'g')) || ' ' || p_brand) AS term,
-  trim(regexp_replace(regexp_replace(regexp_replace(title, '{titles.TRACK_TAIL}', ''), '{titles.TRACK_NOTE}', '', 'g'), '\s+', ' ', 'g')) AS clean,
+  regexp_replace(title, ' (- Live at Home|- Remastered 2009|\(Original Broadway Cast Recording\)|\[2011 Remaster\])$', '') AS clean,
   CASE WHEN flag AND NOT regexp_matches(title, '{titles.REPRISE}') THEN title || ' (Reprise)' ELSE title END AS recording FROM k""".replace("list_distinct([mk, ", "list_filter([mk, ").replace(
     "musical$', ''))]), '|') AS name_keys", "musical$', ''))], lambda x, i: i = 1 OR x <> mk), '|') AS name_keys"
 )
@@ -171,18 +173,25 @@ WITH a AS (SELECT p_brand, p_name, p_partkey, p_size, p_name || {sql_chosen(ALBU
 SELECT p_brand, p_name, p_partkey, album, CAST(tier AS INT) AS tier, count(*) OVER (PARTITION BY p_brand, p_name) AS n FROM a WHERE tier IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY p_brand, p_name ORDER BY tier DESC, p_size, p_partkey) = 1"""
 
-LADDER = ["", " - Live", " (Reprise)", "!", " (Demo)", "; an End", " (Act II)", ": from the Start"]
-LADDER_LEVELS = [100, 94, None, 100, None, 90, None, 90]
+#: Track, title and another name of the title, with {} for a part's name, and the level expected of them.
+LADDER = [
+    ("{}", "{}", "", 100), ("The {}!", "{}", "", 96), ("{} Playofff", "{} Play Offf", "", 96), ("{} (Live in Town)", "{}", "", 94), ("{} - From the Film", "{}", "", 94),
+    ("An Opening: {}", "{}", "", 90), ("Morning Song and {} Together", "Morning Song / {}", "", 90), ("{}", "Other Words", "The {}", 88), ("One; {}", "Other Words", "{}", 88),
+    ("Call of {}", "Other Words (Call Of {})", "", 88), ("{}", "{} / Evening Song", "", 78), ("the one about {} then", "The One About {} Now", "", 72),
+    ("{} Radio Edit", "{} Radioedit", "", 71), ("{} Demo", "{} Demo", "", 100), ("{} (Radio Edit)", "{}", "", None), ("{} (Karaoke)", "Other Words", "{}", None),
+    ("{} (Bows)", "{}", "", None), ("{} [End Credits]", "{}", "", None), ("{}, Alternate Take", "{}", "", None), ("{} (Introduction)", "{}", "", None), ("{} (Reprise)", "{}", "", None),
+    ("{} (Reprise)", "{} [Reprise]", "", 100), ("{} (Act II)", "{}", "", None), ("One {}", "{} Two", "", None), ("{}", "Other Words", "", None), ("()", "{}", "", None),
+]
 
 
 def title_ladder(spark: SparkSession, d: str) -> DataFrame:
-    """The level at which every decorated track name matches its plain title."""
-    track = F.concat("p_name", chosen(LADDER, F.col("p_partkey")))
-    keyed = table(spark, d, "part").select("p_partkey", titles.ladder_keys(track).alias("t"), titles.ladder_keys(F.initcap("p_name")).alias("q"))
-    return keyed.select("p_partkey", titles.ladder_level(F.col("t"), F.col("q")).cast("int").alias("level"))
+    """The level at which every part's track name matches a title, by its whole name, core, sections, other names and words."""
+    form = lambda k: F.replace(chosen([x[k] for x in LADDER], F.col("p_partkey")), F.lit("{}"), F.initcap("p_name") if k else F.col("p_name"))
+    keyed = table(spark, d, "part").select("p_partkey", titles.ladder_keys(form(0)).alias("t"), titles.ladder_keys(form(1)).alias("q"), F.array(form(2)).alias("others"))
+    return keyed.select("p_partkey", titles.ladder_level(F.col("t"), F.col("q"), F.col("others")).cast("int").alias("level"))
 
 
-TITLE_LADDER = f"SELECT p_partkey, CAST([{', '.join('NULL' if v is None else str(v) for v in LADDER_LEVELS)}][p_partkey % 8 + 1] AS INT) AS level FROM part"
+TITLE_LADDER = f"SELECT p_partkey, CAST([{', '.join('NULL' if x[3] is None else str(x[3]) for x in LADDER)}][p_partkey % {len(LADDER)} + 1] AS INT) AS level FROM part"
 
 
 def list_codec(spark: SparkSession, d: str) -> DataFrame:

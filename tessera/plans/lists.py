@@ -143,7 +143,7 @@ KEPT = """SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN order
 
 def dated_order(spark: SparkSession, d: str) -> DataFrame:
     """The first orders by display place, undated ones last, then date and folded name; with a label table's values attached."""
-    o = table(spark, d, "orders").join(F.broadcast(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")), "o_custkey", "left")
+    o = table(spark, d, "orders").join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey", "left")
     day = F.when(F.col("o_orderkey") % 9 != 0, F.to_date("o_orderdate"))
     order = [(F.col("o_orderkey") % 3).asc(), F.col("day").asc_nulls_last(), F.lower("c_name").asc_nulls_last(), F.col("o_orderkey").asc()]
     first = o.withColumn("day", day).orderBy(*order).limit(60)
@@ -161,7 +161,7 @@ SELECT o_orderkey, day, c_name, flags FROM f LEFT JOIN l ON l_orderkey = o_order
 def fallback_matches(spark: SparkSession, d: str) -> DataFrame:
     """For asked names, the best eight of a first source; a second one's where the first has none good enough."""
     part = table(spark, d, "part")
-    asked = part.where("p_partkey % 40 = 0").select(F.col("p_partkey").alias("q"), F.col("p_name").alias("qn"), F.col("p_brand").alias("qb"))
+    asked = part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("q"), F.col("p_name").alias("qn"), F.col("p_brand").alias("qb"))
     found = asked.join(part, F.col("qn") == F.col("p_name")).where("q <> p_partkey")
     score = (60 + F.when(F.col("qb") == F.col("p_brand"), 30).otherwise(0) - F.col("p_size") % 20).cast("int")
     scored = found.select("q", "p_partkey", score.alias("score"), F.when(F.col("p_partkey") % 2 == 0, 1).otherwise(2).alias("source"))
@@ -173,7 +173,7 @@ def fallback_matches(spark: SparkSession, d: str) -> DataFrame:
 
 FALLBACK = """
 WITH s AS (SELECT q.p_partkey AS q, p.p_partkey, CAST(60 + CASE WHEN q.p_brand = p.p_brand THEN 30 ELSE 0 END - p.p_size % 20 AS INT) AS score, CAST(CASE WHEN p.p_partkey % 2 = 0 THEN 1 ELSE 2 END AS INT) AS source
-  FROM part q JOIN part p ON q.p_name = p.p_name AND q.p_partkey <> p.p_partkey WHERE q.p_partkey % 40 = 0),
+  FROM part q JOIN part p ON q.p_name = p.p_name AND q.p_partkey <> p.p_partkey WHERE q.p_partkey % 50 = 0),
 g AS (SELECT q, max(score) >= 60 AS good FROM s WHERE source = 1 GROUP BY 1)
 SELECT s.q, p_partkey, score, source, row_number() OVER (PARTITION BY s.q ORDER BY score DESC, source, p_partkey) AS rank FROM s LEFT JOIN g ON g.q = s.q WHERE source = 1 OR NOT coalesce(good, false)
 QUALIFY rank <= 8"""

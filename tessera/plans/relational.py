@@ -105,17 +105,16 @@ ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey GROUP BY 1"""
 
 
 def dedupe_first(spark: SparkSession, d: str) -> DataFrame:
-    """The first document of each folded beginning, as its SQL has it; dedupe_whole keys by the whole text."""
-    docs = table(spark, d, "documents").withColumn("key", F.lower(F.substring("text", 1, 30)))
+    """The first document of each folded text, whole, and how many share it."""
+    docs = table(spark, d, "documents").select("doc_id", F.sha2(F.lower("text"), 256).alias("key"))
     return relate.keep_first(docs, ["key"], ["doc_id"]).select("doc_id", "key", "n_rows")
 
 
-DEDUPE_FIRST = """SELECT doc_id, lower(substr(text, 1, 30)) AS key, count(*) OVER (PARTITION BY lower(substr(text, 1, 30))) AS n_rows FROM documents
-QUALIFY row_number() OVER (PARTITION BY lower(substr(text, 1, 30)) ORDER BY doc_id) = 1"""
+DEDUPE_FIRST = """SELECT min(doc_id) AS doc_id, sha256(lower(text)) AS key, count(*) AS n_rows FROM documents GROUP BY lower(text)"""
 
 
 def dedupe_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The first document of each folded text, keyed by the digest of the whole."""
+    """The same by one aggregate: no group of copies comes into one task."""
     docs = table(spark, d, "documents").select("doc_id", F.sha2(F.lower("text"), 256).alias("key"))
     return docs.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_rows")).select("doc_id", "key", "n_rows")
 
@@ -212,7 +211,7 @@ QUERIES = {
     "key_precedence": (key_precedence, PRECEDENCE),
     "siblings": (siblings, SIBLINGS),
     "dedupe_first": (dedupe_first, DEDUPE_FIRST),
-    "dedupe_whole": (dedupe_whole, None),
+    "dedupe_whole": (dedupe_whole, DEDUPE_FIRST),
     "dedupe_last": (dedupe_last, DEDUPE_LAST),
     "renumber_positions": (renumber_positions, RENUMBER),
     "carry_forward": (carry_forward, CARRY),

@@ -98,19 +98,25 @@ def highlight_ranges(spark: SparkSession, d: str) -> DataFrame:
     return found.select("item_id", F.explode("hits").alias("h")).select("item_id", "h.start", "h.end")
 
 
+def _word_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of one brand and equal words: their words, smallest key and number."""
+    listed = F.array_sort(F.array_distinct(text.words(text.match_fold(F.col("p_name")))))
+    return table(spark, d, "part").groupBy("p_brand", listed.alias("words")).agg(F.min("p_partkey").alias("key"), F.count("*").alias("n"))
+
+
 def dice_match(spark: SparkSession, d: str) -> DataFrame:
-    """Word overlap of parts of one brand, of sizes up to 5 as its SQL has them; dice_match_all takes all."""
-    part = table(spark, d, "part").where("p_size <= 5")
-    a = part.select(F.col("p_partkey").alias("a"), "p_brand", F.col("p_name").alias("x"))
-    b = part.select(F.col("p_partkey").alias("b"), "p_brand", F.col("p_name").alias("y"))
-    level = scalar.dice(text.words(text.match_fold(F.col("x"))), text.words(text.match_fold(F.col("y"))))
-    return a.join(b, "p_brand").where("a < b").select("a", "b", F.round(level, 6).alias("dice")).where("dice > 0")
+    """Word overlap of all parts of one brand: pairs of different words, by the smallest keys of those that share them and how
+    many these are; dice_match_all has a row for each pair of parts."""
+    each = _word_classes(spark, d).withColumn("word", F.explode("words"))
+    a, b = (each.select("p_brand", "word", F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.size("words").alias(f"size_{k}")) for k in "ab")
+    shared = a.join(b, ["p_brand", "word"]).where("a < b").groupBy("a", "b", "n_a", "n_b", "size_a", "size_b").agg(F.count("*").alias("n"))
+    return shared.select("a", "b", "n_a", "n_b", F.round(2.0 * F.col("n") / (F.col("size_a") + F.col("size_b")), 6).alias("dice"))
 
 
 DICE = """
-WITH p AS (SELECT p_partkey, p_brand, list_distinct(string_split(lower(p_name), ' ')) AS w FROM part WHERE p_size <= 5)
-SELECT x.p_partkey AS a, y.p_partkey AS b, round(2.0 * len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w)), 6) AS dice
-FROM p x JOIN p y ON x.p_brand = y.p_brand AND x.p_partkey < y.p_partkey WHERE len(list_intersect(x.w, y.w)) > 0"""
+WITH p AS (SELECT p_brand, list_sort(list_distinct(string_split(lower(p_name), ' '))) AS w, min(p_partkey) AS key, count(*) AS n FROM part GROUP BY 1, 2)
+SELECT x.key AS a, y.key AS b, x.n AS n_a, y.n AS n_b, round(2.0 * len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w)), 6) AS dice
+FROM p x JOIN p y ON x.p_brand = y.p_brand AND x.key < y.key WHERE len(list_intersect(x.w, y.w)) > 0"""
 
 
 def dice_match_all(spark: SparkSession, d: str) -> DataFrame:
@@ -132,13 +138,13 @@ def _shown() -> Column:
 
 
 def title_keys_match(spark: SparkSession, d: str) -> DataFrame:
-    """Title levels of decorated names against plain ones, by shared keys, of the parts that its SQL names; title_keys_match_all
-    takes all."""
-    part = table(spark, d, "part").where("p_size <= 10")
-    left = part.select(F.col("p_partkey").alias("a"), text.title_keys(_shown()).alias("ka"))
-    right = part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("b"), text.title_keys(F.col("p_name")).alias("kb"))
+    """Title levels of all decorated names against all plain ones, by shared keys: pairs of titles, by the smallest keys of the
+    parts that have them and how many these are; title_keys_match_all has a row for each pair of parts."""
+    part = table(spark, d, "part")
+    left = part.groupBy(text.title_keys(_shown()).alias("ka")).agg(F.min("p_partkey").alias("a"), F.count("*").alias("n_a"))
+    right = part.groupBy(text.title_keys(F.col("p_name")).alias("kb")).agg(F.min("p_partkey").alias("b"), F.count("*").alias("n_b"))
     pairs = match.candidates(left, right, F.array("ka.main"), F.array("kb.main"))
-    return pairs.where("a < b").select("a", "b", match.title_level(F.col("ka"), F.col("kb")).cast("int").alias("level"))
+    return pairs.select("a", "b", "n_a", "n_b", match.title_level(F.col("ka"), F.col("kb")).cast("int").alias("level"))
 
 
 def title_keys_match_all(spark: SparkSession, d: str) -> DataFrame:
@@ -152,9 +158,9 @@ def title_keys_match_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 TITLES = """
-WITH p AS (SELECT p_partkey, p_name FROM part WHERE p_size <= 10)
-SELECT x.p_partkey AS a, y.p_partkey AS b, CAST(CASE WHEN x.p_partkey % 3 = 1 THEN 0 ELSE 2 END AS INT) AS level
-FROM p x JOIN p y ON x.p_name = y.p_name AND x.p_partkey < y.p_partkey AND y.p_partkey % 2 = 0"""
+WITH l AS (SELECT p_name, p_partkey % 3 = 1 AS reprise, min(p_partkey) AS a, count(*) AS n_a FROM part GROUP BY 1, 2),
+r AS (SELECT p_name, min(p_partkey) AS b, count(*) AS n_b FROM part GROUP BY 1)
+SELECT a, b, n_a, n_b, CAST(CASE WHEN reprise THEN 0 ELSE 2 END AS INT) AS level FROM l JOIN r USING (p_name)"""
 
 
 def edit_distance_block(spark: SparkSession, d: str) -> DataFrame:

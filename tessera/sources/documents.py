@@ -23,11 +23,12 @@ def file_sizes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str, schema: str, most_bytes: int = MOST_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejects) of JSON lines, gzip or plain. Raises if a file is larger than most_bytes; a broken line is a reject."""
+    """(rows, rejects) of JSON lines, gzip or plain. Raises if a file is larger than most_bytes; a broken line is a reject; a blank
+    one is neither."""
     largest = file_sizes(spark, path).agg(F.max("length")).first()[0]
     if largest is not None and largest > most_bytes:
         raise ValueError(f"a file of {largest} bytes, more than {most_bytes}")
-    raw = spark.read.text(path)
+    raw = spark.read.text(path).where(F.col("value").rlike(r"\S"))
     parsed = raw.select("value", F.from_json("value", f"{schema}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("row"))
     return parsed.where("row._broken IS NULL").select("row.*").drop("_broken"), parsed.where("row._broken IS NOT NULL").select("value")
 

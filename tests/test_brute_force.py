@@ -8,7 +8,9 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from tessera import plans
-from tessera.functions import scalar
+from tessera.functions import scalar, titles
+from tessera.operators import markup as pages
+from tessera.sources import documents
 
 SF = "/root/testdata/sf0.001"
 
@@ -72,3 +74,29 @@ def test_relative_time_at_its_edges(spark):
     now = F.to_timestamp(F.lit("2024-03-31 00:00:00"))
     df = spark.createDataFrame(list(enumerate(seconds)), "i int, s int").withColumn("then", F.timestamp_seconds(F.unix_timestamp(now) - F.col("s")))
     assert [r.ago for r in df.select("i", scalar.relative_time(F.col("then"), now).alias("ago")).orderBy("i").collect()] == want
+
+
+def test_sections_of_texts_that_begin_with_a_heading(spark):
+    texts = ["<h1>A</h1>x<h2>B</h2>y", "z<H3 class='q'>C</H3>", "", "no heading", "<h1>D</h1>", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, html string")
+    got = sorted(tuple(r) for r in pages.sections(df, "k", "html").collect())
+    assert got == [(0, 0, 1, "A", "x"), (0, 1, 2, "B", "y"), (1, 0, 3, "C", ""), (4, 0, 1, "D", "")]
+
+
+def test_blank_lines_are_no_rows(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"a": 1}\n\n  \nbroken\n{"a": null}\n')
+    rows_, rejects = documents.read_lines(spark, str(tmp_path / "x.jsonl"), "a long")
+    assert sorted(str(r.a) for r in rows_.collect()) == ["1", "None"] and [r.value for r in rejects.collect()] == ["broken"]
+
+
+def test_every_suspect_word_loses_25(spark):
+    words = (
+        "demo,instrumental,karaoke,underscore,playoff,play off,remix,acoustic,radio edit,pop version,dialogue,alternate,alt take,extended,ringtone,commentary,"
+        "interview,backing,accompaniment,track by track,exit music,bows,curtain call,utterance,spoken,single version,end credit,end credits,end title,"
+        "credits version,intro,outro,introduction,segue,underscoring,playout,play out"
+    ).split(",")
+    # equal without blanks, so 96, less 25 where the track alone has the word as such
+    df = spark.createDataFrame([(w, f"Song Title {w}", f"Song Title{w}", f"Song Title ({w})") for w in words], "w string, track string, title string, bare string")
+    level = lambda a, b: titles.ladder_level(titles.ladder_keys(F.col(a)), titles.ladder_keys(F.col(b)))
+    got = df.select("w", level("track", "title").alias("near"), level("bare", "track").alias("both")).collect()
+    assert {r.w: (r.near, r.both) for r in got} == {w: (71, 100) for w in words}
