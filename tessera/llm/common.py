@@ -40,13 +40,16 @@ def texts_of(docs: DataFrame) -> DataFrame:
     ).where("doc_id IS NOT NULL")
 
 
-def map_rows(df: DataFrame, work: Callable[[list], dict], schema: str) -> DataFrame:
-    """Arrow-batched map. work(columns as Python lists, in df's order) returns columns by name, of schema."""
+def map_rows(df: DataFrame, work: Callable[[list], dict], schema: str, keeps: bool = False) -> DataFrame:
+    """Arrow-batched map. work(columns as Python lists, in df's order) returns columns by name, of schema. Unless it keeps what
+    it holds for the worker's next tasks, what other works held goes first."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            _held.clear()
         for batch in batches:
             for part in slices(batch):
                 out = work([c.to_pylist() for c in part.columns])
@@ -55,7 +58,7 @@ def map_rows(df: DataFrame, work: Callable[[list], dict], schema: str) -> DataFr
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about most_bytes, so that Python objects for one piece at a time are in memory."""
     rows = batch.num_rows
     if not rows:

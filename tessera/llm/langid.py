@@ -228,7 +228,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         found = scorer(key, shared.value)(texts)
         return {"doc_id": ids, "lang_pred": [x for x, _ in found], "score": [s for _, s in found]}
 
-    return map_rows(texts_of(docs), work, "doc_id long, lang_pred string, score double")
+    return map_rows(texts_of(docs), work, "doc_id long, lang_pred string, score double", keeps=True)
 
 
 def identify(docs: DataFrame, vocabulary: str) -> DataFrame:
