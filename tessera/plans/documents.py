@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import relate
 from tessera.plans.publish import _NEW, _OLD, _snapshots
 from tessera.session import shared_folder, table
-from tessera.sources import documents
+from tessera.sources import bigjson, documents
 
 SHOW = "key long, title string, songs array<struct<id: long, status: string, price: double>>"
 
@@ -134,7 +134,26 @@ def side_files(spark: SparkSession, d: str) -> DataFrame:
 
 SIDE = "SELECT p_partkey, CASE WHEN p_partkey % 30 = 0 THEN upper(p_name) ELSE p_name END AS name, p_brand AS brand FROM part"
 
+def large_documents(spark: SparkSession, d: str) -> DataFrame:
+    """All documents, written as large JSON documents of up to 5,000 each, and read back element by element by many tasks."""
+    docs = table(spark, d, "documents")
+    path = shared_folder(spark, "large")
+    each = docs.select(F.floor(F.col("doc_id") / 5_000).alias("volume"), F.col("doc_id").alias("at"), F.to_json(F.struct("doc_id", "text", F.array("lang", "source").alias("tags"))).alias("element"))
+    bigjson.write_documents(each, path, "volume", "documents", "v1")
+    found = bigjson.array_elements(spark, path, "documents")
+    row = F.from_json("element", "doc_id long, text string, tags array<string>")
+    volume = F.regexp_extract("path", "group=([0-9]+)/", 1).cast("long")
+    versions = bigjson.head(spark, path, "version string").select("path", "version")
+    read = found.join(versions, "path").select(volume.alias("volume"), "place", "version", row.alias("r"))
+    return read.select("volume", "place", "version", "r.doc_id", F.md5("r.text").alias("text_md5"), F.array_join("r.tags", "/", "-").alias("tags"))
+
+
+LARGE = """
+SELECT doc_id // 5000 AS volume, row_number() OVER (PARTITION BY doc_id // 5000 ORDER BY doc_id) - 1 AS place, 'v1' AS version, doc_id, md5(text) AS text_md5,
+  coalesce(lang, '-') || '/' || coalesce(source, '-') AS tags FROM documents"""
+
 QUERIES = {
+    "large_documents": (large_documents, LARGE),
     "document_round_trip": (document_round_trip, ROUND_TRIP),
     "split_document": (split_document, SPLIT_DOCUMENT),
     "seed_scan": (seed_scan, SEEDS),
