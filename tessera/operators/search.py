@@ -1,11 +1,11 @@
-"""Ranked full-text search: postings, BM25 over weighted columns, tiers, highlights."""
+"""Ranked full-text search without an index: BM25 over weighted columns, tiers, highlights."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import fold, folded, tokens
@@ -28,80 +28,13 @@ def analysed(query: str, most: int = 8) -> list[str]:
     return [t for t in found if t not in COMMON] or found
 
 
-def postings(docs: DataFrame, doc: str, columns: dict[str, Column]) -> DataFrame:
-    """(doc, field, term, tf): the inverted index, to be written once and searched often."""
-    fields = F.array(*(F.struct(F.lit(n).alias("field"), tokens(c).alias("terms")) for n, c in columns.items()))
-    each = docs.select(doc, F.explode(fields).alias("f")).select(doc, "f.field", F.explode("f.terms").alias("term"))
-    return each.groupBy(doc, "field", "term").agg(F.count("*").alias("tf"))
-
-
-#: Index folders: terms of a prefix are in one, and a prefix search reads only that.
-HEADS = 64
-
-
-def head(term: Column) -> Column:
-    return F.ascii(F.substring(term, 1, 1)) % HEADS
-
-
-def write_index(made: DataFrame, folder: str) -> str:
-    """Write postings by the first letter of their terms; the folder."""
-    made.withColumn("head", head(F.col("term"))).repartition("head").write.partitionBy("head").parquet(folder)
-    return folder
-
-
-def index_of(spark: SparkSession, folder: str, query: Sequence[str] = ()) -> DataFrame:
-    """The postings of an index; with a query, of those folders alone that hold terms which its tokens begin."""
-    found = spark.read.parquet(folder)
-    return found.where(F.col("head").isin(sorted({ord(t[0]) % HEADS for t in query}))).drop("head") if query else found.drop("head")
-
-
-def reindexed(spark: SparkSession, folder: str, ids: DataFrame, renewed: DataFrame, doc: str) -> DataFrame:
-    """The postings without those of the given documents, and with the renewed ones."""
-    return index_of(spark, folder).join(ids, doc, "left_anti").unionByName(renewed)
-
-
-def begins_with(text: Column, phrase: Sequence[str]) -> Column:
-    """Whether a text's first tokens are those of a phrase, the last one as a prefix."""
-    each, n = tokens(text), len(phrase)
-    return all_of([F.get(each, F.lit(i)) == t for i, t in enumerate(phrase[:-1])] + [F.coalesce(F.startswith(F.get(each, F.lit(n - 1)), F.lit(phrase[-1])), F.lit(False))])
-
-
 def ranked_first(ranked: DataFrame, others: DataFrame, doc: str) -> DataFrame:
     """(doc, score): ranked hits, and others that are not among them, without a score."""
     return ranked.select(doc, "score").unionByName(others.join(ranked, doc, "left_anti").select(doc, F.lit(None).cast("double").alias("score")))
 
 
-def bm25(index: DataFrame, lengths: DataFrame, doc: str, query: Sequence[str], weights: dict[str, float]) -> DataFrame:
-    """(doc, score): documents in which every query token begins some term, by BM25 with field weights.
-
-    lengths: (doc, length). Only postings that begin with a token leave the index scan; the totals are one row.
-    """
-    probe = F.array(*(F.when(F.startswith("term", F.lit(t)), F.lit(t)) for t in query))
-    weight = F.lit(0.0)
-    for name, w in weights.items():
-        weight = F.when(F.col("field") == name, w).otherwise(weight)
-    hits = (
-        index.withColumn("token", F.explode(F.filter(probe, lambda t: t.isNotNull())))
-        .groupBy(doc, "token")
-        .agg(F.sum(F.col("tf") * weight).alias("wtf"))
-    )
-    holding = hits.groupBy("token").agg(F.count("*").alias("df"))
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("wtf") + K1 * (1 - B + B * F.col("length") / F.col("mean"))
-    return (
-        hits.join(F.broadcast(holding), "token")
-        .join(lengths, doc)
-        .join(F.broadcast(totals), F.lit(True))
-        .groupBy(doc)
-        .agg(F.sum(idf * F.col("wtf") * (K1 + 1) / norm).alias("score"), F.count("*").alias("n_tokens"))
-        .where(F.col("n_tokens") == len(query))
-        .drop("n_tokens")
-    )
-
-
 def scan_bm25(docs: DataFrame, doc: str, fields: dict[str, tuple[Column, float]], query: Sequence[str], kept: Sequence[str] = ()) -> DataFrame:
-    """(doc, kept columns, score) as bm25 gives it, without an index: one scan counts each document's tokens and weighted
+    """(doc, kept columns, score) by BM25 over weighted fields, as an index gives it, without one: one scan counts each document's tokens and weighted
     hits, and only these numbers are written and read for the totals."""
     listed = docs.select(doc, *kept, *(tokens(c).alias(f"_{n}") for n, (c, _) in fields.items()))
     hits = lambda t: sum((F.size(F.filter(f"_{n}", lambda x: F.startswith(x, F.lit(t)))) * w for n, (_, w) in fields.items()), F.lit(0.0))
