@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalar
 from tessera.operators import browse, merge
 from tessera.session import shared_folder, table
-from tessera.streaming import state
+from tessera.streaming import memory, state
 
 FIELDS = ["o_orderstatus", "o_totalprice"]
 
@@ -171,6 +171,48 @@ w(user_id, i, event_id, ts, window_start, nth) AS (
 SELECT user_id, event_id, window_start, CAST(nth AS INT) AS nth, nth <= 3 AS allowed FROM w"""
 
 
+#: Hours for which a found answer is remembered, and one that failed.
+KEPT_HOURS, FAILED_HOURS = 96, 12
+
+
+def check_memory(spark: SparkSession, d: str) -> DataFrame:
+    """Which of a user's events had to be asked for, and which were answered from memory: purchases and views find something."""
+    events = table(spark, d, "events").withColumn("found", F.col("event_type").isin("purchase", "view"))
+    return memory.remembered(events, "user_id", "ts", "found", "event_id", KEPT_HOURS * 3_600, FAILED_HOURS * 3_600)
+
+
+def check_memory_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same by a stream with keyed state and timers: it is started anew for each fifth of the time, from its checkpoint."""
+    events = table(spark, d, "events").withColumn("found", F.col("event_type").isin("purchase", "view")).withColumn("ts", F.col("ts").cast("timestamp"))
+    path, out = shared_folder(spark, "arrived"), shared_folder(spark, "answers")
+    first, last = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    if first is None:
+        return check_memory(spark, d)
+    fifth = F.floor((F.unix_micros("ts") - first) * 5 / (last - first + 1))
+    before = spark.conf.get(memory.STORE[0])
+    spark.conf.set(*memory.STORE)
+    try:
+        for k in range(5):
+            events.where(fifth == k).write.mode("append").parquet(path)
+            stream = spark.readStream.schema(events.schema).parquet(path)
+            made = memory.remembered_stream(stream, "user_id", "ts", "found", "event_id", "1 hour", KEPT_HOURS * 3_600, FAILED_HOURS * 3_600)
+            writer = made.writeStream.outputMode("append").option("checkpointLocation", f"{out}/state").option("path", f"{out}/rows")
+            writer.format("parquet").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(memory.STORE[0], before)
+    return spark.read.schema("user_id long, event_id long, asked boolean, answer boolean").parquet(f"{out}/rows")
+
+
+CHECKED = f"""
+WITH RECURSIVE o AS (SELECT user_id, event_id, ts, event_type IN ('purchase', 'view') AS found, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+w(user_id, i, event_id, asked_at, asked, answer) AS (
+  SELECT user_id, i, event_id, ts, true, found FROM o WHERE i = 1
+  UNION ALL SELECT user_id, i, event_id, CASE WHEN again THEN ts ELSE asked_at END, again, CASE WHEN again THEN found ELSE answer END FROM (
+    SELECT o.user_id, o.i, o.event_id, o.ts, o.found, w.asked_at, w.answer,
+      o.ts - w.asked_at >= CASE WHEN w.answer THEN INTERVAL {KEPT_HOURS} HOUR ELSE INTERVAL {FAILED_HOURS} HOUR END AS again FROM w JOIN o ON o.user_id = w.user_id AND o.i = w.i + 1))
+SELECT user_id, event_id, asked, answer FROM w"""
+
+
 def token_bucket(spark: SparkSession, d: str) -> DataFrame:
     """A bucket of three tokens for each user, one more every 600 minutes."""
     return state.token_bucket(table(spark, d, "events"), "user_id", "ts", 1 / 600, 3, "event_id")
@@ -236,6 +278,8 @@ QUERIES = {
     "tumbling_stream": (tumbling_stream, TUMBLING),
     "threshold_cross": (threshold_cross, CROSS),
     "first_hit_window": (first_hit_window, FIRST_HIT),
+    "check_memory": (check_memory, CHECKED),
+    "check_memory_stream": (check_memory_stream, CHECKED),
     "token_bucket": (token_bucket, None),
     "first_seen": (first_seen, FIRST_SEEN),
     "alive_sessions": (alive_sessions, ALIVE),

@@ -72,8 +72,8 @@ def token_bucket(events: DataFrame, key: str, at: str, per_minute: float, burst:
     return _sorted_groups(events, key, at, tie, run, f"{key} long, {tie} long, tokens double, allowed boolean")
 
 
-def _sorted_groups(events: DataFrame, key: str, at: str, tie: str, run, schema: str) -> DataFrame:
-    """run(keys, frames) over each key's events in time order. Events reach Python in frames of bounded size, sorted
+def _sorted_groups(events: DataFrame, key: str, at: str, tie: str, run, schema: str, more: list[str] | None = None) -> DataFrame:
+    """run(keys, frames) over each key's events in time order, with the columns key, at, tie and more. Events reach Python in frames of bounded size, sorted
     by Spark; a key is only its state, however many events it has."""
 
     def over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,7 +92,7 @@ def _sorted_groups(events: DataFrame, key: str, at: str, tie: str, run, schema:
             yield made
 
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
-    return events.select(key, at, tie).repartition(key).sortWithinPartitions(key, at, tie).mapInPandas(over, schema)
+    return events.select(key, at, tie, *(more or [])).repartition(key).sortWithinPartitions(key, at, tie).mapInPandas(over, schema)
 
 
 class _Feed:
