@@ -141,3 +141,11 @@ def html_text(x: Column) -> Column:
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         x = F.replace(x, F.lit(entity), F.lit(char))
     return squeezed(x)
+
+
+def natural_key(x: Column) -> Column:
+    """A key that sorts texts as a reader does: no regard to case and accents, and numbers in them by their size."""
+    number = lambda c: F.regexp_replace(c, "^0+(?=[0-9])", "")
+    chunks = F.regexp_extract_all(x, F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    sized = F.transform(chunks, lambda c: F.when(c.rlike("^[0-9]"), F.concat(F.lpad(F.length(number(c)).cast("string"), 4, "0"), number(c))).otherwise(c))
+    return F.collate(F.array_join(sized, ""), "UNICODE_CI_AI")

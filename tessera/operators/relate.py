@@ -100,3 +100,14 @@ def closure(edges: DataFrame, child: str, parent: str, most_rounds: int = 40) ->
         longer = known.join(onward, "ancestor").select("child", F.col("next").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
         known = known.unionByName(longer).groupBy("child", "ancestor").agg(F.min("depth").alias("depth"))
     raise ValueError(f"the hierarchy is deeper than 2 ** {most_rounds}")
+
+
+def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "place") -> DataFrame:
+    """df with its rows' places from 1 in a total order. Rows are put in ranges and numbered inside each; only how many there are
+    in each range meets in one place. Rows that are equal in the whole order are numbered in no certain one."""
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    put = scratch(sorted_.withColumns({"__part": F.spark_partition_id(), "__line": F.monotonically_increasing_id()}), "numbered")
+    counts = put.groupBy("__part").agg(F.count("*").alias("n"), F.min("__line").alias("first"))
+    before = F.sum("n").over(Window.orderBy("__part")) - F.col("n")  # a row a range
+    shifts = counts.select("__part", (before - F.col("first") + 1).alias("shift"))
+    return put.join(shifts, "__part").withColumn(name, F.col("__line") + F.col("shift")).drop("__part", "__line", "shift")

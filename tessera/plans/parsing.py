@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import blocks, correct
+from tessera.functions import text
+from tessera.operators import blocks, correct, relate, variants
 from tessera.session import table
 
 
@@ -133,7 +134,57 @@ r AS (SELECT documents.doc_id, text, quality, toxic, CASE WHEN coalesce(trim(tex
 b AS (SELECT *, CASE WHEN quality = 1 AND toxic = 0 THEN 'marked-quality' WHEN regexp_matches(text, '\A[^\n.]{1,80}\n') THEN 'heading' END AS back FROM r)
 SELECT doc_id, reason IN ('long', 'language') OR back IS NOT NULL AS include, CASE WHEN reason IN ('long', 'language') THEN reason ELSE coalesce(back, reason) END AS reason FROM b"""
 
+def _json_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Events' properties as JSON texts of many shapes: some missing, some broken, some with keys that none may have."""
+    props, k = F.col("props"), F.col("event_id") % 9
+    inside = lambda a, b: F.concat(F.lit(a), props, F.lit(b))
+    text = (
+        F.when(k == 1, None).when(k == 2, "  ").when(k == 3, F.substring(props, 1, 5)).when(k == 4, inside('{"a": {"constructor": ', "}}"))
+        .when(k == 5, inside("[", ', {"b c": {"__proto__": 1}}]')).when(k == 6, inside('{"prototype": {"x": ', ', "y": [{"prototype": null}]}}')).otherwise(props)
+    )
+    return table(spark, d, "events").select("event_id", text.alias("json"))
+
+
+def checked_json(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with each JSON text, and where."""
+    found = variants.checked(_json_texts(spark, d), "event_id", "json")
+    return found.select("event_id", "error", F.array_join("paths", " ").alias("paths"))
+
+
+CHECKED_JSON = """
+SELECT event_id, CASE WHEN event_id % 9 IN (1, 2) THEN 'missing' WHEN event_id % 9 = 3 OR NOT json_valid(props) THEN 'invalid' WHEN event_id % 9 IN (4, 5, 6) THEN 'forbidden' END AS error,
+  CASE event_id % 9 WHEN 4 THEN '$.a.constructor' WHEN 5 THEN '$[1]."b c".__proto__' WHEN 6 THEN '$.prototype $.prototype.y[0].prototype' ELSE '' END AS paths FROM events"""
+
+
+def json_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers in the events' JSON texts: how many, and their sum, at every path."""
+    good = variants.parsed(_json_texts(spark, d), "event_id", "json").where("error IS NULL")
+    leaves = variants.walked(good, "event_id", "value").select("path", F.try_variant_get("value", "$", "double").alias("number"))
+    return leaves.groupBy("path").agg(F.count("*").alias("n"), F.sum("number").alias("total"))
+
+
+JSON_LEAVES = """
+WITH e AS (SELECT event_id % 9 AS k, (props->>'$.k')::DOUBLE AS v FROM events),
+p AS (SELECT unnest(CASE WHEN k IN (0, 7, 8) THEN [{'path': '$.k', 'v': v}] WHEN k = 4 THEN [{'path': '$.a', 'v': NULL}, {'path': '$.a.constructor', 'v': NULL}, {'path': '$.a.constructor.k', 'v': v}]
+  WHEN k = 5 THEN [{'path': '$[0]', 'v': NULL}, {'path': '$[0].k', 'v': v}, {'path': '$[1]', 'v': NULL}, {'path': '$[1]."b c"', 'v': NULL}, {'path': '$[1]."b c".__proto__', 'v': 1.0}]
+  WHEN k = 6 THEN [{'path': '$.prototype', 'v': NULL}, {'path': '$.prototype.x', 'v': NULL}, {'path': '$.prototype.x.k', 'v': v}, {'path': '$.prototype.y', 'v': NULL},
+    {'path': '$.prototype.y[0]', 'v': NULL}, {'path': '$.prototype.y[0].prototype', 'v': NULL}] ELSE [] END) AS x FROM e)
+SELECT x.path AS path, count(*) AS n, sum(x.v) AS total FROM p GROUP BY 1"""
+
+
+def collated_names(spark: SparkSession, d: str) -> DataFrame:
+    """Parts in a reader's order of their names: case and accents don't count, numbers go by size."""
+    name = F.concat(F.initcap(F.translate("p_name", "eo", "éÖ")), F.lit(" "), F.when(F.col("p_partkey") % 2 == 0, F.lit("No. ")).otherwise(F.lit("0")), F.col("p_size").cast("string"))
+    part = table(spark, d, "part").select("p_partkey", name.alias("name")).withColumn("key", text.natural_key(F.col("name")))
+    return relate.numbered(part, ["key", "p_partkey"]).select("p_partkey", "name", "place")
+
+
+COLLATED = """
+WITH p AS (SELECT p_partkey, p_size, p_name, array_to_string(list_transform(string_split(lower(translate(p_name, 'eo', 'éö')), ' '), lambda w: upper(w[1]) || w[2:]), ' ') || ' ' || CASE WHEN p_partkey % 2 = 0 THEN 'No. ' ELSE '0' END || p_size AS name FROM part)
+SELECT p_partkey, name, row_number() OVER (ORDER BY p_name || ' ' || CASE WHEN p_partkey % 2 = 0 THEN 'no ' ELSE '' END || lpad(p_size::VARCHAR, 9, '0'), p_partkey) AS place FROM p"""
+
 QUERIES = {
+    "checked_json": (checked_json, CHECKED_JSON), "json_leaves": (json_leaves, JSON_LEAVES), "collated_names": (collated_names, COLLATED),
     "page_lists": (page_lists, None), "page_numbers": (page_numbers, None), "corrected_rows": (corrected_rows, CORRECTED), "correction_report": (correction_report, REPORT),
     "decided_documents": (decided_documents, DECIDED),
 }

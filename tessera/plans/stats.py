@@ -140,11 +140,9 @@ SELECT user_id, event_type, votes FROM c QUALIFY row_number() OVER (PARTITION BY
 
 def sorted_counts(spark: SparkSession, d: str) -> DataFrame:
     """Values by count, then by folded name, numbered."""
-    from pyspark.sql import Window
-
     counted = table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.collect_set("p_type").alias("t"))
-    place = F.row_number().over(Window.orderBy(F.desc("n"), F.lower("p_brand")))
-    return counted.select("p_brand", "n", F.array_join(F.array_sort("t"), " ").alias("types"), place.cast("long").alias("place"))
+    placed = relate.numbered(counted, [F.desc("n"), F.lower("p_brand")])
+    return placed.select("p_brand", "n", F.array_join(F.array_sort("t"), " ").alias("types"), "place")
 
 
 SORTED_COUNTS = """
