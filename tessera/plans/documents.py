@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import relate
 from tessera.plans.publish import _NEW, _OLD, _snapshots
 from tessera.session import shared_folder, table
-from tessera.sources import bigjson, documents
+from tessera.sources import bigjson, documents, published
 
 SHOW = "key long, title string, songs array<struct<id: long, status: string, price: double>>"
 
@@ -152,7 +152,59 @@ LARGE = """
 SELECT doc_id // 5000 AS volume, row_number() OVER (PARTITION BY doc_id // 5000 ORDER BY doc_id) - 1 AS place, 'v1' AS version, doc_id, md5(text) AS text_md5,
   coalesce(lang, '-') || '/' || coalesce(source, '-') AS tags FROM documents"""
 
+def _published(spark: SparkSession, d: str) -> published.Published:
+    """Snapshots of orders, published one after the other: one, the same in another order, one that lost too much, one with rows
+    that are gone, changed or new, one with a key twice, and one in which those that were gone are back."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    first = orders.where("o_orderkey % 7 <> 0")
+    changed = F.when(F.col("o_orderkey") % 11 == 0, "X").otherwise(F.col("o_orderstatus"))
+    second = orders.where("o_orderkey % 5 <> 0").withColumn("o_orderstatus", changed)
+    made = published.Published(spark, shared_folder(spark, "published"), "o_orderkey")
+    for snapshot in (first, first.orderBy(F.desc("o_totalprice")), first.where("o_orderkey % 3 = 0"), second, second.unionByName(second.where("o_orderkey % 100 = 1")), orders.where("o_orderkey % 13 <> 0")):
+        made.publish(snapshot, ["o_orderstatus", "o_totalprice"], F.col("o_totalprice") > 250_000)
+    return made
+
+
+def published_orders(spark: SparkSession, d: str) -> DataFrame:
+    """What is published in the end: ids that stay, and rows that were retired."""
+    return _published(spark, d).current()
+
+
+def publish_log(spark: SparkSession, d: str) -> DataFrame:
+    """What each publishing did."""
+    return _published(spark, d).log().drop("digest")
+
+
+#: The three snapshots that are written, merged one after the other.
+_PUBLISHED = """
+WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_totalprice AS p FROM orders),
+v1 AS (SELECT k, s, p, row_number() OVER (ORDER BY k) AS id, false AS retired FROM o WHERE k % 7 <> 0),
+n2 AS (SELECT k, CASE WHEN k % 11 = 0 THEN 'X' ELSE s END AS s, p FROM o WHERE k % 5 <> 0),
+i2 AS (SELECT k, row_number() OVER (ORDER BY k) + (SELECT max(id) FROM v1) AS id FROM n2 ANTI JOIN v1 USING (k)),
+v2 AS (SELECT k, n2.s, n2.p, coalesce(v1.id, i2.id) AS id, false AS retired FROM n2 LEFT JOIN v1 USING (k) LEFT JOIN i2 USING (k)
+  UNION ALL SELECT k, s, p, id, true FROM v1 ANTI JOIN n2 USING (k) WHERE p > 250000),
+n3 AS (SELECT * FROM o WHERE k % 13 <> 0),
+i3 AS (SELECT k, row_number() OVER (ORDER BY k) + (SELECT max(id) FROM (SELECT id FROM v1 UNION ALL SELECT id FROM i2)) AS id FROM n3 ANTI JOIN v2 USING (k)),
+v3 AS (SELECT k, n3.s, n3.p, coalesce(v2.id, i3.id) AS id, false AS retired FROM n3 LEFT JOIN v2 USING (k) LEFT JOIN i3 USING (k)
+  UNION ALL SELECT k, s, p, id, true FROM v2 ANTI JOIN n3 USING (k) WHERE p > 250000)"""
+PUBLISHED = f"{_PUBLISHED} SELECT k AS o_orderkey, s AS o_orderstatus, p AS o_totalprice, id, retired FROM v3"
+
+
+def _step(old: str, new: str, n: int, version: int) -> str:
+    same = "a.s IS NOT DISTINCT FROM b.s AND a.p IS NOT DISTINCT FROM b.p"
+    return f"""SELECT {n}::INT AS step, 'written' AS outcome, '' AS reasons, {version}::INT AS version, (count(*) FILTER (b.k IS NOT NULL OR a.p > 250000))::BIGINT AS n,
+  count(*) FILTER (b.k IS NOT NULL AND (a.k IS NULL OR a.retired)) AS inserted, count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL AND NOT a.retired AND NOT ({same})) AS updated,
+  count(*) FILTER (b.k IS NULL AND a.p > 250000 AND NOT a.retired) AS retired, count(*) FILTER (b.k IS NULL AND NOT coalesce(a.p > 250000, false)) AS deleted
+  FROM {old} a FULL JOIN {new} b ON a.k = b.k"""
+
+
+PUBLISH_LOG = f"""{_PUBLISHED}, v0 AS (SELECT * FROM v1 LIMIT 0)
+{_step("v0", "v1", 0, 0)} UNION ALL {_step("v1", "n2", 3, 1)} UNION ALL {_step("v2", "n3", 5, 2)}
+UNION ALL SELECT unnest([1, 2, 4])::INT, unnest(['unchanged', 'refused', 'refused']), unnest(['', 'shrunk', 'repeated-key']), NULL, 0, 0, 0, 0, 0"""
+
 QUERIES = {
+    "published_orders": (published_orders, PUBLISHED),
+    "publish_log": (publish_log, PUBLISH_LOG),
     "large_documents": (large_documents, LARGE),
     "document_round_trip": (document_round_trip, ROUND_TRIP),
     "split_document": (split_document, SPLIT_DOCUMENT),
