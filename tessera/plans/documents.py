@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import relate
 from tessera.plans.publish import _NEW, _OLD, _snapshots
 from tessera.session import shared_folder, table
-from tessera.sources import bigjson, documents, published
+from tessera.sources import bigjson, documents, published, sheets
 
 SHOW = "key long, title string, songs array<struct<id: long, status: string, price: double>>"
 
@@ -202,7 +202,30 @@ PUBLISH_LOG = f"""{_PUBLISHED}, v0 AS (SELECT * FROM v1 LIMIT 0)
 {_step("v0", "v1", 0, 0)} UNION ALL {_step("v1", "n2", 3, 1)} UNION ALL {_step("v2", "n3", 5, 2)}
 UNION ALL SELECT unnest([1, 2, 4])::INT, unnest(['unchanged', 'refused', 'refused']), unnest(['', 'shrunk', 'repeated-key']), NULL, 0, 0, 0, 0, 0"""
 
+def sheet_files(spark: SparkSession, d: str) -> DataFrame:
+    """Workbooks of two sheets, made of a hundred parts each, and read again: regions below headings that stand anywhere in the
+    first rows."""
+    part, k = table(spark, d, "part"), F.col("p_partkey")
+    sheet = F.when(k % 3 == 0, "Duets").otherwise("Solos")
+    cells = F.array(F.when(k % 5 == 0, F.lit(None)).otherwise(F.lit("x")), F.concat(F.lit("  "), "p_name", F.lit(" & <co>")), F.col("p_brand"), F.when(k % 4 == 0, F.lit(" ")).otherwise(F.col("p_type")))
+    rows = part.select(F.floor(k / 100).alias("book"), sheet.alias("sheet"), (k % 100 + 10).alias("at"), cells.alias("cells"))
+    heading = F.explode(F.array(*(F.struct(F.lit(s).alias("sheet"), F.lit(at).cast("long").alias("at"), cells_.alias("cells")) for s in ("Duets", "Solos") for at, cells_ in (
+        (0, F.array(F.lit("Title page"), F.col("book").cast("string"))), (1, F.array(F.lit(None), F.lit(" Title "), F.lit("SHOW"), F.lit("Kind")))
+    ))))
+    heads = rows.select("book").distinct().select("book", heading.alias("h")).select("book", "h.*")
+    read = sheets.grids(sheets.workbooks(rows.unionByName(heads), "book")).withColumn("name", F.concat_ws("/", "path", "sheet"))
+    found = documents.regions(read, "name", "row", "cells", {"title": "title", "show": "show", "kind": "kind"})
+    return found.groupBy("name", "region").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "row", "value"))), "|")).alias("digest"))
+
+
+SHEET_FILES = r"""
+WITH p AS (SELECT p_partkey // 100 || CASE WHEN p_partkey % 3 = 0 THEN '/Duets' ELSE '/Solos' END AS name, p_name || ' & <co>' AS title, p_brand AS brand, CASE WHEN p_partkey % 4 <> 0 THEN p_type END AS kind,
+  row_number() OVER (PARTITION BY p_partkey // 100, p_partkey % 3 = 0 ORDER BY p_partkey) + 1 AS row FROM part),
+r AS (SELECT name, row, unnest([{'region': 'title', 'value': title}, {'region': 'show', 'value': brand}, {'region': 'kind', 'value': kind}]) AS x FROM p)
+SELECT name, x.region AS region, count(*) AS n, md5(string_agg(row || ':' || x.value, '|' ORDER BY row || ':' || x.value)) AS digest FROM r WHERE x.value IS NOT NULL GROUP BY 1, 2"""
+
 QUERIES = {
+    "sheet_files": (sheet_files, SHEET_FILES),
     "published_orders": (published_orders, PUBLISHED),
     "publish_log": (publish_log, PUBLISH_LOG),
     "large_documents": (large_documents, LARGE),

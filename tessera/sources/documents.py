@@ -63,7 +63,7 @@ def regions(grid: DataFrame, sheet: str, row: str, cells: str, headers: dict[str
     for heading in headers.values():
         has_all = has_all & F.array_contains(titles, heading)
     found = grid.where((F.col(row) < most_rows) & has_all).groupBy(sheet).agg(F.min_by(F.struct(row, titles.alias("titles")), row).alias("head"))
-    below = grid.join(F.broadcast(found), sheet).where(F.col(row) > F.col(f"head.{row}"))
+    below = grid.join(found, sheet).where(F.col(row) > F.col(f"head.{row}"))
     place = lambda h: F.array_position(F.col("head.titles"), h).cast("int")
     each = F.array(*(F.struct(F.lit(r).alias("region"), cell(F.try_element_at(cells, place(h))).alias("value")) for r, h in headers.items()))
     return below.select(sheet, row, F.explode(each).alias("x")).select(sheet, "x.region", row, "x.value").where("value IS NOT NULL")
