@@ -29,15 +29,21 @@ def matches_tokens(query: str, fields: Sequence[Column], most: int = 12) -> Colu
 
 
 def matches_loosely(query: str, fields: Sequence[Column]) -> Column:
-    """The whole query in one field, or, with two tokens and more, all tokens anywhere in the fields together."""
+    """The whole query in one field, or, with two tokens and more, all tokens anywhere in the fields together. Every field is
+    folded once a row, however many tokens there are."""
     wanted = " ".join(folded(query).split())
     parts = wanted.split()
-    # a field without every token can't hold the whole, and tokens hold no blanks, so only others are squeezed
-    holds = lambda f: all_of([folded_contains(f, t) for t in parts])
-    whole = any_of([holds(f) & F.contains(squeezed(fold(f)), F.lit(wanted)) for f in fields])
-    if len(parts) < 2:
-        return whole
-    return all_of([any_of([folded_contains(f, t) for f in fields]) for t in parts]) | whole
+    has = lambda t: lambda x: F.contains(x, F.lit(t))
+    holds = lambda x: all_of([has(t)(x) for t in parts])
+
+    def hit(texts: Column) -> Column:
+        # a field without every token can't hold the whole, and tokens hold no blanks, so only others are squeezed
+        whole = F.exists(texts, lambda x: holds(x) & F.contains(squeezed(x), F.lit(wanted)))
+        if len(parts) < 2:
+            return whole
+        return all_of([F.exists(texts, has(t)) for t in parts]) | whole
+
+    return F.exists(F.array(F.array(*(fold(F.coalesce(f, F.lit(""))) for f in fields))), hit)
 
 
 def within(column: Column, low=None, high=None) -> Column:
