@@ -49,12 +49,15 @@ def test_recall_and_scores(spark):
     assert sum(verified) / len(verified) < 0.25 * len(rows)
 
 
-def test_blocks_and_chunks_find_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_blocks_find_the_same(spark, monkeypatch, batch):
+    """Vectors and queries of a block come in one frame or in many."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in df.collect()]
     monkeypatch.setattr(ann, "BLOCK", 90)
-    monkeypatch.setattr(ann, "QUERIES", 10)
     got, want = answers(ann.search(df, every=20)), brute(rows, 20, 10)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert set(got) == set(want) and all(len(found) == 10 for found in got.values())
     hits = sum(len({i for _, i in found} & {i for _, i in want[q]}) for q, found in got.items())
     assert hits / (10 * len(want)) >= 0.9
