@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import fold, squeezed
+from tessera.functions import titles
+from tessera.functions.text import fold, match_fold, squeezed, title_keys
 
 
 def loose_distinct(values: Column, most: int | None = None) -> Column:
@@ -68,3 +69,25 @@ def grouped(df: DataFrame, partition: Sequence[str], section: str, order: str, i
     """(partition, section, items): each section's items in order, those without a place last."""
     sort = F.struct(F.col(order).isNull().alias("last"), F.col(order).alias("at"), F.col(item).alias("item"))
     return df.groupBy(*partition, section).agg(F.transform(F.array_sort(F.collect_list(sort)), lambda x: x["item"]).alias("items"))
+
+
+#: Most songs that one album's tracks give: a list, no sample.
+MOST_TRACKS = 60
+# Words of numbers that nobody sings.
+INSTRUMENTAL = r"\b(?:overture|entr ?acte|instrumental|underscor(?:e|ing)|play ?off|exit music|bows|curtain call|incidental music|scene change)\b"
+
+
+def songs_of_tracks(tracks: DataFrame, group: str, order: str, name: str, explicit: str, known: DataFrame | None = None) -> DataFrame:
+    """(group, place, title, reprise, instrumental): an album's tracks as songs, in order: no explicit ones, none without a title,
+    none that is known (group, key) or stood before; the first MOST_TRACKS of them."""
+    title = titles.clean_track_title(F.col(name))
+    keys = title_keys(F.col("title"))
+    key = F.concat_ws("|", keys["main"], titles.reprise_number(F.col("title"), F.lit(False)).cast("string"))
+    each = tracks.where(~F.coalesce(F.col(explicit), F.lit(False))).select(group, order, title.alias("title")).where("title IS NOT NULL")
+    keyed = each.withColumns({"key": key, "main": keys["main"], "reprise": keys["reprise"]}).where("main <> ''")
+    if known is not None:
+        keyed = keyed.join(known.select(group, "key").distinct(), [group, "key"], "left_anti")
+    first = keyed.groupBy(group, "key").agg(F.min_by(F.struct("title", "reprise"), order).alias("t"), F.min(order).alias("at"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy("at"))
+    placed = first.withColumn("place", place).where(F.col("place") <= MOST_TRACKS)
+    return placed.select(group, "place", "t.title", "t.reprise", match_fold(F.col("t.title")).rlike(INSTRUMENTAL).alias("instrumental"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import albums
+from tessera.functions import albums, labels
 from tessera.functions.text import match_key
-from tessera.operators import suggest, validate
+from tessera.operators import lists, suggest, validate
 from tessera.plans.fields import chosen, sql_chosen
 from tessera.session import table
 
@@ -127,7 +127,61 @@ c AS (SELECT a.p_partkey, count(b.large) FILTER (b.large) AS yes, count(b.large)
 SELECT p_partkey, CASE WHEN n > 0 THEN yes > 0 AND yes >= n - yes END AS value, CASE WHEN n > 0 THEN yes > 0 AND yes < n END AS disputed,
   CASE WHEN yes > 0 AND yes < n THEN CASE WHEN yes >= n - yes THEN yes || ' of ' || n || ' are' ELSE (n - yes) || ' of ' || n || ' are not' END END AS note FROM c"""
 
+PEOPLE = ["Ann Lee", " ann lee ", "Bo", "", "Cy X", None]
+
+
+def label_fields(spark: SparkSession, d: str) -> DataFrame:
+    """What parts are shown as: initials, cut names, merged credits, keys, labels, and a draw by their key."""
+    k, who = F.col("p_partkey"), F.array(*map(F.lit, PEOPLE))
+    by = lambda n: F.element_at(who, (F.floor(k / n) % 6 + 1).cast("int"))
+    title = F.concat(F.lit("The "), F.initcap("p_name"), F.lit(" [x] – From the Film"))
+    credits = F.transform(labels.credit_lines(by(1), by(6), by(36)), lambda c: F.concat(c["role"], F.lit(": "), c["who"]))
+    return table(spark, d, "part").select(
+        "p_partkey", labels.initials(title).alias("initials"), labels.capped(F.concat("p_name", F.lit(" and more")), 14).alias("capped"), labels.core_title(title).alias("core"),
+        labels.contains_words(labels.core_title(title), F.element_at(F.split("p_name", " "), 2)).alias("holds"), labels.song_key(F.concat(F.upper("p_name"), F.lit("'s!")), k % 2 == 0).alias("key"),
+        F.array_join(credits, "; ").alias("credits"), labels.score_label((k % 101).cast("int")).alias("label"), labels.seeded_draw(k * 7_919, 3).alias("draw"),
+    )
+
+
+def _people(n: int) -> str:
+    return "[" + ", ".join("NULL" if p is None else f"'{p}'" for p in PEOPLE) + f"][(p_partkey // {n}) % 6 + 1]"
+
+
+LABEL_FIELDS = f"""
+WITH p AS (SELECT *, nullif(trim({_people(1)}), '') AS m, nullif(trim({_people(6)}), '') AS y, nullif(trim({_people(36)}), '') AS b,
+  (p_partkey * 7919 + 5494697439 % 4294967296) % 4294967296 AS a FROM part),
+i AS (SELECT *, (xor(a, a >> 15)::HUGEINT * (a | 1)::HUGEINT % 4294967296)::BIGINT AS t FROM p),
+j AS (SELECT *, xor(t, ((t + (xor(t, t >> 7)::HUGEINT * (t | 61)::HUGEINT % 4294967296)::BIGINT) % 4294967296)) AS u FROM i)
+SELECT p_partkey, upper(string_split(p_name, ' ')[1][1]) || upper(string_split(p_name, ' ')[2][1]) AS initials,
+  CASE WHEN length(p_name) + 9 > 14 THEN rtrim(substr(p_name || ' and more', 1, 13)) || '…' ELSE p_name || ' and more' END AS capped, 'the ' || p_name AS core, true AS holds,
+  p_name || 's|' || (p_partkey % 2 = 0)::INT AS key,
+  CASE WHEN m IS NOT NULL AND lower(m) = lower(y) AND lower(m) = lower(b) THEN 'Music, lyrics & book: ' || m
+    WHEN m IS NOT NULL AND lower(m) = lower(y) THEN concat_ws('; ', 'Music & lyrics: ' || m, 'Book: ' || b)
+    WHEN lower(b) = lower(y) THEN concat_ws('; ', 'Music: ' || m, 'Lyrics & book: ' || b) ELSE concat_ws('; ', 'Music: ' || m, 'Lyrics: ' || y, 'Book: ' || b) END AS credits,
+  CASE WHEN p_partkey % 101 >= 85 THEN 'Great match' WHEN p_partkey % 101 >= 70 THEN 'Likely match' ELSE 'Maybe' END AS label, xor(u, u >> 14) / 4294967296.0::DOUBLE AS draw FROM j"""
+
+
+def album_songs(spark: SparkSession, d: str) -> DataFrame:
+    """Songs of albums, which are a brand's parts of a size: no explicit tracks, none twice, none that is known."""
+    k = F.col("p_partkey")
+    note = chosen(["", " (Original Cast Recording)", " - Live", " (Reprise)", " (feat. X)", " Overture"], k)
+    tracks = table(spark, d, "part").select(
+        "p_brand", "p_partkey", F.when(k % 13 == 0, F.lit(" (Live Version)")).otherwise(F.concat(F.initcap("p_name"), note)).alias("track"), (F.col("p_size") % 9 == 0).alias("explicit")
+    )
+    known = table(spark, d, "part").where("p_size = 1").select("p_brand", F.concat("p_name", F.lit("|0")).alias("key"))
+    return lists.songs_of_tracks(tracks, "p_brand", "p_partkey", "track", "explicit", known)
+
+
+ALBUM_SONGS = """
+WITH t AS (SELECT p_brand, p_partkey, p_name, p_partkey % 6 AS f, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS cap FROM part WHERE p_size % 9 <> 0 AND p_partkey % 13 <> 0),
+k AS (SELECT *, p_name || CASE f WHEN 3 THEN '|1' WHEN 5 THEN ' overture|0' ELSE '|0' END AS key FROM t),
+n AS (SELECT DISTINCT p_brand, p_name || '|0' AS key FROM part WHERE p_size = 1),
+f AS (SELECT * FROM k ANTI JOIN n USING (p_brand, key) QUALIFY row_number() OVER (PARTITION BY p_brand, key ORDER BY p_partkey) = 1)
+SELECT p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS place, cap || CASE f WHEN 3 THEN ' (Reprise)' WHEN 5 THEN ' Overture' ELSE '' END AS title, f = 3 AS reprise, f = 5 AS instrumental
+FROM f QUALIFY place <= 60"""
+
 QUERIES = {
+    "label_fields": (label_fields, LABEL_FIELDS), "album_songs": (album_songs, ALBUM_SONGS),
     "album_classes": (album_classes, ALBUM_CLASSES), "validated_rows": (validated_rows, VALIDATED), "suggested_types": (suggested_types, SUGGESTED),
     "suggested_flags": (suggested_flags, SUGGESTED_FLAGS),
 }

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tessera.functions import albums
+from tessera.functions import albums, labels
 from tessera.operators import suggest, validate
 
 
@@ -81,3 +81,30 @@ def test_readings_of_titles(spark):
     assert [r[0] for r in df.select(suggest.title_alternatives(F.col("t"))).collect()] == [["Two Three", "One"], [], [], [], []]
     marks = spark.createDataFrame([([], False), (["a"], False), (["a"], True), (["a", "b", "c"], False), (None, True)], "s array<string>, e boolean")
     assert [r[0] for r in marks.select(suggest.parts_confidence(F.col("s"), F.col("e"))).collect()] == ["low", "high", "medium", "medium", "low"]
+
+
+def test_draws_equal_a_plain_generator(spark):
+    def plain(seed, turn):
+        a = seed % 2**32
+        for _ in range(turn):
+            a = (a + 0x6D2B79F5) % 2**32
+            t = (a ^ (a >> 15)) * (a | 1) % 2**32
+            t ^= (t + (t ^ (t >> 7)) * (t | 61)) % 2**32
+            out = (t ^ (t >> 14)) / 2**32
+        return out
+
+    seeds = [0, 1, 2**32 - 1, 123456789, 2**40 + 7]
+    df = spark.createDataFrame([(s,) for s in seeds], "s long")
+    for turn in (1, 2, 100):
+        assert [r[0] for r in df.select(labels.seeded_draw(F.col("s"), turn)).collect()] == [plain(s, turn) for s in seeds]
+
+
+def test_shown_texts(spark):
+    cases = {
+        "One. Two! Three? Four.": ("One. Two! Three?", "OT"), "": ("", "?"), None: ("", "?"), "The Éa of x": ("The Éa of x", "EX"), "A long sentence of many words. B.": ("A long sentence of", "LS"),
+        "no end but quite long here": ("no end but quite l…", "NE"), "the of": ("the of", "TO"),
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    got = {r.t: (r.s, r.i) for r in df.select("t", labels.shortened(F.col("t"), 19).alias("s"), labels.initials(F.col("t")).alias("i")).collect()}
+    assert {t: g[0] for t, g in got.items()} == {t: c[0] for t, c in cases.items()}
+    assert {t: g[1] for t, g in got.items()} == {t: c[1] for t, c in cases.items()}
