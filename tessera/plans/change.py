@@ -171,6 +171,30 @@ w(user_id, i, event_id, ts, window_start, nth) AS (
 SELECT user_id, event_id, window_start, CAST(nth AS INT) AS nth, nth <= 3 AS allowed FROM w"""
 
 
+#: What the kinds of events do to a clock.
+ACTIONS = {"purchase": "start", "error": "pause", "click": "toggle", "view": "lap", "signup": "reset"}
+
+
+def lap_clocks(spark: SparkSession, d: str) -> DataFrame:
+    """A pausable clock for each user, with laps, that their events start, stop and reset."""
+    action = F.lit(None).cast("string")
+    for kind, what in ACTIONS.items():
+        action = F.when(F.col("event_type") == kind, what).otherwise(action)
+    return state.clocks(table(spark, d, "events"), "user_id", "ts", "event_id", action)
+
+
+#: Event by event, each from the state before it.
+LAP_CLOCKS = f"""
+WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS at_, CASE event_type {" ".join(f"WHEN '{k}' THEN '{a}'" for k, a in ACTIONS.items())} ELSE '' END AS act,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+w(user_id, i, event_id, at_, running, elapsed, laps) AS (
+  SELECT user_id, i, event_id, at_, act IN ('start', 'toggle'), 0::BIGINT, 0 FROM o WHERE i = 1
+  UNION ALL SELECT user_id, i, event_id, at_, CASE act WHEN 'start' THEN true WHEN 'pause' THEN false WHEN 'reset' THEN false WHEN 'toggle' THEN NOT was ELSE was END, now_,
+    CASE WHEN act = 'reset' THEN 0 WHEN act = 'lap' AND now_ > 0 THEN least(laps + 1, 30) ELSE laps END FROM (
+      SELECT o.user_id, o.i, o.event_id, o.at_, o.act, w.running AS was, w.laps, CASE WHEN o.act = 'reset' THEN 0 ELSE w.elapsed + CASE WHEN w.running THEN o.at_ - w.at_ ELSE 0 END END AS now_
+      FROM w JOIN o ON o.user_id = w.user_id AND o.i = w.i + 1))
+SELECT user_id, event_id, running, elapsed, laps FROM w"""
+
 #: Hours for which a found answer is remembered, and one that failed.
 KEPT_HOURS, FAILED_HOURS = 96, 12
 
@@ -278,6 +302,7 @@ QUERIES = {
     "tumbling_stream": (tumbling_stream, TUMBLING),
     "threshold_cross": (threshold_cross, CROSS),
     "first_hit_window": (first_hit_window, FIRST_HIT),
+    "lap_clocks": (lap_clocks, LAP_CLOCKS),
     "check_memory": (check_memory, CHECKED),
     "check_memory_stream": (check_memory_stream, CHECKED),
     "token_bucket": (token_bucket, None),

@@ -111,6 +111,36 @@ class _Feed:
         return next(self.out)
 
 
+#: Most laps that a clock keeps between two resets.
+MOST_LAPS = 30
+
+
+def clocks(events: DataFrame, key: str, at: str, tie: str, action: Column) -> DataFrame:
+    """(key, tie, running, elapsed, laps) after each event of pausable clocks, a clock for each key; elapsed in microseconds.
+
+    action: start, pause, toggle, lap or reset; anything else, and null, changes nothing. A clock that runs gains the time
+    between events. A lap counts once some time has been gained since the last reset, running or not, up to MOST_LAPS. What a
+    toggle does depends on all before it, but only on how many there were since the last start, pause or reset: so all is
+    running sums over one order of each key's events, and no state is kept by hand.
+    """
+    order = Window.partitionBy(key).orderBy(at, tie)
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    named = events.select(key, at, tie, action.alias("action")).withColumn("action", F.coalesce("action", F.lit("")))
+    sets, resets = F.col("action").isin("start", "pause", "reset"), F.col("action") == "reset"
+    count = lambda hit: F.sum(F.when(hit, 1).otherwise(0))
+    told = named.withColumns({
+        "last_set": F.last(F.when(sets, F.col("action")), ignorenulls=True).over(so_far), "set_no": count(sets).over(so_far), "turn": count(resets).over(so_far),
+    })
+    toggles = count(F.col("action") == "toggle").over(Window.partitionBy(key, "set_no").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, 0))
+    running = told.withColumn("running", F.coalesce(F.col("last_set") == "start", F.lit(False)) != (toggles % 2 == 1))
+    now = F.unix_micros(F.col(at).cast("timestamp"))
+    gained = F.when(F.lag("running").over(order) & ~resets, now - F.lag(now).over(order)).otherwise(0)
+    in_turn = Window.partitionBy(key, "turn").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, 0)
+    timed = running.withColumn("gained", gained).withColumn("elapsed", F.sum("gained").over(in_turn))
+    laps = F.least(count((F.col("action") == "lap") & (F.col("elapsed") > 0)).over(in_turn), F.lit(MOST_LAPS))
+    return timed.select(key, tie, "running", "elapsed", laps.cast("int").alias("laps"))
+
+
 def first_seen(events: DataFrame, key: str, at: str) -> DataFrame:
     return events.groupBy(key).agg(F.min(at).alias("first_seen"))
 
