@@ -85,20 +85,21 @@ def in_next_interval(df: DataFrame, partition: Sequence[str], at: str, key: str)
 def closure(edges: DataFrame, child: str, parent: str, most_rounds: int = 40) -> DataFrame:
     """(child, ancestor, depth) of a hierarchy, the shortest depth of each pair; cycles end where nothing is new.
 
-    Paths double: a round joins the paths that are known with each other, so the rounds are as many as the logarithm of
-    the hierarchy's depth. Each round is written, which keeps plans small. Raises if most_rounds don't suffice.
+    Paths double: a round joins the paths that the last one found, or found shorter, with all that are known, so the rounds are
+    as many as the logarithm of the hierarchy's depth. Each round is written, which keeps plans small. Raises if most_rounds
+    don't suffice.
     """
     both = F.col("child").isNotNull() & F.col("ancestor").isNotNull()
-    known = edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor")).where(both).distinct().withColumn("depth", F.lit(1))
-    state = None
+    known = edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor")).where(both).distinct().withColumns({"depth": F.lit(1), "fresh": F.lit(True)})
     for _ in range(most_rounds):
         known = scratch(known, "closure")
-        before, state = state, known.agg(F.count("*"), F.sum("depth")).first()
-        if state == before or not state[0]:
-            return known
-        onward = known.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
-        longer = known.join(onward, "ancestor").select("child", F.col("next").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
-        known = known.unionByName(longer).groupBy("child", "ancestor").agg(F.min("depth").alias("depth"))
+        if known.where("fresh").isEmpty():
+            return known.drop("fresh")
+        onward = known.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"), F.col("fresh").alias("later"))
+        met = known.where("fresh").join(onward, "ancestor").unionByName(known.where("NOT fresh").join(onward.where("later"), "ancestor"))
+        longer = met.select("child", F.col("next").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"), F.lit(None).cast("int").alias("was"))
+        least = known.select("child", "ancestor", "depth", F.col("depth").alias("was")).unionByName(longer).groupBy("child", "ancestor")
+        known = least.agg(F.min("depth").alias("depth"), F.min("was").alias("was")).select("child", "ancestor", "depth", (F.col("was").isNull() | (F.col("depth") < F.col("was"))).alias("fresh"))
     raise ValueError(f"the hierarchy is deeper than 2 ** {most_rounds}")
 
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tessera.streaming.state import _sorted_groups
+from tessera.streaming.state import folded
 
 #: Seconds for which an answer is kept, by whether something was found: a week, or two minutes after a failure.
 FOUND, FAILED = 7 * 86_400, 120
@@ -37,19 +37,10 @@ def remembered(events: DataFrame, key: str, at: str, found: str, tie: str, keep:
 
     found: a boolean column, what asking would have given; null counts as a failure. keep: seconds for which a found answer
     holds, keep_failed: a failure. An answer that is exactly as old as that is asked again. Events of one time follow `tie`; those
-    without a key, time or tie take no part. A key's events pass through one task in frames of bounded size.
+    without a key, time or tie take no part.
     """
     seconds = _seconds(keep, keep_failed)
-
-    def run(keys: tuple, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memory = _Memory(None, seconds)
-        for part in rows:
-            times = part[at].astype("datetime64[us]").astype("int64")
-            out = [(keys[0], t, *memory.ask(int(when), bool(ok))) for t, when, ok in zip(part[tie], times, part[found])]
-            yield pd.DataFrame(out, columns=["k", "t", "a", "b"])
-
-    whole = events.dropna(subset=[key, at, tie]).na.fill(False, [found])
-    return _sorted_groups(whole, key, at, tie, run, f"{key} long, {tie} long, asked boolean, answer boolean", [found])
+    return folded(events.na.fill(False, [found]), key, at, tie, lambda: _Memory(None, seconds).ask, "asked boolean, answer boolean", [found])
 
 
 class _Processor(StatefulProcessor):

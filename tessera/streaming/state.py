@@ -3,7 +3,7 @@ here have event time, which is an addition of this library."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -32,83 +32,70 @@ def crossings(events: DataFrame, key: str, at: str, value: str, limits: list[flo
     return marked.where(F.col("zone") > F.col("zone_before"))
 
 
-def _rows(parts: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-    for part in parts:
-        yield from part.itertuples(index=False)
-
-
 def first_hit_windows(events: DataFrame, key: str, at: str, seconds: int, limit: int, tie: str) -> DataFrame:
     """key, tie, window_start, nth, allowed: windows that open at a key's first hit, not by the clock."""
 
-    def run(keys: tuple, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def opened() -> Callable[[int], tuple]:
         start, n = None, 0
-        for part in rows:
-            out = []
-            for event, time in zip(part[tie], part[at]):
-                if start is None or (time - start).total_seconds() >= seconds:
-                    start, n = time, 0
-                n += 1
-                out.append((keys[0], event, start, n, n <= limit))
-            yield pd.DataFrame(out, columns=["k", "e", "w", "n", "a"])
 
-    return _sorted_groups(events, key, at, tie, run, f"{key} long, {tie} long, window_start timestamp, nth int, allowed boolean")
+        def hit(time: int) -> tuple:
+            nonlocal start, n
+            if start is None or time - start >= seconds * 1_000_000:
+                start, n = time, 0
+            n += 1
+            return start, n, n <= limit
+
+        return hit
+
+    return folded(events, key, at, tie, opened, "window_start timestamp, nth int, allowed boolean")
 
 
 def token_bucket(events: DataFrame, key: str, at: str, per_minute: float, burst: float, tie: str) -> DataFrame:
     """key, tie, tokens (before the event), allowed: a bucket that refills steadily up to burst."""
 
-    def run(keys: tuple, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def filled() -> Callable[[int], tuple]:
         tokens, last = burst, None
-        for part in rows:
-            out = []
-            for event, time in zip(part[tie], part[at]):
-                if last is not None:
-                    tokens = min(burst, tokens + (time - last).total_seconds() * per_minute / 60)
-                last = time
-                out.append((keys[0], event, round(tokens, 6), tokens >= 1))
-                tokens -= tokens >= 1
-            yield pd.DataFrame(out, columns=["k", "e", "t", "a"])
 
-    return _sorted_groups(events, key, at, tie, run, f"{key} long, {tie} long, tokens double, allowed boolean")
+        def take(time: int) -> tuple:
+            nonlocal tokens, last
+            if last is not None:
+                tokens = min(burst, tokens + (time - last) / 1e6 * per_minute / 60)
+            last = time
+            before, tokens = tokens, tokens - (tokens >= 1)
+            return round(before, 6), before >= 1
 
+        return take
 
-def _sorted_groups(events: DataFrame, key: str, at: str, tie: str, run, schema: str, more: list[str] | None = None) -> DataFrame:
-    """run(keys, frames) over each key's events in time order, with the columns key, at, tie and more. Events reach Python in frames of bounded size, sorted
-    by Spark; a key is only its state, however many events it has."""
+    return folded(events, key, at, tie, filled, "tokens double, allowed boolean")
 
-    def over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def groups() -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for _, part in frame.groupby((frame[key] != frame[key].shift()).cumsum(), sort=False):
-                    yield part
-
-        current, feed = None, None
-        for part in groups():
-            k = part[key].iloc[0]
-            if k != current:
-                current, feed = k, _Feed(run, (k,))
-            made = feed.push(part)
-            made.columns = names
-            yield made
 
-    names = [c.strip().split(" ")[0] for c in schema.split(",")]
-    return events.select(key, at, tie, *(more or [])).repartition(key).sortWithinPartitions(key, at, tie).mapInPandas(over, schema)
+def folded(events: DataFrame, key: str, at: str, tie: str, make: Callable[[], Callable[..., tuple]], schema: str, more: Sequence[str] = ()) -> DataFrame:
+    """key, tie and what a key's own function gives for each of its events, in time order: it gets the time in microseconds, and
+    the values of `more`. make() begins a key.
 
+    Spark sorts the events; a task walks through frames of bounded size, and holds of a key what its function does. Events
+    without a key, time or tie take no part.
+    """
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    times = [c.strip().split(" ")[0] for c in schema.split(",") if c.strip().endswith(" timestamp")]
 
-class _Feed:
-    """Pushes frames into a generator of frames, one out for each in."""
-
-    def __init__(self, run, keys: tuple) -> None:
-        self.box: list[pd.DataFrame] = []
-        self.out = run(keys, self._frames())
-
-    def _frames(self) -> Iterator[pd.DataFrame]:
-        while True:
-            yield self.box.pop()
-
-    def push(self, frame: pd.DataFrame) -> pd.DataFrame:
-        self.box.append(frame)
-        return next(self.out)
+    def over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, step = object(), None
+        for frame in frames:
+            out = []
+            micros = frame[at].astype("datetime64[us]").astype("int64").tolist()
+            for k, *values in zip(frame[key].tolist(), micros, *(frame[c].tolist() for c in more)):
+                if k != now:
+                    now, step = k, make()
+                out.append(step(*values))
+            made = pd.DataFrame(out, columns=names)
+            for c in times:
+                made[c] = pd.to_datetime(made[c], unit="us")
+            yield pd.concat([frame[[key, tie]].reset_index(drop=True), made], axis=1)
+
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+    whole = f"{key} {kinds[key]}, {tie} {kinds[tie]}, {schema}"
+    return events.select(key, at, tie, *more).dropna(subset=[key, at, tie]).repartition(key).sortWithinPartitions(key, at, tie).mapInPandas(over, whole)
 
 
 #: Most laps that a clock keeps between two resets.
