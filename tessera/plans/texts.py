@@ -13,7 +13,7 @@ from tessera.session import shared_folder, table
 
 def fts_bm25(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold every query word as a prefix, the best 100 by BM25 over two weighted fields, tiered."""
-    docs = table(spark, d, "documents").select("doc_id", "text", F.substring("text", 1, 60).alias("title"))
+    docs = table(spark, d, "documents").select("doc_id", "text", _title().alias("title"))
     query = search.analysed("the ention are")
     fields = {"title": (F.col("title"), 10.0), "body": (F.col("text"), 2.0)}
     scored = search.scan_bm25(docs, "doc_id", fields, query, ["title"]).orderBy(F.desc("score"), "doc_id").limit(100)
@@ -22,8 +22,8 @@ def fts_bm25(spark: SparkSession, d: str) -> DataFrame:
 
 
 BM25 = r"""
-WITH t AS (SELECT doc_id, lower(strip_accents(substr(text, 1, 60))) AS title,
-    regexp_extract_all(lower(strip_accents(substr(text, 1, 60))), '[\p{L}\p{N}]+') AS a, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS b FROM documents),
+WITH t AS (SELECT doc_id, lower(strip_accents(regexp_extract(text, '^[^\n.]*', 0))) AS title,
+    regexp_extract_all(lower(strip_accents(regexp_extract(text, '^[^\n.]*', 0))), '[\p{L}\p{N}]+') AS a, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS b FROM documents),
 p AS (SELECT doc_id, 10.0::DOUBLE AS w, unnest(a) AS term FROM t UNION ALL SELECT doc_id, 2.0::DOUBLE, unnest(b) FROM t),
 q AS (SELECT unnest(['ention', 'are']) AS token),
 h AS (SELECT doc_id, token, sum(w) AS wtf FROM p JOIN q ON starts_with(term, token) GROUP BY 1, 2),
