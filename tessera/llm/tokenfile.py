@@ -293,6 +293,26 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = True) -> Data
     )
 
 
+def read_range(spark: SparkSession, folder: str, start: int, end: int) -> DataFrame:
+    """(start, ids): the ids from `start` to before `end` of the whole file, in pieces, each with its first id's place and its ids as
+    little-endian uint32 bytes. The index tells which blocks hold them: files of other parts are not opened, and other blocks'
+    planes are not decompressed. What is beyond the file is not there; an empty range gives no rows."""
+    index = spark.read.parquet(f"{folder}/index").where((F.col("start") < end) & (F.col("start") + F.col("n_ids") > start) & F.lit(start < end))
+    bounds = index.agg(F.min("part"), F.max("part")).first()
+    found = spark.read.schema(CHUNKS).parquet(f"{folder}/chunks").where(F.col("part").between(bounds[0], bounds[1]) if bounds[0] is not None else F.lit(False))
+    wanted = found.join(index.select("part", "chunk", "start"), ["part", "chunk"]).select("start", "n_ids", "planes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                first, n, planes = (c[at].as_py() for c in batch.columns)
+                a, b = max(start, first), min(end, first + n)
+                ids = from_planes(planes, n)[a - first : b - first]
+                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([ids.astype("<u4").tobytes()], pa.binary())], ["start", "ids"])
+
+    return wanted.mapInArrow(run, "start long, ids binary")
+
+
 def public_vocabulary(name: str) -> str:
     import public_tokenizers
 

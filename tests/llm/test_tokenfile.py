@@ -72,6 +72,10 @@ def test_file_round_trip(spark, tmp_path, kind, block):
         assert r.start == at and r.n_ids <= block
         at += r.n_ids
     assert at == sum(w[2] for w in want) and sum(r.n_docs for r in index) == len(want)
+    whole = b"".join(bytes(r.ids) for r in sorted(got.collect(), key=lambda r: r.start))
+    for a, b in ((0, at), (3, 9), (at - 5, at + 100), (7, 7), (at, at + 1), (block - 1, 2 * block + 1)):
+        pieces = sorted((r.start, bytes(r.ids)) for r in tf.read_range(spark, folder, a, b).collect())
+        assert b"".join(p for _, p in pieces) == whole[4 * a : 4 * b] and all(p for _, p in pieces)
 
 
 def test_empty_table(spark, tmp_path):
