@@ -207,7 +207,7 @@ def write_tokens(
             return pa.RecordBatch.from_pylist([row], schema=arrow)
 
         for batch in batches:
-            for piece in slices(batch, 2 << 20):
+            for piece in slices(batch, 1 << 19):
                 ids, texts = (c.to_pylist() for c in piece.columns)
                 for doc, coded in zip(ids, encoder(vocabulary)(texts)):
                     begun.append((doc, len(held)))
