@@ -82,6 +82,39 @@ def in_next_interval(df: DataFrame, partition: Sequence[str], at: str, key: str)
     return df.withColumn("until", F.lead(at).over(Window.partitionBy(*partition).orderBy(at, key)))
 
 
+def best_ranked(rows: DataFrame, *by: str) -> DataFrame:
+    """(by, top): the highest rank of each group of rows (by, rank, n, key), with the sum of n and the smallest key of those that
+    have it, as struct(rank, n, key)."""
+    each = rows.groupBy(*by, "rank").agg(F.sum("n").alias("n"), F.min("key").alias("key"))
+    return each.groupBy(*by).agg(F.max(F.struct("rank", "n", "key")).alias("top"))
+
+
+def best_within(asks: DataFrame, known: DataFrame, group: str, asked: str, at: str, most: int) -> DataFrame:
+    """(group, asked, top): best_ranked() of the known rows (group, at, rank, n, key) whose `at` differs from an asked number of
+    their group by `most` at most. Asks with none give no row; asks must be distinct.
+
+    Numbers are put in cells of width one, and cells in twice as wide ones, and so on. An ask takes the tops of the few widest
+    cells that its range fills, and only numbers of the cells at the range's ends are compared with it one by one.
+    """
+    finite = lambda x: F.col(x).isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    cell = lambda x: F.floor(x).cast("long")
+    levels = (2 * most).bit_length()
+    part = lambda x: x.select("*", "top.*").drop("top")
+    each = part(best_ranked(known.where(finite(at)), group, at)).withColumn("block", cell(F.col(at)))
+    cells = part(best_ranked(each, group, "block")).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    wide = part(best_ranked(cells.withColumn("block", F.expr("shiftright(block, level)")), group, "level", "block"))
+    a = asks.where(finite(asked)).withColumns({"low": cell(F.col(asked) - most) + 1, "high": cell(F.col(asked) + most)})
+    # the cells from low to high, high left out: of each width one at either end, or none
+    filled = F.expr(f"""flatten(transform(sequence(0, {levels}), k -> filter(array(
+        named_struct('level', k, 'block', -shiftright(-low, k), 'odd', pmod(-shiftright(-low, k), 2) = 1 AND -shiftright(-low, k) < shiftright(high, k)),
+        named_struct('level', k, 'block', shiftright(high, k) - 1, 'odd', pmod(shiftright(high, k), 2) = 1 AND -shiftright(-low, k) < shiftright(high, k))), x -> x.odd)))""")
+    inner = a.select(group, asked, F.explode(filled).alias("x")).select(group, asked, "x.level", "x.block").join(wide, [group, "level", "block"])
+    ends = F.array_distinct(F.array(*(cell(F.col(asked) + x) for x in (-most - 0.5, -most, most, most + 0.5))))
+    outer = a.select(group, asked, F.explode(ends).alias("block")).join(each, [group, "block"]).where(F.abs(F.col(asked) - F.col(at)) <= most)
+    found = inner.select(group, asked, "rank", "n", "key").unionByName(outer.select(group, asked, "rank", "n", "key"))
+    return best_ranked(found, group, asked)
+
+
 def closure(edges: DataFrame, child: str, parent: str, most_rounds: int = 40) -> DataFrame:
     """(child, ancestor, depth) of a hierarchy, the shortest depth of each pair; cycles end where nothing is new.
 

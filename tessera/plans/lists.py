@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import browse, lists
+from tessera.operators import browse, lists, relate
 from tessera.session import table
 
 
@@ -182,16 +182,22 @@ QUALIFY rank <= 8"""
 def resolved_shows(spark: SparkSession, d: str) -> DataFrame:
     """The customer that a supplier most likely is: name key of the nation, points for balance and segment; a tie goes to the
     one with more orders, and to none if that is a tie too."""
-    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("asked"))
     c = table(spark, d, "customer")
     votes = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("votes"))
-    pairs = s.join(c, F.col("s_nationkey") == F.col("c_nationkey")).join(votes, "c_custkey", "left")
-    score = 8 + F.when(F.abs(F.col("s_acctbal") - F.col("c_acctbal")) <= 500, 3).otherwise(0) + F.when(F.col("c_mktsegment") == "MACHINERY", 2).otherwise(0)
-    rank = F.struct(score.alias("score"), F.coalesce("votes", F.lit(0)).alias("votes"))
-    best = pairs.select("s_suppkey", "c_custkey", rank.alias("rank")).groupBy("s_suppkey", "rank").agg(F.min("c_custkey").alias("c_custkey"), F.count("*").alias("n"))
-    top = best.groupBy("s_suppkey").agg(F.max(F.struct("rank", "n", "c_custkey")).alias("t"))
-    alone = (F.col("t.n") == 1) & (F.col("t.rank.votes") > 0)
-    return top.select("s_suppkey", F.when(alone, F.col("t.c_custkey")).alias("c_custkey"), F.col("t.rank.score").cast("int").alias("score"))
+    liked = F.coalesce(F.col("c_mktsegment") == "MACHINERY", F.lit(False))
+    rank = F.struct(liked.alias("liked"), F.coalesce("votes", F.lit(0)).alias("votes"))
+    known = c.join(votes, "c_custkey", "left").select(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("at"), rank.alias("rank"), F.col("c_custkey").alias("key"), F.lit(1).cast("long").alias("n"))
+    near = relate.best_within(s.select("nation", "asked").distinct(), known, "nation", "asked", "at", 500).withColumnRenamed("top", "near")
+    far = relate.best_ranked(known, "nation").withColumnRenamed("top", "far")
+    each = s.join(far, "nation").join(near.withColumnsRenamed({"nation": "n_", "asked": "a_"}), (F.col("nation") == F.col("n_")) & (F.col("asked") == F.col("a_")), "left")
+    # one that is near has more points than any that is not
+    top = F.coalesce("near", "far")
+    score = (8 + F.when(F.col("near").isNotNull(), 3).otherwise(0) + F.when(top["rank"]["liked"], 2).otherwise(0)).cast("int")
+    placed = each.select("s_suppkey", F.struct(score.alias("score"), top["rank"]["votes"].alias("votes")).alias("rank"), top["n"].alias("n"), top["key"].alias("key"))
+    best = relate.best_ranked(placed, "s_suppkey")
+    alone = (F.col("top.n") == 1) & (F.col("top.rank.votes") > 0)
+    return best.select("s_suppkey", F.when(alone, F.col("top.key")).alias("c_custkey"), F.col("top.rank.score").alias("score"))
 
 
 RESOLVED = """
