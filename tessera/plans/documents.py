@@ -81,8 +81,10 @@ SELECT p_brand, 'solo' AS region, row, p_name AS value FROM b UNION ALL SELECT p
 
 def export_sheets(spark: SparkSession, d: str) -> DataFrame:
     """Orders of one or two lines as two sheets with their lines as columns and lengths as texts, written as CSV and read again."""
-    lines = table(spark, d, "lineitem").where("l_linenumber <= 2").groupBy("l_orderkey").pivot("l_linenumber", [1, 2]).agg(F.first("l_returnflag"))
-    rows = lines.select("l_orderkey", F.when(F.col("2").isNull(), "solo").otherwise("duet").alias("kind"), F.col("1").alias("first"), F.col("2").alias("second"))
+    # of lines with one number, the table's first that has a flag: by file and row, however tasks read them
+    lines = table(spark, d, "lineitem").where("l_linenumber <= 2").select("l_orderkey", "l_linenumber", "l_returnflag", F.struct("_metadata.file_path", "_metadata.row_index").alias("at"))
+    flag = lambda n: F.min_by("l_returnflag", F.when((F.col("l_linenumber") == n) & F.col("l_returnflag").isNotNull(), F.col("at")))
+    rows = lines.groupBy("l_orderkey").agg(flag(1).alias("first"), flag(2).alias("second")).withColumn("kind", F.when(F.col("second").isNull(), "solo").otherwise("duet"))
     seconds = (F.col("l_orderkey") % 400).cast("int")
     rows = rows.withColumn("length", F.format_string("%d:%02d", F.floor(seconds / 60), seconds % 60))
     folder = shared_folder(spark, "sheets")
