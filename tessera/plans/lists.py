@@ -160,11 +160,19 @@ SELECT o_orderkey, day, c_name, flags FROM f LEFT JOIN l ON l_orderkey = o_order
 
 def fallback_matches(spark: SparkSession, d: str) -> DataFrame:
     """For asked names, the best eight of a first source; a second one's where the first has none good enough."""
-    part = table(spark, d, "part")
+    source = F.when(F.col("p_partkey") % 2 == 0, 1).otherwise(2)
+    part = table(spark, d, "part").where("p_partkey IS NOT NULL").select("p_partkey", "p_name", "p_brand", "p_size", source.alias("source"))
     asked = part.where("p_partkey % 40 = 0").select(F.col("p_partkey").alias("q"), F.col("p_name").alias("qn"), F.col("p_brand").alias("qb"))
-    found = asked.join(part, F.col("qn") == F.col("p_name")).where("q <> p_partkey")
-    score = (60 + F.when(F.col("qb") == F.col("p_brand"), 30).otherwise(0) - F.col("p_size") % 20).cast("int")
-    scored = found.select("q", "p_partkey", score.alias("score"), F.when(F.col("p_partkey") % 2 == 0, 1).otherwise(2).alias("source"))
+    # of a name and source, eight and the asked one itself can count of a brand, and as many of all others: of these at most nine
+    # are the asked one's brand and stand before them
+    order = [(F.col("p_size") % 20).asc_nulls_last(), F.col("p_partkey")]
+    own = browse.top_by(part, ["p_name", "p_brand", "source"], order, 9)
+    others = browse.top_by(own, ["p_name", "source"], order, 18)
+    same = F.coalesce(F.col("qb") == F.col("p_brand"), F.lit(False))
+    named = F.col("qn") == F.col("p_name")
+    found = asked.join(own, named & (F.col("qb") == F.col("p_brand"))).unionByName(asked.join(others, named).where(~same)).where("q <> p_partkey")
+    score = (60 + F.when(same, 30).otherwise(0) - F.col("p_size") % 20).cast("int")
+    scored = found.select("q", "p_partkey", score.alias("score"), "source")
     good = scored.where("source = 1").groupBy("q").agg((F.max("score") >= 60).alias("good"))
     used = scored.join(good, "q", "left").where("source = 1 OR NOT coalesce(good, false)")
     top = browse.top_by(used, ["q"], [F.desc("score"), F.asc("source"), F.asc("p_partkey")], 8)
