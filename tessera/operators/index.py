@@ -18,9 +18,24 @@ from pyspark.sql import functions as F
 from tessera.functions.text import tokens
 from tessera.operators.search import K1, B
 
+#: Most void ids that are sent to all tasks, so that postings stay where they are; above that they are shuffled to be joined.
+BROADCAST = 1_000_000
 _MANIFEST = "segment int, n long, length long, void_n long, void_length long"
 
 
+def _placed(terms: Column) -> Column:
+    """array of struct(term, place), in their order."""
+    return F.array_sort(F.transform(terms, lambda t, i: F.struct(t.alias("term"), i.alias("place"))))
+
+
+def _postings(rows: DataFrame, placed: str) -> DataFrame:
+    """rows with (term, places) for each term of a column of _placed() ones, which is cut where a term begins to stand."""
+    begins = F.expr(f"filter(sequence(0, size({placed})), i -> i = 0 OR i = size({placed}) OR get({placed}, i).term <> get({placed}, i - 1).term)")
+    cut = F.expr(f"""transform(slice(begins, 1, size(begins) - 1), (b, k) -> named_struct('term', get({placed}, b).term,
+        'places', transform(slice({placed}, b + 1, get(begins, k + 1) - b), x -> x.place)))""")
+    return rows.withColumn("begins", begins).withColumn("p", F.explode(cut)).select("*", "p.*").drop("begins", "p", placed)
+
+
 @dataclass(frozen=True)
 class Index:
     """An index below a folder that driver and executors share. doc: the name and type of the documents' key."""
@@ -53,6 +68,8 @@ class Index:
         last = self._read("void", "at int").groupBy(self.doc).agg(F.max("segment").alias("gone"))
         if len(self.segments()) < 2:
             return rows.drop("segment")
+        if sum(s[3] for s in self.segments()) <= BROADCAST:
+            last = F.broadcast(last)
         return rows.join(last, self.doc, "left").where("gone IS NULL OR segment >= gone").drop("gone", "segment")
 
     def lengths(self) -> DataFrame:
@@ -74,22 +91,24 @@ class Index:
         number = known[-1][0] + 1 if known else 0
         at = f"segment={number}"
         named = docs.where(F.col(self.doc).isNotNull())
-        each = F.array(*(F.struct(F.lit(n).alias("field"), tokens(F.coalesce(c, F.lit(""))).alias("terms")) for n, c in fields.items()))
-        listed = named.select(F.col(self.doc).cast(self.kind), F.explode(each).alias("f"))
-        size = listed.groupBy(self.doc).agg(F.sum(F.size("f.terms")).cast("long").alias("length"))
+        texts = named.select(F.col(self.doc).cast(self.kind), *(F.coalesce(c, F.lit("")).alias(f"_{n}") for n, c in fields.items()))
+        size = texts.groupBy(self.doc).agg(F.sum(sum((F.size(tokens(F.col(f"_{n}"))) for n in fields), F.lit(0))).cast("long").alias("length"))
         size.write.mode("overwrite").parquet(f"{self.folder}/lengths/{at}")
         size = self.spark.read.schema(f"{self.doc} {self.kind}, length long").parquet(f"{self.folder}/lengths/{at}")
-        placed = listed.select(self.doc, "f.field", F.posexplode("f.terms").alias("place", "term")).groupBy(self.doc, "field", "term")
-        made = placed.agg(F.sort_array(F.collect_list("place")).alias("places")).join(size, self.doc)
+        # texts are shuffled once, to bring a document's together; its postings are made in its row, and shuffled once, into ranges
+        whole = texts.groupBy(self.doc).agg(*(F.array_join(F.collect_list(f"_{n}"), " ").alias(f"_{n}") for n in fields))
+        each = F.array(*(F.struct(F.lit(n).alias("field"), _placed(tokens(F.col(f"_{n}"))).alias("placed")) for n in fields))
+        listed = whole.select(self.doc, each.alias("fields"))
+        listed = listed.withColumn("length", F.aggregate("fields", F.lit(0).cast("long"), lambda n, f: n + F.size(f["placed"])))
+        made = _postings(listed.select(self.doc, F.explode("fields").alias("f"), "length").select(self.doc, "f.field", "f.placed", "length"), "placed")
+        made = made.select(self.doc, "field", "term", "places", "length")
         made.repartitionByRange("term", self.doc).sortWithinPartitions("term", self.doc).write.mode("overwrite").parquet(f"{self.folder}/postings/{at}")
         gone = size.select(self.doc)
         if removed is not None:
             gone = gone.unionByName(removed.where(F.col(self.doc).isNotNull()).select(F.col(self.doc).cast(self.kind))).distinct()
+        # what was not in the index has nothing to be made void
         old = self.lengths().join(gone, self.doc, "left_semi") if known else size.limit(0)
-        if known:
-            gone.withColumn("at", F.lit(number)).write.mode("overwrite").parquet(f"{self.folder}/void/{at}")
-        else:
-            size.limit(0).select(self.doc, F.lit(0).alias("at")).write.mode("overwrite").parquet(f"{self.folder}/void/{at}")
+        old.select(self.doc, F.lit(number).alias("at")).write.mode("overwrite").parquet(f"{self.folder}/void/{at}")
         count = lambda df: tuple(df.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first())
         row = self.spark.createDataFrame([(number, *count(size), *count(old))], _MANIFEST)
         row.write.mode("append").parquet(f"{self.folder}/manifest")

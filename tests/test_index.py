@@ -84,3 +84,19 @@ def test_prefixes_reach_the_scan(spark, tmp_path):
     index.changed(spark.createDataFrame([(1, "alpha beta")], "doc_id long, body string"), {"body": F.col("body")})
     plan = index.phrase(["alpha", "b"], "body")._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(term,b)" in plan and "EqualTo(field,body)" in plan
+
+
+def test_rows_of_one_document_follow_each_other_and_voids_are_few(spark, tmp_path, monkeypatch):
+    from tessera.operators import index as module
+
+    index = Index(spark, str(tmp_path / "index"))
+    fields = {"body": F.col("body")}
+    index.changed(spark.createDataFrame([(1, "alpha"), (1, "beta"), (2, "alpha beta"), (3, "")], "doc_id long, body string"), fields)
+    found = [index.phrase(words, "body").where("doc_id = 1").count() for words in (["alpha", "beta"], ["beta", "alpha"])]
+    assert sorted(found) == [0, 1]
+    index.changed(spark.createDataFrame([(2, "beta"), (4, "beta")], "doc_id long, body string"), fields, spark.createDataFrame([(9,)], "doc_id long"))
+    # neither what is new nor what was never there is void
+    assert [r.doc_id for r in spark.read.parquet(f"{index.folder}/void").collect()] == [2]
+    before = sorted(map(tuple, index.postings().collect()))
+    monkeypatch.setattr(module, "BROADCAST", 0)
+    assert sorted(map(tuple, index.postings().collect())) == before
