@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -115,6 +116,10 @@ def best_within(asks: DataFrame, known: DataFrame, group: str, asked: str, at: s
     return best_ranked(found, group, asked)
 
 
+#: Most rows that a task of closure() sorts or groups at once, as far as keys allow.
+ROWS = 1_000_000
+
+
 def closure(edges: DataFrame, child: str, parent: str, most_rounds: int = 40) -> DataFrame:
     """(child, ancestor, depth) of a hierarchy, the shortest depth of each pair; cycles end where nothing is new.
 
@@ -129,9 +134,19 @@ def closure(edges: DataFrame, child: str, parent: str, most_rounds: int = 40) ->
         if known.where("fresh").isEmpty():
             return known.drop("fresh")
         onward = known.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"), F.col("fresh").alias("later"))
-        met = known.where("fresh").join(onward, "ancestor").unionByName(known.where("NOT fresh").join(onward.where("later"), "ancestor"))
+        dealt, on, parts = known, ["ancestor"], math.ceil(known.count() / ROWS)
+        meet = lambda a, b: a.join(b, on)
+        if parts > 1:
+            parts = max(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts)
+            shared = known.groupBy("ancestor").agg(F.ceil(F.count("*") / ROWS).alias("tasks")).where("tasks > 1")
+            shared, tasks = F.broadcast(scratch(shared, "shared")), F.coalesce("tasks", F.lit(1))  # a row for ROWS paths at most
+            onward = onward.join(shared, "ancestor", "left").withColumn("task", F.explode(F.sequence(F.lit(0).cast("long"), tasks - 1))).drop("tasks")
+            dealt, on = known.join(shared, "ancestor", "left").withColumn("task", F.pmod(F.xxhash64("child"), tasks)).drop("tasks"), ["ancestor", "task"]
+            meet = lambda a, b: a.repartition(parts, *on).join(b.repartition(parts, *on), on)
+        met = meet(dealt.where("fresh"), onward).unionByName(meet(dealt.where("NOT fresh"), onward.where("later")))
         longer = met.select("child", F.col("next").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"), F.lit(None).cast("int").alias("was"))
-        least = known.select("child", "ancestor", "depth", F.col("depth").alias("was")).unionByName(longer).groupBy("child", "ancestor")
+        every = known.select("child", "ancestor", "depth", F.col("depth").alias("was")).unionByName(longer)
+        least = (every.repartition(parts, "child", "ancestor") if parts > 1 else every).groupBy("child", "ancestor")
         known = least.agg(F.min("depth").alias("depth"), F.min("was").alias("was")).select("child", "ancestor", "depth", (F.col("was").isNull() | (F.col("depth") < F.col("was"))).alias("fresh"))
     raise ValueError(f"the hierarchy is deeper than 2 ** {most_rounds}")
 
