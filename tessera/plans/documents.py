@@ -146,8 +146,9 @@ def large_documents(spark: SparkSession, d: str) -> DataFrame:
     row = F.from_json("element", "doc_id long, text string, tags array<string>")
     volume = F.regexp_extract("path", "group=([0-9]+)/", 1).cast("long")
     versions = bigjson.head(spark, path, "version string").select("path", "version")
-    read = found.join(versions, "path").select(volume.alias("volume"), "place", "version", row.alias("r"))
-    return read.select("volume", "place", "version", "r.doc_id", F.md5("r.text").alias("text_md5"), F.array_join("r.tags", "/", "-").alias("tags"))
+    # texts are digested before anything is joined, so that none is shuffled
+    read = found.select("path", "place", row.alias("r")).select("path", "place", "r.doc_id", F.md5("r.text").alias("text_md5"), F.array_join("r.tags", "/", "-").alias("tags"))
+    return read.join(versions, "path").select(volume.alias("volume"), "place", "version", "doc_id", "text_md5", "tags")
 
 
 LARGE = """
