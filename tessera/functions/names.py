@@ -49,7 +49,12 @@ NAMELESS = [
 
 def canonical(name: Column) -> Column:
     """A name's form for comparing: no article or title, one spelling of each form of address."""
-    x = F.regexp_replace(key_fold(name), "^the ", "")
+    return canonical_key(key_fold(name))
+
+
+def canonical_key(key: Column) -> Column:
+    """canonical() of a name by its key_fold."""
+    x = F.regexp_replace(key, "^the ", "")
     x = F.regexp_replace(F.regexp_replace(x, r"\b(?:mme|madam)\b", "madame"), r"\bmlle\b", "mademoiselle")
     x = F.regexp_replace(x, rf"^(?:{'|'.join(TITLES)}) (?!(?:{'|'.join(PARTICLES)}) )(?=\S+ \S)", "")
     for word, short in (("doctor", "dr"), ("mister", "mr"), ("professor", "prof"), ("saint", "st")):

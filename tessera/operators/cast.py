@@ -35,9 +35,12 @@ def _pre(sign: str, keys: Column) -> Column:
     return F.transform(keys, lambda k: F.concat(F.lit(f"{sign}:"), k))
 
 
-def _variant_keys(name: Column) -> tuple[Column, Column]:
-    """What a longer name offers, and what a shorter one asks for."""
-    cw, rw, nick = F.split(names.canonical(name), " "), F.split(key_fold(name), " "), key_fold(names.quoted(name))
+def _variant_keys(each: DataFrame) -> DataFrame:
+    """scope, name and at with the name's form without blanks, what a longer name offers, what a shorter one asks for, and whether
+    it has letters. Folds are columns of their own: what is taken from them, word by word, would make them again each time."""
+    name, key, nick, cn, rw, cw = map(F.col, ("name", "key", "nick", "cn", "rw", "cw"))
+    folded = each.withColumns({"key": key_fold(name), "nick": key_fold(names.quoted(name))}).withColumn("cn", names.canonical_key(key))
+    folded = folded.withColumns({"rw": F.split(key, " "), "cw": F.split(cn, " ")})
     n = F.size(cw)
     # a tail of numerals makes another role
     heads = F.filter(
@@ -46,18 +49,19 @@ def _variant_keys(name: Column) -> tuple[Column, Column]:
     )
     ends = F.when(n > 2, F.transform(F.sequence(F.lit(2), n - 1), lambda m: F.concat_ws(" ", m, cw[0], _last(cw)))).otherwise(_none())
     rank = F.when((F.size(rw) > 2) & rw[0].isin(names.HONORIFICS), F.concat_ws(" ", rw[0], _last(rw)))
-    known = F.filter(F.when(nick != "", F.array(nick, F.concat_ws(" ", nick, _last(rw)))).otherwise(_none()), lambda k: k != key_fold(name))
+    known = F.filter(F.when(nick != "", F.array(nick, F.concat_ws(" ", nick, _last(rw)))).otherwise(_none()), lambda k: k != key)
     epithet = F.when((F.size(rw) == 3) & (rw[0] == "the") & F.get(rw, F.lit(1)).isin(names.EPITHETS), F.get(rw, F.lit(2)))
     offers = F.concat(
         _pre("head", F.transform(heads, lambda k: F.array_join(F.slice(cw, F.lit(1), k), " "))), _pre("ends", ends), _pre("rank", _some(rank)), _pre("nick", known),
         _pre("epithet", _some(epithet)),
     )
     asks = F.concat(
-        F.array(F.concat(F.lit("head:"), names.canonical(name)), F.concat(F.lit("nick:"), key_fold(name))),
+        F.array(F.concat(F.lit("head:"), cn), F.concat(F.lit("nick:"), key)),
         _pre("ends", _some(F.when(n >= 2, F.concat_ws(" ", n, cw[0], _last(cw))))),
-        _pre("rank", _some(F.when((F.size(rw) == 2) & rw[0].isin(names.HONORIFICS), key_fold(name)))), _pre("epithet", _some(F.when(F.size(rw) == 1, rw[0]))),
+        _pre("rank", _some(F.when((F.size(rw) == 2) & rw[0].isin(names.HONORIFICS), key))), _pre("epithet", _some(F.when(F.size(rw) == 1, rw[0]))),
     )
-    return offers, asks
+    form = F.replace(cn, F.lit(" "), F.lit(""))
+    return folded.select("scope", "name", "at", form.alias("form"), F.array_distinct(offers).alias("offers"), F.array_distinct(asks).alias("asks"), (key != "").alias("named"))
 
 
 def merged_variants(people: DataFrame, scope: str, at: str, name: str) -> DataFrame:
@@ -68,13 +72,14 @@ def merged_variants(people: DataFrame, scope: str, at: str, name: str) -> DataFr
     stand under the last one; names that go into each other in a circle stay apart. Of names with one canonical form, the first
     by `at` stands for all. Repeated names count once; rows without a scope or a name, or with an empty one, take no part.
     """
-    each = people.where(F.col(scope).isNotNull() & (key_fold(F.col(name)) != "")).groupBy(F.col(scope).alias("scope"), F.col(name).alias("name")).agg(F.min(at).alias("at"))
-    offers, asks = _variant_keys(F.col("name"))
+    each = people.where(F.col(scope).isNotNull()).groupBy(F.col(scope).alias("scope"), F.col(name).alias("name")).agg(F.min(at).alias("at"))
+    # written, so that names are folded once; a filter of names before that would be moved to where they are read, or made
+    each = scratch(_variant_keys(each), "keys").where("named")
     target = F.struct("at", "name")
-    behind = each.select("scope", F.explode(F.array_distinct(offers)).alias("key"), target.alias("t")).groupBy("scope", "key").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-    found = each.select("scope", "name", F.explode(F.array_distinct(asks)).alias("key")).join(behind, ["scope", "key"])
+    behind = each.select("scope", F.explode("offers").alias("key"), target.alias("t")).groupBy("scope", "key").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    found = each.select("scope", "name", F.explode("asks").alias("key")).join(behind, ["scope", "key"])
     one = found.groupBy("scope", "name").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo = hi AND lo.name <> name")
-    up = scratch(each.join(one.select("scope", "name", F.col("lo.name").alias("to")), ["scope", "name"], "left"), "variants")
+    up = scratch(each.select("scope", "name", "at", "form").join(one.select("scope", "name", F.col("lo.name").alias("to")), ["scope", "name"], "left"), "variants")
     # pointers are doubled until only circles, if any, are left: before that, each round settles at least one more name
     open_before = None
     while (left := up.where("to IS NOT NULL").count()) and left != open_before:
@@ -83,13 +88,12 @@ def merged_variants(people: DataFrame, scope: str, at: str, name: str) -> DataFr
         joined = up.join(next_, ["scope", "to"], "left")
         end = F.when(F.col("to").isNotNull() & F.col("then").isNull(), F.coalesce("far", "to") if "end" in up.columns else F.col("to"))
         settled = F.coalesce("end", end) if "end" in up.columns else end
-        up = scratch(joined.select("scope", "name", "at", F.when(end.isNull(), F.col("then")).alias("to"), settled.alias("end")), "variants")
-    ends = up.select("scope", "name", F.coalesce("end", "name").alias("root")) if "end" in up.columns else up.select("scope", "name", F.col("name").alias("root"))
-    form = F.replace(names.canonical(F.col("name")), F.lit(" "), F.lit(""))
-    heads = each.join(ends.where("name = root").select("scope", "name"), ["scope", "name"]).withColumn("form", form)
+        up = scratch(joined.select("scope", "name", "at", "form", F.when(end.isNull(), F.col("then")).alias("to"), settled.alias("end")), "variants")
+    ends = up.select("scope", "name", "at", "form", (F.coalesce("end", "name") if "end" in up.columns else F.col("name")).alias("root"))
+    heads = ends.where("name = root").select("scope", "name", "at", "form")
     firsts = heads.groupBy("scope", "form").agg(F.min(F.struct("at", "name")).alias("first"))
     stands = heads.join(firsts, ["scope", "form"]).select("scope", F.col("name").alias("root"), F.col("first.name").alias("canonical"))
-    return ends.join(stands, ["scope", "root"]).select("scope", "name", "canonical")
+    return ends.select("scope", "name", "root").join(stands, ["scope", "root"]).select("scope", "name", "canonical")
 
 
 #: The rules of resolved_mentions() in their order. `first`: the first listed of several names counts; all others need one alone.

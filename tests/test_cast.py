@@ -1,5 +1,6 @@
 import pytest
 
+from tessera import plans
 from tessera.operators import cast
 
 CAST = [
@@ -97,3 +98,21 @@ def chained(names):
         return end(t.pop()) if len(t) == 1 else c
 
     return {n: end(n) for n in names}
+
+
+def test_names_are_folded_once(spark):
+    names = [(None, 1, "Ann"), ("s", 2, None), ("s", 3, "Ann"), ("s", 4, "Ann Lee"), ("t", 5, "Ann"), ("t", 6, "...")]
+    df = cast.merged_variants(spark.createDataFrame(names, "play string, at long, name string"), "play", "at", "name")
+    assert sorted(map(tuple, df.collect())) == [("s", "Ann", "Ann Lee"), ("s", "Ann Lee", "Ann Lee"), ("t", "Ann", "Ann")]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan and "regexp_replace(" not in plan
+
+
+def test_names_are_made_where_rows_are_dealt_out(spark, monkeypatch):
+    written = []
+    scratch = cast.scratch
+    monkeypatch.setattr(cast, "scratch", lambda df, name: written.append(df) or scratch(df, name))
+    plans.QUERIES["name_variants"][0](spark, "/root/testdata/sf0.001")
+    lines = written[0]._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    (dealt,) = (i for i, line in enumerate(lines) if "Repartition" in line)
+    assert any("initcap(" in line for line in lines[:dealt]) and not any("initcap(" in line for line in lines[dealt:])
