@@ -48,8 +48,9 @@ def _sql_written(forms: list[str], key: str) -> str:
 
 def _cast(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("p_partkey") + F.floor(F.col("p_partkey") / 12)
-    # many rows are a small file, which few tasks would read and write names for
-    part = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 12).alias("play"), "p_partkey", "p_name", "p_size").repartition("play")
+    # many rows are a small file, which few tasks would read and write names for; with a number, so that small rows aren't put together
+    part = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 12).alias("play"), "p_partkey", "p_name", "p_size")
+    part = part.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "play")
     return part.select("play", "p_partkey", _written(PERSONS, key).alias("name"), _written(MENTIONS, 5 * key + F.col("p_size")).alias("mention"))
 
 
