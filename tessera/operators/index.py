@@ -1,7 +1,7 @@
 """A written full-text index of segments: postings with positions, changed by deltas, merged when it is read.
 
-A segment holds the postings of the documents that were added with it, in ranges of terms, so that a prefix reads the row groups
-that can hold it and no others; their lengths beside them; and the ids that it makes void in earlier segments. A change writes
+A segment holds the postings of the documents that were added with it, each file's in the order of terms, so that a prefix reads the
+pages of a file that can hold it and no others; their lengths beside them; and the ids that it makes void in earlier segments. A change writes
 one segment of its own documents. The manifest gets a row when a segment is whole: what has no row is not read. Compaction
 writes what is left of all segments as one.
 """
@@ -23,19 +23,6 @@ BROADCAST = 1_000_000
 _MANIFEST = "segment int, n long, length long, void_n long, void_length long"
 
 
-def _placed(terms: Column) -> Column:
-    """array of struct(term, place), in their order."""
-    return F.array_sort(F.transform(terms, lambda t, i: F.struct(t.alias("term"), i.alias("place"))))
-
-
-def _postings(rows: DataFrame, placed: str) -> DataFrame:
-    """rows with (term, places) for each term of a column of _placed() ones, which is cut where a term begins to stand."""
-    begins = F.expr(f"filter(sequence(0, size({placed})), i -> i = 0 OR i = size({placed}) OR get({placed}, i).term <> get({placed}, i - 1).term)")
-    cut = F.expr(f"""transform(slice(begins, 1, size(begins) - 1), (b, k) -> named_struct('term', get({placed}, b).term,
-        'places', transform(slice({placed}, b + 1, get(begins, k + 1) - b), x -> x.place)))""")
-    return rows.withColumn("begins", begins).withColumn("p", F.explode(cut)).select("*", "p.*").drop("begins", "p", placed)
-
-
 @dataclass(frozen=True)
 class Index:
     """An index below a folder that driver and executors share. doc: the name and type of the documents' key."""
@@ -92,17 +79,19 @@ class Index:
         at = f"segment={number}"
         named = docs.where(F.col(self.doc).isNotNull())
         texts = named.select(F.col(self.doc).cast(self.kind), *(F.coalesce(c, F.lit("")).alias(f"_{n}") for n, c in fields.items()))
-        size = texts.groupBy(self.doc).agg(F.sum(sum((F.size(tokens(F.col(f"_{n}"))) for n in fields), F.lit(0))).cast("long").alias("length"))
-        size.write.mode("overwrite").parquet(f"{self.folder}/lengths/{at}")
-        size = self.spark.read.schema(f"{self.doc} {self.kind}, length long").parquet(f"{self.folder}/lengths/{at}")
-        # texts are shuffled once, to bring a document's together; its postings are made in its row, and shuffled once, into ranges
+        # texts are shuffled once, to bring a document's together, and parted into tokens once; its postings stay in its task
         whole = texts.groupBy(self.doc).agg(*(F.array_join(F.collect_list(f"_{n}"), " ").alias(f"_{n}") for n in fields))
-        each = F.array(*(F.struct(F.lit(n).alias("field"), _placed(tokens(F.col(f"_{n}"))).alias("placed")) for n in fields))
+        each = F.array(*(F.struct(F.lit(n).alias("field"), tokens(F.col(f"_{n}")).alias("terms")) for n in fields))
         listed = whole.select(self.doc, each.alias("fields"))
-        listed = listed.withColumn("length", F.aggregate("fields", F.lit(0).cast("long"), lambda n, f: n + F.size(f["placed"])))
-        made = _postings(listed.select(self.doc, F.explode("fields").alias("f"), "length").select(self.doc, "f.field", "f.placed", "length"), "placed")
-        made = made.select(self.doc, "field", "term", "places", "length")
-        made.repartitionByRange("term", self.doc).sortWithinPartitions("term", self.doc).write.mode("overwrite").parquet(f"{self.folder}/postings/{at}")
+        listed = listed.withColumn("length", F.aggregate("fields", F.lit(0).cast("long"), lambda n, f: n + F.size(f["terms"])))
+        placed = listed.select(self.doc, F.explode("fields").alias("f"), "length").select(self.doc, "f.field", "length", F.posexplode("f.terms").alias("place", "term"))
+        made = placed.groupBy(self.doc, "field", "term").agg(F.sort_array(F.collect_list("place")).alias("places"), F.max("length").alias("length"))
+        made.sortWithinPartitions("term", self.doc).write.mode("overwrite").parquet(f"{self.folder}/postings/{at}")
+        # lengths stand in the postings; a document without any has none
+        held = self.spark.read.schema(f"{self.doc} {self.kind}, length long").parquet(f"{self.folder}/postings/{at}").groupBy(self.doc).agg(F.max("length").alias("length"))
+        size = named.select(F.col(self.doc).cast(self.kind)).distinct().join(held, self.doc, "left").select(self.doc, F.coalesce("length", F.lit(0).cast("long")).alias("length"))
+        size.write.mode("overwrite").parquet(f"{self.folder}/lengths/{at}")
+        size = self.spark.read.schema(f"{self.doc} {self.kind}, length long").parquet(f"{self.folder}/lengths/{at}")
         gone = size.select(self.doc)
         if removed is not None:
             gone = gone.unionByName(removed.where(F.col(self.doc).isNotNull()).select(F.col(self.doc).cast(self.kind))).distinct()
@@ -119,14 +108,14 @@ class Index:
         out = Index(self.spark, folder, self.doc, self.kind)
         self.lengths().write.parquet(f"{folder}/lengths/segment=0")
         live = self._live(self._read("postings", _POSTING))
-        live.repartitionByRange("term", self.doc).sortWithinPartitions("term", self.doc).write.parquet(f"{folder}/postings/segment=0")
+        live.sortWithinPartitions("term", self.doc).write.parquet(f"{folder}/postings/segment=0")
         self.spark.createDataFrame([], f"{self.doc} {self.kind}, at int").write.parquet(f"{folder}/void/segment=0")
         self.spark.createDataFrame([(0, *self.totals(), 0, 0)], _MANIFEST).write.parquet(f"{folder}/manifest")
         return out
 
     def postings(self, prefixes: Sequence[str] = (), terms: Sequence[str] = (), field: str | None = None) -> DataFrame:
-        """(doc, field, term, places, length) of live documents; of these prefixes and terms alone, where any are given. Which row
-        groups can hold them is settled by the scan."""
+        """(doc, field, term, places, length) of live documents; of these prefixes and terms alone, where any are given. Which pages
+        can hold them is settled by the scan."""
         found = self._read("postings", _POSTING)
         if prefixes or terms:
             hit = F.lit(False)

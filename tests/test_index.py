@@ -100,3 +100,15 @@ def test_rows_of_one_document_follow_each_other_and_voids_are_few(spark, tmp_pat
     before = sorted(map(tuple, index.postings().collect()))
     monkeypatch.setattr(module, "BROADCAST", 0)
     assert sorted(map(tuple, index.postings().collect())) == before
+
+
+def test_postings_stay_in_the_task_that_makes_them(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = Index(spark, str(tmp_path / "index"))
+        index.changed(spark.range(50).selectExpr("id AS doc_id", "concat('w', id, ' at the end') AS body"), {"body": F.col("body")})
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = spark.read.parquet(f"{index.folder}/postings").withColumn("file", F.input_file_name())
+    assert files.groupBy("doc_id").agg(F.countDistinct("file").alias("n")).where("n > 1").count() == 0
+    assert files.select("file").distinct().count() > 1 and index.totals() == (50, 200)
