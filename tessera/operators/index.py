@@ -8,9 +8,12 @@ writes what is left of all segments as one.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +23,39 @@ from tessera.operators.search import K1, B
 
 #: Most void ids that are sent to all tasks, so that postings stay where they are; above that they are shuffled to be joined.
 BROADCAST = 1_000_000
+#: About as many terms are put in order at a time.
+STEP = 500_000
 _MANIFEST = "segment int, n long, length long, void_n long, void_length long"
 
 
+def _postings(rows: DataFrame) -> DataFrame:
+    """(doc, field, term, places, length) for each term of rows of (doc, field, terms, length), each place from 0 in its list."""
+    key_name = rows.columns[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column(2)).to_numpy()
+            # rows of about STEP terms at a time
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // STEP, prepend=-1, append=np.iinfo(np.int64).max))
+            for begin, end in zip(cuts[:-1], cuts[1:]):
+                part, size = batch.slice(begin, end - begin), sizes[begin:end].astype(np.int64)
+                terms = part.column(2).flatten().dictionary_encode()
+                if not len(terms):
+                    continue
+                row = np.repeat(np.arange(len(size)), size)
+                place = np.arange(len(terms)) - np.repeat(np.cumsum(size) - size, size)
+                code = terms.indices.to_numpy().astype(np.int64)
+                key = row * len(terms.dictionary) + code
+                order = np.argsort(key, kind="stable")
+                first = np.flatnonzero(np.diff(key[order], prepend=-1))
+                places = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(place[order], pa.int32()))
+                at = pa.array(row[order[first]])
+                columns = [part.column(0).take(at), part.column(1).take(at), terms.dictionary.take(pa.array(code[order[first]])), places, part.column(3).take(at)]
+                yield pa.RecordBatch.from_arrays(columns, names=[key_name, "field", "term", "places", "length"])
+
+    return rows.mapInArrow(run, f"{key_name} {rows.dtypes[0][1]}, {_POSTING}")
+
+
 @dataclass(frozen=True)
 class Index:
     """An index below a folder that driver and executors share. doc: the name and type of the documents' key."""
@@ -84,8 +117,7 @@ class Index:
         each = F.array(*(F.struct(F.lit(n).alias("field"), tokens(F.col(f"_{n}")).alias("terms")) for n in fields))
         listed = whole.select(self.doc, each.alias("fields"))
         listed = listed.withColumn("length", F.aggregate("fields", F.lit(0).cast("long"), lambda n, f: n + F.size(f["terms"])))
-        placed = listed.select(self.doc, F.explode("fields").alias("f"), "length").select(self.doc, "f.field", "length", F.posexplode("f.terms").alias("place", "term"))
-        made = placed.groupBy(self.doc, "field", "term").agg(F.sort_array(F.collect_list("place")).alias("places"), F.max("length").alias("length"))
+        made = _postings(listed.select(self.doc, F.explode("fields").alias("f"), "length").select(self.doc, "f.field", "f.terms", "length"))
         made.sortWithinPartitions("term", self.doc).write.mode("overwrite").parquet(f"{self.folder}/postings/{at}")
         # lengths stand in the postings; a document without any has none
         held = self.spark.read.schema(f"{self.doc} {self.kind}, length long").parquet(f"{self.folder}/postings/{at}").groupBy(self.doc).agg(F.max("length").alias("length"))

@@ -112,3 +112,23 @@ def test_postings_stay_in_the_task_that_makes_them(spark, tmp_path):
     files = spark.read.parquet(f"{index.folder}/postings").withColumn("file", F.input_file_name())
     assert files.groupBy("doc_id").agg(F.countDistinct("file").alias("n")).where("n > 1").count() == 0
     assert files.select("file").distinct().count() > 1 and index.totals() == (50, 200)
+
+
+def test_postings_of_batches_cut_into_steps(monkeypatch):
+    import pyarrow as pa
+    from tessera.operators import index as module
+
+    class Rows:
+        columns, dtypes = ["doc_id"], [("doc_id", "bigint")]
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    rng = random.Random(3)
+    rows = [(i, f, [rng.choice("abc") for _ in range(rng.choice([0, 1, 4, 30]))], i) for i in range(40) for f in ("x", "y")]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows]) for k in range(3)] + [pa.array([r[3] for r in rows])], names=["doc_id", "field", "terms", "length"])
+    want = sorted((i, f, t, [k for k, x in enumerate(ts) if x == t], n) for i, f, ts, n in rows for t in set(ts))
+    for step in (1, 7, 100_000):
+        monkeypatch.setattr(module, "STEP", step)
+        found = list(module._postings(Rows())([batch.slice(0, 33), batch.slice(33), batch.slice(0, 0)]))
+        assert sorted(tuple(r.values()) for b in found for r in b.to_pylist()) == want and (step > 7 or len(found) > 9)
